@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import quality
+from graphloom.llm import mixing, quality
 from graphloom.llm.common import table
 
 
@@ -13,10 +13,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
+    "op7_mixing": op7_mixing,
 }
 
 ORACLE_SQL = {
     "op4_quality_rules": quality.SQL,
+    "op7_mixing": mixing.SQL,
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import mixing, quality
-from graphloom.llm.common import table
+from graphloom.llm import chat, mixing, quality, warc
+from graphloom.llm.common import shared_dir, table
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,17 +15,36 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats every conversation, and one that says control strings, and reads them back."""
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_conversations(given.unionByName(own)))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page into archives in the shared folder, and reads them back."""
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path)
+
+
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_mixing": op7_mixing,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL = {
     "op4_quality_rules": quality.SQL,
+    "op6_chat_formatting": chat.SQL,
     "op7_mixing": mixing.SQL,
+    "op10_warc": warc.SQL,
 }

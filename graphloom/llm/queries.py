@@ -6,10 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, mixing, quality, warc
+from graphloom.llm import chat, mixing, quality, topk, warc
 from graphloom.llm.common import shared_dir, table
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every 20th vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
     return quality.quality_rules(table(spark, sf_dir, "documents"))
@@ -36,6 +41,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_quality_rules": op4_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_mixing": op7_mixing,
@@ -43,6 +49,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_exact_top_k": topk.SQL,
     "op4_quality_rules": quality.SQL,
     "op6_chat_formatting": chat.SQL,
     "op7_mixing": mixing.SQL,

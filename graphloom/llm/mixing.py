@@ -140,7 +140,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, n_slots=N_SLOTS, max_repeats=MAX_REPEA
         ),
         start=F.lit(0).cast("bigint"),
     )
-    slot = F.when((F.col("size") > 0) & (F.col("begin") < F.col("take")), (F.col("begin") / F.col("block")).cast("bigint") + 1)
+    # rows of which nothing is taken get a key of their own that meets no slot, so that they don't gather in one task
+    apart = -1 - F.pmod(F.xxhash64("order_key"), F.lit(1_000_003))
+    slot = F.when((F.col("size") > 0) & (F.col("begin") < F.col("take")), F.floor(F.col("begin") / F.col("block")).cast("bigint") + 1).otherwise(apart)
     return (
         placed.withColumn("taken", taken)
         .withColumn("slot", slot)

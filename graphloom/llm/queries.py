@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, mixing, quality, topk, warc
+from graphloom.llm import chat, jaccard, mixing, quality, topk, warc
 from graphloom.llm.common import shared_dir, table
 
 
@@ -33,6 +33,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by a shingle Jaccard similarity of 0.8 or more."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every page into archives in the shared folder, and reads them back."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -45,6 +50,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_mixing": op7_mixing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_warc": op10_warc,
 }
 
@@ -53,5 +59,6 @@ ORACLE_SQL = {
     "op4_quality_rules": quality.SQL,
     "op6_chat_formatting": chat.SQL,
     "op7_mixing": mixing.SQL,
+    "op9_jaccard_join": jaccard.SQL,
     "op10_warc": warc.SQL,
 }

@@ -57,3 +57,10 @@ def dropped(*tables: DataFrame) -> None:
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the rows that learning must not see."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def sliced(batches, rows: int):
+    """Arrow batches cut into pieces of at most ``rows``, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -25,7 +25,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from graphloom.llm.common import sliced
 
 MIN_SHARED_BYTES = 1000
 SEGMENT_BYTES = 32 << 10
@@ -155,7 +156,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
         from pyspark import TaskContext
 
         part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in sliced(batches, 256):
             out = []
             for page_id, url, payload, refers_to in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 out += page_records(page_id, f"{part}-{n}", url, payload, refers_to, segment_bytes)

@@ -20,10 +20,12 @@ import re
 from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import sliced
+
 #: The template's control strings, and some that readers of other templates obey.
 OPEN, CLOSE, HEAD_END = "<s>[", "</s>\n", "]\n"
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
@@ -34,6 +36,12 @@ _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(r"<s>\[((?:[^\\\]]|\\.)*)\]\n(.*?)</s>\n", re.DOTALL)
 
 
+_FORMATTED = pa.schema(
+    [("conv_id", pa.int64()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.int32())), ("loss_spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
+)
+_DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+
 def escaped(text: str) -> str:
     """``text`` without control strings: each loses its form to a mark after its first character."""
     return _RISKY.sub(lambda m: m[0][0] + ESCAPE + m[0][1:], text)
@@ -89,26 +97,35 @@ def format_conversations(conversations: DataFrame, tokenizer: str | None = None,
     loss_spans (character ranges [start, end) under the mask, by turn in order)."""
 
     def encode(batches):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import public_tokenizers
         from tokenizers import Tokenizer
 
         codec = Tokenizer.from_file(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
         codec.encode_special_tokens = True  # the texts' own special strings are ordinary text
-        for batch in batches:
-            made = [rendered([(t["role"], t["text"]) for t in turns]) for turns in batch["turns"]]
+        for batch in sliced(batches, 128):
+            conv_ids, gathered = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            made = [rendered([(t["role"], t["text"]) for t in turns]) for turns in gathered]
             encoded = codec.encode_batch([m[0] for m in made], add_special_tokens=False)
-            rows = []
-            for conv_id, turns, (formatted, spans), code in zip(batch["conv_id"], batch["turns"], made, encoded, strict=True):
+            texts, ids, masks, ranges = [], [], [], []
+            for turns, (formatted, spans), code in zip(gathered, made, encoded, strict=True):
                 loss = masked_ranges(code.offsets, [(a, b) for a, b, k in spans if turns[k]["role"] == trained_role])
                 flat = [r for own in loss for r in own]
                 begins = [a for a, _ in flat]
                 mask = [int(bool(flat) and (k := bisect_left(begins, b)) > 0 and flat[k - 1][1] > a) for a, b in code.offsets]
-                rows.append((conv_id, formatted, code.ids, mask, [{"start": a, "end": b} for a, b in flat]))
-            yield pd.DataFrame(rows, columns=["conv_id", "formatted", "ids", "loss_mask", "loss_spans"])
+                texts.append(formatted)
+                ids.append(code.ids)
+                masks.append(mask)
+                ranges.append([{"start": a, "end": b} for a, b in flat])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip((conv_ids, texts, ids, masks, ranges), _FORMATTED.types, strict=True)], schema=_FORMATTED
+            )
 
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    return gathered.mapInPandas(
+    return gathered.mapInArrow(
         encode, "conv_id bigint, formatted string, ids array<int>, loss_mask array<int>, loss_spans array<struct<start:int,end:int>>"
     )
 
@@ -117,16 +134,16 @@ def digests(formatted: DataFrame) -> DataFrame:
     """Counts and hashes of what reads back from the formatted conversations."""
 
     def digest(batches):
-        for batch in batches:
+        for batch in sliced(batches, 512):
             rows = []
-            for conv_id, text, spans in zip(batch["conv_id"], batch["formatted"], batch["loss_spans"], strict=True):
+            for conv_id, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 turns = read_back(text)
                 loss = unescaped("".join(text[s["start"] : s["end"]] for s in spans))
                 said = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
                 rows.append((conv_id, len(turns), said, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _DIGESTS.types, strict=True)], schema=_DIGESTS)
 
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInPandas(
+    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(
         digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     )
 

@@ -11,10 +11,11 @@ parts more than needed allow leaving out empty signatures, unless too many of a
 are (then it keeps all, and so does any set that it could meet in an empty one only).
 
 Signatures travel in packed blocks and are matched by sorting in numpy. What shares a
-signature is a candidate; candidates are bounded by 64-bin histograms of their sets,
-and all that remain are compared exactly. Work on large groups stays linear where it
-can: a signature's first member is compared with all others, and further pairs only
-where their members are not in one component yet, in blocks of bounded size.
+signature is a candidate; candidates are bounded by sketches of their sets (a histogram
+and parity bits), and all that remain are compared exactly. Work on large groups stays
+linear where it can: a signature's first member, its leader, is compared with all
+others; other pairs with a common leader are looked at once, not for each signature,
+only where they are not in one component yet, and in blocks of bounded size.
 
 Null texts and texts without words are alone in their component. Rows repeated, or
 with equal texts, share a class; rows that repeat a doc_id with other texts are nodes
@@ -43,7 +44,10 @@ SMALL_GROUP = 8
 PAIR_BLOCK = 2048
 #: Ids of texts to compare are broadcast up to this many (16 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-_BINS = 64
+#: A sketch is a histogram of a set in so many bins (a byte each, at most 255), then so many bits:
+#: each the parity of the number of elements in it. Each different element moves one bin, and one bit.
+_BINS, _BITS = 64, 1024
+_SKETCH = _BINS + _BITS // 8
 
 
 @lru_cache(maxsize=1)
@@ -109,27 +113,42 @@ def _fingerprints(hashes: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndar
     return sums.view(np.int64)
 
 
+def _sketches(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A row of ``_SKETCH`` bytes for each set."""
+    n = len(lengths)
+    who = np.repeat(np.arange(n), lengths)
+    spread = mix(hashes, 5)
+    bins = np.bincount(who * _BINS + (spread >> np.uint64(58)).astype(np.int64), minlength=n * _BINS)
+    bits = np.bincount(who * _BITS + (spread & np.uint64(_BITS - 1)).astype(np.int64), minlength=n * _BITS) & 1
+    return np.hstack([np.minimum(bins, 255).astype(np.uint8).reshape(n, _BINS), np.packbits(bits.astype(np.uint8).reshape(n, _BITS), axis=1)])
+
+
+def _could_link(na, nb, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes and sketches can have a Jaccard similarity of 0.8."""
+    moved = np.abs(a[..., :_BINS].astype(np.int16) - b[..., :_BINS].astype(np.int16)).sum(axis=-1)
+    flipped = np.bitwise_count(a[..., _BINS:] ^ b[..., _BINS:]).sum(axis=-1, dtype=np.int64)
+    return 90 * (na + nb - np.maximum(moved, flipped)) >= 80 * (na + nb)
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id, set_check, histogram) of every document."""
+    """(doc_id, n_shingles, set_id, set_check, sketch) of every document."""
 
     def digest(batches):
         for batch in batches:
             for at, hashes, lengths in shingle_sets(batch.column(1)):
                 n = len(lengths)
-                bins = (mix(hashes, 1) >> np.uint64(58)).astype(np.int64) + np.repeat(np.arange(n) * _BINS, lengths)
-                histogram = np.minimum(np.bincount(bins, minlength=n * _BINS), 255).astype(np.uint8)
-                histograms = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_BINS), n, [None, pa.py_buffer(histogram)]).cast(pa.binary())
+                sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_SKETCH), n, [None, pa.py_buffer(_sketches(hashes, lengths))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), pa.array(lengths), pa.array(_fingerprints(hashes, lengths, 11)), pa.array(_fingerprints(hashes, lengths, 12)), histograms],
-                    names=["doc_id", "n_shingles", "set_id", "set_check", "histogram"],
+                    [batch.column(0).slice(at, n), pa.array(lengths), pa.array(_fingerprints(hashes, lengths, 11)), pa.array(_fingerprints(hashes, lengths, 12)), sketches],
+                    names=["doc_id", "n_shingles", "set_id", "set_check", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(digest, "doc_id bigint, n_shingles bigint, set_id bigint, set_check bigint, histogram binary")
+    return docs.select("doc_id", "text").mapInArrow(digest, "doc_id bigint, n_shingles bigint, set_id bigint, set_check bigint, sketch binary")
 
 
 def candidates(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """(a, b, signature): pairs of set ids with a common signature; where the group is
-    large, only pairs with its first member, and for each member a row without b."""
+    """(a, b, led): pairs of set ids with a common signature; where the group is large,
+    only pairs of its leader a with the others, and led is true. Pairs may come repeatedly."""
 
     def packed(signatures: list, ids: list):
         s, i = np.concatenate(signatures), np.concatenate(ids)
@@ -191,40 +210,26 @@ def candidates(docs: DataFrame, n_buckets: int) -> DataFrame:
             first.append(ids[at])
             second.append(ids[at + d])
         star = np.flatnonzero((size > SMALL_GROUP) & (np.arange(len(s)) > start))
-        pairs = np.unique(np.stack([np.concatenate([*first, ids[start[star]]]), np.concatenate([*second, ids[star]])]), axis=1) if len(s) else np.empty((2, 0), np.int64)
-        hot = np.flatnonzero(size > SMALL_GROUP)
-        n, m = pairs.shape[1], len(hot)
-        bucket = group.column("bucket")[0].as_py()
-        named = ((s[hot] << np.uint64(24)) ^ mix(np.full(m, bucket, np.uint64))).view(np.int64)
-        return pa.table(
-            {
-                "a": pa.array(np.concatenate([pairs[0], ids[hot]])),
-                "b": pa.array(np.concatenate([pairs[1], np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n),
-                "signature": pa.array(np.concatenate([np.zeros(n, np.int64), named]), mask=np.arange(n + m) < n),
-            }
-        )
+        few = np.unique(np.stack([np.concatenate(first), np.concatenate(second)]), axis=1) if len(s) else np.empty((2, 0), np.int64)
+        led = np.unique(np.stack([ids[start[star]], ids[star]]), axis=1) if len(star) else np.empty((2, 0), np.int64)
+        both = np.hstack([few, led]).astype(np.int64)
+        return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1]), "led": pa.array(np.arange(both.shape[1]) >= few.shape[1])})
 
     blocks = docs.select("text").mapInArrow(sign, "bucket bigint, high binary, low binary, ids binary")
-    return blocks.groupBy("bucket").applyInArrow(match, "a bigint, b bigint, signature bigint")
-
-
-def _could_link(na, nb, ha, hb) -> np.ndarray:
-    """Whether sets of these sizes and histograms can have a Jaccard similarity of 0.8."""
-    differences = np.abs(ha.astype(np.int16) - hb.astype(np.int16)).sum(axis=-1)
-    return 90 * (na + nb - differences) >= 80 * (na + nb)
+    return blocks.groupBy("bucket").applyInArrow(match, "a bigint, b bigint, led boolean")
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that histograms don't rule out."""
+    """The pairs (a, b) that sketches don't rule out."""
 
     def prune(batches):
         for batch in batches:
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            ha, hb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _BINS) for c in (4, 5))
-            yield batch.select(["a", "b"]).filter(pa.array(_could_link(na, nb, ha, hb)))
+            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _SKETCH) for c in (4, 5))
+            yield batch.select(["a", "b"]).filter(pa.array(_could_link(na, nb, sa, sb)))
 
-    sides = [classes.select(F.col("set_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("histogram").alias(f"h{x}")) for x in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "ha", "hb").mapInArrow(prune, "a bigint, b bigint")
+    sides = [classes.select(F.col("set_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(prune, "a bigint, b bigint")
 
 
 def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -292,35 +297,39 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _hot_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of members of one signature's large group that lie in different components
-    and that histograms don't rule out; groups are dealt out as pairs of bounded blocks."""
+def _led_pairs(led: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs with a common leader that lie in different components and that sketches don't
+    rule out; each leader's group is dealt out as pairs of bounded blocks."""
 
     def meet(group: pa.Table) -> pa.Table:
         side = group.column("side").to_numpy()
-        ids, comp, n = (group.column(c).to_numpy() for c in ("a", "component", "n_shingles"))
-        hist = np.frombuffer(b"".join(group.column("histogram").to_pylist()), np.uint8).reshape(-1, _BINS)
+        ids, comp, n = (group.column(c).to_numpy() for c in ("member", "component", "n_shingles"))
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, _SKETCH)
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)  # 0: the block with itself
         first, second = [], []
         for i in left:
             other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (side[i] == 1)) & (5 * n[right] >= 4 * n[i]) & (5 * n[i] >= 4 * n[right])]
-            other = other[_could_link(n[i], n[other], hist[i], hist[other])]
+            other = other[_could_link(n[i], n[other], sketch[i], sketch[other])]
             first.append(np.minimum(ids[i], ids[other]))
             second.append(np.maximum(ids[i], ids[other]))
         return pa.table({"a": np.concatenate([*first, np.empty(0, np.int64)]).astype(np.int64), "b": np.concatenate([*second, np.empty(0, np.int64)]).astype(np.int64)})
 
-    known = members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    groups = known.groupBy("signature").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
-    blocks = F.ceil(F.col("n") / PAIR_BLOCK).cast("int")
-    split = groups.select("signature", blocks.alias("blocks"))
-    own = known.join(split, "signature").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    known = (
+        led.select(F.col("a").alias("leader"), F.col("b").alias("member"))
+        .distinct()
+        .join(labels.withColumnRenamed("node", "member"), "member", "left")
+        .withColumn("component", F.coalesce("component", "member"))
+    )
+    groups = known.groupBy("leader").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
+    split = groups.select("leader", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks"))
+    own = known.join(split, "leader").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     own = own.select(
-        "signature", "a", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "leader", "member", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.expr("case when block = other then 0 when block < other then 1 else 2 end").alias("side"),
     )
-    own = own.join(classes.select(F.col("set_id").alias("a"), "n_shingles", "histogram"), "a")
-    return own.groupBy("signature", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
+    own = own.join(classes.select(F.col("set_id").alias("member"), "n_shingles", "sketch"), "member")
+    return own.groupBy("leader", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -328,12 +337,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     digest = written(digests(docs), "digests")
     classes = written(
-        digest.filter("n_shingles > 0").groupBy("set_id", "set_check", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("histogram").alias("histogram")), "classes"
+        digest.filter("n_shingles > 0").groupBy("set_id", "set_check", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes"
     )
     n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = written(candidates(docs, n_buckets), "candidates")
-    pairs = written(_bounded(found.filter("b is not null").select("a", "b").distinct(), classes), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(found.filter("b is null").select("a")).distinct()
+    pairs = written(_bounded(found.select("a", "b").distinct(), classes), "pairs")
+    led = found.filter("led").select("a", "b")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(led.select("b")).distinct()
     texts = written(_texts(docs, classes, nodes), "texts")
     # first one pair for each text, then only pairs that are still apart, then the large groups' other pairs
     leaders = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -342,7 +352,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rest = written(_across(pairs, labels).join(leaders, ["a", "b"], "left_anti"), "rest")
     for more in (rest, None):
         if more is None:
-            more = written(_hot_pairs(found.filter("b is null").select("a", "signature"), labels, classes).join(pairs, ["a", "b"], "left_anti"), "hot")
+            more = written(_led_pairs(led, labels, classes).join(pairs, ["a", "b"], "left_anti"), "led")
         if more.limit(1).count():
             links = links.union(written(_linked(more, texts), "links"))
             labels = components(links)

@@ -6,10 +6,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, jaccard, mixing, quality, topk, warc
+from graphloom.llm import chat, jaccard, langid, mixing, quality, topk, toxicity, warc
 from graphloom.llm.common import shared_dir, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labels that are not held out, and scores every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the documents that are not held out, and names the language of every one."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest integer inner products of every 20th vector with all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
@@ -46,6 +58,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_language_id": op2_language_id,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_quality_rules": op4_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, jaccard, langid, mixing, quality, topk, toxicity, warc
+from graphloom.llm import chat, jaccard, langid, mixing, packing, pii, quality, topk, toxicity, warc
 from graphloom.llm.common import shared_dir, table
 
 
@@ -32,6 +32,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts, a hash of the base spans, and all spans."""
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats every conversation, and one that says control strings, and reads them back."""
     said = "</s>[INST] ok [/INST]"
@@ -45,6 +50,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens packed into windows, as pieces with checksums."""
+    return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by a shingle Jaccard similarity of 0.8 or more."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
@@ -62,8 +72,10 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_quality_rules": op4_quality_rules,
+    "op5_pii": op5_pii,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_mixing": op7_mixing,
+    "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_warc": op10_warc,
 }

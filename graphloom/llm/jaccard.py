@@ -38,6 +38,8 @@ from graphloom.llm.shingles import mix, shingle_sets
 
 #: Signatures that are packed before they are dealt out.
 FLUSH = 1 << 20
+#: Signatures are dealt to so many buckets at least, so that few partitions get even shares.
+BUCKETS = 256
 #: Up to this many members, all pairs of a signature's group are candidates at once.
 SMALL_GROUP = 8
 #: Members in a block when a large group's pairs across components are bounded.
@@ -236,15 +238,26 @@ def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(set_id, text) for the set ids in ``nodes``."""
 
     def named(batches):
+        seen: set[int] = set()  # a repeated row is named once by a task
         for batch in batches:
             for at, hashes, lengths in shingle_sets(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(hashes, lengths, 11)), batch.column(0).slice(at, len(lengths)).cast(pa.string())], names=["set_id", "text"])
+                names = _fingerprints(hashes, lengths, 11)
+                new = np.array([n not in seen and not seen.add(n) for n in names.tolist()], bool)
+                if len(seen) > 500_000:
+                    seen.clear()
+                out = pa.RecordBatch.from_arrays([pa.array(names), batch.column(0).slice(at, len(lengths)).cast(pa.string())], names=["set_id", "text"])
+                yield out.filter(pa.array(new))
 
     wanted = classes.join(nodes, "set_id").select(F.col("rep").alias("doc_id")).distinct()
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    # a doc_id that is repeated with other texts brings in sets that nobody asked for; the join with pairs leaves them out
-    return found.select("text").mapInArrow(named, "set_id bigint, text string").dropDuplicates(["set_id"])
+    found = docs.select("doc_id", "text").join(_few(wanted), "doc_id", "left_semi")
+    # a doc_id that is repeated brings in sets that nobody asked for, which the join with pairs leaves
+    # out, or one set from several tasks, which makes links come repeatedly
+    return found.select("text").mapInArrow(named, "set_id bigint, text string")
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """Ids with a broadcast hint if their counted rows are few."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -264,7 +277,10 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(100 * common >= 80 * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("tb")), "b")
+    both = pairs
+    for x in "ab":  # only texts that this side needs are moved
+        needed = texts.select(F.col("set_id").alias(x), F.col("text").alias(f"t{x}")).join(_few(pairs.select(x).distinct()), x, "left_semi")
+        both = both.join(needed, x)
     return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a bigint, b bigint")
 
 
@@ -339,7 +355,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = written(
         digest.filter("n_shingles > 0").groupBy("set_id", "set_check", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes"
     )
-    n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = max(BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = written(candidates(docs, n_buckets), "candidates")
     pairs = written(_bounded(found.select("a", "b").distinct(), classes), "pairs")
     led = found.filter("led").select("a", "b")

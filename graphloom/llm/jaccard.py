@@ -37,7 +37,7 @@ from graphloom.llm.common import dropped, written
 from graphloom.llm.shingles import mix, shingle_sets
 
 #: Signatures that are packed before they are dealt out.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: Signatures are dealt to so many buckets at least, so that few partitions get even shares.
 BUCKETS = 256
 #: Up to this many members, all pairs of a signature's group are candidates at once.
@@ -176,7 +176,7 @@ def candidates(docs: DataFrame, n_buckets: int) -> DataFrame:
                     if name not in seen:
                         new[k] = True
                         seen.add(name)
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 hashes = hashes[np.repeat(new, lengths)]
                 s, who = _signatures(hashes, lengths[new])
@@ -243,7 +243,7 @@ def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
             for at, hashes, lengths in shingle_sets(batch.column(0)):
                 names = _fingerprints(hashes, lengths, 11)
                 new = np.array([n not in seen and not seen.add(n) for n in names.tolist()], bool)
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 out = pa.RecordBatch.from_arrays([pa.array(names), batch.column(0).slice(at, len(lengths)).cast(pa.string())], names=["set_id", "text"])
                 yield out.filter(pa.array(new))

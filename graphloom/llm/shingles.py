@@ -15,7 +15,7 @@ import pyarrow as pa
 
 WORDS = 5
 #: Bytes of text that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -1,0 +1,47 @@
+"""Markup and style sheets: triples by regular expressions, without leaving the JVM."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+_ALL = F.regexp_extract_all  # a function; called with a session only
+
+
+def _found(df: DataFrame, key: str, what: Column, relation: str, to_type: str) -> DataFrame:
+    return df.select(key, F.explode(what).alias("to_entity")).filter("to_entity <> ''").select(key, F.lit(relation).alias("relation_type"), "to_entity", F.lit(to_type).alias("to_type"))
+
+
+def html_triples(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, relation_type, to_entity, to_type): custom tags once a file, classes, form actions, scripts."""
+    h = F.coalesce(F.col(html), F.lit(""))
+    classes = F.flatten(F.transform(_ALL(h, F.lit(r'\sclass="([^"]*)"'), F.lit(1)), lambda c: F.split(F.trim(c), r"\s+")))
+    tags = F.array_distinct(_ALL(h, F.lit(r"<([a-zA-Z][a-zA-Z0-9]*-[a-zA-Z0-9-]*)"), F.lit(1)))
+    actions = _ALL(h, F.lit(r'\saction="([^"]*)"'), F.lit(1))
+    scripts = _ALL(h, F.lit(r'\ssrc="([^"]*\.(?:js|ts))"'), F.lit(1))
+    return (
+        _found(pages, key, classes, "HAS_CLASS", "css_class")
+        .unionByName(_found(pages, key, tags, "REFERENCES", "html_element"))
+        .unionByName(_found(pages, key, actions, "POSTS_TO", "endpoint"))
+        .unionByName(_found(pages, key, scripts, "INCLUDES", "module"))
+    )
+
+
+def _no_interpolation(css: Column) -> Column:
+    """Without ${...}, of which two levels may nest."""
+    return F.regexp_replace(F.regexp_replace(css, r"\$\{[^{}]*\}", ""), r"\$\{[^{}]*\}", "")
+
+
+def css_uses(sheets: DataFrame, key: str, css: str) -> DataFrame:
+    """(key, relation_type, name): variables a sheet uses and defines, each once a file."""
+    text = _no_interpolation(F.coalesce(F.col(css), F.lit("")))
+    uses = F.array_distinct(_ALL(text, F.lit(r"var\(\s*(--[A-Za-z0-9_-]+)"), F.lit(1)))
+    defined = F.array_distinct(_ALL(text, F.lit(r"(--[A-Za-z0-9_-]+)\s*:"), F.lit(1)))
+    pick = lambda what, relation: sheets.select(key, F.explode(what).alias("name"), F.lit(relation).alias("relation_type"))
+    return pick(uses, "USES_VAR").unionByName(pick(defined, "DEFINED_IN"))
+
+
+def lit_templates(files: DataFrame, path: str, source: str) -> DataFrame:
+    """(path, css): the css`...` templates of ``*.styles.ts`` files, one text for each file."""
+    found = _ALL(F.col(source), F.lit(r"(?s)css`([^`]*)`"), F.lit(1))
+    return files.filter(F.col(path).endswith(".styles.ts")).select(path, F.array_join(found, "\n").alias("css"))

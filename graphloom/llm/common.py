@@ -2,58 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed value: the white space that separates words, as a Java/RE2/Python class body.
-SPACE = r"\x20\x09-\x0D"
+from graphloom.scratch import dropped, shared_dir, written
 
-_local: list[str] = []
+__all__ = ["SPACE", "dropped", "held_out", "shared_dir", "sliced", "table", "written"]
 
+#: Fixed value: the white space that separates words, as a Java/RE2/Python class body.
+SPACE = r"\x20\x09-\x0D"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (a
-    single machine, as in tests) a temporary folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="graphloom-"))
-    return f"file://{_local[0]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again.
-
-    It cuts lineage like a checkpoint, and survives the loss of executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._graphloom_path = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables made by ``written`` that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._graphloom_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the rows that learning must not see."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0

@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,6 +43,8 @@ FLUSH = 1 << 18
 BUCKETS = 256
 #: Up to this many members, all pairs of a signature's group are candidates at once.
 SMALL_GROUP = 8
+#: Rows in a file of the tables that components are found with.
+FILE_ROWS = 250_000
 #: Members in a block when a large group's pairs across components are bounded.
 PAIR_BLOCK = 2048
 #: Ids of texts to compare are broadcast up to this many (16 bytes each), else joined by shuffle.
@@ -288,16 +291,19 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each end of a link reaches.
 
     Labels go to neighbours, then to the labels' own labels, until none changes; the
-    number of rounds follows the logarithm of the longest path.
+    number of rounds follows the logarithm of the longest path. Each round is written, in
+    files of about ``FILE_ROWS`` rows.
     """
-    edges = written(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").distinct(), "edges")
-    labels = written(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"), "labels")
+    files = 1 + links.count() // FILE_ROWS
+    edges = written(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").distinct().coalesce(files), "edges")
+    labels = written(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).select(F.col("u").alias("node"), "label").coalesce(files), "labels")
     while True:
         near = edges.join(labels, edges.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
         better = labels.join(near, labels.node == near.u).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        better = written(better, "labels")
+        better = written(better.coalesce(files), "labels")
         jump = better.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        new = written(better.join(jump, better.label == jump.at).select("node", "old", F.least("label", "further").alias("label")), "labels")
+        new = better.join(jump, better.label == jump.at).select("node", "old", F.least("label", "further").alias("label"))
+        new = written(new.coalesce(files), "labels")
         moved = new.filter("old <> label").limit(1).count()
         dropped(labels, better)
         labels = new
@@ -349,19 +355,21 @@ def _led_pairs(led: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+    """doc_id, n_shingles, component_id of every document.
+
+    What is read again within is kept on the executors' disks, and made again from the
+    documents if an executor is lost; what the result reads is written.
+    """
     spark = docs.sparkSession
-    digest = written(digests(docs), "digests")
-    classes = written(
-        digest.filter("n_shingles > 0").groupBy("set_id", "set_check", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes"
-    )
+    key = ["set_id", "set_check", "n_shingles"]
+    classes = written(digests(docs).filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
     n_buckets = max(BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = written(candidates(docs, n_buckets), "candidates")
-    pairs = written(_bounded(found.select("a", "b").distinct(), classes), "pairs")
+    found = candidates(docs, n_buckets).persist(StorageLevel.DISK_ONLY)
+    pairs = _bounded(found.select("a", "b").distinct(), classes).persist(StorageLevel.DISK_ONLY)
     led = found.filter("led").select("a", "b")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(led.select("b")).distinct()
-    texts = written(_texts(docs, classes, nodes), "texts")
-    # first one pair for each text, then only pairs that are still apart, then the large groups' other pairs
+    texts = _texts(docs, classes, nodes).persist(StorageLevel.DISK_ONLY)
+    # first one pair for each text, then only pairs that are still apart, then the other pairs with a common leader
     leaders = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = written(_linked(leaders, texts), "links")
     labels = components(links)
@@ -372,14 +380,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         if more.limit(1).count():
             links = links.union(written(_linked(more, texts), "links"))
             labels = components(links)
-    dropped(found, pairs, texts)
+    for kept in (texts, pairs, found):
+        kept.unpersist()
     smallest = classes.join(labels, classes.set_id == labels.node).groupBy("component").agg(F.min("rep").alias("smallest"))
     of_class = (
         classes.join(labels, classes.set_id == labels.node, "left")
         .join(smallest, "component", "left")
-        .select("set_id", "set_check", "n_shingles", F.coalesce("smallest", "rep").alias("component_id"))
+        .select(*key, F.coalesce("smallest", "rep").alias("component_id"))
     )
-    return digest.join(of_class, ["set_id", "set_check", "n_shingles"], "left").select(
+    return digests(docs).select("doc_id", *key).join(of_class, key, "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 

@@ -17,6 +17,7 @@ table are none. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,10 @@ END = 1
 SHARD_TOKENS = 1 << 20
 #: Terms of a seed that are looked up, and BM25's constants.
 QUERY_TERMS, K1, B = 16, 1.2, 0.75
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
+#: Words of Latin letters, digits and ASCII signs; no apostrophes, as they begin contractions.
+_LATIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_PART = re.compile("[^\\W\\d_]+|\\d|(?:[^\\w]|_)+")
 _PIECE = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
 )
@@ -40,57 +44,93 @@ _PIECE = pa.schema(
 class WordEncoder:
     """Token ids of whole texts, by way of remembered words.
 
-    The tokenizer never lets a token cross white space, so a text's ids are its words'
-    ids one after the other. New words of letters only are encoded together, as each
-    ends with the one token that carries the end-of-word mark.
+    The tokenizer lowers and composes a text, and lets no token cross white space or the
+    border of letters and signs. So the ids of a text that is composed already are those
+    of its lower-case words' parts, one after the other. Parts not met before are encoded
+    together by a copy of the tokenizer without its slow steps; each part ends with the
+    one token that carries the end-of-word mark. Whatever could come out otherwise (signs
+    beyond Latin, contractions, special strings, uncomposed text) goes through the
+    tokenizer itself.
     """
 
-    #: Words that are remembered at most; then all are forgotten.
-    LIMIT = 400_000
+    #: Words that are remembered at most in each of two generations; words in use stay.
+    LIMIT = 300_000
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.codec = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        byte_level = described["pre_tokenizer"]["pretokenizers"][-1]
+        described["normalizer"] = None
+        described["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}
+        self.light = Tokenizer.from_str(json.dumps(described))
         vocabulary = self.codec.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha()]
-        other = [w for w in words if not w.isalpha()]
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = np.array(self.codec.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+    def _encode_parts(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 2000):
+            some = parts[at : at + 2000]
+            ids = np.array(self.light.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some) and (not len(stops) or stops[-1] == len(ids)):
-                data, last = ids.tobytes(), 0
-                for w, stop in zip(some, (stops * 4).tolist(), strict=True):
-                    self.known[w] = data[last:stop]
-                    last = stop
-            else:  # letters that lower case or composition turn into something else
-                other += some
-        for at in range(0, len(other), 2000):
-            some = other[at : at + 2000]
+            if len(stops) != len(some) or stops[-1] != len(ids):
+                raise ValueError("the tokenizer doesn't end each word with its mark")
+            data, last = ids.tobytes(), 0
+            for part, stop in zip(some, (stops * 4).tolist(), strict=True):
+                self.known[part] = data[last:stop]
+                last = stop
+
+    def _learn(self, words: set[str]) -> None:
+        known, before = self.known, self.before
+        split, alone, new = [], [], set()
+        for w in words:
+            ids = before.get(w)
+            if ids is not None:
+                known[w] = ids
+            elif not _LATIN.fullmatch(w):
+                alone.append(w)
+            elif w.isalpha():
+                new.add(w)
+            else:
+                parts = _PART.findall(w)
+                split.append((w, parts))
+                new.update(p for p in parts if p not in known)
+        for p in list(new):
+            ids = before.get(p)
+            if ids is not None:
+                known[p] = ids
+                new.discard(p)
+        if new:
+            self._encode_parts(list(new))
+        for w, parts in split:
+            known[w] = b"".join([known[p] for p in parts])
+        for at in range(0, len(alone), 500):
+            some = alone[at : at + 500]
             for w, e in zip(some, self.codec.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
+                known[w] = np.array(e.ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.LIMIT:
-            self.known.clear()
-        words = [t.split() for t in texts]
-        missing = set().union(*words).difference(self.known)
+            self.known, self.before = {}, self.known
+        words: list[list[str] | None] = []
+        for t in texts:
+            low = t.lower()
+            simple = "<|" not in t and "\u03a3" not in t and not _SEPARATORS.search(t) and (t.isascii() or is_normalized("NFC", t) and is_normalized("NFC", low))
+            words.append(low.split() if simple else None)
+        missing = set().union(*(w for w in words if w is not None)).difference(self.known)
         if missing:
-            self._learn(sorted(missing))
+            self._learn(missing)
         get = self.known.__getitem__
-        out = []
-        for text, own in zip(texts, words, strict=True):
-            if _SEPARATORS.search(text):  # white space to Python, not to the tokenizer
-                out.append(np.array(self.codec.encode(text, add_special_tokens=False).ids, np.uint32))
-            else:
-                out.append(np.frombuffer(b"".join(map(get, own)), np.uint32))
-        return out
+        return [
+            np.array(self.codec.encode(text, add_special_tokens=False).ids, np.uint32) if own is None else np.frombuffer(b"".join(map(get, own)), np.uint32)
+            for text, own in zip(texts, words, strict=True)
+        ]
 
 
 class Index:

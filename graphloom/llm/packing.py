@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import sliced
+from graphloom.llm.shingles import _BYTES, _power, mix
 
 WINDOW = 2048
 END = 1
@@ -33,28 +34,39 @@ SHARD_TOKENS = 1 << 20
 #: Terms of a seed that are looked up, and BM25's constants.
 QUERY_TERMS, K1, B = 16, 1.2, 0.75
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
-#: Words of Latin letters, digits and ASCII signs; no apostrophes, as they begin contractions.
-_LATIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-_PART = re.compile("[^\\W\\d_]+|\\d|(?:[^\\w]|_)+")
+#: Characters of text that are encoded at once.
+CHUNK = 1 << 20
+#: Kinds of bytes: 0 white space, 1 letters (with all of the bytes beyond ASCII), 2 digits, 3 signs.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[32, 9, 10, 11, 12, 13]] = 0
+_KIND[97:123] = _KIND[65:91] = _KIND[128:] = 1
+_KIND[48:58] = 2
+#: Bytes whose words are one part: apostrophes, and what begins characters that aren't Latin letters.
+_ODD = np.zeros(256, bool)
+_ODD[[0x27, 0xC2]] = True
+_ODD[0xC9:] = True
 _PIECE = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
 )
 
 
-class WordEncoder:
-    """Token ids of whole texts, by way of remembered words.
+class PartEncoder:
+    """Token ids of whole texts, by way of remembered parts of words.
 
     The tokenizer lowers and composes a text, and lets no token cross white space or the
-    border of letters and signs. So the ids of a text that is composed already are those
-    of its lower-case words' parts, one after the other. Parts not met before are encoded
-    together by a copy of the tokenizer without its slow steps; each part ends with the
-    one token that carries the end-of-word mark. Whatever could come out otherwise (signs
-    beyond Latin, contractions, special strings, uncomposed text) goes through the
-    tokenizer itself.
+    border of letters, digits and signs. So the ids of a composed text are those of its
+    lower-case parts, one after the other. Parts are found and hashed in numpy over the
+    bytes of many texts, and looked up in two tables of slots; those not met before are
+    encoded together by a copy of the tokenizer without its slow steps, each ending with
+    the one token that carries the end-of-word mark. Words with apostrophes (contractions)
+    or beyond Latin letters are one part and go through the tokenizer itself, as do whole
+    texts that aren't composed or hold special strings or odd separators. Two different
+    parts are taken for one with a chance of about 2**-64.
     """
 
-    #: Words that are remembered at most in each of two generations; words in use stay.
-    LIMIT = 300_000
+    SLOTS = 1 << 20
+    #: Remembered ids at most; then all are forgotten.
+    LIMIT = 8_000_000
 
     def __init__(self, path: str):
         import json
@@ -71,66 +83,132 @@ class WordEncoder:
         vocabulary = self.codec.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def _encode_parts(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 2000):
-            some = parts[at : at + 2000]
-            ids = np.array(self.light.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros((2, self.SLOTS), np.uint64)
+        self.where = np.zeros((2, self.SLOTS), np.int64)
+        self.length = np.zeros((2, self.SLOTS), np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learned(self, parts: list[str], opaque: list[bool]) -> list[np.ndarray]:
+        """The ids of new parts."""
+        out: list = [None] * len(parts)
+        plain = [k for k, o in enumerate(opaque) if not o]
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = np.array(self.light.encode_batch_fast([" ".join([parts[k] for k in some])], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some) or stops[-1] != len(ids):
                 raise ValueError("the tokenizer doesn't end each word with its mark")
-            data, last = ids.tobytes(), 0
-            for part, stop in zip(some, (stops * 4).tolist(), strict=True):
-                self.known[part] = data[last:stop]
+            last = 0
+            for k, stop in zip(some, stops.tolist(), strict=True):
+                out[k] = ids[last:stop]
                 last = stop
-
-    def _learn(self, words: set[str]) -> None:
-        known, before = self.known, self.before
-        split, alone, new = [], [], set()
-        for w in words:
-            ids = before.get(w)
-            if ids is not None:
-                known[w] = ids
-            elif not _LATIN.fullmatch(w):
-                alone.append(w)
-            elif w.isalpha():
-                new.add(w)
-            else:
-                parts = _PART.findall(w)
-                split.append((w, parts))
-                new.update(p for p in parts if p not in known)
-        for p in list(new):
-            ids = before.get(p)
-            if ids is not None:
-                known[p] = ids
-                new.discard(p)
-        if new:
-            self._encode_parts(list(new))
-        for w, parts in split:
-            known[w] = b"".join([known[p] for p in parts])
-        for at in range(0, len(alone), 500):
-            some = alone[at : at + 500]
-            for w, e in zip(some, self.codec.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
+        other = [k for k, o in enumerate(opaque) if o]
+        for at in range(0, len(other), 500):
+            some = other[at : at + 500]
+            for k, e in zip(some, self.codec.encode_batch_fast([parts[k] for k in some], add_special_tokens=False), strict=True):
+                out[k] = np.array(e.ids, np.uint32)
+        return out
+
+    def _remember(self, hashes: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of new parts are kept, and how many they are."""
+        lengths = np.array([len(f) for f in found], np.int64)
+        begins = self.used + np.cumsum(lengths) - lengths
+        need = self.used + int(lengths.sum())
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(need, 2 * len(self.ids)) - self.used, np.uint32)])
+        self.ids[self.used : need] = np.concatenate(found)
+        self.used = need
+        first, second = (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64), (hashes >> np.uint64(44)).astype(np.int64)
+        free = self.keys[0, first] == 0
+        for table, slot, which in ((0, first, free), (1, second, ~free)):
+            self.keys[table, slot[which]] = hashes[which]
+            # of several parts for one slot, the one whose hash is in it has to be the one described
+            mine = which & (self.keys[table, slot] == hashes)
+            self.where[table, slot[mine]] = begins[mine]
+            self.length[table, slot[mine]] = lengths[mine]
+        return begins, lengths
+
+    def _composed(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts in lower case that need no way around."""
+        data = [t.encode("utf-8", "replace") for t in texts]
+        joined = b"\n".join([*data, b""])
+        raw = np.frombuffer(joined, np.uint8)
+        kind = _KIND[raw]
+        word = kind > 0
+        start = word.copy()
+        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        odd = _ODD[raw]
+        odd[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
+        odd_at = np.flatnonzero(odd)
+        opens = None
+        if len(odd_at):
+            first = word.copy()
+            first[1:] &= ~word[:-1]
+            number = np.cumsum(first)  # of each byte's word, from 1
+            whole = np.zeros(int(number[-1]) + 1, bool)
+            whole[number[odd_at]] = True
+            inside = whole[number] & word
+            start &= ~inside | first
+            opens = inside
+        stop = np.empty(len(raw), bool)
+        stop[:-1] = word[:-1] & (~word[1:] | start[1:])
+        stop[-1] = word[-1]
+        starts, stops = np.flatnonzero(start), np.flatnonzero(stop) + 1
+        if not len(starts):
+            return [np.empty(0, np.uint32)] * len(texts)
+        power, inverse = _power(len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTES[raw] * power[: len(raw)], out=sums[1:])
+        hashes = mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64)) | np.uint64(1 << 63)
+        slot = (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        where, length = self.where[0, slot], self.length[0, slot]
+        unknown = np.flatnonzero(self.keys[0, slot] != hashes)
+        slot = (hashes[unknown] >> np.uint64(44)).astype(np.int64)
+        where[unknown], length[unknown] = self.where[1, slot], self.length[1, slot]
+        unknown = unknown[self.keys[1, slot] != hashes[unknown]]
+        if len(unknown):
+            new, example, back = np.unique(hashes[unknown], return_index=True, return_inverse=True)
+            at = unknown[example]
+            parts = [joined[a:b].decode() for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]
+            opaque = opens[starts[at]].tolist() if opens is not None else [False] * len(at)
+            begins, lengths = self._remember(new, self._learned(parts, opaque))
+            where[unknown], length[unknown] = begins[back], lengths[back]
+        ends = np.cumsum(length.astype(np.int64))
+        tokens = self.ids[np.repeat(where - (ends - length), length) + np.arange(ends[-1])]
+        bounds = np.cumsum([len(d) + 1 for d in data])[:-1]
+        return np.split(tokens, np.append(0, ends)[np.searchsorted(starts, bounds)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.LIMIT:
-            self.known, self.before = {}, self.known
-        words: list[list[str] | None] = []
-        for t in texts:
+        if self.used > self.LIMIT:
+            self._forget()
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        whose, waiting, size = [], [], 0
+
+        def done():
+            for k, ids in zip(whose, self._composed(waiting), strict=True):
+                out[k].append(ids)
+
+        for k, t in enumerate(texts):
             low = t.lower()
-            simple = "<|" not in t and "\u03a3" not in t and not _SEPARATORS.search(t) and (t.isascii() or is_normalized("NFC", t) and is_normalized("NFC", low))
-            words.append(low.split() if simple else None)
-        missing = set().union(*(w for w in words if w is not None)).difference(self.known)
-        if missing:
-            self._learn(missing)
-        get = self.known.__getitem__
-        return [
-            np.array(self.codec.encode(text, add_special_tokens=False).ids, np.uint32) if own is None else np.frombuffer(b"".join(map(get, own)), np.uint32)
-            for text, own in zip(texts, words, strict=True)
-        ]
+            if "<|" in t or "\u03a3" in t or _SEPARATORS.search(t) or not (t.isascii() or is_normalized("NFC", t) and is_normalized("NFC", low)):
+                out[k].append(np.array(self.codec.encode(t, add_special_tokens=False).ids, np.uint32))
+                continue
+            at = 0
+            while at < len(low):  # long texts are cut at spaces, which no token crosses
+                to = len(low) if len(low) - at <= CHUNK else (low.find(" ", at + CHUNK) + 1 or len(low))
+                whose.append(k)
+                waiting.append(low[at:to])
+                size += to - at
+                at = to
+                if size >= CHUNK:
+                    done()
+                    whose, waiting, size = [], [], 0
+        if waiting:
+            done()
+        return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.empty(0, np.uint32) for x in out]
 
 
 class Index:
@@ -216,7 +294,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
         import public_tokenizers
         from pyspark import TaskContext
 
-        encoder = WordEncoder(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+        encoder = PartEncoder(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
         sequence = TaskContext.get().partitionId() << 33
         held: list[tuple] = []  # (doc_id, tokens before, tokens of the document, ids)
 
@@ -233,7 +311,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, _PIECE.types, strict=True)], schema=_PIECE)
 
         size = 0
-        for batch in sliced(batches, 128):
+        for batch in sliced(batches, 256):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids = np.append(ids, np.uint32(end))
                 held.append((doc_id, 0, len(ids), ids))

@@ -396,10 +396,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their component's smallest; each doc_id once."""
     kept = jaccard_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.join(kept, F.col("doc_id") == F.col("_id"))
-    one = Window.partitionBy("_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    return joined.withColumn("_row", F.row_number().over(one)).filter("_row = 1").select(*columns)
+    rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).join(kept, "_id")
+    one = F.row_number().over(Window.partitionBy("_id").orderBy("_row"))
+    return rows.withColumn("_nth", one).filter("_nth = 1").select("_row.*")
 
 
 #: The same by brute force in DuckDB's SQL.

@@ -157,12 +157,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     copies = counts.select(
         F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.expr("cast(floor((2 * taken + size * rows) / (2 * size * rows)) as int)").alias("_copies")
     ).filter("_copies > 0")
-    kept = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.expr(N_WORDS).alias("_n"))
     return (
-        docs.withColumn("_n", F.expr(N_WORDS))
-        .join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
-        .select(*kept, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy"))
-        .select(*kept)
+        rows.join(copies, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
+        .select("_row", F.explode(F.sequence(F.lit(1), "_copies")))
+        .select("_row.*")
     )
 
 

@@ -11,7 +11,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.functions.columns import blank, import_targets, looks_like_entry, receiver_matches, without_code_ending
 from graphloom.operators.traverse import bfs
@@ -45,10 +44,10 @@ class Graph:
         return self.nodes.filter("type = 'Entity'")
 
     def resolve(self, name: str) -> DataFrame:
-        """(id, file, node_seq, place) of the entities that a bare or qualified name means.
+        """(id, file, node_seq) of the entities that a bare or qualified name means.
 
         A qualified name means the ones owned by the class, else those in a file that
-        defines it, else all of the name. ``place`` orders them: those with a file first.
+        defines it, else all of the name.
         """
         qualifier, _, last = name.rpartition(".")
         named = self.entities().filter(F.lower(blank(F.col("name"))) == last.lower()).select("id", "file", "owner", "node_seq")
@@ -57,9 +56,13 @@ class Graph:
             homes = homes.select("file").distinct().withColumn("at_home", F.lit(True))
             tier = F.when(F.lower("owner") == qualifier.lower(), 0).when(F.col("at_home"), 1).otherwise(2)
             tiered = named.join(homes, "file", "left").withColumn("tier", tier)
-            named = tiered.withColumn("best", F.min("tier").over(Window.partitionBy())).filter("tier = best")
-        first = F.row_number().over(Window.orderBy(F.col("file").isNull(), "node_seq"))
-        return named.select("id", "file", "node_seq").withColumn("place", first)
+            best = tiered.agg(F.min("tier").alias("tier"))
+            named = tiered.join(F.broadcast(best), "tier")  # one row
+        return named.select("id", "file", "node_seq")
+
+    def first(self, name: str) -> DataFrame:
+        """(id) of the first entity of a name; those with a file go first."""
+        return self.resolve(name).orderBy(F.col("file").isNull(), "node_seq").limit(1).select("id")
 
     def impact(self, name: str, max_hops: int = HOPS) -> DataFrame:
         """Everything that calls, uses or refers to ``name``, directly or not.
@@ -151,7 +154,7 @@ class Graph:
 
     def trace(self, start: str, max_hops: int = HOPS) -> DataFrame:
         """The calls that follow from the first entity of a name."""
-        first = self.resolve(start).filter("place = 1").select("id")
+        first = self.first(start)
         of_entities = self.entities().select("id")
         reached = bfs(self._typed(("CALLS",)), first, max_hops, reach=lambda near: near.join(of_entities, "id", "left_semi")).filter("depth > 0")
         facts = self.nodes.select("id", "name", "entity_type", "file", "line", "description")
@@ -167,7 +170,7 @@ class Graph:
         Edges are those out of nodes short of the last hop, one for each pair of nodes,
         also back to nodes that were reached before.
         """
-        first = self.resolve(start).filter("place = 1").select("id")
+        first = self.first(start)
         inside = self.entities() if include_external else self.entities().filter(blank(F.col("file")) != "")
         edges = self._typed(edge_types)
         reached = bfs(edges, first, max_hops, reach=lambda near: near.join(inside.select("id"), "id", "left_semi"))

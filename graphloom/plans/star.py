@@ -36,7 +36,7 @@ def _key(letter: str, column: str) -> Column:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(n_nationkey, n_name, r_regionkey, r_name, path) of every nation."""
+    """(n_nationkey, n_name, r_regionkey, r_name, path) of every nation; regions are five rows at any scale."""
     region, nation = tables(spark, sf_dir, "region", "nation")
     return nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).withColumn("path", F.concat_ws("/", "r_name", "n_name"))
 
@@ -76,7 +76,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter("c_nationkey <> s_nationkey")
         .select("c_nationkey", "s_nationkey")
         .distinct()
-        .join(F.broadcast(path), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(F.broadcast(path), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows at any scale
     )
     parts = [
         _rows(nation, _EDGE, src=_key("r", "r_regionkey"), dst=_key("n", "n_nationkey"), type="CONTAINS", edge_seq=F.col("n_nationkey")),

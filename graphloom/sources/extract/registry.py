@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.schemas import LANGUAGES, TRIPLES
+from graphloom.scratch import written
 from graphloom.sources import ignore
 from graphloom.sources.extract import javascript, php, python, style
 from graphloom.sources.extract.base import Relation
@@ -53,9 +54,20 @@ def extract(files: DataFrame, parser=parse) -> DataFrame:
                     out.append((rank * _PLACES + k, r.from_entity, r.from_type, r.relation_type, r.to_entity, r.to_type, path, r.line_number, r.call_receiver, r.call_receiver_type, r.is_exported, r.owner_class))
             yield pd.DataFrame(out, columns=columns)
 
-    # ranks come from paths alone; contents don't pass through the sort
-    ranks = files.select("path").distinct().withColumn("rank", F.row_number().over(Window.orderBy("path")).cast("bigint"))
-    return files.join(ranks, "path").select("rank", "path", "content").mapInPandas(run, TRIPLES)
+    return files.join(ranked(files.select("path").distinct()), "path").select("rank", "path", "content").mapInPandas(run, TRIPLES)
+
+
+def ranked(paths: DataFrame) -> DataFrame:
+    """(path, rank): the place of each path in their order.
+
+    Paths are dealt out by range; each range is ranked alone, after the counted rows of
+    the ranges before it. Only that table, a row for each range, is ranked as one.
+    """
+    dealt = written(paths.repartitionByRange("path").select("path", F.spark_partition_id().alias("part")), "paths")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("path"))
+    return dealt.join(sizes, "part").select("path", (F.col("before") + inside).cast("bigint").alias("rank"))
 
 
 def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, skip=ignore.SKIPPED) -> DataFrame:

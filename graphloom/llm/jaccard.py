@@ -343,8 +343,8 @@ def _led_pairs(led: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
         .withColumn("component", F.coalesce("component", "member"))
     )
     groups = known.groupBy("leader").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
-    split = groups.select("leader", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks"))
-    own = known.join(split, "leader").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    split = written(groups.select("leader", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks")), "groups")
+    own = known.join(_few(split), "leader").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     own = own.select(
         "leader", "member", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),

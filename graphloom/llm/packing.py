@@ -17,6 +17,7 @@ table are none. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import cached_property
 from unicodedata import is_normalized
 
 import numpy as np
@@ -66,25 +67,32 @@ class PartEncoder:
 
     SLOTS = 1 << 20
     #: Remembered ids at most; then all are forgotten.
-    LIMIT = 8_000_000
+    LIMIT = 4_000_000
 
     def __init__(self, path: str):
         import json
 
         from tokenizers import Tokenizer
 
-        self.codec = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         byte_level = described["pre_tokenizer"]["pretokenizers"][-1]
         described["normalizer"] = None
         described["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}
         self.light = Tokenizer.from_str(json.dumps(described))
-        vocabulary = self.codec.get_vocab()
+        vocabulary = described["model"]["vocab"]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
 
+    @cached_property
+    def codec(self):
+        """The tokenizer itself, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _forget(self) -> None:
         self.keys = np.zeros((2, self.SLOTS), np.uint64)
         self.where = np.zeros((2, self.SLOTS), np.int64)

@@ -159,7 +159,7 @@ class Field:
                 leave = max(0.0, (self.move[1:, 0] - self.move[0, 0]).max())
                 self.rows.append(row)
                 self.plain.append(bool((row[1:] - row[0] + enter).max() + leave < 0))
-            if len(self.known) > 300_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             self.known[word] = k
         return k

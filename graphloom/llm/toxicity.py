@@ -148,7 +148,7 @@ class Lexicon:
     def hits(self, words: set[str]) -> dict[str, tuple[int, int]]:
         """The words near a term; words are looked up once and remembered, within a bound."""
         known, out = self.known, {}
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         for w in words:
             try:

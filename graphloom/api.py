@@ -13,6 +13,7 @@ from graphloom.sources.context import with_context
 from graphloom.sources.extract.registry import extract, scan
 from graphloom.sources.hierarchy import hierarchy
 from graphloom.sources.store import GraphStore
+from graphloom.streaming.watch import watch
 
 
 class Repository:
@@ -29,12 +30,15 @@ class Repository:
         ``normalize`` may rewrite the triples. Without any triple the old graph stays.
         """
         files = scan(self.spark, self.root, patterns, skip)
-        triples = written(extract(files), "triples")
+        triples = extract(files)
+        return self._publish(normalize(triples) if normalize else triples, files.select("path"))
+
+    def _publish(self, triples: DataFrame, paths: DataFrame) -> dict:
+        triples = written(triples, "triples")
         count = triples.count()
         if not count:
             return {"status": "abandoned", "triples": 0}
-        triples = normalize(triples) if normalize else triples
-        tree_nodes, tree_edges = hierarchy(files.select("path"), self.project)
+        tree_nodes, tree_edges = hierarchy(paths, self.project)
         ids = tree_nodes.filter("type = 'File'").select("id", "path")
         nodes, edges = mutate.graph_of(triples, self.project, ids)
         stamp = F.current_timestamp()
@@ -49,7 +53,22 @@ class Repository:
         if self.store.version():
             new = written(mutate.rebuilt_nodes(_like(old.nodes, new), new, ids), "nodes")
             all_edges = mutate.rebuilt_edges(_like(old.edges, all_edges), all_edges, new)
-        return {"status": "published", "triples": count, "version": self.store.publish(new, all_edges)}
+        return {"status": "published", "triples": count, "version": self.store.publish(new, all_edges, triples)}
+
+    def apply(self, changed: DataFrame, deleted: DataFrame) -> dict:
+        """Publishes the graph after changes of files: only changed ones are parsed, then all is resolved anew."""
+        touched = changed.select("path").unionByName(deleted.select("path")).distinct()
+        files = scan(self.spark, self.root)
+        fresh = extract(files.join(changed.select("path").distinct(), "path", "left_semi"))
+        old = self.store.triples()
+        kept = old.join(touched.withColumnRenamed("path", "source_file"), "source_file", "left_anti").select(*old.columns)
+        last = kept.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("last"))
+        fresh = fresh.join(F.broadcast(last)).withColumn("seq", F.col("seq") + F.col("last")).select(*old.columns)  # one row
+        return self._publish(kept.unionByName(fresh), files.select("path"))
+
+    def watch(self, events: DataFrame, checkpoint: str, patterns: list[str] | None = None):
+        """Follows a stream of file events; a batch of them publishes one version."""
+        return watch(events, self.apply, checkpoint, patterns)
 
     def index(self) -> int:
         """Embeds all entities anew; the number of them."""

@@ -43,6 +43,16 @@ class Graph:
     def entities(self) -> DataFrame:
         return self.nodes.filter("type = 'Entity'")
 
+    def files(self) -> DataFrame:
+        """(id, path) of the file nodes."""
+        return self.nodes.filter("type = 'File'").select("id", "path")
+
+    def covers(self, path: str) -> bool:
+        """Whether a path is the root, an indexed file, or a folder with one; case doesn't count."""
+        wanted = path.strip("/").lower()
+        low = F.lower("path")
+        return wanted in ("", ".") or bool(self.files().filter((low == wanted) | low.startswith(wanted + "/")).limit(1).count())
+
     def resolve(self, name: str) -> DataFrame:
         """(id, file, node_seq) of the entities that a bare or qualified name means.
 

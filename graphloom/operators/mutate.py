@@ -186,3 +186,45 @@ def deleted_entity(graph, node_id: str) -> tuple[str, DataFrame, DataFrame]:
         return "removed", graph.nodes.filter(F.col("id") != node_id), graph.edges.filter(~touches)
     left = graph.edges.filter(~(touches & F.coalesce(F.col("agent_inferred"), F.lit(False)))) if "agent_inferred" in graph.edges.columns else graph.edges
     return "stripped", graph.nodes.withColumn("description", F.when(F.col("id") != node_id, F.col("description"))), left
+
+
+def removed_calls(graph, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((caller, callee, relation, status), edges left) for edges to remove by names.
+
+    Only edges that agents made go: ``removed``, ``not_found`` if there is none, and
+    ``ambiguous`` or ``skipped`` for ends of several names or of none.
+    """
+    entities = graph.entities().select("id", "name")
+    made = graph.edges.filter("agent_inferred").select(F.col("src").alias("caller_id"), F.col("dst").alias("callee_id"), "type", F.lit(True).alias("there")).distinct()
+    rows = asked.withColumn("type", relation_name(F.col("relation"))).join(_by_name(entities, "caller"), "caller", "left").join(_by_name(entities, "callee"), "callee", "left")
+    rows = rows.join(made, ["caller_id", "callee_id", "type"], "left")
+    status = (
+        F.when(F.col("type").isNull() | F.col("n_caller").isNull() | F.col("n_callee").isNull(), "skipped")
+        .when((F.col("n_caller") > 1) | (F.col("n_callee") > 1), "ambiguous")
+        .when(F.col("there"), "removed")
+        .otherwise("not_found")
+    )
+    told = rows.select("caller", "callee", "relation", status.alias("status"), F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"), "type")
+    gone = told.filter("status = 'removed'").select("src", "dst", "type").distinct()
+    agents = graph.edges.filter("agent_inferred").join(gone, ["src", "dst", "type"], "left_anti").select(*graph.edges.columns)
+    return told, graph.edges.filter("not coalesce(agent_inferred, false)").unionByName(agents)
+
+
+def modified_relation(edges: DataFrame, src: str, dst: str, to: str, from_relation: str | None = None) -> tuple[str, DataFrame]:
+    """(status, edges): one relation of a pair gets another type, which then overrides the parser's.
+
+    Without ``from_relation`` the pair must have a single type, else it is ambiguous.
+    """
+    pair = (F.col("src") == src) & (F.col("dst") == dst)
+    types = sorted(r["type"] for r in edges.filter(pair).select("type").distinct().collect())
+    new = edges.sparkSession.range(1).select(relation_name(F.lit(to)).alias("t")).first()["t"]
+    old = from_relation or (types[0] if len(types) == 1 else None)
+    if new is None:
+        return "skipped", edges
+    if not types or (from_relation and from_relation not in types):
+        return "not_found", edges
+    if old is None:
+        return "ambiguous", edges
+    chosen = pair & (F.col("type") == old)
+    said = {c: F.when(chosen, True).otherwise(F.col(c)) for c in ("agent_relation", "agent_inferred")}
+    return "modified", edges.withColumns(said).withColumn("type", F.when(chosen, new).otherwise(F.col("type")))

@@ -34,8 +34,11 @@ class GraphStore:
             return None
         return self.spark.read.text(f"{self.root}/current").first()[0]
 
-    def publish(self, nodes: DataFrame, edges: DataFrame) -> str:
-        """Writes a new version and moves the pointer to it; a graph without nodes is not published."""
+    def publish(self, nodes: DataFrame, edges: DataFrame, triples: DataFrame | None = None) -> str:
+        """Writes a new version and moves the pointer to it; a graph without nodes is not published.
+
+        The triples it was made of go along, so that a change of few files parses only those.
+        """
         name = uuid.uuid4().hex
         at = f"{self.root}/v-{name}"
         nodes.write.parquet(f"{at}/nodes")
@@ -44,6 +47,7 @@ class GraphStore:
             fs.delete(p, True)
             raise ValueError("an empty graph is not published")
         edges.write.partitionBy("type").parquet(f"{at}/edges")
+        (self.triples() if triples is None else triples).write.parquet(f"{at}/triples")
         self.spark.range(1).select(F.lit(name)).coalesce(1).write.text(f"{self.root}/next-{name}")
         fs, new = self._fs(f"{self.root}/next-{name}")
         current = self._fs(f"{self.root}/current")[1]
@@ -59,6 +63,11 @@ class GraphStore:
         at = f"{self.root}/v-{name}"
         return Graph(self.spark.read.parquet(f"{at}/nodes"), self.spark.read.parquet(f"{at}/edges"), self.project)
 
+    def triples(self) -> DataFrame:
+        """The triples of the published graph."""
+        name = self.version()
+        return self.spark.createDataFrame([], TRIPLES) if name is None else self.spark.read.schema(TRIPLES).parquet(f"{self.root}/v-{name}/triples")
+
     def write_files(self, path: str) -> None:
         """The sorted paths of the files, one a line."""
         files = self.graph().nodes.filter("type = 'File'").select("path").distinct()

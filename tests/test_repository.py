@@ -64,6 +64,46 @@ def test_rebuild_keeps_descriptions_and_a_failed_one_changes_nothing(repo, tmp_p
     assert repo.ingest()["status"] == "abandoned" and repo.store.version() == kept
 
 
+def test_watch_follows_files(repo, tmp_path, spark):
+    import datetime as dt
+
+    from graphloom.schemas import EVENTS
+
+    repo.ingest()
+    assert repo.store.graph().covers("") and repo.store.graph().covers("B.py") and not repo.store.graph().covers("c")
+    (tmp_path / "src" / "b.py").unlink()
+    (tmp_path / "src" / "c.py").write_text("def newly():\n    first()\n")
+    rows = [(1, dt.datetime(2024, 1, 1), "deleted", "b.py", None), (2, dt.datetime(2024, 1, 1), "created", "c.py", None)]
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "events"))
+    repo.watch(stream, str(tmp_path / "cp")).awaitTermination(120)
+    g = repo.store.graph()
+    assert {r["path"] for r in g.files().collect()} == {"a.py", "c.py"} and g.nodes.filter("name = 'use_it'").count() == 0
+    assert {r["caller_name"] for r in g.impact("first", 1).collect()} == {"entry", "newly"}
+
+
+def test_agents_edges_can_be_removed_and_retyped(repo, spark):
+    repo.ingest()
+    g = repo.store.graph()
+    ids = {r["name"]: r["id"] for r in g.entities().filter("file is not null").collect()}
+    own = spark.createDataFrame([(ids["use_it"], ids["second"], "CALLS", True)], "src string, dst string, type string, agent_inferred boolean")
+    edges = g.edges.unionByName(own, allowMissingColumns=True)
+    from graphloom.operators import mutate
+    from graphloom.operators.graph import Graph
+
+    asked = spark.createDataFrame([("use_it", "second", "calls"), ("use_it", "first", "CALLS"), ("nobody", "first", "CALLS")], "caller string, callee string, relation string")
+    told, left = mutate.removed_calls(Graph(g.nodes, edges, "demo"), asked)
+    assert {r["callee"] + r["caller"]: r["status"] for r in told.collect()} == {"seconduse_it": "removed", "firstuse_it": "not_found", "firstnobody": "skipped"}
+    assert left.count() == edges.count() - 1
+    status, changed = mutate.modified_relation(g.edges, ids["entry"], ids["first"], "registers")
+    assert status == "modified" and changed.filter("agent_relation and type = 'REGISTERS'").count() == 1
+    assert mutate.modified_relation(g.edges, "x", "y", "A")[0] == "not_found" and mutate.modified_relation(g.edges, ids["entry"], ids["first"], "CONTAINS")[0] == "skipped"
+    repo.store.publish(g.nodes, changed)
+    repo.ingest()
+    pair = repo.store.graph().edges.filter((F.col("src") == ids["entry"]) & (F.col("dst") == ids["first"]))
+    assert [r["type"] for r in pair.select("type").collect()] == ["REGISTERS"]
+
+
 def test_pictures():
     nodes = [{"id": "p:a", "name": 'a"b', "kind": "function:python", "file": "a.py", "depth": 0}, {"id": "p:b", "name": "b", "kind": "class", "file": "a.py", "depth": 1}]
     edges = [{"from": "p:a", "to": "p:b", "type": "CALLS", "file": "a.py", "line": 3}, {"from": "p:a", "to": "p:a", "type": "CALLS", "file": "a.py", "line": None}]

@@ -31,11 +31,15 @@ def _first(value: Column | str, order: str = "edge_seq") -> Column:
 
 @dataclass(frozen=True)
 class Graph:
-    """A project's node and edge tables."""
+    """A project's node and edge tables; ``derived``: whether they are computed rather than read."""
 
     nodes: DataFrame
     edges: DataFrame
     project: str
+    derived: bool = False
+
+    def _bfs(self, edges: DataFrame, seeds: DataFrame, max_hops: int, **how) -> DataFrame:
+        return bfs(edges, seeds, max_hops, derived=self.derived, **how)
 
     def _typed(self, types) -> DataFrame:
         return self.edges.filter(F.col("type").isin(*types))
@@ -85,7 +89,7 @@ class Graph:
         targets = written(self.resolve(name).select("id"), "targets")
         fits = F.coalesce(receiver_matches(qualifier, F.col("receiver"), F.col("receiver_type")), F.lit(False)) if qualifier else None
         of_entities = self.entities().select("id")
-        reached = bfs(edges, targets, max_hops, reverse=True, first_hop=fits, reach=lambda near: near.join(of_entities, "id", "left_semi"))
+        reached = self._bfs(edges, targets, max_hops, reverse=True, first_hop=fits, reach=lambda near: near.join(of_entities, "id", "left_semi"))
         found = self._callers(reached.filter("depth > 0"), edges, F.lit(True))
         if qualifier:
             bucket = f"{self.project}:{last}"
@@ -145,7 +149,7 @@ class Graph:
         """What a file imports, directly or through what it contains and imports."""
         edges = self._typed(("CONTAINS", "IMPORTS"))
         start = self.nodes.filter((F.col("type") == "File") & (F.col("path") == file_path)).orderBy("node_seq").limit(1).select("id")
-        reached = bfs(edges, start, max_hops).filter("depth > 0")
+        reached = self._bfs(edges, start, max_hops).filter("depth > 0")
         imported = edges.filter("type = 'IMPORTS'").select(F.col("src").alias("via"), F.col("dst").alias("id")).distinct()
         facts = self.nodes.select("id", "type", "name", "path", "entity_type", "line", "description")
         return (
@@ -166,7 +170,7 @@ class Graph:
         """The calls that follow from the first entity of a name."""
         first = self.first(start)
         of_entities = self.entities().select("id")
-        reached = bfs(self._typed(("CALLS",)), first, max_hops, reach=lambda near: near.join(of_entities, "id", "left_semi")).filter("depth > 0")
+        reached = self._bfs(self._typed(("CALLS",)), first, max_hops, reach=lambda near: near.join(of_entities, "id", "left_semi")).filter("depth > 0")
         facts = self.nodes.select("id", "name", "entity_type", "file", "line", "description")
         return (
             reached.join(facts, "id")
@@ -183,7 +187,7 @@ class Graph:
         first = self.first(start)
         inside = self.entities() if include_external else self.entities().filter(blank(F.col("file")) != "")
         edges = self._typed(edge_types)
-        reached = bfs(edges, first, max_hops, reach=lambda near: near.join(inside.select("id"), "id", "left_semi"))
+        reached = self._bfs(edges, first, max_hops, reach=lambda near: near.join(inside.select("id"), "id", "left_semi"))
         facts = self.nodes.select("id", "name", "kind", blank(F.col("description")).alias("description"), "file", "line")
         flow_nodes = reached.select("id", "depth").join(facts, "id").select("id", "name", "kind", "description", "file", "line", "depth")
         out = edges.join(reached.filter(F.col("depth") < max_hops).select(F.col("id").alias("src")), "src").join(inside.select(F.col("id").alias("dst")), "dst", "left_semi")
@@ -198,7 +202,7 @@ class Graph:
         roots = self.nodes.filter("type = 'Project'").select("id")
         if not roots.limit(1).count():
             roots = self.nodes.filter("type = 'Folder' and path not like '%/%'").select("id")
-        reached = bfs(edges, roots, max_depth)
+        reached = self._bfs(edges, roots, max_depth)
         facts = self.nodes.select("id", F.col("type").alias("node_type"), "name", "path")
         below = edges.join(reached.select(F.col("id").alias("src"), "depth"), "src").join(facts, F.col("dst") == facts.id)
         return below.select("node_type", "name", "path", (F.col("depth") + 1).alias("depth")).orderBy("depth", blank(F.col("path")), "name")
@@ -243,7 +247,7 @@ class Graph:
             starts, own = entities.select("id"), entities.filter(blank(F.col("file")) != "").select("file").distinct()
         own = written(own, "own-files")
         edges = self._typed(DEPENDENTS)
-        reached = bfs(edges, starts, max_hops, reverse=True).filter("depth > 0")
+        reached = self._bfs(edges, starts, max_hops, reverse=True).filter("depth > 0")
         with_type = edges.join(reached, (edges.src == reached.id) & (edges.dst == reached.via)).groupBy("id", "depth").agg(F.min("type").alias("edge_type"))
         files = with_type.join(self.entities().filter(blank(F.col("file")) != "").select("id", "file"), "id").join(own, "file", "left_anti")
         first = files.groupBy("file").agg(F.min(F.struct("depth", "edge_type")).alias("s")).select("file", F.col("s.edge_type").alias("edge_type"), F.col("s.depth").alias("hops"))

@@ -1,9 +1,11 @@
 """Breadth-first traversal as a loop of frontier joins.
 
-Each hop joins the edges with the frontier, leaves out what was reached before, and is
-written to the shared folder, so the plan never grows with the hops. A frontier or a
-visited set is broadcast only while its counted rows are few; beyond that the joins
-shuffle. Work is bounded by nodes and edges, not by paths, also in cyclic graphs.
+Each hop joins the edges with the frontier and leaves out what was reached before. Its
+rows are kept while the loop runs, and made again if an executor is lost; the result is
+written to the shared folder, as is what was reached after every few hops, so plans
+don't grow with the hops. A frontier or a visited set is broadcast only while its
+counted rows are few; beyond that the joins shuffle. Work is bounded by nodes and edges,
+not by paths, also in cyclic graphs.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from graphloom.scratch import written
 
 #: Rows of ids that are broadcast at most (about 50 bytes each).
 BROADCAST_ROWS = 200_000
+#: Hops after which what was reached is written, and rows in a file of the result.
+HOPS_HELD, FILE_ROWS = 6, 500_000
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -31,27 +35,39 @@ def bfs(
     reverse: bool = False,
     first_hop: Column | None = None,
     reach: Callable[[DataFrame], DataFrame] | None = None,
+    derived: bool = False,
 ) -> DataFrame:
     """(id, depth, via) of all that is reached from ``seeds`` (id) in at most ``max_hops``.
 
     ``via`` is the node it was first reached from, the smallest of equals, null for
     seeds. ``first_hop`` filters the edges of hop one; ``reach`` filters the (id, via)
-    rows of each hop before they count as reached.
+    rows of each hop before they count as reached. ``derived`` says that the edges are
+    computed rather than read, so that their pairs are kept for the hops to come.
     """
     here, there = ("dst", "src") if reverse else ("src", "dst")
-    frontier = written(seeds.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")), "bfs")
-    visited, n_visited = frontier, frontier.count()
-    n_frontier = n_visited
+    pairs = edges.select("src", "dst").persist() if derived else edges
+    kept = [pairs] if derived else []
+
+    def held(df: DataFrame) -> tuple[DataFrame, int]:
+        kept.append(df.persist())
+        return kept[-1], kept[-1].count()
+
+    frontier, n_frontier = held(seeds.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")))
+    visited, n_visited = frontier, n_frontier
     for hop in range(1, max_hops + 1):
         if not n_frontier:
             break
-        usable = edges.filter(first_hop) if hop == 1 and first_hop is not None else edges
+        usable = edges.filter(first_hop) if hop == 1 and first_hop is not None else pairs
         near = usable.join(small(frontier.select(F.col("id").alias(here)), n_frontier), here).groupBy(F.col(there).alias("id")).agg(F.min(here).alias("via"))
         if reach is not None:
             near = reach(near)
         new = near.join(small(visited.select("id"), n_visited), "id", "left_anti").select("id", F.lit(hop).alias("depth"), "via")
-        frontier = written(new, "bfs")
-        n_frontier = frontier.count()
-        n_visited += n_frontier
-        visited = visited.unionByName(frontier)
-    return visited
+        frontier, n_frontier = held(new)
+        visited, n_visited = visited.unionByName(frontier), n_visited + n_frontier
+        if hop % HOPS_HELD == 0:
+            visited = written(visited, "bfs")
+            frontier = visited.filter(F.col("depth") == hop)
+    out = written(visited.coalesce(1 + n_visited // FILE_ROWS), "bfs")
+    for df in kept:
+        df.unpersist()
+    return out

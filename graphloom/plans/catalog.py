@@ -56,7 +56,7 @@ _ENT = "select id from nodes where type = 'Entity'"
 def impact_part(spark, sf_dir):
     """What reaches a part by calls and references in three hops (flagship)."""
     edges = star.edges(spark, sf_dir).filter(F.col("type").isin("CALLS", "USES_VAR", "REFERENCES"))
-    return bfs(edges, spark.createDataFrame([("p42",)], "id string"), 3, reverse=True).select(F.col("id").alias("node"), "depth")
+    return bfs(edges, spark.createDataFrame([("p42",)], "id string"), 3, reverse=True, derived=True).select(F.col("id").alias("node"), "depth")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,7 +95,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(nodes(spark, sf_dir), edges(spark, sf_dir), "star")
+    return Graph(nodes(spark, sf_dir), edges(spark, sf_dir), "star", derived=True)
 
 
 #: The encoding as common table expressions for DuckDB: f (files), nodes and edges.

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import sliced
+from graphloom.llm.common import sliced, written
 
 MIN_SHARED_BYTES = 1000
 SEGMENT_BYTES = 32 << 10
@@ -140,7 +140,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_SHARED_BYTES, broadcast
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     keyed = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.length("payload"))
     copies = keyed.filter(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("digest", "bytes", "keeper")
-    copies = copies.persist()
+    copies = written(copies, "warc-copies")
     if copies.limit(broadcast_rows + 1).count() <= broadcast_rows:
         joined = keyed.join(F.broadcast(copies), ["digest", "bytes"], "left")
     else:

@@ -55,7 +55,7 @@ _ENT = "select id from nodes where type = 'Entity'"
 @query(f"with recursive {star.SQL}, {_walk("select 'p42' as id", _CALLS, 3, True)} select node, depth from r")
 def impact_part(spark, sf_dir):
     """What reaches a part by calls and references in three hops (flagship)."""
-    edges = star.edges(spark, sf_dir).filter(F.col("type").isin("CALLS", "USES_VAR", "REFERENCES"))
+    edges = star.edges(spark, sf_dir, ("CALLS", "REFERENCES"), receivers=False)
     return bfs(edges, spark.createDataFrame([("p42",)], "id string"), 3, reverse=True, derived=True).select(F.col("id").alias("node"), "depth")
 
 

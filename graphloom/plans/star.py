@@ -7,7 +7,9 @@ follow the keys; ``SQL`` holds the same encoding for DuckDB.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import Graph
@@ -22,19 +24,15 @@ _EDGE = {
 }
 
 
-def _rows(df: DataFrame, kinds: dict[str, str], **given: Column | str) -> DataFrame:
-    value = lambda v: F.lit(v) if isinstance(v, str) else v
-    return df.select(*[(value(given[k]) if k in given else F.lit(None)).cast(t).alias(k) for k, t in kinds.items()])
+def _rows(df: DataFrame, kinds: dict[str, str], **given: str) -> DataFrame:
+    """The given SQL expressions as columns of ``kinds``; the rest is null."""
+    return df.selectExpr(*[f"cast({given.get(k, 'null')} as {t}) as {k}" for k, t in kinds.items()])
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
 
 
-def _key(letter: str, column: str) -> Column:
-    return F.concat(F.lit(letter), F.col(column).cast("string"))
-
-
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(n_nationkey, n_name, r_regionkey, r_name, path) of every nation; regions are five rows at any scale."""
     region, nation = tables(spark, sf_dir, "region", "nation")
@@ -48,50 +46,62 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     owned = customer.join(path, customer.c_nationkey == path.n_nationkey)
     supply = supplier.join(path, supplier.s_nationkey == path.n_nationkey)
     called = orders.join(owned, orders.o_custkey == owned.c_custkey)
-    entity = {"type": "Entity", "project": "star"}
-    parts = [
-        _rows(region, _NODE, id=_key("r", "r_regionkey"), type="Folder", name=F.col("r_name"), path=F.col("r_name"), project="star", node_seq=F.col("r_regionkey")),
-        _rows(nation, _NODE, id=_key("n", "n_nationkey"), type="File", name=F.col("n_name"), path=F.col("path"), project="star", node_seq=100 + F.col("n_nationkey")),
-        _rows(owned, _NODE, **entity, id=_key("c", "c_custkey"), name=F.col("c_name"), entity_type="class", kind="class:sql", file=F.col("path"), description=F.col("c_mktsegment"), node_seq=10_000_000_000 + F.col("c_custkey")),
-        _rows(supply, _NODE, **entity, id=_key("s", "s_suppkey"), name=F.col("s_name"), entity_type="class", kind="class:sql", file=F.col("path"), node_seq=20_000_000_000 + F.col("s_suppkey")),
-        _rows(called, _NODE, **entity, id=_key("o", "o_orderkey"), name=_key("order_", "o_orderkey"), entity_type="function", kind="function:sql", file=F.col("path"), owner=F.col("c_name"), line=(F.col("o_orderkey") % 1000).cast("int"), is_exported=F.col("o_orderstatus") == "O", description=F.col("o_orderpriority"), node_seq=30_000_000_000 + F.col("o_orderkey")),
-        _rows(part, _NODE, **entity, id=_key("p", "p_partkey"), name=F.col("p_name"), entity_type="class", kind="class:unknown", description=F.col("p_type"), node_seq=40_000_000_000 + F.col("p_partkey")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    region, customer, supplier, orders, lineitem, part = tables(spark, sf_dir, "region", "customer", "supplier", "orders", "lineitem", "part")
-    nation = files(spark, sf_dir)
-    path = nation.select("n_nationkey", "path", "n_name")
-    supply = supplier.join(path, supplier.s_nationkey == path.n_nationkey)
-    lines = lineitem.join(supply.select("s_suppkey", F.col("n_name").alias("s_nation")), F.col("l_suppkey") == F.col("s_suppkey"))
-    urgent = lineitem.filter("l_quantity > 49 and l_returnflag = 'R'").join(orders.filter("o_orderpriority = '1-URGENT'"), F.col("l_orderkey") == F.col("o_orderkey"))
-    imports = (
-        urgent.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .filter("c_nationkey <> s_nationkey")
-        .select("c_nationkey", "s_nationkey")
-        .distinct()
-        .join(F.broadcast(path), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows at any scale
-    )
+    entity = {"type": "'Entity'", "project": "'star'"}
     parts = [
-        _rows(nation, _EDGE, src=_key("r", "r_regionkey"), dst=_key("n", "n_nationkey"), type="CONTAINS", edge_seq=F.col("n_nationkey")),
-        _rows(customer, _EDGE, src=_key("n", "c_nationkey"), dst=_key("c", "c_custkey"), type="CONTAINS", edge_seq=10_000_000_000 + F.col("c_custkey")),
-        _rows(supplier, _EDGE, src=_key("n", "s_nationkey"), dst=_key("s", "s_suppkey"), type="CONTAINS", edge_seq=20_000_000_000 + F.col("s_suppkey")),
-        _rows(orders, _EDGE, src=_key("c", "o_custkey"), dst=_key("o", "o_orderkey"), type="CALLS", edge_seq=30_000_000_000 + F.col("o_orderkey")),
-        _rows(lines, _EDGE, src=_key("o", "l_orderkey"), dst=_key("p", "l_partkey"), type="CALLS", line=F.col("l_linenumber"), receiver=_key("s", "l_suppkey"), receiver_type=F.col("s_nation"), edge_seq=40_000_000_000 + F.col("l_orderkey") * 16 + F.col("l_linenumber")),
-        _rows(lineitem.select("l_orderkey", "l_suppkey").distinct(), _EDGE, src=_key("o", "l_orderkey"), dst=_key("s", "l_suppkey"), type="REFERENCES", edge_seq=10**15 + F.col("l_orderkey") * 10**7 + F.col("l_suppkey")),
-        _rows(part, _EDGE, src=_key("p", "p_partkey"), dst=F.concat(F.lit("t:"), F.col("p_type")), type="INHERITS", edge_seq=50_000_000_000 + F.col("p_partkey")),
-        _rows(imports, _EDGE, src=_key("n", "c_nationkey"), dst=_key("n", "s_nationkey"), type="IMPORTS", source_file=F.col("path"), edge_seq=60_000_000_000 + F.col("c_nationkey") * 100 + F.col("s_nationkey")),
+        _rows(region, _NODE, id="concat('r', r_regionkey)", type="'Folder'", name="r_name", path="r_name", project="'star'", node_seq="r_regionkey"),
+        _rows(nation, _NODE, id="concat('n', n_nationkey)", type="'File'", name="n_name", path="path", project="'star'", node_seq="100 + n_nationkey"),
+        _rows(owned, _NODE, **entity, id="concat('c', c_custkey)", name="c_name", entity_type="'class'", kind="'class:sql'", file="path", description="c_mktsegment", node_seq="10000000000 + c_custkey"),
+        _rows(supply, _NODE, **entity, id="concat('s', s_suppkey)", name="s_name", entity_type="'class'", kind="'class:sql'", file="path", node_seq="20000000000 + s_suppkey"),
+        _rows(called, _NODE, **entity, id="concat('o', o_orderkey)", name="concat('order_', o_orderkey)", entity_type="'function'", kind="'function:sql'", file="path", owner="c_name", line="o_orderkey % 1000", is_exported="o_orderstatus = 'O'", description="o_orderpriority", node_seq="30000000000 + o_orderkey"),
+        _rows(part, _NODE, **entity, id="concat('p', p_partkey)", name="p_name", entity_type="'class'", kind="'class:unknown'", description="p_type", node_seq="40000000000 + p_partkey"),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.union, parts)
+
+
+def edges(spark: SparkSession, sf_dir: str, types=None, receivers: bool = True) -> DataFrame:
+    """All edges, or those of some types; without ``receivers``, calls don't tell theirs."""
+    wanted = lambda t: types is None or t in types
+    parts = []
+    if wanted("CONTAINS"):
+        nation, customer, supplier = tables(spark, sf_dir, "nation", "customer", "supplier")
+        parts += [
+            _rows(nation, _EDGE, src="concat('r', n_regionkey)", dst="concat('n', n_nationkey)", type="'CONTAINS'", edge_seq="n_nationkey"),
+            _rows(customer, _EDGE, src="concat('n', c_nationkey)", dst="concat('c', c_custkey)", type="'CONTAINS'", edge_seq="10000000000 + c_custkey"),
+            _rows(supplier, _EDGE, src="concat('n', s_nationkey)", dst="concat('s', s_suppkey)", type="'CONTAINS'", edge_seq="20000000000 + s_suppkey"),
+        ]
+    if wanted("CALLS"):
+        orders, lineitem = tables(spark, sf_dir, "orders", "lineitem")
+        place = {"line": "l_linenumber", "edge_seq": "40000000000 + l_orderkey * 16 + l_linenumber"}
+        lines = lineitem
+        if receivers:
+            supply = tables(spark, sf_dir, "supplier")[0].join(files(spark, sf_dir).select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+            lines = lineitem.join(supply, F.col("l_suppkey") == F.col("s_suppkey"))
+            place |= {"receiver": "concat('s', l_suppkey)", "receiver_type": "n_name"}
+        parts += [
+            _rows(orders, _EDGE, src="concat('c', o_custkey)", dst="concat('o', o_orderkey)", type="'CALLS'", edge_seq="30000000000 + o_orderkey"),
+            _rows(lines, _EDGE, src="concat('o', l_orderkey)", dst="concat('p', l_partkey)", type="'CALLS'", **place),
+        ]
+    if wanted("REFERENCES"):
+        pairs = tables(spark, sf_dir, "lineitem")[0].select("l_orderkey", "l_suppkey")
+        pairs = pairs.distinct() if receivers else pairs
+        parts.append(_rows(pairs, _EDGE, src="concat('o', l_orderkey)", dst="concat('s', l_suppkey)", type="'REFERENCES'", edge_seq="1000000000000000 + l_orderkey * 10000000 + l_suppkey"))
+    if wanted("INHERITS"):
+        part = tables(spark, sf_dir, "part")[0]
+        parts.append(_rows(part, _EDGE, src="concat('p', p_partkey)", dst="concat('t:', p_type)", type="'INHERITS'", edge_seq="50000000000 + p_partkey"))
+    if wanted("IMPORTS"):
+        customer, supplier, orders, lineitem = tables(spark, sf_dir, "customer", "supplier", "orders", "lineitem")
+        path = files(spark, sf_dir).select("n_nationkey", "path")
+        urgent = lineitem.filter("l_quantity > 49 and l_returnflag = 'R'").join(orders.filter("o_orderpriority = '1-URGENT'"), F.col("l_orderkey") == F.col("o_orderkey"))
+        imports = (
+            urgent.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+            .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+            .filter("c_nationkey <> s_nationkey")
+            .select("c_nationkey", "s_nationkey")
+            .distinct()
+            .join(F.broadcast(path), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows at any scale
+        )
+        parts.append(_rows(imports, _EDGE, src="concat('n', c_nationkey)", dst="concat('n', s_nationkey)", type="'IMPORTS'", source_file="path", edge_seq="60000000000 + c_nationkey * 100 + s_nationkey"))
+    return reduce(DataFrame.union, parts)
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:

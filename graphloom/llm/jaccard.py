@@ -17,7 +17,8 @@ linear where it can: a signature's first member, its leader, is compared with al
 others; other pairs with a common leader are looked at once, not for each signature,
 only where they are not in one component yet, and in blocks of bounded size.
 
-Null texts and texts without words are alone in their component. Rows repeated, or
+Null texts and texts without words are alone in their component. Rows without a doc_id
+link with nothing and have no component; where one of each component stays, they stay. Rows repeated, or
 with equal texts, share a class; rows that repeat a doc_id with other texts are nodes
 of their own. Long texts are sets like others. An empty table gives an empty result.
 Other columns are ignored.
@@ -362,6 +363,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     key = ["set_id", "set_check", "n_shingles"]
+    every, docs = docs, docs.filter("doc_id is not null")
     classes = written(digests(docs).filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
     n_buckets = max(BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = candidates(docs, n_buckets).persist(StorageLevel.DISK_ONLY)
@@ -388,17 +390,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         .join(smallest, "component", "left")
         .select(*key, F.coalesce("smallest", "rep").alias("component_id"))
     )
-    return digests(docs).select("doc_id", *key).join(of_class, key, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return digests(every).select("doc_id", *key).join(of_class, key, "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest; each doc_id once."""
+    """The rows of ``docs`` whose doc_id is their component's smallest, each doc_id once; and those without doc_id."""
     kept = jaccard_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).join(kept, "_id")
     one = F.row_number().over(Window.partitionBy("_id").orderBy("_row"))
-    return rows.withColumn("_nth", one).filter("_nth = 1").select("_row.*")
+    return rows.withColumn("_nth", one).filter("_nth = 1").select("_row.*").unionByName(docs.filter("doc_id is null"))
 
 
 #: The same by brute force in DuckDB's SQL.

@@ -116,6 +116,10 @@ def test_components_without_documents(spark):
     assert jaccard.jaccard_components(docs(spark, ["a"]).limit(0)).count() == 0
     kept = jaccard.first_of_each(clashing(docs(spark, ["a b", "c d", "A B", None, None])))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 3, 4] and "_row" in kept.columns
+    nameless = docs(spark, ["a b", "a b", "a b"]).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in jaccard.jaccard_components(nameless).collect())
+    assert got == [(0, None), (1, 1), (2, 1)]
+    assert sorted(r["doc_id"] or 0 for r in jaccard.first_of_each(nameless).collect()) == [0, 1]
 
 
 # --- quality rules ----------------------------------------------------------

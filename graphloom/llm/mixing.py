@@ -4,7 +4,9 @@ Each source gets a target in words: its share of all words by weight, at most
 ``max_repeats`` times its own size, the excess shared again by weight. Golden-ratio
 points are mapped through the cumulative targets; the r-th point that falls on a
 source is its r-th slot, and takes the r-th block of equally many words of the
-source's documents in a fixed random order, which starts again where it ends.
+source's documents in a fixed random order, which starts again where it ends. What is
+taken of a document is what the slots it overlaps take of it, in all its repeats, and
+``mixed_documents`` gives the copies in the order of those slots' turns.
 
 All of it is DataFrame code. Running sums of a source are made in two levels (sums
 of 4096 hash buckets, then within a bucket), so that a source with a third of all
@@ -117,9 +119,13 @@ def schedule(spark, sources: DataFrame, n_slots=N_SLOTS) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, n_slots=N_SLOTS, max_repeats=MAX_REPEATS) -> DataFrame:
-    """Per document: size, its source's size and target, the words taken, repeats counted,
-    and ``first_position``, its first turn in the schedule (null if nothing is taken)."""
+def turns(docs: DataFrame, weights=WEIGHTS, n_slots=N_SLOTS, max_repeats=MAX_REPEATS) -> DataFrame:
+    """A row for each slot that a repeat of a document overlaps, with the slot's position and
+    the words it takes of the document; one row with 0 words where no slot does.
+
+    ``repeat`` counts from 0; ``opens`` marks the slot in which a repeat begins. A row of
+    ``docs`` is told from others by ``source_index``, ``bucket`` and ``nth``.
+    """
     spark = docs.sparkSession
     sizes = written(sized(docs), "mix-sizes")
     sources = written(targets(sizes, weights, n_slots, max_repeats), "mix-sources")
@@ -131,36 +137,68 @@ def mix(docs: DataFrame, weights=WEIGHTS, n_slots=N_SLOTS, max_repeats=MAX_REPEA
         .withColumn("offset", F.sum("in_bucket").over(Window.partitionBy("source_index").orderBy("bucket")) - F.col("in_bucket"))
         .select("source_index", "bucket", "offset")
     )
-    inner = Window.partitionBy("source_index", "bucket").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = bucketed.join(offsets, ["source_index", "bucket"]).withColumn("begin", F.col("offset") + F.sum("size").over(inner) - F.col("size"))
-    taken = sum(
-        (
-            F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), F.col("take") - F.col("begin") - F.col("source_size") * k))
-            for k in range(max_repeats)
-        ),
-        start=F.lit(0).cast("bigint"),
+    inner = Window.partitionBy("source_index", "bucket").orderBy("order_key", "doc_id", "size")
+    placed = (
+        bucketed.withColumn("nth", F.row_number().over(inner))
+        .withColumn("within", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+        .join(offsets, ["source_index", "bucket"])
+        .withColumn("begin", F.col("offset") + F.col("within"))
     )
+    begun = F.expr(f"""filter(
+        transform(sequence(0, {max_repeats} - 1), k -> struct(k as repeat, begin + k * source_size as at, least(begin + k * source_size + size, take) as upto)),
+        x -> size > 0 and x.at < take)""")
+    first = F.floor(F.col("span.at") / F.col("block")).cast("bigint") + 1
+    last = F.floor((F.col("span.upto") - 1) / F.col("block")).cast("bigint") + 1
     # rows of which nothing is taken get a key of their own that meets no slot, so that they don't gather in one task
     apart = -1 - F.pmod(F.xxhash64("order_key"), F.lit(1_000_003))
-    slot = F.when((F.col("size") > 0) & (F.col("begin") < F.col("take")), F.floor(F.col("begin") / F.col("block")).cast("bigint") + 1).otherwise(apart)
+    overlapped = (
+        placed.withColumn("span", F.explode_outer(begun))
+        .withColumn("first", first)
+        .withColumn("slot", F.explode_outer(F.when(F.col("span").isNotNull(), F.sequence("first", last))))
+        .withColumn("slot", F.coalesce("slot", apart))
+    )
+    words = F.least("span.upto", F.col("slot") * F.col("block")) - F.greatest("span.at", (F.col("slot") - 1) * F.col("block"))
+    return overlapped.join(slots, ["source_index", "slot"], "left").select(
+        "source_index", "bucket", "nth", "doc_id", "size", "source_size", "target", F.col("span.repeat").alias("repeat"), "position",
+        (F.col("slot") == F.col("first")).alias("opens"), F.when(F.col("position").isNotNull(), words).otherwise(0).cast("bigint").alias("words"),
+    )
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, n_slots=N_SLOTS, max_repeats=MAX_REPEATS) -> DataFrame:
+    """Per document: size, its source's size and target, the words that slots take, repeats counted,
+    and ``first_position``, its first turn in the schedule (null if nothing is taken)."""
     return (
-        placed.withColumn("taken", taken)
-        .withColumn("slot", slot)
-        .join(slots, ["source_index", "slot"], "left")
-        .select("doc_id", "size", "source_size", "target", "taken", F.col("position").alias("first_position"))
+        turns(docs, weights, n_slots, max_repeats)
+        .groupBy("source_index", "bucket", "nth", "doc_id", "size", "source_size", "target")
+        .agg(F.sum("words").alias("taken"), F.min(F.when(F.col("opens") & (F.col("repeat") == 0), F.col("position"))).alias("first_position"))
+        .select("doc_id", "size", "source_size", "target", "taken", "first_position")
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, to the nearest whole time."""
-    counts = mix(docs, **options).filter("size > 0").groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, n_slots=N_SLOTS, max_repeats=MAX_REPEATS) -> DataFrame:
+    """The rows of ``docs``, each as often as its slots take it, to the nearest whole time, in
+    the order of the schedule: a copy stands where the slot in which that repeat begins has its turn."""
+    begins = [F.min(F.when(F.col("opens") & (F.col("repeat") == k), F.col("position"))) for k in range(max_repeats)]
+    counts = (
+        turns(docs, weights, n_slots, max_repeats)
+        .filter("size > 0")
+        .groupBy("doc_id", "size")
+        .agg(
+            F.sum("words").alias("taken"),
+            F.sum(F.when(F.col("repeat").isNull() | (F.col("opens") & (F.col("repeat") == 0)), 1).otherwise(0)).alias("rows"),
+            F.array(*begins).alias("_turns"),
+        )
+    )
     copies = counts.select(
-        F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.expr("cast(floor((2 * taken + size * rows) / (2 * size * rows)) as int)").alias("_copies")
-    ).filter("_copies > 0")
+        F.col("doc_id").alias("_id"),
+        F.col("size").alias("_size"),
+        F.expr("slice(_turns, 1, cast(floor((2 * taken + size * rows) / (2 * size * rows)) as int))").alias("_turns"),
+    ).filter("size(_turns) > 0")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.expr(N_WORDS).alias("_n"))
     return (
         rows.join(copies, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
-        .select("_row", F.explode(F.sequence(F.lit(1), "_copies")))
+        .select("_row", "_doc", F.explode("_turns").alias("_turn"))
+        .orderBy(F.col("_turn").asc_nulls_last(), "_doc")
         .select("_row.*")
     )
 

@@ -199,6 +199,30 @@ def test_mixing(spark):
     assert max(copies.values()) <= 3
 
 
+def test_what_is_taken_follows_the_schedule(spark, monkeypatch):
+    rng = random.Random(16)
+    rows = [(k, " ".join(["x"] * rng.choice([0, 3, 40, 900])), "en", rng.choice("abbbbb"), 0) for k in range(120)]
+    df = spark.createDataFrame(rows, DOCS)
+    slots = {(r["source_index"], r["slot"]): r["position"] for r in mixing.schedule(spark, mixing.targets(mixing.sized(df), n_slots=64), 64).collect()}
+    found = mixing.turns(df, n_slots=64).filter("words > 0").collect()
+    assert {r["position"] for r in found} == set(slots.values()) and len({(r["doc_id"], r["repeat"]) for r in found}) > len({r["doc_id"] for r in found})
+    begins = {}
+    for r in found:
+        if r["opens"]:
+            begins.setdefault(r["doc_id"], []).append(r["position"])
+    got = [r["doc_id"] for r in mixing.mixed_documents(df, n_slots=64).collect()]
+    at, seen = [], Counter()
+    for d in got:
+        at.append((sorted(begins[d])[seen[d]], d))
+        seen[d] += 1
+    assert at == sorted(at) and max(seen.values()) > 1
+    # without the turns of source a, nothing is taken of it
+    whole = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda *a: whole(*a).filter("source_index <> 1"))
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(df, n_slots=64).collect()}
+    assert all((taken[k] > 0) <= (s != "a") for k, _, _, s, _ in rows) and any(taken.values())
+
+
 # --- toxicity ---------------------------------------------------------------
 
 

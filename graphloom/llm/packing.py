@@ -1,13 +1,17 @@
 """Packing of tokenized documents into full windows, with lexical neighbours side by side.
 
-Each task tokenizes its documents and gathers them into shards of bounded size. A shard
-has a BM25 inverted index of its documents; for each seed its best unused neighbours are
-looked up with the seed's most telling terms, and fill the seed's window in that order.
-A document that doesn't fit is cut, and what is left of it is the seed of the next
-window, so windows are full. What a shard leaves over goes into the task's next shard;
-the last tokens of a task are put into windows of powers of two, which need no padding.
-There is no shuffle, and rows go where the scan puts them: reruns over the same input
-splits agree.
+Documents are tokenized once into a table. Document frequencies, the number of documents
+and their mean length are those of the whole corpus. Documents are dealt by content: by
+their strongest term under BM25, where those of a term are more than a shard's tokens by
+the two strongest, and where that isn't enough (many copies) by a hash too. A task has
+its documents in the order of their strongest terms, and gathers them into shards of
+bounded size. A shard has an inverted index of its documents; for each seed its best
+unused neighbours are looked up with all of the seed's terms, and fill the seed's window
+in that order. A document that doesn't fit is cut, and what is left of it is the seed of
+the next window, so windows are full. What a shard leaves over goes into the task's next
+shard; the last tokens of a task are put into windows of powers of two, which need no
+padding. The splits of the input don't matter to the result; a neighbour in another
+shard is not found.
 
 Null texts are empty; an empty document is its end token alone. Long documents are cut
 into as many windows as they need. Repeated rows are packed each. Windows of an empty
@@ -17,6 +21,7 @@ table are none. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import cached_property
 from unicodedata import is_normalized
 
@@ -25,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import sliced
+from graphloom.llm.common import sliced, written
 from graphloom.llm.shingles import _BYTES, _power, mix
 
 WINDOW = 2048
 END = 1
 #: Tokens that a shard holds at least before it is packed.
 SHARD_TOKENS = 1 << 20
-#: Terms of a seed that are looked up, and BM25's constants.
-QUERY_TERMS, K1, B = 16, 1.2, 0.75
+#: Terms of a seed that are looked up (None: all), and BM25's constants.
+QUERY_TERMS, K1, B = None, 1.2, 0.75
+#: Strongest terms of a document that place it.
+PLACING_TERMS = 3
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
 #: Characters of text that are encoded at once.
 CHUNK = 1 << 20
@@ -219,11 +226,43 @@ class PartEncoder:
         return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.empty(0, np.uint32) for x in out]
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """What BM25 knows of a corpus: its documents, their mean length, and how many have each term."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, documents: list[np.ndarray]) -> Statistics:
+        df = np.bincount(np.concatenate([np.unique(d) for d in documents]).astype(np.int64))
+        return cls(len(documents), float(np.mean([len(d) for d in documents])), df)
+
+    @cached_property
+    def idf(self) -> np.ndarray:
+        idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+        idf[self.df < 2] = 0  # leads to no other document
+        return idf
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(1.0, self.mean)))
+
+    def strongest(self, ids: np.ndarray, count: int = PLACING_TERMS) -> list[int]:
+        """The terms with the highest weights, the lower of equals first; -1 for missing ones."""
+        term, tf = np.unique(ids, return_counts=True)
+        weight = self.weights(term, tf, len(ids))
+        best = np.argsort(-weight, kind="stable")[:count]
+        found = term[best[weight[best] > 0]].tolist()
+        return found + [-1] * (count - len(found))
+
+
 class Index:
-    """A BM25 inverted index of a shard's documents."""
+    """A BM25 inverted index of a shard's documents, with the corpus's statistics (the shard's own by default)."""
 
-    def __init__(self, documents: list[np.ndarray]):
+    def __init__(self, documents: list[np.ndarray], statistics: Statistics | None = None):
         self.n = len(documents)
+        statistics = statistics or Statistics.of(documents)
         found = [np.unique(d, return_counts=True) for d in documents]
         self.terms = [t.astype(np.int64) for t, _ in found]
         sizes = np.array([len(t) for t in self.terms])
@@ -231,16 +270,14 @@ class Index:
         term, tf = np.concatenate(self.terms), np.concatenate([c for _, c in found]).astype(np.float64)
         doc = np.repeat(np.arange(self.n), sizes)
         df = np.bincount(term)
-        self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        self.idf[df < 2] = 0  # leads to no other document
-        weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(1.0, lengths.mean())))
+        weight = statistics.weights(term, tf, lengths[doc])
         order = np.argsort(term, kind="stable")
         self.docs, self.weights = doc[order], weight[order]
         self.begin = np.concatenate([[0], np.cumsum(df)])
         self.of_doc = np.split(weight, np.cumsum(sizes)[:-1])
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's most telling terms, best first."""
+        """Unused documents that share a term with the seed, best first."""
         weight = self.of_doc[seed]
         best = np.argsort(-weight, kind="stable")[:QUERY_TERMS]
         terms = self.terms[seed][best[weight[best] > 0]]
@@ -253,11 +290,11 @@ class Index:
         return found[np.argsort(-scores[found], kind="stable")]
 
 
-def pack_shard(documents: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def pack_shard(documents: list[np.ndarray], window: int = WINDOW, statistics: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length); all but the last one are full."""
     if not documents:
         return []
-    index, n = Index(documents), len(documents)
+    index, n = Index(documents, statistics), len(documents)
     used = np.zeros(n, bool)
     sequences, following, rest = [], 0, None
     while True:
@@ -291,18 +328,82 @@ def pack_shard(documents: list[np.ndarray], window: int = WINDOW) -> list[list[t
         sequences.append(pieces)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end: int = END, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """A row for each piece: doc_id, start in its document's ids, doc_tokens, sequence_id,
-    offset in the sequence, and ids (little-endian 32-bit)."""
+def tokenized(docs: DataFrame, tokenizer: str | None = None, end: int = END) -> DataFrame:
+    """(doc_id, ids) of every row: little-endian 32-bit ids, the end token last."""
 
-    def packed(batches):
+    def encoded(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import public_tokenizers
-        from pyspark import TaskContext
 
         encoder = PartEncoder(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+        for batch in sliced(batches, 256):
+            ids = [np.append(i, np.uint32(end)).astype("<u4").tobytes() for i in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(encoded, "doc_id bigint, ids binary")
+
+
+def corpus_statistics(tokens: DataFrame) -> Statistics:
+    """The statistics of all documents; a row for each token of the vocabulary reaches the driver."""
+
+    def counted(batches):
+        df, n, total = np.zeros(1, np.int64), 0, 0
+        for batch in sliced(batches, 256):
+            terms = [np.unique(np.frombuffer(i, "<u4")) for i in batch.column(1).to_pylist()]
+            if terms:
+                n, total = n + len(terms), total + sum(len(i) // 4 for i in batch.column(1).to_pylist())
+                own = np.bincount(np.concatenate(terms).astype(np.int64), minlength=len(df))
+                own[: len(df)] += df
+                df = own
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *at.tolist()], pa.int64()), pa.array([n, total, *df[at].tolist()], pa.int64())], names=["term", "count"])
+
+    rows = tokens.mapInArrow(counted, "term bigint, count bigint").groupBy("term").agg(F.sum("count").alias("count")).collect()
+    found = {r["term"]: r["count"] for r in rows}
+    n, total = found.pop(-2, 0), found.pop(-1, 0)
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    df[list(found.keys())] = list(found.values())
+    return Statistics(n, total / n if n else 0.0, df)
+
+
+def dealt(tokens: DataFrame, statistics: Statistics, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(doc_id, ids) dealt by content; the rows of a partition are in the order of their strongest terms."""
+    names = [f"k{k}" for k in range(PLACING_TERMS)]
+
+    def placed(batches):
+        for batch in sliced(batches, 256):
+            keys = [statistics.strongest(np.frombuffer(i, "<u4")) for i in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k, pa.int64()) for k in zip(*keys, strict=True))], names=["doc_id", "ids", *names])
+
+    keyed = tokens.mapInArrow(placed, f"doc_id bigint, ids binary, {', '.join(f'{k} bigint' for k in names)}")
+    sizes = written(keyed.groupBy("k0", "k1").agg((F.sum(F.length("ids")) / 4).cast("bigint").alias("tokens")), "pack-sizes")
+    # at most as many rows as the corpus has shards
+    hot = F.broadcast(sizes.groupBy("k0").agg(F.sum("tokens").alias("of_term")).filter(F.col("of_term") > shard_tokens))
+    copies = F.broadcast(sizes.filter(F.col("tokens") > shard_tokens).withColumnRenamed("tokens", "of_pair"))
+    salt = F.pmod(F.xxhash64("doc_id", "ids"), F.coalesce(F.ceil(F.col("of_pair") / shard_tokens), F.lit(1)))
+    salt = F.when(F.col("of_term").isNull(), F.lit(0)).otherwise(salt)
+    return (
+        keyed.join(hot, "k0", "left")
+        .join(copies, ["k0", "k1"], "left")
+        .withColumn("second", F.when(F.col("of_term").isNotNull(), F.col("k1")))
+        .withColumn("salt", salt)
+        .repartition("k0", "second", "salt")
+        .sortWithinPartitions("k0", "second", "salt", *names[1:], "doc_id", "ids")
+        .select("doc_id", "ids")
+    )
+
+
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end: int = END, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """A row for each piece: doc_id, start in its document's ids, doc_tokens, sequence_id,
+    offset in the sequence, and ids (little-endian 32-bit)."""
+    tokens = written(tokenized(docs, tokenizer, end), "pack-tokens")
+    statistics = corpus_statistics(tokens)
+
+    def packed(batches):
+        from pyspark import TaskContext
+
         sequence = TaskContext.get().partitionId() << 33
         held: list[tuple] = []  # (doc_id, tokens before, tokens of the document, ids)
 
@@ -320,24 +421,25 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
 
         size = 0
         for batch in sliced(batches, 256):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                ids = np.append(ids, np.uint32(end))
+            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.frombuffer(data, "<u4")
                 held.append((doc_id, 0, len(ids), ids))
                 size += len(ids)
             if size >= shard_tokens:
-                sequences = pack_shard([h[3] for h in held], window)
+                sequences = pack_shard([h[3] for h in held], window, statistics)
                 last = sequences.pop() if sum(p[2] for p in sequences[-1]) < window else []
                 yield rows(sequences)
                 held = [(held[k][0], held[k][1] + start, held[k][2], held[k][3][start : start + length]) for k, start, length in last]
                 size = sum(len(h[3]) for h in held)
         if held:
-            sequences = pack_shard([h[3] for h in held], window)
+            sequences = pack_shard([h[3] for h in held], window, statistics)
             left = sum(p[2] for p in sequences[-1])
             if left < window:
                 sequences += halved(sequences.pop(), left)
             yield rows(sequences)
 
-    return docs.select("doc_id", "text").mapInArrow(packed, "doc_id bigint, start bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    columns = "doc_id bigint, start bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
+    return dealt(tokens, statistics, shard_tokens).mapInArrow(packed, columns)
 
 
 def halved(pieces: list[tuple[int, int, int]], total: int) -> list[list[tuple[int, int, int]]]:

@@ -462,6 +462,34 @@ def test_neighbours_are_the_best_by_bm25():
     assert [round(scores[k], 9) for k in got] == sorted((round(s, 9) for s in scores.values() if s > 0), reverse=True)
 
 
+def test_neighbours_are_found_wherever_the_scan_has_them(spark):
+    rng = random.Random(17)
+    common = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    # pairs that share rare words, each half at another end of the table
+    rare = ["volcano glacier", "sonata violin", "enzyme protein", "harbour anchor", "saffron cumin", "tundra reindeer"]
+    texts = [" ".join(rng.choices(common, k=60) + rare[k].split() * 9 if k < 6 else rng.choices(common, k=60)) for k in range(60)]
+    texts += [" ".join(rng.choices(common, k=60) + r.split() * 9) for r in rare]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartitionByRange(6, "doc_id")
+    tokens = packing.written(packing.tokenized(df), "test-tokens")
+    known = packing.corpus_statistics(tokens)
+    ids = {r["doc_id"]: np.frombuffer(r["ids"], "<u4") for r in tokens.collect()}
+    whole = packing.Statistics.of(list(ids.values()))
+    assert known.n == 66 and known.mean == pytest.approx(whole.mean) and (known.df == whole.df).all()
+    order = [(r["part"], r["doc_id"]) for r in packing.dealt(tokens, known, 2_000).withColumn("part", F.spark_partition_id()).collect()]
+    at = {d: (part, k) for k, (part, d) in enumerate(order)}
+    assert all(at[k][0] == at[60 + k][0] and abs(at[k][1] - at[60 + k][1]) == 1 for k in range(6))
+    one, other = (sorted(tuple(r) for r in packing.pack(x, window=512, shard_tokens=2_000).collect()) for x in (df, df.repartition(2)))
+    assert one == other
+    copies = spark.createDataFrame([(k, "volcano glacier") for k in range(400)] + list(enumerate(texts, 400)), "doc_id bigint, text string")
+    tokens = packing.written(packing.tokenized(copies), "test-tokens")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small partitions stay apart
+    try:
+        sizes = [r["count"] for r in packing.dealt(tokens, packing.corpus_statistics(tokens), 200).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 466 and max(sizes) < 400
+
+
 # --- archives ---------------------------------------------------------------
 
 

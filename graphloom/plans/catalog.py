@@ -12,6 +12,7 @@ from graphloom.functions.columns import (
     import_targets, language_of, looks_like_entry, module_name, relation_name, stable_uuid, vector_id, without_code_ending,
 )
 from graphloom.operators import mutate, vectors
+from graphloom.operators.graph import HOPS
 from graphloom.operators.traverse import bfs
 from graphloom.plans import star
 from graphloom.sources import ignore
@@ -77,6 +78,13 @@ def impact_supplier(spark, sf_dir):
     return star.graph(spark, sf_dir).impact(name, 2).select("caller_name", "caller_type", "caller_file", "depth")
 
 
+@query(ORACLE_SQL["impact_supplier"].replace("depth < 2", f"depth < {HOPS}"))
+def impact_supplier_whole(spark, sf_dir):
+    """``impact_supplier`` with the default hops."""
+    name = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey = 1").first()["s_name"]
+    return star.graph(spark, sf_dir).impact(name).select("caller_name", "caller_type", "caller_file", "depth")
+
+
 _QUAL = """select id from nodes where type = 'Entity' and lower(name) = lower((select p_name from part where p_partkey = 7))"""
 
 
@@ -90,6 +98,13 @@ def impact_receiver_qualified(spark, sf_dir):
     return star.graph(spark, sf_dir).impact(f"NATION_6.{name}", 2).select("id", "depth")
 
 
+@query(ORACLE_SQL["impact_receiver_qualified"].replace("r_all.depth < 1", f"r_all.depth < {HOPS - 1}"))
+def impact_receiver_qualified_whole(spark, sf_dir):
+    """``impact_receiver_qualified`` with the default hops."""
+    name = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey = 7").first()["p_name"]
+    return star.graph(spark, sf_dir).impact(f"NATION_6.{name}").select("id", "depth")
+
+
 @query(f"with {star.SQL} select id from nodes where type = 'Entity' and lower(name) = lower({_PART_NAME})")
 def resolve_bare_name(spark, sf_dir):
     name = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey = 42").first()["p_name"]
@@ -138,6 +153,20 @@ def flow_edges(spark, sf_dir):
     return star.graph(spark, sf_dir).flow(name, 2, include_external=True)[1].select("from", "to", "type", F.coalesce("line", F.lit(-1)).alias("line"))
 
 
+@query(ORACLE_SQL["flow_nodes"].replace("r_all.depth < 2", f"r_all.depth < {HOPS}"))
+def flow_nodes_whole(spark, sf_dir):
+    """``flow_nodes`` with the default hops."""
+    name = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey = 7").first()["c_name"]
+    return star.graph(spark, sf_dir).flow(name, include_external=True)[0].select("id", "name", "kind", "depth")
+
+
+@query(ORACLE_SQL["flow_edges"].replace("depth < 2", f"depth < {HOPS}"))
+def flow_edges_whole(spark, sf_dir):
+    """``flow_edges`` with the default hops."""
+    name = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey = 7").first()["c_name"]
+    return star.graph(spark, sf_dir).flow(name, include_external=True)[1].select("from", "to", "type", F.coalesce("line", F.lit(-1)).alias("line"))
+
+
 @query(f"""with recursive {star.SQL}, {_walk("select id from nodes where type = 'Folder'", "select src, dst from edges where type = 'CONTAINS'", 9)}
 select n.type as node_type, n.name, n.path, r.depth + 1 as depth from edges e join r on r.node = e.src join nodes n on n.id = e.dst where e.type = 'CONTAINS'""")
 def project_tree(spark, sf_dir):
@@ -171,14 +200,14 @@ def importers_of_files(spark, sf_dir):
     return star.graph(spark, sf_dir).importers()
 
 
-def _several(*paths: str) -> str:
+def _several(*paths: str, hops: int = 1) -> str:
     parts, picks = [], []
     for k, p in enumerate(paths):
         parts.append(
-            _walk(f"select dst as id from edges where type = 'CONTAINS' and src = (select id from nodes where path = '{p}')", _FILES_OF, 1, True, f"a{k}")
+            _walk(f"select dst as id from edges where type = 'CONTAINS' and src = (select id from nodes where path = '{p}')", _FILES_OF, hops, True, f"a{k}")
             + f""", p{k} as (select n.file, min(a{k}.depth) as hops from a{k} join nodes n on n.id = a{k}.node where a{k}.depth > 0 and n.file is not null and n.file <> '{p}' group by n.file),
 im{k} as (select distinct s.path as src, t.path as dst from edges e join nodes s on s.id = e.src join nodes t on t.id = e.dst where e.type = 'IMPORTS' and s.path not in (select file from p{k})),"""
-            + _walk(f"select '{p}' as id", f"select src, dst from im{k}", 1, True, f"b{k}")
+            + _walk(f"select '{p}' as id", f"select src, dst from im{k}", hops, True, f"b{k}")
         )
         picks.append(f"select file, hops, '{p}' as t from p{k} union all select node, depth, '{p}' from b{k} where depth > 0 union all select '{p}', 0, '{p}'")
     return f"with recursive {star.SQL}, {', '.join(parts)} select file, min(hops)::int as hops, string_agg(distinct t, ',' order by t) as via from ({' union all '.join(picks)}) group by file"
@@ -189,6 +218,12 @@ def batch_impact(spark, sf_dir):
     return star.graph(spark, sf_dir).batch_impact("AMERICA/NATION_6, ASIA/NATION_2", 1).withColumn("via", F.array_join("via", ","))
 
 
+@query(_several("AMERICA/NATION_6", "ASIA/NATION_2", hops=HOPS))
+def batch_impact_whole(spark, sf_dir):
+    """``batch_impact`` with the default hops."""
+    return star.graph(spark, sf_dir).batch_impact("AMERICA/NATION_6, ASIA/NATION_2").withColumn("via", F.array_join("via", ","))
+
+
 # --- sets and search -------------------------------------------------------
 
 
@@ -333,25 +368,45 @@ _PAIRS = "select distinct o_custkey as src, l_suppkey as dst from orders join li
 select src, dst, type from a where agent_relation or not exists (select 1 from a b where b.src = a.src and b.dst = a.dst and b.agent_relation and b.type <> a.type)""")
 def relation_override(spark, sf_dir):
     """A relation that an agent gave a pair of nodes drops the pair's other relations."""
+    return _overridden(spark, sf_dir, "l_quantity > 48")
+
+
+def _overridden(spark, sf_dir, lines: str):
     orders, lineitem = star.tables(spark, sf_dir, "orders", "lineitem")
-    p = orders.join(lineitem.filter("l_quantity > 48"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    p = orders.join(lineitem.filter(lines), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
     both = p.select("src", "dst", F.lit("CALLS").alias("type"), F.lit(False).alias("agent_relation")).unionByName(p.filter("dst % 10 = 0").select("src", "dst", F.lit("REGISTERS").alias("type"), F.lit(True).alias("agent_relation")))
     return mutate.overridden(both).select("src", "dst", "type")
 
 
+@query(ORACLE_SQL["relation_override"].replace(" where l_quantity > 48", ""))
+def relation_override_whole(spark, sf_dir):
+    """``relation_override`` over all lines."""
+    return _overridden(spark, sf_dir, "true")
+
+
 @query(f"""with {star.SQL}, w as (select c_name as caller, 'order_' || o_orderkey as callee from orders join customer on c_custkey = o_custkey where o_orderkey % 5 = 0
   union all select 'nobody', 'order_1' union all select (select p_name from part where p_partkey = 1), 'order_1'),
 m as (select w.*, (select count(*) from nodes n where n.type = 'Entity' and n.name = w.caller) as n1, (select count(*) from nodes n where n.type = 'Entity' and n.name = w.callee) as n2 from w)
 select caller, callee, case when n1 = 0 or n2 = 0 then 'skipped' when n1 > 1 or n2 > 1 then 'ambiguous' else 'exists' end as status from m""")
 def agent_edge_status(spark, sf_dir):
     """What becomes of call edges that an agent writes by names."""
+    return _edge_status(spark, sf_dir, "o_orderkey % 5 = 0")
+
+
+def _edge_status(spark, sf_dir, wanted: str):
     orders, customer, part = star.tables(spark, sf_dir, "orders", "customer", "part")
-    asked = orders.filter("o_orderkey % 5 = 0").join(customer, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_name").alias("caller"), F.concat(F.lit("order_"), "o_orderkey").alias("callee"))
+    asked = orders.filter(wanted).join(customer, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_name").alias("caller"), F.concat(F.lit("order_"), "o_orderkey").alias("callee"))
     more = spark.range(1).select(F.lit("nobody").alias("caller"), F.lit("order_1").alias("callee")).unionByName(part.filter("p_partkey = 1").select(F.col("p_name").alias("caller"), F.lit("order_1").alias("callee")))
     asked = asked.unionByName(more).withColumn("relation", F.lit("CALLS"))
     return mutate.added_calls(star.graph(spark, sf_dir), asked).select("caller", "callee", "status")
 
 
+@query(ORACLE_SQL["agent_edge_status"].replace(" where o_orderkey % 5 = 0", ""))
+def agent_edge_status_whole(spark, sf_dir):
+    """``agent_edge_status`` for all orders."""
+    return _edge_status(spark, sf_dir, "true")
+
+
 # --- streams ---------------------------------------------------------------
 
 _KIND = "case event_type when 'signup' then 'created' when 'error' then 'deleted' else 'modified' end"

@@ -6,6 +6,11 @@ is a set of (trie node, edits spent), made when first met, so a word is matched
 all terms within their edit budgets in one pass that ends as soon as no term is left.
 The weight of a term at a number of edits is its log odds on the learning rows.
 
+Words are also matched with an edit of the first letter, for terms of ``FIRST_LETTERS``
+letters or more, and runs of words with single signs between them ("st*pid", "id_iot")
+are matched joined where no word of theirs matches alone. Both have weights of their own,
+learned, or a share of the plain match's where no learning row shows them.
+
 Scoring: each match counts with its weight, times a factor from the words around it
 (less inside quotation marks or after a reporting word, more beside an address); the
 score is the logistic function of the sum and of an offset fitted on the learning rows.
@@ -53,6 +58,12 @@ ADDRESS = frozenset("you your youre tu toi vous ton du dich ihr dein eres usted
 QUOTES = "\"“”«»„"
 QUOTED, ADDRESSED = 0.4, 1.3
 
+#: What is added to the edits of a match whose first letter is edited, and of one across signs;
+#: the share of the plain weight for those that learning doesn't show.
+FIRST, SIGNS, UNSEEN = 10, 20, 0.75
+#: Least letters of a term whose first letter may be edited.
+FIRST_LETTERS = 5
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -65,26 +76,33 @@ class Lexicon:
     """A trie of terms and the automaton of all words near them.
 
     ``find(word)`` gives (term index, edits) of the nearest term, the first of equals, or
-    None. A stem also matches longer words; a whole term's first letter is never edited
-    away, so that short words don't turn into others.
+    None. A stem also matches longer words. A term's first letter is edited only with
+    ``first``, and not in short terms, so that short words don't turn into others; the
+    edits of such a match have ``FIRST`` added, and it comes after all others.
     """
 
-    def __init__(self, terms: list[tuple[str, bool]]):
-        self.terms = terms
+    def __init__(self, terms: list[tuple[str, bool]], first: bool = False):
+        self.terms, self.first = terms, first
+        self.longest = max((len(t) for t, _ in terms), default=0)
+        self.most_first = [0]  # as ``most``, of terms whose first letter may be edited
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.most = [0]  # the largest budget below each node
         for k, (term, stem) in enumerate(terms):
             node, allowed = 0, budget(term, stem)
             self.most[0] = max(self.most[0], allowed)
+            edited = allowed if first and len(term) >= FIRST_LETTERS else 0
+            self.most_first[0] = max(self.most_first[0], edited)
             for c in term:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.ends.append([])
                     self.most.append(0)
+                    self.most_first.append(0)
                 node = self.children[node][c]
                 self.most[node] = max(self.most[node], allowed)
+                self.most_first[node] = max(self.most_first[node], edited)
             self.ends[node].append(k)
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
@@ -95,36 +113,49 @@ class Lexicon:
         self.start = self._state(frozenset({(0, 0)}))
         self.known: dict[str, tuple[int, int] | None] = {}
 
+    def _within(self, node: int, edits: int) -> bool:
+        """Whether a term below the node allows the edits."""
+        return edits % FIRST <= self.most_first[node] if edits >= FIRST else edits <= self.most[node]
+
+    def _spent(self, node: int, edits: int) -> int:
+        """The edits after one more at a node; at the root it is one of the first letter."""
+        return edits + 1 + (FIRST if not node and edits < FIRST else 0)
+
+    def _ends(self, node: int, edits: int) -> list[int]:
+        return [k for k in self.ends[node] if edits % FIRST <= budget(*self.terms[k]) and (edits < FIRST or len(self.terms[k][0]) >= FIRST_LETTERS)]
+
     def _state(self, found) -> int:
         closed, todo = {}, sorted(found, key=lambda x: x[1])
         while todo:  # a letter of the term that the word lacks costs an edit
             node, edits = todo.pop()
-            if closed.get(node, 99) <= edits:
+            if closed.get((node, edits >= FIRST), 99) <= edits:
                 continue
-            closed[node] = edits
-            if node and edits < self.most[node]:
-                todo += [(child, edits + 1) for child in self.children[node].values() if edits + 1 <= self.most[child]]
-        key = frozenset(closed.items())
+            closed[node, edits >= FIRST] = edits
+            spent = self._spent(node, edits)
+            if node or self.first:
+                todo += [(child, spent) for child in self.children[node].values() if self._within(child, spent)]
+        key = frozenset((node, edits) for (node, _), edits in closed.items())
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            ends = [(e, k) for node, e in key for k in self.ends[node] if e <= budget(*self.terms[k])]
+            ends = [(e, k) for node, e in key for k in self._ends(node, e)]
             self.accepts.append(min(ends)[::-1] if ends else None)
             stems = [(e, k) for e, k in ends if self.terms[k][1]]
             self.stems.append(min(stems)[::-1] if stems else None)
         return self.states[key]
 
     def _move(self, state: int, c: str) -> int:
-        found = {}
+        found = set()
         for node, edits in self.sets[state]:
+            spent = self._spent(node, edits)
             for letter, child in self.children[node].items():
-                cost = edits + (letter != c)
-                if cost <= self.most[child] and (node or letter == c):
-                    found[child] = min(cost, found.get(child, 99))
-            if node and edits < self.most[node]:
-                found[node] = min(edits + 1, found.get(node, 99))
-        return self._state(frozenset(found.items()))
+                cost = edits if letter == c else spent
+                if self._within(child, cost) and (node or letter == c or self.first):
+                    found.add((child, cost))
+            if (node or self.first) and self._within(node, spent):
+                found.add((node, spent))
+        return self._state(found)
 
     def find(self, word: str) -> tuple[int, int] | None:
         state, best = self.start, None
@@ -133,8 +164,7 @@ class Lexicon:
             if nxt is None:
                 nxt = self.moves[state][c] = self._move(state, c)
                 if len(self.sets) > 200_000:  # bounds memory; states are made again as met
-                    terms = self.terms
-                    self.__init__(terms)
+                    self.__init__(self.terms, self.first)
                     return self.find(word)
             state = nxt
             if state == self.dead:
@@ -159,6 +189,37 @@ class Lexicon:
                 out[w] = m
         return out
 
+    def matches(self, low: str, counts=None) -> tuple[list[tuple[str, int, int]], dict[str, tuple[int, int]]]:
+        """The spans of a text's words, runs of words that match joined as one, and the
+        match of each word or run for which ``counts`` holds."""
+        hits = {w: m for w, m in self.hits(set(_WORD.findall(low))).items() if counts is None or counts(m)}
+        spans = [(m[0], m.start(), m.end()) for m in _WORD.finditer(low)]
+        runs: dict[int, list[tuple[int, str]]] = {}  # at each word, where runs end and what they are joined
+        for i in range(len(spans) - 1):
+            joined = spans[i][0]
+            for j in range(i + 1, len(spans)):
+                between = low[spans[j - 1][2] : spans[j][1]]
+                joined += spans[j][0]
+                if len(between) != 1 or between.isspace() or len(joined) > self.longest + 2 or spans[j][0] in hits or spans[i][0] in hits:
+                    break
+                runs.setdefault(i, []).append((j, joined))
+        if not runs:
+            return spans, hits
+        near = self.hits({joined for own in runs.values() for _, joined in own})
+        out, i = [], 0
+        while i < len(spans):
+            found = [((k, e + SIGNS), j) for j, joined in runs.get(i, ()) if joined in near for k, e in [near[joined]] if counts is None or counts((k, e + SIGNS))]
+            if found:
+                match, j = min(found, key=lambda x: (x[0][1], x[1]))
+                run = low[spans[i][1] : spans[j][2]]
+                hits[run] = match
+                out.append((run, spans[i][1], spans[j][2]))
+                i = j + 1
+            else:
+                out.append(spans[i])
+                i += 1
+        return out, hits
+
 
 @dataclass
 class Model:
@@ -167,14 +228,19 @@ class Model:
     offset: float = 2.0
     window: int = 6
 
+    def weight(self, match: tuple[int, int]) -> float:
+        k, e = match
+        if match in self.weights or e < FIRST:
+            return self.weights.get(match, 0.0)
+        return UNSEEN * self.weight((k, e - SIGNS if e >= SIGNS else e - FIRST))
+
     def evidence(self, lexicon: Lexicon, text: str) -> float:
         """The sum over matches of weight times context factor."""
         low = text.lower()
-        hits = lexicon.hits(set(_WORD.findall(low)))
-        hits = {w: v for w, m in hits.items() if (v := self.weights.get(m))}
+        spans, matches = lexicon.matches(low, self.weight)
+        hits = {w: self.weight(m) for w, m in matches.items()}
         if not hits:
             return 0.0
-        spans = [(m[0], m.start(), m.end()) for m in _WORD.finditer(low)]
         total = 0.0
         for i, (w, start, end) in enumerate(spans):
             if w in hits:
@@ -234,18 +300,18 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     counted = _counts(sample, features, "term").filter((F.col("toxic") >= max(settings.support, settings.rate * n_toxic)) & (odds >= settings.odds))
     rows = counted.orderBy(F.desc("toxic"), "term").limit(settings.terms).collect()
     model.terms = _chosen({r["term"]: (r["toxic"], r["toxic"] * math.log(r["toxic"] / n_toxic / ((r["clean"] + 0.5) / n_clean))) for r in rows})
-    lexicon = Lexicon(model.terms)
-    matched = _counts(sample, lambda text: {f"{k} {e}" for k, e in lexicon.hits(set(_WORD.findall(text.lower()))).values()}, "match").collect()
+    lexicon = Lexicon(model.terms, first=True)
+    matched = _counts(sample, lambda text: {f"{k} {e}" for k, e in lexicon.matches(text.lower())[1].values()}, "match").collect()
     for r in matched:
         k, e = map(int, r["match"].split())
         weight = math.log(((r["toxic"] + 0.5) / (n_toxic + 1)) / ((r["clean"] + 0.5) / (n_clean + 1)))
-        if weight > 1.5:
-            model.weights[k, e] = weight
+        if weight > 1.5 or e >= FIRST:  # shown to tell little is not the same as not shown
+            model.weights[k, e] = weight if weight > 1.5 else 0.0
     for k, (term, stem) in enumerate(model.terms):  # edits that no learning row shows
         for e in range(1, budget(term, stem) + 1):
             if (k, e) not in model.weights and not any(r["match"] == f"{k} {e}" for r in matched):
                 model.weights[k, e] = 0.75 * model.weights.get((k, e - 1), 0.0)
-    model.weights = {k: w for k, w in model.weights.items() if w > 0}
+    model.weights = {m: w for m, w in model.weights.items() if w > 0 or m[1] >= FIRST}
 
     def found(text):
         return [f"{round(2 * model.evidence(lexicon, text))}"]
@@ -282,7 +348,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
 
     def scored(batches):
-        lexicon = Lexicon(model.terms)
+        lexicon = Lexicon(model.terms, first=True)
         for batch in sliced(batches, 1024):
             found = [model.score(model.evidence(lexicon, t or "")) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(

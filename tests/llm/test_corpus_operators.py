@@ -261,6 +261,32 @@ def test_automaton_finds_all_words_within_the_budget():
             assert got[1] == min(near)[0], (w, got, near)
 
 
+def test_first_letters_and_inner_signs_may_be_edited():
+    terms = [("moron", False), ("worthless", False), ("idiot", False), ("stupid", False), ("abcd", False)]
+    lexicon, rng = toxicity.Lexicon(terms, first=True), random.Random(18)
+    words = {"ztupid", "1diot", "xmoron", "orthless", "xabcd", "bcd", "abc"}
+    for t, _ in terms:
+        for _ in range(200):
+            w = list(t)
+            for _ in range(rng.randrange(4)):
+                k = rng.randrange(min(3, len(w)) + 1)
+                w[k : k + rng.randrange(2)] = rng.choice(["", "a", "o"])
+            words.add("".join(w))
+    for w in words:
+        fixed = [distance(w[1:], t[1:]) for t, s in terms if w[:1] == t[:1] and distance(w[1:], t[1:]) <= toxicity.budget(t, s)]
+        near = [distance(w, t) for t, s in terms if len(t) >= 5 and distance(w, t) <= toxicity.budget(t, s)]
+        got = lexicon.find(w)
+        assert (got is None) == (not fixed and not near), (w, got)
+        if got:
+            assert got[1] == (min(fixed) if fixed else 10 + min(near)), (w, got)
+    model = toxicity.Model([("idiot", False), ("stupid", False)], {(k, e): 5.0 - e for k in (0, 1) for e in (0, 1)}, 3.0)
+    lexicon = toxicity.Lexicon(model.terms, first=True)
+    ev = lambda t: model.evidence(lexicon, t)
+    for w in ("ztupid", "1diot", "st*pid", "id_iot", "i.d.i.o.t"):
+        assert 0 < ev(f"what a {w} there") < ev("what a stupid there"), w
+    assert ev("stupid-idiot") == ev("stupid idiot") and ev("id iot") == ev("well-known it's") == 0
+
+
 def test_quotation_weighs_less_than_abuse():
     model = toxicity.Model([("idiot", False)], {(0, 0): 5.0, (0, 1): 4.0}, 3.0)
     lexicon = toxicity.Lexicon(model.terms)

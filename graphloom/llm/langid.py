@@ -7,7 +7,9 @@ of looked-up rows. A text's log probabilities are the means over all its windows
 weighted by the bytes in them.
 
 Training takes windows of at most ``Settings.documents`` documents with a language that
-are not held out, those with the smallest hashes; classes are weighed to count alike.
+are not held out: ``Settings.least`` with the smallest hashes of each language, so that
+rare ones are learned too, then those with the smallest hashes of all; of more languages
+than documents each can have one, some are left out. Classes are weighed to count alike.
 Null texts and texts without letters are ``und`` with score 0. Without any learning row
 all texts are ``und``. Rows repeated have repeated results; an empty table gives an
 empty result; other columns are ignored.
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.llm.common import held_out, sliced
 
@@ -30,10 +33,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 @dataclass(frozen=True)
 class Settings:
-    """documents: most rows to train on; windows: most windows of each; length: bytes of a
+    """documents: most rows to train on; least: of them, those taken of each language first; windows: most windows of each; length: bytes of a
     window; embedding, widths, filters: the network's shape; epochs, batch, rate, seed: of training."""
 
     documents: int = 6000
+    least: int = 50
     windows: int = 2
     length: int = 256
     embedding: int = 8
@@ -147,10 +151,25 @@ def train(windows: np.ndarray, classes: np.ndarray, languages: list[str], s: Set
     return Network(languages, tables, np.concatenate([p[f"b{w}"] for w in s.widths]), p["o"], p["q"], s)
 
 
+def chosen(known: DataFrame, s: Settings) -> DataFrame:
+    """doc_id of at most ``s.documents`` documents, at least ``s.least`` of each language as far as there are:
+    those with the smallest hashes of each language first, then those of all."""
+    # a language's documents are bounded in partitions of a hash before they meet in one task
+    near = [F.xxhash64("doc_id"), F.col("doc_id")]
+    parted = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(64))).orderBy(*near))
+    learnable = known.filter(F.rlike("text", F.lit(r"\p{L}"))).select("doc_id", "lang").distinct()
+    own = learnable.withColumn("_part", parted).filter(F.col("_part") <= s.least)
+    own = own.withColumn("_own", F.row_number().over(Window.partitionBy("lang").orderBy(*near))).filter(F.col("_own") <= s.least)
+    first = own.groupBy("doc_id").agg(F.min("_own").alias("_own"))
+    rest = known.select("doc_id").distinct().orderBy(*near).limit(s.documents).withColumn("_own", F.lit(s.least + 1))
+    both = first.unionByName(rest).groupBy("doc_id").agg(F.min("_own").alias("_own"))
+    return both.orderBy("_own", *near).limit(s.documents).select("doc_id")
+
+
 def fit(docs: DataFrame, s: Settings = Settings()) -> Network:
     """Trains on a bounded sample of the documents that are not held out."""
     known = docs.filter("doc_id is not null and lang is not null").filter(~held_out())
-    few = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.documents)
+    few = chosen(known, s)
 
     def cut(batches):
         for batch in sliced(batches, 512):

@@ -339,6 +339,16 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.identify(df, langid.fit(df.limit(0))).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(k, f"aa bb cc {k}", "rare" if k % 500 == 1 else "often", "s", 0) for k in range(3000)] + [(5000 + k, "...", "none", "s", 0) for k in range(9)]
+    df = spark.createDataFrame(rows, DOCS)
+    s = langid.Settings(documents=40, least=5, epochs=1)
+    assert langid.fit(df, s).languages == ["often", "rare"]
+    known = df.filter("doc_id is not null and lang is not null")
+    taken = Counter(r["lang"] for r in langid.chosen(known, s).join(df, "doc_id").collect())
+    assert sum(taken.values()) == 40 and taken["rare"] >= 5
+
+
 # --- top-k ------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ shard; the last tokens of a task are put into windows of powers of two, which ne
 padding. The splits of the input don't matter to the result; a neighbour in another
 shard is not found.
 
-Null texts are empty; an empty document is its end token alone. Long documents are cut
+Neighbours with equal scores come in the order of the shard. Null texts are empty; an empty document is its end token alone. Long documents are cut
 into as many windows as they need. Repeated rows are packed each. Windows of an empty
 table are none. Other columns are ignored.
 """
@@ -37,8 +37,8 @@ WINDOW = 2048
 END = 1
 #: Tokens that a shard holds at least before it is packed.
 SHARD_TOKENS = 1 << 20
-#: Terms of a seed that are looked up (None: all), and BM25's constants.
-QUERY_TERMS, K1, B = None, 1.2, 0.75
+#: BM25's constants, and neighbours that are sorted at once.
+K1, B, NEAREST = 1.2, 0.75, 64
 #: Strongest terms of a document that place it.
 PLACING_TERMS = 3
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
@@ -58,6 +58,9 @@ _PIECE = pa.schema(
 )
 
 
+_TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("term", pa.int64()), ("n", pa.int64())])
+
+
 class PartEncoder:
     """Token ids of whole texts, by way of remembered parts of words.
 
@@ -226,6 +229,20 @@ class PartEncoder:
         return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.empty(0, np.uint32) for x in out]
 
 
+def term_counts(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, number of times) of each document's terms, by document, then term: one sort for all."""
+    if not documents:
+        return (np.empty(0, np.int64),) * 3
+    ids = np.concatenate(documents)
+    width = int(ids.max()) + 1 if len(ids) else 1
+    kind = np.uint32 if len(documents) * width < 1 << 32 else np.uint64
+    key = np.repeat(np.arange(len(documents), dtype=kind) * kind(width), [len(d) for d in documents]) + ids.astype(kind)
+    key.sort()
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    doc, term = np.divmod(key[at], kind(width))
+    return doc.astype(np.int64), term.astype(np.int64), np.diff(np.append(at, len(key)))
+
+
 @dataclass(frozen=True)
 class Statistics:
     """What BM25 knows of a corpus: its documents, their mean length, and how many have each term."""
@@ -236,8 +253,7 @@ class Statistics:
 
     @classmethod
     def of(cls, documents: list[np.ndarray]) -> Statistics:
-        df = np.bincount(np.concatenate([np.unique(d) for d in documents]).astype(np.int64))
-        return cls(len(documents), float(np.mean([len(d) for d in documents])), df)
+        return cls(len(documents), float(np.mean([len(d) for d in documents])), np.bincount(term_counts(documents)[1]))
 
     @cached_property
     def idf(self) -> np.ndarray:
@@ -248,46 +264,76 @@ class Statistics:
     def weights(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(1.0, self.mean)))
 
-    def strongest(self, ids: np.ndarray, count: int = PLACING_TERMS) -> list[int]:
-        """The terms with the highest weights, the lower of equals first; -1 for missing ones."""
-        term, tf = np.unique(ids, return_counts=True)
-        weight = self.weights(term, tf, len(ids))
-        best = np.argsort(-weight, kind="stable")[:count]
-        found = term[best[weight[best] > 0]].tolist()
-        return found + [-1] * (count - len(found))
+    def strongest(self, documents: list[np.ndarray], count: int = PLACING_TERMS) -> np.ndarray:
+        """A row for each document: the terms with the highest weights, the lower of equals first; -1 for missing ones."""
+        found = np.full((len(documents), count), -1, np.int64)
+        lengths = np.array([len(d) for d in documents], np.int64)
+        doc, term, tf = term_counts(documents)
+        weight = self.weights(term, tf, lengths[doc])
+        has = np.flatnonzero(np.bincount(doc, minlength=len(documents)))
+        starts = np.searchsorted(doc, has)
+        for k in range(count if len(has) else 0):
+            best = np.zeros(len(documents))
+            best[has] = np.maximum.reduceat(weight, starts)
+            at = np.flatnonzero((weight == best[doc]) & (weight > 0))
+            own, first = np.unique(doc[at], return_index=True)
+            found[own, k] = term[at[first]]
+            weight[at[first]] = 0
+        return found
 
 
 class Index:
-    """A BM25 inverted index of a shard's documents, with the corpus's statistics (the shard's own by default)."""
+    """A BM25 inverted index of a shard's documents, with the corpus's statistics (the shard's own by default).
+
+    The terms that most documents have are kept as a dense table, as a seed's sum over
+    them is then one product; the others are posting lists.
+    """
+
+    #: Numbers in the dense table at most, and the share of documents that have its terms at least.
+    DENSE, COMMON = 1 << 22, 0.1
 
     def __init__(self, documents: list[np.ndarray], statistics: Statistics | None = None):
-        self.n = len(documents)
+        self.n = n = len(documents)
         statistics = statistics or Statistics.of(documents)
-        found = [np.unique(d, return_counts=True) for d in documents]
-        self.terms = [t.astype(np.int64) for t, _ in found]
-        sizes = np.array([len(t) for t in self.terms])
         lengths = np.array([len(d) for d in documents], np.float64)
-        term, tf = np.concatenate(self.terms), np.concatenate([c for _, c in found]).astype(np.float64)
-        doc = np.repeat(np.arange(self.n), sizes)
-        df = np.bincount(term)
+        doc, term, tf = term_counts(documents)
         weight = statistics.weights(term, tf, lengths[doc])
-        order = np.argsort(term, kind="stable")
+        telling = weight > 0
+        doc, term, weight = doc[telling], term[telling], weight[telling]
+        df = np.bincount(term)
+        most = np.argsort(-df, kind="stable")[: self.DENSE // max(1, n)]
+        most = most[df[most] > self.COMMON * n]
+        place = np.full(len(df), -1)
+        place[most] = np.arange(len(most))
+        dense = place[term]
+        common = dense >= 0
+        self.table = np.zeros((n, len(most)))
+        self.table[doc[common], dense[common]] = weight[common]
+        doc, term, weight = doc[~common], term[~common], weight[~common]
+        order = np.argsort(term.astype(np.uint16) if len(df) <= 1 << 16 else term, kind="stable")
         self.docs, self.weights = doc[order], weight[order]
-        self.begin = np.concatenate([[0], np.cumsum(df)])
-        self.of_doc = np.split(weight, np.cumsum(sizes)[:-1])
-
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, best first."""
-        weight = self.of_doc[seed]
-        best = np.argsort(-weight, kind="stable")[:QUERY_TERMS]
-        terms = self.terms[seed][best[weight[best] > 0]]
-        if not len(terms):
-            return np.empty(0, np.int64)
-        spans = [slice(self.begin[t], self.begin[t + 1]) for t in terms]
-        scores = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
+        self.df = np.bincount(term, minlength=len(df))
+        self.begin = np.cumsum(self.df) - self.df
+        self.terms, self.of_doc = term, np.searchsorted(doc, np.arange(n + 1))
+
+    def scores(self, seed: int) -> np.ndarray:
+        """The sum of the weights that each document has for the seed's terms."""
+        terms = self.terms[self.of_doc[seed] : self.of_doc[seed + 1]]
+        sizes = self.df[terms]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.begin[terms] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.docs[at], self.weights[at], self.n) + self.table @ (self.table[seed] > 0)
+
+    def neighbours(self, seed: int, used: np.ndarray):
+        """Unused documents that share a term with the seed, best first, the earlier of equals first."""
+        scores = self.scores(seed)
         scores[used] = 0
-        found = np.flatnonzero(scores)
-        return found[np.argsort(-scores[found], kind="stable")]
+        left = np.flatnonzero(scores)
+        while len(left):  # few are asked for, so the best are sorted first
+            least = np.partition(scores[left], len(left) - NEAREST)[len(left) - NEAREST] if len(left) > NEAREST else 0.0
+            some = left[scores[left] >= least]
+            yield from some[np.argsort(-scores[some], kind="stable")].tolist()
+            left = left[scores[left] < least]
 
 
 def pack_shard(documents: list[np.ndarray], window: int = WINDOW, statistics: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
@@ -316,7 +362,7 @@ def pack_shard(documents: list[np.ndarray], window: int = WINDOW, statistics: St
             if rest is not None or not room:
                 break
             if ranking is None:
-                ranking = iter(index.neighbours(pieces[0][0], used).tolist())
+                ranking = index.neighbours(pieces[0][0], used)
             nxt = next(ranking, None)
             if nxt is None:
                 while following < n and used[following]:
@@ -328,8 +374,17 @@ def pack_shard(documents: list[np.ndarray], window: int = WINDOW, statistics: St
         sequences.append(pieces)
 
 
-def tokenized(docs: DataFrame, tokenizer: str | None = None, end: int = END) -> DataFrame:
-    """(doc_id, ids) of every row: little-endian 32-bit ids, the end token last."""
+def id_type(tokenizer: str | None = None) -> str:
+    """The type that ids are moved as: as narrow as the vocabulary allows."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer or public_tokenizers.path("word_bpe_49k.json")).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def tokenized(docs: DataFrame, tokenizer: str | None = None, end: int = END, kind: str = "<u4") -> DataFrame:
+    """(doc_id, ids, term, n): a row for each document, its ids of type ``kind``, the end token last;
+    then rows without ids, with each task's number of documents of a term, -2 for all documents, -1 for all tokens."""
 
     def encoded(batches):
         import os
@@ -338,47 +393,45 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, end: int = END) ->
         import public_tokenizers
 
         encoder = PartEncoder(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+        df, n, total = np.zeros(1, np.int64), 0, 0
         for batch in sliced(batches, 256):
-            ids = [np.append(i, np.uint32(end)).astype("<u4").tobytes() for i in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(encoded, "doc_id bigint, ids binary")
+            ids = [np.append(i, np.uint32(end)).astype(kind) for i in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
+            n, total = n + len(ids), total + sum(map(len, ids))
+            own = np.bincount(term_counts(ids)[1], minlength=len(df))
+            own[: len(df)] += df
+            df = own
+            none = [None] * len(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(none, pa.int64()), pa.array(none, pa.int64())], schema=_TOKENS)
+        if n:
+            at = np.flatnonzero(df)
+            none = [None] * (len(at) + 2)
+            counts = pa.array([-2, -1, *at.tolist()], pa.int64()), pa.array([n, total, *df[at].tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.binary()), *counts], schema=_TOKENS)
+
+    return docs.select("doc_id", "text").mapInArrow(encoded, "doc_id bigint, ids binary, term bigint, n bigint")
 
 
 def corpus_statistics(tokens: DataFrame) -> Statistics:
     """The statistics of all documents; a row for each token of the vocabulary reaches the driver."""
-
-    def counted(batches):
-        df, n, total = np.zeros(1, np.int64), 0, 0
-        for batch in sliced(batches, 256):
-            terms = [np.unique(np.frombuffer(i, "<u4")) for i in batch.column(1).to_pylist()]
-            if terms:
-                n, total = n + len(terms), total + sum(len(i) // 4 for i in batch.column(1).to_pylist())
-                own = np.bincount(np.concatenate(terms).astype(np.int64), minlength=len(df))
-                own[: len(df)] += df
-                df = own
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *at.tolist()], pa.int64()), pa.array([n, total, *df[at].tolist()], pa.int64())], names=["term", "count"])
-
-    rows = tokens.mapInArrow(counted, "term bigint, count bigint").groupBy("term").agg(F.sum("count").alias("count")).collect()
-    found = {r["term"]: r["count"] for r in rows}
+    found = {r["term"]: r["n"] for r in tokens.filter("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n, total = found.pop(-2, 0), found.pop(-1, 0)
     df = np.zeros(max(found, default=0) + 1, np.int64)
     df[list(found.keys())] = list(found.values())
     return Statistics(n, total / n if n else 0.0, df)
 
 
-def dealt(tokens: DataFrame, statistics: Statistics, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def dealt(tokens: DataFrame, statistics: Statistics, shard_tokens: int = SHARD_TOKENS, kind: str = "<u4") -> DataFrame:
     """(doc_id, ids) dealt by content; the rows of a partition are in the order of their strongest terms."""
     names = [f"k{k}" for k in range(PLACING_TERMS)]
 
     def placed(batches):
         for batch in sliced(batches, 256):
-            keys = [statistics.strongest(np.frombuffer(i, "<u4")) for i in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k, pa.int64()) for k in zip(*keys, strict=True))], names=["doc_id", "ids", *names])
+            keys = statistics.strongest([np.frombuffer(i, kind) for i in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, keys.T)], names=["doc_id", "ids", *names])
 
-    keyed = tokens.mapInArrow(placed, f"doc_id bigint, ids binary, {', '.join(f'{k} bigint' for k in names)}")
-    sizes = written(keyed.groupBy("k0", "k1").agg((F.sum(F.length("ids")) / 4).cast("bigint").alias("tokens")), "pack-sizes")
+    documents = tokens.filter("term is null").select("doc_id", "ids")
+    keyed = documents.mapInArrow(placed, f"doc_id bigint, ids binary, {', '.join(f'{k} bigint' for k in names)}")
+    sizes = written(keyed.groupBy("k0", "k1").agg((F.sum(F.length("ids")) / np.dtype(kind).itemsize).cast("bigint").alias("tokens")), "pack-sizes")
     # at most as many rows as the corpus has shards
     hot = F.broadcast(sizes.groupBy("k0").agg(F.sum("tokens").alias("of_term")).filter(F.col("of_term") > shard_tokens))
     copies = F.broadcast(sizes.filter(F.col("tokens") > shard_tokens).withColumnRenamed("tokens", "of_pair"))
@@ -398,7 +451,8 @@ def dealt(tokens: DataFrame, statistics: Statistics, shard_tokens: int = SHARD_T
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end: int = END, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """A row for each piece: doc_id, start in its document's ids, doc_tokens, sequence_id,
     offset in the sequence, and ids (little-endian 32-bit)."""
-    tokens = written(tokenized(docs, tokenizer, end), "pack-tokens")
+    kind = id_type(tokenizer)
+    tokens = written(tokenized(docs, tokenizer, end, kind), "pack-tokens")
     statistics = corpus_statistics(tokens)
 
     def packed(batches):
@@ -414,7 +468,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
                 offset = 0
                 for k, start, length in pieces:
                     doc_id, before, total, ids = held[k]
-                    out.append((doc_id, before + start, total, sequence, offset, ids[start : start + length].tobytes()))
+                    out.append((doc_id, before + start, total, sequence, offset, ids[start : start + length].astype("<u4").tobytes()))
                     offset += length
                 sequence += 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, _PIECE.types, strict=True)], schema=_PIECE)
@@ -422,7 +476,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
         size = 0
         for batch in sliced(batches, 256):
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(data, "<u4")
+                ids = np.frombuffer(data, kind)
                 held.append((doc_id, 0, len(ids), ids))
                 size += len(ids)
             if size >= shard_tokens:
@@ -439,7 +493,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
             yield rows(sequences)
 
     columns = "doc_id bigint, start bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
-    return dealt(tokens, statistics, shard_tokens).mapInArrow(packed, columns)
+    return dealt(tokens, statistics, shard_tokens, kind).mapInArrow(packed, columns)
 
 
 def halved(pieces: list[tuple[int, int, int]], total: int) -> list[list[tuple[int, int, int]]]:

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, exact round trips and defined edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -359,7 +360,7 @@ def test_top_k_with_ties_and_unusable_vectors(spark):
     rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(200, None), (220, [float("nan")] * 24), (240, [None] * 24), (260, []), (None, v[0].tolist()), (280, [float("inf")] * 24)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     got = {}
-    for r in topk.top_k(df.withColumn("score", F.lit(1)), k=7, query_block=3, candidate_block=16).collect():
+    for r in topk.top_k(df.withColumns({c: F.lit(1) for c in ("score", "dim", "block", "g", "u")}), k=7, block=16).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     i = np.floor(64 * v.astype(np.float64)).astype(np.int64)
     for q in range(0, 130, 20):
@@ -370,6 +371,33 @@ def test_top_k_with_ties_and_unusable_vectors(spark):
     assert len(few) == 2 and topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_components_of_any_size(spark):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(90, 6)) * 10.0 ** rng.integers(0, 12, (90, 1))
+    v[3], v[20], v[21] = 1e300, -1e300, 16_385.5
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(100, [1.0, 2.0]), (101, [3.0, 4.0]), (20, v[20].tolist()), (7, v[7].tolist())]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3), k=5, block=8).collect()
+    i = [(k, [math.floor(64 * x) for x in xs]) for k, xs in rows]
+    clamp = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    for q in range(0, 101, 20):
+        own = dict(i)[q]
+        want = sorted((-clamp(sum(a * b for a, b in zip(own, x, strict=True))), k) for k, x in i if k != q and len(x) == len(own))[:5]
+        assert [(r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] == [(k, -s) for s, k in want]
+
+
+def test_bounds_leave_out_what_cannot_reach():
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(6, 32)) * 300
+    blocks = [np.floor(c + rng.normal(size=(200, 32)) * 4) for c in centres]
+    best = topk.Best(blocks[0][:9], np.arange(9), 5)
+    best.meet(blocks[0], np.arange(200))
+    shown, largest = np.stack([topk.envelope(b) for b in blocks]), np.array([np.abs(b).max() for b in blocks])
+    left = topk.reachable(best.q, best.least, shown, largest)
+    for b, there in zip(blocks, left, strict=True):
+        assert there or not ((best.q @ b.T) >= best.least[:, None]).any()
+    assert left[0] and left.sum() < 4
+
+
 # --- personal data ----------------------------------------------------------
 
 

@@ -4,16 +4,20 @@ Writing: a page becomes one ``response`` record whose HTTP message is sent in ch
 (transfer coding), or a ``revisit`` record if a page with the same payload holds the
 response. A record longer than ``segment_bytes`` is split into a first segment and
 ``continuation`` records. Spark's text writer puts the records into files in any
-store Spark writes to; records are never joined with, or moved for, one another.
+store Spark writes to; records are never joined with, or moved for, one another. All
+records of an archive have the date of its writing. The response that others revisit is
+named by its page and payload, so that their ``WARC-Refers-To`` is its identifier; it is
+left out where rows with that page_id and payload are repeated, as then only the target
+and the date, which are always there, and our own field for the page tell it.
 
-Reading: files are parsed record by record. A whole record is decoded where it is
-found; segments are grouped by the identifier of their origin, ordered by segment
-number, checked against the total length, and only then is the chunk framing decoded.
-Only segments are shuffled.
+Reading: files are parsed once, record by record. A whole record is decoded where it is
+found, and only its facts go on; segments are grouped by the identifier of their origin,
+ordered by segment number, checked against the total length, and only then is the chunk
+framing decoded. Of payloads, only those in segments are shuffled.
 
 Null html is an empty payload. Equal page_ids are told apart by their order of
 writing, so each row yields a row again; those with equal payloads are all responses
-if theirs is the largest page_id. An empty table makes an
+if theirs is the largest page_id. Records without a page_id are responses. An empty table makes an
 empty archive and an empty result. Other columns are ignored.
 """
 
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +36,8 @@ from graphloom.llm.common import sliced, written
 MIN_SHARED_BYTES = 1000
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
-#: With records of at most a segment, this bounds a file that a reader holds at once.
-RECORDS_PER_FILE = 1000
+#: Records are written as rows of about this many bytes, and so many rows to a file, which a reader holds at once.
+ROW_BYTES, ROWS_PER_FILE = 1 << 20, 32
 #: Digests with copies are broadcast up to this many rows (about 100 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 50_000
 SALTS = 16
@@ -77,20 +82,40 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + _EOL + block + _EOL
 
 
-def page_records(page_id, row: str, url: str, payload: bytes, refers_to, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
-    """The records of one page: a revisit, a response, or a response in segments."""
-    name = f"urn:page:{'' if page_id is None else page_id}:{row}"
-    target = "".join(c for c in (url or "about:blank") if c > " ")
+def _target(url: str | None) -> str:
+    return "".join(c for c in (url or "about:blank") if c > " ")
+
+
+def page_records(page_id, row: str, url: str, payload: bytes, kept: dict | None, date: str, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
+    """The records of one page: a revisit, a response, or a response in segments.
+
+    ``kept`` tells of the response of equal payloads, if there are several: its ``keeper``
+    (page_id), ``keeper_url``, and ``times``, the rows that are just like it.
+    """
+    digest = hashlib.sha1(payload).hexdigest()
+    named = kept is not None and kept["times"] == 1
+    revisits = kept is not None and page_id not in (None, kept["keeper"])
+    name = f"urn:page:{'' if page_id is None else page_id}:{digest if named and not revisits else row}"
+    target = _target(url)
     fields = [
         ("WARC-Record-ID", f"<{name}>"),
+        ("WARC-Date", date),
         ("WARC-Target-URI", target),
-        ("WARC-Payload-Digest", f"sha1:{hashlib.sha1(payload).hexdigest()}"),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("Content-Type", "application/http;msgtype=response"),
     ]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-    if refers_to is not None:
+    if revisits:
         block = http + b"Content-Length: %d\r\n\r\n" % len(payload)
-        more = [("WARC-Type", "revisit"), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        more = [
+            ("WARC-Type", "revisit"),
+            ("WARC-Refers-To-Target-URI", _target(kept["keeper_url"])),
+            ("WARC-Refers-To-Date", date),
+            ("X-Refers-To-Page", kept["keeper"]),
+            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+        ]
+        if named:
+            more.insert(1, ("WARC-Refers-To", f"<urn:page:{kept['keeper']}:{digest}>"))
         return [_record(more + fields, block)]
     block = http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= segment_bytes:
@@ -99,7 +124,7 @@ def page_records(page_id, row: str, url: str, payload: bytes, refers_to, segment
     out = [_record([("WARC-Type", "response"), *fields, ("WARC-Segment-Number", 1)], pieces[0])]
     for k, piece in enumerate(pieces[1:], 2):
         last = [("WARC-Segment-Total-Length", len(block))] if k == len(pieces) else []
-        own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{name}:{k}>"), ("WARC-Target-URI", target)]
+        own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{name}:{k}>"), ("WARC-Date", date), ("WARC-Target-URI", target)]
         out.append(_record([*own, ("WARC-Segment-Origin-ID", f"<{name}>"), ("WARC-Segment-Number", k), *last], piece))
     return out
 
@@ -131,7 +156,7 @@ def payload_of(block: bytes) -> bytes:
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = MIN_SHARED_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(page_id, url, payload, refers_to): refers_to is the page that holds an equal payload.
+    """(page_id, url, payload, kept): kept tells of the page that holds an equal payload, if several have it.
 
     Only digests are aggregated. The digests with copies are broadcast if their
     counted rows are few; otherwise they are replicated ``SALTS`` times, so that a
@@ -139,33 +164,46 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_SHARED_BYTES, broadcast
     """
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     keyed = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.length("payload"))
-    copies = keyed.filter(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("digest", "bytes", "keeper")
+    of_page = keyed.filter(F.col("bytes") >= min_bytes).groupBy("digest", "bytes", "page_id").agg(F.count("*").alias("times"), F.max("url").alias("keeper_url"))
+    copies = (
+        of_page.groupBy("digest", "bytes")
+        .agg(F.sum("times").alias("n"), F.max(F.struct(F.col("page_id").alias("keeper"), "keeper_url", "times")).alias("kept"))
+        .filter("n > 1 and kept.keeper is not null")
+        .select("digest", "bytes", "kept")
+    )
     copies = written(copies, "warc-copies")
     if copies.limit(broadcast_rows + 1).count() <= broadcast_rows:
         joined = keyed.join(F.broadcast(copies), ["digest", "bytes"], "left")
     else:
         salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "bytes", "salt"], "left")
-    return joined.select("page_id", "url", "payload", F.when(F.col("keeper") != F.col("page_id"), F.col("keeper")).alias("refers_to"))
+    return joined.select("page_id", "url", "payload", "kept")
 
 
-def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, min_bytes: int = MIN_SHARED_BYTES) -> None:
-    """Writes the pages as uncompressed archive files under ``path``."""
+def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, min_bytes: int = MIN_SHARED_BYTES, date: str | None = None) -> None:
+    """Writes the pages as uncompressed archive files under ``path``, dated now or with a given time."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def records(batches):
         from pyspark import TaskContext
 
         part, n = TaskContext.get().partitionId(), 0
+        held, size = [], 0
         for batch in sliced(batches, 256):
-            out = []
-            for page_id, url, payload, refers_to in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                out += page_records(page_id, f"{part}-{n}", url, payload, refers_to, segment_bytes)
+            for page_id, url, payload, kept in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for record in page_records(page_id, f"{part}-{n}", url, payload, kept, date, segment_bytes):
+                    if held and size + len(record) > ROW_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array([_EOL.join(held)], pa.binary())], names=["record"])
+                        held, size = [], 0
+                    held.append(record)
+                    size += len(record)
                 n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([_EOL.join(held)], pa.binary())], names=["record"])
 
     made = with_revisits(pages, min_bytes).mapInArrow(records, "record binary")
-    # the writer ends each record with one more line end; bytes pass through a string column unchanged
-    made.select(F.col("record").cast("string")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    # the writer ends each row with one more line end; bytes pass through a string column unchanged
+    made.select(F.col("record").cast("string")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", ROWS_PER_FILE).text(path)
 
 
 # --- reading ---------------------------------------------------------------
@@ -203,12 +241,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 for f, block in parsed(data.as_buffer().to_pybytes()):
                     kind = f["warc-type"]
                     page_id, row = _ids(f.get("warc-segment-origin-id", f["warc-record-id"]))
-                    refers_to = _ids(f["warc-refers-to"])[0] if kind == "revisit" else None
+                    refers_to = int(f["x-refers-to-page"]) if kind == "revisit" else None
                     segment = int(f.get("warc-segment-number", 0))
                     total = int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None
                     stated = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     if segment == 0:
-                        out.append((page_id, row, 0, _size(page_id, kind, stated, block), refers_to, kind, stated, None))
+                        out.append((page_id, row, 0, _size(page_id, kind, stated, block), refers_to, kind, stated, None))  # its block stays here
                     else:
                         out.append((page_id, row, segment, total, None, kind, stated, block))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, _PART.types, strict=True)], schema=_PART)
@@ -217,6 +255,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             out = []
             for page_id, segments in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not segments[0]["segment"]:
+                    out += [(page_id, s["total"], s["stated"], s["record_type"], s["refers_to"]) for s in segments]
+                    continue
                 block = b"".join(s["block"] for s in segments)
                 if [s["segment"] for s in segments] != list(range(1, len(segments) + 1)) or segments[-1]["total"] != len(block):
                     raise ValueError(f"page {page_id}: segments are missing")
@@ -226,15 +267,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     found = files.mapInArrow(parts, "page_id bigint, row string, segment int, total bigint, refers_to bigint, record_type string, stated string, block binary")
-    whole = found.filter("segment = 0").select("page_id", F.col("total").alias("payload_bytes"), F.col("stated").alias("payload_digest"), "record_type", "refers_to")
-    segments = (
-        found.filter("segment > 0")
-        .groupBy("page_id", "row")
-        .agg(F.sort_array(F.collect_list(F.struct("segment", "total", "stated", "block"))).alias("segments"))
+    # one group for each record: a whole one is a small row by now
+    return (
+        found.groupBy("page_id", "row")
+        .agg(F.sort_array(F.collect_list(F.struct("segment", "total", "stated", "record_type", "refers_to", "block"))).alias("segments"))
         .select("page_id", "segments")
         .mapInArrow(joined, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
     )
-    return whole.unionByName(segments)
 
 
 #: What comes back, in DuckDB's SQL.

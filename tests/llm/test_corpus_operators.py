@@ -613,7 +613,7 @@ def test_neighbours_are_found_wherever_the_scan_has_them(spark):
 
 def test_archives_round_trip(spark, tmp_path):
     long = "é\r\n\r\nWARC/1.1\r\n" * 9000
-    pages = [(1, "http://a", long), (2, "http://b", long), (3, None, None), (4, "http://c\r\nX: y", ""), (5, "u", "x" * 999), (6, "u", "x" * 999), (7, "u", "y" * 1000), (7, "u", "y" * 1000), (None, "u", "z")]
+    pages = [(1, "http://a", long), (2, "http://b", long), (3, None, None), (4, "http://c\r\nX: y", ""), (5, "u", "x" * 999), (6, "u", "x" * 999), (7, "u", "y" * 1000), (7, "u", "y" * 1000), (None, "u", "z"), (6, "w", "y" * 1000), (None, "u", "y" * 1000)]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("payload", F.lit(1)).repartition(3)
     path = f"file://{tmp_path}/warc"
     warc.write_archives(df, path, segment_bytes=5000)
@@ -621,16 +621,23 @@ def test_archives_round_trip(spark, tmp_path):
     want = []
     for p, _, h in pages:
         b = (h or "").encode()
-        kind, to = ("revisit", 2) if p == 1 else ("response", None)
+        kind, to = ("revisit", 2) if p == 1 else ("revisit", 7) if p == 6 and len(b) == 1000 else ("response", None)
         want.append((p, len(b), hashlib.sha1(b).hexdigest(), kind, to))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-    assert any(b"WARC-Segment-Total-Length" in f.read_bytes() for f in (tmp_path / "warc").glob("part-*"))
+    found = [f for file in (tmp_path / "warc").glob("part-*") for f in warc.parsed(file.read_bytes())]
+    names = [f["warc-record-id"] for f, _ in found]
+    assert len(set(names)) == len(names) and all(f["warc-date"].endswith("Z") for f, _ in found)
+    by_name, revisits = {f["warc-record-id"]: f for f, _ in found}, [f for f, _ in found if f["warc-type"] == "revisit"]
+    one = next(f for f in revisits if f["x-refers-to-page"] == "2")
+    kept = by_name[one["warc-refers-to"]]
+    assert kept["warc-target-uri"] == one["warc-refers-to-target-uri"] == "http://b" and kept["warc-date"] == one["warc-refers-to-date"]
+    assert len(revisits) == 2 and "warc-refers-to" not in next(f for f in revisits if f["x-refers-to-page"] == "7") and any("warc-segment-total-length" in f for f, _ in found)
     warc.write_archives(df.limit(0), path + "0")
     assert warc.read_archives(spark, path + "0").count() == 0
 
 
 def test_broken_archives_are_refused(spark, tmp_path):
-    records = warc.page_records(5, "0-0", "u", b"abc" * 5000, None, segment_bytes=4000)
+    records = warc.page_records(5, "0-0", "u", b"abc" * 5000, None, "2024-01-01T00:00:00Z", segment_bytes=4000)
     (tmp_path / "part-0").write_bytes(b"".join(r + b"\r\n" for r in records[:-1]))
     with pytest.raises(Exception, match="segments are missing"):
         warc.read_archives(spark, f"file://{tmp_path}").collect()

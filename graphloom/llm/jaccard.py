@@ -10,7 +10,8 @@ difference, and one pair of its subparts none: linked sets share a signature. A
 parts more than needed allow leaving out empty signatures, unless too many of a set's
 are (then it keeps all, and so does any set that it could meet in an empty one only).
 
-Signatures travel in packed blocks and are matched by sorting in numpy. What shares a
+Signatures travel in packed blocks, in as many buckets as their counted number asks for,
+and are matched by sorting in numpy. What shares a
 signature is a candidate; candidates are bounded by sketches of their sets (a histogram
 and parity bits), and all that remain are compared exactly. Work on large groups stays
 linear where it can: a signature's first member, its leader, is compared with all
@@ -26,7 +27,10 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +42,13 @@ from pyspark.sql.window import Window
 from graphloom.llm.common import dropped, written
 from graphloom.llm.shingles import mix, shingle_sets
 
-#: Signatures that are packed before they are dealt out.
-FLUSH = 1 << 18
-#: Signatures are dealt to so many buckets at least, so that few partitions get even shares.
-BUCKETS = 256
+#: Signatures that are packed before they are dealt out, at least and at most, and for each bucket.
+FLUSH, MOST_FLUSHED, FLUSHED_EACH = 1 << 18, 1 << 22, 64
+#: Signatures are dealt to so many buckets at least, so that few partitions get even shares, and
+#: to one for each so many signatures, as a bucket is matched as a whole.
+BUCKETS, BUCKET_SIGNATURES = 256, 1 << 20
+#: The upper end of the largest band in which signatures are sets without few elements; splits of the others.
+SMALLEST_SETS, SPLITS = 13, 4
 #: Up to this many members, all pairs of a signature's group are candidates at once.
 SMALL_GROUP = 8
 #: Rows in a file of the tables that components are found with.
@@ -66,47 +73,73 @@ def _bands() -> tuple[np.ndarray, np.ndarray]:
     return np.array(low), np.array(high)
 
 
-def _signatures(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, index of the set of each) of sets that lie one after the other."""
-    low, high = _bands()
-    own = np.searchsorted(high, lengths)
+def _subset_signatures(values: np.ndarray, lengths: np.ndarray, band: np.ndarray, used: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(signatures, index of the set of each) for small sets: hashes of what is left without up to a few elements.
+
+    A linked set that isn't larger lacks at most a fifth of a set, and a larger one at most a ninth.
+    """
+    starts = np.cumsum(lengths) - lengths
+    for n in np.unique(lengths[used]).tolist():
+        sets = np.flatnonzero(used & (lengths == n))
+        own = values[starts[sets][:, None] + np.arange(n)]
+        total, left = own.sum(axis=1, dtype=np.uint64)[:, None], []
+        for without in range(n // (9 if step else 5) + 1):
+            chosen = np.array(list(combinations(range(n), without)), np.int64).reshape(comb(n, without), without)
+            sums = total - own[:, chosen].sum(axis=2, dtype=np.uint64)
+            left.append(mix(sums ^ mix(np.uint64(n - without) | (band[sets].astype(np.uint64) << np.uint64(48))[:, None], 6), 7))
+        found = np.hstack(left)
+        yield found.ravel(), np.repeat(sets, found.shape[1])
+
+
+def _part_signatures(hashes: np.ndarray, values: np.ndarray, lengths: np.ndarray, band: np.ndarray, used: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(signatures, index of the set of each) by parts and pairs of subparts; sets with too many empty ones are split again."""
     element_set = np.repeat(np.arange(len(lengths)), lengths)
-    spread = mix(hashes, 1)
-    upper, lower, value = spread >> np.uint64(32), spread & np.uint64(0xFFFFFFFF), mix(hashes, 2)
-    sub = (lower * np.uint64(3)) >> np.uint64(32)
-    found, sets = [], []
-    for step in (0, 1):
-        band = own + step
-        top = high[band]
-        k = 2 * top // 9
-        used = (k > 0) & (lengths > 0) & (lengths * 5 // 4 >= low[band])
+    top = _bands()[1][band]
+    k = 2 * top // 9
+    for split in range(SPLITS):
         n1 = np.where(used, k // 2 + 1 + k // 16, 0)
         base = np.cumsum(n1) - n1
         total = int(n1.sum())
         if not total:
-            continue
-        inside = used[element_set] if not used.all() else slice(None)
-        who = element_set[inside]
-        part = (upper[inside] * n1[who].astype(np.uint64)) >> np.uint64(32)
-        cell = (base[who] + part.astype(np.int64)) * 3 + sub[inside].astype(np.int64)
+            return
+        inside = used[element_set]
+        who, value = element_set[inside], values[inside]
+        spread = mix(hashes[inside], 1 + 16 * split)
+        part = ((spread >> np.uint64(32)) * n1[who].astype(np.uint64)) >> np.uint64(32)
+        sub = ((spread & np.uint64(0xFFFFFFFF)) * np.uint64(3)) >> np.uint64(32)
+        cell = (base[who] + part.astype(np.int64)) * 3 + sub.astype(np.int64)
         sums = np.zeros(total * 3, np.uint64)
-        np.add.at(sums, cell, value[inside])
+        np.add.at(sums, cell, value)
         counts = np.bincount(cell, minlength=total * 3).reshape(-1, 3)
         sums = sums.reshape(-1, 3)
         rest, rest_counts = sums.sum(axis=1, keepdims=True, dtype=np.uint64) - sums, counts.sum(axis=1, keepdims=True) - counts
         part_set = np.repeat(np.arange(len(lengths)), n1)
         weak = np.bincount(part_set, (rest_counts == 0).any(axis=1), len(lengths))
         largest_difference = (lengths + np.minimum(top, lengths * 5 // 4)) // 9
-        keeps_all = weak >= n1 - largest_difference // 2
+        again = used & (weak >= n1 - largest_difference // 2)
         place = (np.arange(total) - base[part_set]).astype(np.uint64) * np.uint64(3)
-        place = place[:, None] + np.arange(3, dtype=np.uint64) + (band[part_set].astype(np.uint64) << np.uint64(48))[:, None]
+        place = place[:, None] + np.arange(3, dtype=np.uint64) + ((band[part_set] * SPLITS + split).astype(np.uint64) << np.uint64(46))[:, None]
         signature = mix(rest ^ mix(place, 3), 4)
-        emitted = (rest_counts > 0) | keeps_all[part_set][:, None]
-        found.append(signature[emitted])
-        sets.append(np.broadcast_to(part_set[:, None], emitted.shape)[emitted])
-    if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(found), np.concatenate(sets)
+        emitted = rest_counts > 0
+        if split == SPLITS - 1:
+            emitted |= again[part_set][:, None]
+        yield signature[emitted], np.broadcast_to(part_set[:, None], emitted.shape)[emitted]
+        used = again
+
+
+def _signatures(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, index of the set of each) of sets that lie one after the other."""
+    low, high = _bands()
+    own = np.searchsorted(high, lengths)
+    values = mix(hashes, 2)
+    found = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
+    for step in (0, 1):
+        band = own + step
+        used = (high[band] >= 5) & (lengths > 0) & (lengths * 5 // 4 >= low[band])  # smaller sets link with equal ones only
+        small = high[band] <= SMALLEST_SETS
+        found += _subset_signatures(values, lengths, band, used & small, step)
+        found += _part_signatures(hashes, values, lengths, band, used & ~small)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _fingerprints(hashes: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
@@ -152,6 +185,12 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(digest, "doc_id bigint, n_shingles bigint, set_id bigint, set_check bigint, sketch binary")
 
 
+def bucket_count(classes: DataFrame) -> int:
+    """Buckets for the signatures of the classes, of which a set has about one for each element and band."""
+    some = classes.agg(F.sum(F.when(F.col("n_shingles") <= SMALLEST_SETS, 120).otherwise(6 + F.col("n_shingles")))).first()[0]
+    return max(BUCKETS, -(-(some or 0) // BUCKET_SIGNATURES))
+
+
 def candidates(docs: DataFrame, n_buckets: int) -> DataFrame:
     """(a, b, led): pairs of set ids with a common signature; where the group is large,
     only pairs of its leader a with the others, and led is true. Pairs may come repeatedly."""
@@ -188,7 +227,7 @@ def candidates(docs: DataFrame, n_buckets: int) -> DataFrame:
                 signatures.append(s[order])
                 ids.append(names[new][who[order]])
                 n += len(s)
-                if n >= FLUSH:
+                if n >= max(FLUSH, min(MOST_FLUSHED, FLUSHED_EACH * n_buckets)):
                     yield packed(signatures, ids)
                     signatures, ids, n = [], [], 0
         if n:
@@ -222,6 +261,9 @@ def candidates(docs: DataFrame, n_buckets: int) -> DataFrame:
         return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1]), "led": pa.array(np.arange(both.shape[1]) >= few.shape[1])})
 
     blocks = docs.select("text").mapInArrow(sign, "bucket bigint, high binary, low binary, ids binary")
+    tasks = n_buckets // 4
+    if tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):  # few buckets to a task, however many there are
+        blocks = blocks.repartition(tasks, "bucket")
     return blocks.groupBy("bucket").applyInArrow(match, "a bigint, b bigint, led boolean")
 
 
@@ -361,12 +403,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     What is read again within is kept on the executors' disks, and made again from the
     documents if an executor is lost; what the result reads is written.
     """
-    spark = docs.sparkSession
     key = ["set_id", "set_check", "n_shingles"]
     every, docs = docs, docs.filter("doc_id is not null")
     classes = written(digests(docs).filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
-    n_buckets = max(BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = candidates(docs, n_buckets).persist(StorageLevel.DISK_ONLY)
+    found = candidates(docs, bucket_count(classes)).persist(StorageLevel.DISK_ONLY)
     pairs = _bounded(found.select("a", "b").distinct(), classes).persist(StorageLevel.DISK_ONLY)
     led = found.filter("led").select("a", "b")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(led.select("b")).distinct()

@@ -93,8 +93,8 @@ def test_shingle_sets_equal_python_sets():
 def test_similar_sets_share_a_signature(seed):
     rng = random.Random(seed)
     lost = 0
-    for _ in range(300):
-        n = rng.choice([5, 6, 7, 9, 13, 14, 17, 25, 60, 200, 900])
+    for _ in range(3000):
+        n = rng.choice([4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 25, 60, 200])
         a = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
         most = n // 5 + 2
         drop, add = rng.randrange(most), rng.randrange(most)
@@ -106,6 +106,15 @@ def test_similar_sets_share_a_signature(seed):
     assert lost == 0
 
 
+@pytest.mark.parametrize("n", [5, 8, 10, 13, 14, 17, 30])
+def test_sets_that_share_nothing_share_no_signature(n):
+    rng, count = np.random.default_rng(n), 20_000
+    s, who = jaccard._signatures(rng.integers(0, 1 << 63, count * n, dtype=np.uint64), np.full(count, n))
+    order = np.argsort(s)
+    same = s[order][1:] == s[order][:-1]
+    assert set(who.tolist()) == set(range(count)) and same.sum() <= 2
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_components_equal_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard, "PAIR_BLOCK", 16)

@@ -31,6 +31,11 @@ from graphloom.llm.common import held_out, sliced
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter; signs like \u00b2, \u00bd or roman numerals are none."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text or ""))
+
+
 @dataclass(frozen=True)
 class Settings:
     """documents: most rows to train on; least: of them, those taken of each language first; windows: most windows of each; length: bytes of a
@@ -85,7 +90,7 @@ class Network:
     def classify(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text."""
         length = self.settings.length
-        known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        known = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if known:
             data = [texts[i].encode("utf-8", "replace") for i in known]
@@ -175,7 +180,7 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Network:
         for batch in sliced(batches, 512):
             langs, windows = [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text and _LETTER.search(text):
+                if has_letter(text):
                     own = windows_of(text.encode("utf-8", "replace"), s.length)
                     if len(own) > 1:
                         own = own[:-1]  # the last one may be mostly filling

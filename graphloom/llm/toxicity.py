@@ -40,14 +40,12 @@ from graphloom.llm.common import held_out, sliced
 class Settings:
     """sample: most labelled rows of either class to learn from; support, rate: least toxic
     rows with a term, as a number and a share (copies of one text alone make no term);
-    odds: least ratio of a term's rates; terms: most candidates to look at; stems: lengths
-    of word beginnings; window: words on each side that make the context."""
+    odds: least ratio of a term's rates; stems: lengths of word beginnings; window: words on each side that make the context."""
 
     sample: int = 4000
     support: int = 4
     rate: float = 0.02
     odds: float = 6.0
-    terms: int = 4000
     stems: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
     window: int = 6
 
@@ -298,7 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
     odds = (F.col("toxic") / n_toxic) / ((F.col("clean") + 0.5) / n_clean)
     counted = _counts(sample, features, "term").filter((F.col("toxic") >= max(settings.support, settings.rate * n_toxic)) & (odds >= settings.odds))
-    rows = counted.orderBy(F.desc("toxic"), "term").limit(settings.terms).collect()
+    # a term is in so many of the sampled rows that there are at most (words of a row) / rate of them
+    rows = counted.collect()
     model.terms = _chosen({r["term"]: (r["toxic"], r["toxic"] * math.log(r["toxic"] / n_toxic / ((r["clean"] + 0.5) / n_clean))) for r in rows})
     lexicon = Lexicon(model.terms, first=True)
     matched = _counts(sample, lambda text: {f"{k} {e}" for k, e in lexicon.matches(text.lower())[1].values()}, "match").collect()

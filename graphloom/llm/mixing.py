@@ -8,10 +8,17 @@ source's documents in a fixed random order, which starts again where it ends. Wh
 taken of a document is what the slots it overlaps take of it, in all its repeats, and
 ``mixed_documents`` gives the copies in the order of those slots' turns.
 
+A mix has as many points as its words make blocks, and a source the slots of the points
+that fall on it. Such a sequence gives each source its share but for a few points, so up
+to ``REMAINDER`` blocks are added after all points, or left out, to meet a target; with a
+sequence of a larger discrepancy, sources would miss theirs.
+
 All of it is DataFrame code. Running sums of a source are made in two levels (sums
-of 4096 hash buckets, then within a bucket), so that a source with a third of all
-rows is no single task. Only the table of sources and the slots, whose number is a
-parameter, are ever sorted as one.
+of hash buckets, in a number that follows that of the rows, then within a bucket), so
+that a source with a third of all rows is no single task; those over sources in two
+levels too (ranges, then within a range), as sources may be many. Points meet sources by
+an equi-join on a grid. Only sums of buckets and ranges, and the slots of a source,
+whose number is a parameter, are ever sorted as one.
 
 A null text has size 0; a null source is a source of its own, the last one. Rows
 repeated or tied in all columns are told apart by an arbitrary order and share what
@@ -22,7 +29,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,6 +40,10 @@ GOLDEN = 2654435769
 WEIGHTS = (5, 2, 1)
 N_SLOTS = 1 << 16
 MAX_REPEATS = 3
+#: Blocks by which a source's points may miss its target and still be settled.
+REMAINDER = 8
+#: Rows of a bucket of a source at most, as far as hashes are even.
+BUCKET_ROWS = 50_000
 
 _CHARS = r"concat(' ', char(9), char(10), char(11), char(12), char(13))"
 N_WORDS = rf"cast(if(btrim(coalesce(text, ''), {_CHARS}) = '', 0, size(split(btrim(coalesce(text, ''), {_CHARS}), '[\\x20\\x09-\\x0D]+'))) as bigint)"
@@ -50,6 +61,23 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
+def running(df: DataFrame, order: list[Column], **of: Column) -> DataFrame:
+    """``df`` with ``place``, the number of rows before each one in an order without ties, and the sums of columns over them.
+
+    Rows are dealt out by ranges of the order; only a row for each range is summed as one.
+    """
+    keys = {f"_key{k}": c for k, c in enumerate(order)}
+    dealt = df.withColumns(keys | {f"_{n}": c for n, c in of.items()}).repartitionByRange(*keys)
+    dealt = written(dealt.withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    sums = {"place": F.lit(1).cast("bigint")} | {n: F.col(f"_{n}") for n in of}
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_all_{n}") for n, c in sums.items()])
+    ranges = ranges.select("_range", *[F.coalesce(F.sum(f"_all_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums])
+    within = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    both = {n: F.col(f"_before_{n}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}
+    return dealt.join(F.broadcast(ranges), "_range").select(*df.columns, *[c.cast("bigint").alias(n) for n, c in both.items()])  # a row for each range
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, n_slots=N_SLOTS, max_repeats=MAX_REPEATS) -> DataFrame:
     """One row for each source: its index, size, target, whole words to take, and slots.
 
@@ -58,32 +86,65 @@ def targets(sizes: DataFrame, weights=WEIGHTS, n_slots=N_SLOTS, max_repeats=MAX_
     """
     w = F.element_at(F.array(*map(F.lit, weights)), ((F.col("source_index") - 1) % len(weights) + 1).cast("int"))
     ranked = (
-        sizes.groupBy(*_SOURCE)
-        .agg(F.sum("size").alias("source_size"))
-        .withColumn("source_index", F.row_number().over(Window.orderBy(*_SOURCE)))
+        running(sizes.groupBy(*_SOURCE).agg(F.sum("size").alias("source_size")), [F.col(c) for c in _SOURCE])
+        .withColumn("source_index", (F.col("place") + 1).cast("int"))
+        .drop("place")
         .withColumn("weight", w.cast("bigint"))
         .withColumn("cap", F.col("source_size") * max_repeats)
     )
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    filling = Window.orderBy(F.col("cap") / F.col("weight"), "source_index")
+    filled = running(ranked, [F.col("cap") / F.col("weight"), F.col("source_index")], before=F.col("cap"), lighter=F.col("weight"))
+    whole = filled.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights"))
     filled = (
-        ranked.withColumn("total", F.sum("source_size").over(every))
-        .withColumn("before", F.coalesce(F.sum("cap").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("others", F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing)))
+        filled.join(F.broadcast(whole))  # one row
+        .withColumn("others", F.col("weights") - F.col("lighter"))
         .withColumn("capped", F.col("cap") * F.col("others") <= F.col("weight") * (F.col("total") - F.col("before")))
-        .withColumn("left", F.col("total") - F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)).over(every))
-        .withColumn("sharing", F.sum(F.when(F.col("capped"), 0).otherwise(F.col("weight"))).over(every))
+    )
+    shared = filled.agg(
+        (F.max("total") - F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0))).alias("left"),
+        F.sum(F.when(F.col("capped"), 0).otherwise(F.col("weight"))).alias("sharing"),
     )
     level = F.col("left").cast("double") / F.nullif("sharing", F.lit(0)).cast("double")
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight").cast("double") * level)
-    return (
-        filled.withColumn("target", target)
+    taken = (
+        filled.join(F.broadcast(shared))  # one row
+        .withColumn("target", target)
         .withColumn("take", F.floor("target").cast("bigint"))
         .withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("total") / n_slots)).cast("bigint"))
-        .withColumn("slots", F.ceil(F.col("take") / F.col("block")).cast("bigint"))
-        .withColumn("begins", F.sum("take").over(Window.orderBy("source_index")) - F.col("take"))
-        .withColumn("all_taken", F.sum("take").over(every))
-        .select(*_SOURCE, "source_index", "source_size", "target", "take", "block", "slots", "begins", "all_taken")
+        .select(*_SOURCE, "source_index", "source_size", "cap", "target", "take", "block")
+    )
+    placed = running(taken, [F.col("source_index")], begins=F.col("take"))
+    every = placed.agg(F.coalesce(F.sum("take"), F.lit(0)).alias("all_taken"))
+    return placed.join(F.broadcast(every)).drop("place")  # one row
+
+
+def fallen(spark, sources: DataFrame, n_slots=N_SLOTS) -> DataFrame:
+    """(source_index, slot, id): the golden-ratio points that fall on each source, and which of its points each is."""
+    ends = sources.agg(F.max("all_taken").cast("double").alias("all"))  # one row
+    cell = lambda at: F.floor(at / F.col("all") * n_slots).cast("int")
+    u = (F.col("id") * F.lit(GOLDEN)) % F.lit(1 << 32)
+    points = spark.range(2 * n_slots).join(F.broadcast(ends)).filter("all > 0")
+    points = points.withColumn("at", u.cast("double") / F.lit(float(1 << 32)) * F.col("all")).select("id", "at", cell(F.col("at")).alias("cell"))
+    spans = sources.filter("take > 0").join(F.broadcast(ends)).withColumn("low", F.col("begins").cast("double")).withColumn("high", (F.col("begins") + F.col("take")).cast("double"))
+    spans = spans.select("source_index", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    met = spans.join(points, "cell").filter("at >= low and at < high")
+    return met.select("source_index", F.row_number().over(Window.partitionBy("source_index").orderBy("id")).cast("bigint").alias("slot"), "id")
+
+
+def settled(spark, sources: DataFrame, n_slots=N_SLOTS) -> DataFrame:
+    """The sources with the words that their slots take (``take``), and the number of those ``slots``.
+
+    These are the slots of the first points, as many as the mix has blocks, and the
+    remainder to the target, if that is small; never more than the most repeats.
+    """
+    horizon = F.ceil(F.col("all_taken") / F.col("block"))
+    end = sources.agg(F.max(horizon).alias("end"))  # one row
+    points = fallen(spark, sources, n_slots).join(F.broadcast(end)).filter("id < end").groupBy("source_index").agg(F.count("*").alias("points"))
+    n = F.coalesce("points", F.lit(0))
+    take = F.least(F.greatest("take", (n - REMAINDER) * F.col("block")), (n + REMAINDER) * F.col("block"), "cap")
+    return (
+        sources.join(points, "source_index", "left")
+        .withColumn("taking", take.cast("bigint"))
+        .withColumn("slots", F.ceil(F.col("taking") / F.col("block")).cast("bigint"))
     )
 
 
@@ -91,30 +152,10 @@ def schedule(spark, sources: DataFrame, n_slots=N_SLOTS) -> DataFrame:
     """(source_index, slot, position): when each slot of each source has its turn.
 
     The position is the index of the golden-ratio point that fell on the source. A
-    source too small to be met by ``2 * n_slots`` points has its slots after them.
+    remainder that isn't met by ``2 * n_slots`` points has its slots after them.
     """
-    sum_all = sources.agg(F.max("all_taken").alias("all_taken"))
-    u = (F.col("id") * F.lit(GOLDEN)) % F.lit(1 << 32)
-    points = (
-        spark.range(2 * n_slots)
-        .join(F.broadcast(sum_all))  # one row
-        .select(
-            (u.cast("double") / F.lit(float(1 << 32)) * F.col("all_taken").cast("double")).alias("at"),
-            F.lit(None).cast("int").alias("bound"),
-            "id",
-        )
-    )
-    bounds = sources.select(F.col("begins").cast("double").alias("at"), F.col("source_index").alias("bound"), F.lit(None).cast("bigint").alias("id"))
-    along = Window.orderBy("at", F.col("id").isNotNull(), "bound", "id").rowsBetween(Window.unboundedPreceding, 0)
-    met = (
-        points.unionByName(bounds)
-        .withColumn("source_index", F.last("bound", ignorenulls=True).over(along))
-        .filter("id is not null")
-        .withColumn("slot", F.row_number().over(Window.partitionBy("source_index").orderBy("id")).cast("bigint"))
-        .select("source_index", "slot", "id")
-    )
     quotas = sources.filter("slots > 0").select("source_index", F.explode(F.sequence(F.lit(1).cast("bigint"), "slots")).alias("slot"))
-    return quotas.join(met, ["source_index", "slot"], "left").select(
+    return quotas.join(fallen(spark, sources, n_slots), ["source_index", "slot"], "left").select(
         "source_index", "slot", F.coalesce("id", F.lit(2 * n_slots) + F.col("slot")).alias("position")
     )
 
@@ -128,9 +169,14 @@ def turns(docs: DataFrame, weights=WEIGHTS, n_slots=N_SLOTS, max_repeats=MAX_REP
     """
     spark = docs.sparkSession
     sizes = written(sized(docs), "mix-sizes")
-    sources = written(targets(sizes, weights, n_slots, max_repeats), "mix-sources")
+    sources = written(targets(sizes, weights, n_slots, max_repeats), "mix-targets")
+    sources = written(settled(spark, sources, n_slots), "mix-sources")
     slots = schedule(spark, sources, n_slots)
-    bucketed = sizes.join(sources, _SOURCE).withColumn("bucket", F.substring("order_key", 1, 3))
+    digits = 3
+    while sizes.count() > BUCKET_ROWS << 4 * digits:
+        digits += 1
+    of_source = sources.select(*_SOURCE, "source_index", "source_size", "target", "block", F.col("taking").alias("take"))
+    bucketed = sizes.join(of_source, _SOURCE).withColumn("bucket", F.substring("order_key", 1, digits))
     offsets = (
         bucketed.groupBy("source_index", "bucket")
         .agg(F.sum("size").alias("in_bucket"))

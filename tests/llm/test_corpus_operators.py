@@ -214,7 +214,7 @@ def test_what_is_taken_follows_the_schedule(spark, monkeypatch):
     rng = random.Random(16)
     rows = [(k, " ".join(["x"] * rng.choice([0, 3, 40, 900])), "en", rng.choice("abbbbb"), 0) for k in range(120)]
     df = spark.createDataFrame(rows, DOCS)
-    slots = {(r["source_index"], r["slot"]): r["position"] for r in mixing.schedule(spark, mixing.targets(mixing.sized(df), n_slots=64), 64).collect()}
+    slots = {(r["source_index"], r["slot"]): r["position"] for r in mixing.schedule(spark, mixing.settled(spark, mixing.targets(mixing.sized(df), n_slots=64), 64), 64).collect()}
     found = mixing.turns(df, n_slots=64).filter("words > 0").collect()
     assert {r["position"] for r in found} == set(slots.values()) and len({(r["doc_id"], r["repeat"]) for r in found}) > len({r["doc_id"] for r in found})
     begins = {}
@@ -234,6 +234,53 @@ def test_what_is_taken_follows_the_schedule(spark, monkeypatch):
     assert all((taken[k] > 0) <= (s != "a") for k, _, _, s, _ in rows) and any(taken.values())
 
 
+def brute_mix(rows, n_slots, golden=mixing.GOLDEN):
+    """Words taken of each row, slot by slot: every point, the source it falls on, and that slot's block word by word."""
+    sizes, of = Counter(), {}
+    for doc_id, text, _, source, _ in rows:
+        n = len((text or "").split())
+        sizes[source] += n
+        of.setdefault(source, []).append((hashlib.md5(str(doc_id).encode()).hexdigest()[:16], doc_id, n))
+    target, total = brute_targets(sizes), sum(sizes.values())
+    names = sorted(s for s in sizes if s is not None) + ([None] if None in sizes else [])
+    block, take = max(1, math.ceil(total / n_slots)), {s: math.floor(target[s]) for s in names}
+    every, points = sum(take.values()), Counter()
+    for n in range(math.ceil(every / block)):
+        at, begin = (n * golden) % 2**32 / 2**32 * every, 0
+        for s in names:
+            if begin <= at < begin + take[s]:
+                points[s] += 1
+            begin += take[s]
+    taken = Counter()
+    for s in names:
+        words = [d for _, d, n in sorted(of[s]) for _ in range(n)] * 3
+        end = min(max(take[s], (points[s] - mixing.REMAINDER) * block), (points[s] + mixing.REMAINDER) * block, len(words))
+        for slot in range(math.ceil(end / block)):
+            taken.update(words[slot * block : min((slot + 1) * block, end)])
+    return {r[0]: taken[r[0]] for r in rows}
+
+
+def test_mix_equals_brute_force_for_any_sequence(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(k, " ".join(["x"] * rng.choice([0, 3, 40, 300])), "en", rng.choice([*"abbbbbcé", None]), 0) for k in range(150)] + [(500, "very long " * 4000, "en", "b", 0), (501, None, "en", "d", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    found = []
+    for golden in (mixing.GOLDEN, 1, 3 << 29):
+        monkeypatch.setattr(mixing, "GOLDEN", golden)
+        found.append({r["doc_id"]: r["taken"] for r in mixing.mix(df, n_slots=256).collect()})
+        assert found[-1] == brute_mix(rows, 256, golden)
+    assert found[0] != found[1] and found[0] != found[2]  # the sequence decides
+
+
+def test_running_sums(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"), (F.col("id") % 13).alias("n"))
+    rows = sorted(mixing.running(df, [F.col("k")], s=F.col("n")).collect())
+    total = 0
+    for k, r in enumerate(rows):
+        assert (r["k"], r["place"], r["s"]) == (k, k, total)
+        total += r["n"]
+
+
 # --- toxicity ---------------------------------------------------------------
 
 
@@ -350,6 +397,10 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.identify(df, langid.fit(df.limit(0))).collect()} == {"und"}
 
 
+def test_signs_and_numbers_are_no_letters():
+    assert [langid.has_letter(t) for t in (None, "", "² ½ Ⅷ ٣ _ 12", "½ ª", "ß", "日", "-" * 100_000)] == [False, False, False, True, True, True, False]
+
+
 def test_rare_languages_are_learned(spark):
     rows = [(k, f"aa bb cc {k}", "rare" if k % 500 == 1 else "often", "s", 0) for k in range(3000)] + [(5000 + k, "...", "none", "s", 0) for k in range(9)]
     df = spark.createDataFrame(rows, DOCS)

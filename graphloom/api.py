@@ -2,82 +2,211 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import mutate, render, vectors
-from graphloom.operators.graph import HOPS
-from graphloom.scratch import written
+from graphloom.functions.columns import blank
+from graphloom.operators import mutate, render, vectors, writeback
+from graphloom.operators.graph import HOPS, Graph, asked_for
+from graphloom.schemas import TRIPLES
+from graphloom.scratch import dropped, written
 from graphloom.sources import ignore
 from graphloom.sources.context import with_context
-from graphloom.sources.extract.registry import extract, scan
+from graphloom.sources.extract import registry
 from graphloom.sources.hierarchy import hierarchy
-from graphloom.sources.store import GraphStore
+from graphloom.sources.store import GraphStore, load_triples, psr4
 from graphloom.streaming.watch import watch
 
+#: Answers where there is nothing to ask yet.
+NO_GRAPH = "nothing is published yet: ingest first"
+NO_INDEX = "there is no index yet: call index, or ingest with index=True"
+COMPOSER = "composer.json"
+_FLAGS = {"agent_created": "boolean", "agent_inferred": "boolean"}
+_EDGE_FLAGS = {"agent_inferred": "boolean", "agent_relation": "boolean", "resolved": "boolean"}
+
 
 class Repository:
-    """A source tree and its graph: ``ingest`` builds and publishes, the other methods ask."""
+    """A source tree and its graph: ``ingest`` builds and publishes, the other methods ask or correct.
+
+    Ignore patterns and skipped folders that an ingest is given hold for later changes of
+    files too; without patterns, those of the tree's own list do. Every correction
+    publishes a version of its own, and survives later ingests.
+    """
 
     def __init__(self, spark: SparkSession, root: str, home: str, project: str):
-        self.spark, self.root, self.project = spark, root, project
+        self.spark, self.root, self.project = spark, root.rstrip("/"), project
         self.store = GraphStore(spark, home, project)
         self.home = home.rstrip("/")
+        self.patterns, self.skip, self.embed = None, ignore.SKIPPED, vectors.hashed_words
 
-    def ingest(self, patterns: list[str] | None = None, normalize=None, skip=ignore.SKIPPED) -> dict:
+    def init(self) -> dict:
+        """Ingests if nothing is published yet."""
+        return {"status": "ready", "version": self.store.version()} if self.store.version() else self.ingest()
+
+    # --- building ----------------------------------------------------------
+
+    def ingest(self, patterns: list[str] | None = None, normalize: Callable[[DataFrame], DataFrame] | None = None, skip=ignore.SKIPPED, index: bool = False) -> dict:
         """Scans, extracts, resolves, joins with the published graph, and publishes.
 
         ``normalize`` may rewrite the triples. Without any triple the old graph stays.
+        ``index``: also embeds the entities anew; an index that is there is always renewed.
         """
-        files = scan(self.spark, self.root, patterns, skip)
-        triples = extract(files)
-        return self._publish(normalize(triples) if normalize else triples, files.select("path"))
+        self.patterns, self.skip = patterns, skip
+        files = registry.scan(self.spark, self.root, patterns, skip)
+        triples = registry.extract(files)
+        return self._publish(normalize(triples) if normalize else triples, files.select("path"), index)
+
+    def ingest_triples(self, triples: DataFrame | str) -> dict:
+        """Publishes the graph of given triples, or of a JSON file of them; their files are those of the tree."""
+        given = load_triples(self.spark, triples) if isinstance(triples, str) else triples
+        return self._publish(given.select(*TRIPLES.names), given.select(F.col("source_file").alias("path")).distinct(), False)
 
-    def _publish(self, triples: DataFrame, paths: DataFrame) -> dict:
+    def _publish(self, triples: DataFrame, paths: DataFrame, index: bool) -> dict:
         triples = written(triples, "triples")
         count = triples.count()
         if not count:
             return {"status": "abandoned", "triples": 0}
-        tree_nodes, tree_edges = hierarchy(paths, self.project)
+        folders = ignore.folders(self.spark, self.root, self.patterns, self.skip)
+        tree_nodes, tree_edges = hierarchy(paths, self.project, self.spark.createDataFrame([(f,) for f in folders], "path string"))
         ids = tree_nodes.filter("type = 'File'").select("id", "path")
         nodes, edges = mutate.graph_of(triples, self.project, ids)
         stamp = F.current_timestamp()
         tree_nodes = tree_nodes.withColumn("last_ingested", F.when(F.col("type") == "Project", stamp)).withColumn("updated_at", F.when(F.col("type") == "File", stamp))
-        new = nodes.unionByName(tree_nodes, allowMissingColumns=True)
-        old = self.store.graph()
-        for c in ("agent_created", "agent_inferred"):
-            new = new.withColumn(c, F.lit(None).cast("boolean"))
-        all_edges = edges.unionByName(tree_edges, allowMissingColumns=True)
-        for c in ("agent_inferred", "agent_relation"):
-            all_edges = all_edges.withColumn(c, F.lit(None).cast("boolean"))
+        new = writeback.with_columns(nodes.unionByName(tree_nodes, allowMissingColumns=True), _FLAGS)
+        all_edges = writeback.with_columns(edges.unionByName(tree_edges, allowMissingColumns=True), _EDGE_FLAGS)
         if self.store.version():
-            new = written(mutate.rebuilt_nodes(_like(old.nodes, new), new, ids), "nodes")
+            old = self.store.graph()
+            there = registry.listed(self.spark, self.root)  # an agent's node stays while its file does, indexed or not
+            new = written(mutate.rebuilt_nodes(_like(old.nodes, new), new, there), "nodes")
             all_edges = mutate.rebuilt_edges(_like(old.edges, all_edges), all_edges, new)
-        return {"status": "published", "triples": count, "version": self.store.publish(new, all_edges, triples)}
+        version = self.store.publish(new, all_edges, triples, self._psr4())
+        dropped(triples)
+        self.store.write_files(f"{self.home}/files")
+        if index or self._index() is not None:
+            self.index()
+        return {"status": "published", "triples": count, "version": version}
+
+    def _psr4(self) -> dict[str, str]:
+        path = f"{self.root}/{COMPOSER}"
+        return psr4(self.spark.read.text(path, wholetext=True).first()[0]) if ignore.is_file(self.spark, path) else {}
 
     def apply(self, changed: DataFrame, deleted: DataFrame) -> dict:
-        """Publishes the graph after changes of files: only changed ones are parsed, then all is resolved anew."""
-        touched = changed.select("path").unionByName(deleted.select("path")).distinct()
-        files = scan(self.spark, self.root)
-        fresh = extract(files.join(changed.select("path").distinct(), "path", "left_semi"))
+        """Publishes the graph after changes of files: only changed ones are read, then all is resolved anew."""
+        touched = written(changed.select("path").unionByName(deleted.select("path")).distinct(), "touched")
+        names = [r["path"] for r in changed.select("path").distinct().limit(registry.NAMED_FILES + 1).collect()]
+        named = len(names) <= registry.NAMED_FILES
+        files = registry.scan(self.spark, self.root, self.patterns, self.skip, only=names if named else None)
+        fresh = registry.extract(files if named else files.join(touched, "path", "left_semi"))
         old = self.store.triples()
         kept = old.join(touched.withColumnRenamed("path", "source_file"), "source_file", "left_anti").select(*old.columns)
         last = kept.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("last"))
         fresh = fresh.join(F.broadcast(last)).withColumn("seq", F.col("seq") + F.col("last")).select(*old.columns)  # one row
-        return self._publish(kept.unionByName(fresh), files.select("path"))
+        before = self.store.graph().files().select("path").join(touched, "path", "left_anti")
+        return self._publish(kept.unionByName(fresh), before.unionByName(files.select("path")).distinct(), False)
+
+    def watch(self, events: DataFrame, checkpoint: str, patterns: list[str] | None = None, every: str | None = None):
+        """Follows a stream of file events; a batch of them publishes one version.
+
+        ``every``: the time between batches of a stream that goes on until it is stopped;
+        without it, what is there is done, and the stream ends.
+        """
+        self.patterns = patterns if patterns is not None else self.patterns
+        known = ignore.load_patterns(self.spark, self.root) if self.patterns is None else self.patterns
+        return watch(events, self.apply, checkpoint, known, self.skip, every)
+
+    # --- what agents write -------------------------------------------------
 
-    def watch(self, events: DataFrame, checkpoint: str, patterns: list[str] | None = None):
-        """Follows a stream of file events; a batch of them publishes one version."""
-        return watch(events, self.apply, checkpoint, patterns)
+    def _corrected(self, answer: dict, done: tuple[str, ...], nodes: DataFrame, edges: DataFrame) -> dict:
+        if answer["status"] in done:
+            answer["version"] = self.store.publish(nodes.select(*[c for c in nodes.columns if c != "name_lower"]), edges)
+        return answer
 
-    def index(self) -> int:
-        """Embeds all entities anew; the number of them."""
-        index = vectors.indexed(self.store.graph().nodes)
-        index.write.mode("overwrite").parquet(f"{self.home}/vectors")
-        return self.spark.read.parquet(f"{self.home}/vectors").count()
+    def _graph(self) -> Graph | None:
+        return self.store.graph() if self.store.version() else None
+
+    def add_entity(self, name: str, kind: str = "function", file: str = "", line: int | None = None, description: str = "", language: str = "") -> dict:
+        """Adds an entity that extraction missed, or updates the only one of its name (and file)."""
+        g = self._graph()
+        if g is None:
+            return {"status": "skipped", "reason": NO_GRAPH}
+        answer, nodes = writeback.added_entity(g, name, kind, file, line, description, language)
+        return self._corrected(answer, ("created", "updated"), nodes, g.edges)
+
+    def add_call(self, caller: str, callee: str, line: int | None = None, relation: str = "CALLS", caller_file: str = "", callee_file: str = "") -> dict:
+        """Adds an edge between two entities by their names."""
+        g = self._graph()
+        if g is None:
+            return {"status": "skipped", "reason": NO_GRAPH}
+        told = written(writeback.added_calls(g, writeback.one(g, caller=caller, callee=callee, relation=relation, caller_file=caller_file, callee_file=callee_file, line=line)), "told")
+        return self._corrected(writeback.answer(g, told), ("added",), *writeback.with_calls(g, told))
+
+    def delete_entity(self, name: str = "", file: str = "", id: str = "") -> dict:
+        """Undoes ``add_entity``, or strips a parsed entity of what agents said of it."""
+        g = self._graph()
+        if g is None:
+            return {"status": "skipped", "reason": NO_GRAPH}
+        return self._corrected(*_done(writeback.deleted_entity(g, name, file, id), ("deleted", "stripped")))
+
+    def delete_call(self, caller: str, callee: str, relation: str = "CALLS", caller_file: str = "", callee_file: str = "") -> dict:
+        """Undoes ``add_call``."""
+        g = self._graph()
+        if g is None:
+            return {"status": "skipped", "reason": NO_GRAPH}
+        told, edges = writeback.removed_calls(g, writeback.one(g, caller=caller, callee=callee, relation=relation, caller_file=caller_file, callee_file=callee_file))
+        return self._corrected(writeback.answer(g, told), ("removed",), g.nodes, edges)
+
+    def modify_relation(self, caller: str, callee: str, to_relation: str, from_relation: str = "", caller_file: str = "", callee_file: str = "") -> dict:
+        """Gives an edge another type, which then holds against the parser's."""
+        g = self._graph()
+        if g is None:
+            return {"status": "skipped", "reason": NO_GRAPH}
+        asked = writeback.one(g, caller=caller, callee=callee, relation=to_relation, from_relation=from_relation, caller_file=caller_file, callee_file=callee_file)
+        told, edges = writeback.modified_relations(g, asked)
+        return self._corrected(writeback.answer(g, told), ("modified",), g.nodes, edges)
+
+    def describe(self, name: str, text: str, file: str = "", id: str = "") -> dict:
+        """Sets the description of the only entity of a name; blank text clears it."""
+        g = self._graph()
+        if g is None:
+            return {"status": "skipped", "reason": NO_GRAPH}
+        answer, nodes = writeback.described(g, text, name, file, id)
+        return self._corrected(answer, ("updated", "cleared"), nodes, g.edges)
+
+    def description(self, id: str) -> str:
+        """What was said of a node; an empty text if nothing was."""
+        row = self.store.graph().nodes.filter(F.col("id") == id).select("description").first()
+        return row[0] or "" if row else ""
+
+    # --- the index ---------------------------------------------------------
+
+    def _index(self) -> DataFrame | None:
+        """The newest index: a version of it is found by its marker, as graphs are."""
+        store = GraphStore(self.spark, f"{self.home}/vectors", self.project)
+        return self.spark.read.parquet(f"{store.root}/v-{store.version()}") if store.version() else None
+
+    def index(self, embed=None) -> int:
+        """Embeds all entities anew, with a given embedder from now on; the number of them."""
+        self.embed = embed or self.embed
+        store = GraphStore(self.spark, f"{self.home}/vectors", self.project)
+        return store.publish_table(vectors.indexed(self.store.graph().nodes, self.embed))
 
     def search(self, text: str, limit: int = 10) -> DataFrame:
-        return vectors.search(self.spark.read.parquet(f"{self.home}/vectors"), text, limit)
+        """The entities closest to a text; raises LookupError if there is no index."""
+        found = self._index()
+        if found is None:
+            raise LookupError(NO_INDEX)
+        return vectors.search(found, text, limit, self.embed)
+
+    def fetch_search(self, text: str, limit: int = 10) -> dict:
+        """The same as rows, or a hint at what is missing."""
+        try:
+            return {"query": text, "results": _rows(self.search(text, limit))}
+        except LookupError as e:
+            return {"query": text, "results": [], "hint": str(e)}
+
+    # --- questions ---------------------------------------------------------
 
     def impact(self, name: str, hops: int = HOPS) -> DataFrame:
         return self.store.graph().impact(name, hops)
@@ -85,7 +214,7 @@ class Repository:
     def blast_radius(self, target: str, hops: int = HOPS) -> DataFrame:
         return self.store.graph().blast_radius(target, hops)
 
-    def batch_impact(self, targets: str, hops: int = HOPS) -> DataFrame:
+    def batch_impact(self, targets: str | list[str], hops: int = HOPS) -> DataFrame:
         return self.store.graph().batch_impact(targets, hops)
 
     def deps(self, file: str, hops: int = HOPS) -> DataFrame:
@@ -107,25 +236,99 @@ class Repository:
     def tree(self) -> DataFrame:
         return self.store.graph().tree()
 
+    # --- answers as dictionaries, with their freshness ---------------------
+
+    def _entity_time(self, name: str):
+        return self.store.graph().entity_time(name)
+
+    def fetch_impact(self, name: str, hops: int = HOPS) -> dict:
+        return {"entity": name, "callers": _rows(self.impact(name, hops)), "updated_at": self._entity_time(name)}
+
+    def fetch_deps(self, file: str, hops: int = HOPS) -> dict:
+        return {"file": file, "dependencies": _rows(self.deps(file, hops)), "updated_at": self.store.updated_at(file)}
+
+    def fetch_styles(self, element: str) -> dict:
+        return {"element": element, "selectors": _rows(self.styles(element)), "updated_at": self._entity_time(element)}
+
+    def fetch_trace(self, start: str, hops: int = HOPS) -> dict:
+        return {"entity": start, "calls": _rows(self.trace(start, hops)), "updated_at": self._entity_time(start)}
+
+    def fetch_grep(self, pattern: str, field: str = "all", ignore_case: bool = True, limit: int = 100) -> dict:
+        """Matches, and whether the limit cut them; a pattern that is none gives an ``error``."""
+        try:
+            found = _rows(self.grep(pattern, field, ignore_case, limit + 1))
+        except ValueError as e:
+            return {"pattern": pattern, "matches": [], "error": str(e)}
+        return {"pattern": pattern, "matches": found[:limit], "truncated": len(found) > limit}
+
+    def fetch_blast_radius(self, target: str, hops: int = HOPS) -> dict:
+        """The files with ``found``; what a target means first tells its own file."""
+        own = self.store.graph().found([target]).orderBy("by_path", blank(F.col("file")) == "", "id").first()
+        if own is None or not own["file"]:
+            return {"target": target, "found": False, "files": [], "updated_at": None}
+        return {"target": target, "target_file": own["file"], "found": True, "files": _rows(self.blast_radius(target, hops)), "updated_at": self.store.updated_at(own["file"])}
+
+    def fetch_batch_impact(self, targets: str | list[str], hops: int = HOPS) -> dict:
+        """The files with the targets that were ``resolved`` and those ``not_found``."""
+        asked = asked_for(targets)
+        meant = {r["target"]: r["file"] for r in self.store.graph().found(asked).filter(blank(F.col("file")) != "").groupBy("target").agg(F.min("file").alias("file")).collect()}
+        resolved = [t for t in asked if t in meant]
+        files = _rows(self.batch_impact(resolved, hops)) if resolved else []
+        updated = self.store.updated_at(meant[resolved[0]]) if resolved else None
+        return {"targets": asked, "resolved": resolved, "not_found": [t for t in asked if t not in meant], "files": files, "updated_at": updated}
+
+    def fetch_dead_code(self, entry_points: bool = False) -> dict:
+        rows = _rows(self.dead_code(True))
+        out = {"dead": [r for r in rows if r["verdict"] == "dead"], "maybe_entrypoint_count": sum(r["verdict"] != "dead" for r in rows)}
+        return out | ({"maybe_entrypoints": [r for r in rows if r["verdict"] != "dead"]} if entry_points else {})
+
+    def fetch_tree(self) -> dict:
+        return {"project": self.project, "tree": _rows(self.tree()), "last_ingested": self.store.last_ingested()}
+
+    def node_count(self) -> int:
+        return self.store.graph().nodes.count()
+
     def flow(self, start: str, hops: int = HOPS) -> dict:
         nodes, edges = self.store.graph().flow(start, hops)
         n, e = render.collected(nodes, edges)
         return {"nodes": n, "edges": render.ordered(n, e)[0]}
 
     def flow_summary(self, start: str, hops: int = HOPS, fmt: str = "mermaid") -> dict:
+        """A flow as a picture or JSON; of the tree, only the files of its nodes are read."""
         nodes, edges = self.store.graph().flow(start, hops)
         contexts = None
         if fmt == "json":
-            contexts = {r["id"]: r.asDict() for r in with_context(nodes, scan(self.spark, self.root)).collect()}
+            nodes = written(nodes, "flow")
+            paths = [r["file"] for r in nodes.select("file").filter(blank(F.col("file")) != "").distinct().collect()]
+            contexts = {r["id"]: r.asDict() for r in with_context(nodes, registry.scan(self.spark, self.root, [], (), only=paths)).collect()}
         return render.summary(nodes, edges, start, fmt, contexts)
 
-    def describe(self, name: str, text: str, file: str | None = None) -> str:
-        """Sets the description of the only entity of a name; empty text clears nothing."""
-        g = self.store.graph()
-        status, nodes = mutate.added_entity(g, name, "function", file, description=text)
-        if status == "updated":
-            self.store.publish(nodes, g.edges)
-        return status
+
+class Workspace:
+    """The repository that questions go to, of several that have their graphs below one folder."""
+
+    def __init__(self, spark: SparkSession, home: str):
+        self.spark, self.home, self._active = spark, home.rstrip("/"), None
+
+    def set_repo(self, root: str) -> Repository:
+        """Makes a tree the one that is asked; its project is its folder's name."""
+        project = root.rstrip("/").rpartition("/")[2]
+        self._active = Repository(self.spark, root, f"{self.home}/{project}", project)
+        return self._active
+
+    def get_repo(self) -> Repository:
+        if self._active is None:
+            raise LookupError("no repository is set")
+        return self._active
+
+
+def _done(found: tuple[dict, DataFrame, DataFrame], statuses: tuple[str, ...]):
+    answer, nodes, edges = found
+    return answer, statuses, nodes, edges
+
+
+def _rows(df: DataFrame) -> list[dict]:
+    return [r.asDict(recursive=True) for r in df.collect()]
 
 
 def _like(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,14 +6,14 @@ rows could stand for another, the one with the smallest sequence number does.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import blank, import_targets, looks_like_entry, receiver_matches, without_code_ending
-from graphloom.operators.traverse import bfs
+from graphloom.operators.traverse import bfs, within
 from graphloom.scratch import written
 
 HOPS = 3
@@ -31,18 +31,26 @@ def _first(value: Column | str, order: str = "edge_seq") -> Column:
 
 @dataclass(frozen=True)
 class Graph:
-    """A project's node and edge tables; ``derived``: whether they are computed rather than read."""
+    """A project's node and edge tables.
+
+    ``into``: the edges once more, stored in the order of their targets; ``imports``: the
+    (importer, target) files of all imports, as far as they were resolved at publishing.
+    """
 
     nodes: DataFrame
     edges: DataFrame
     project: str
-    derived: bool = False
+    into: DataFrame | None = None
+    imports: DataFrame | None = None
 
-    def _bfs(self, edges: DataFrame, seeds: DataFrame, max_hops: int, **how) -> DataFrame:
-        return bfs(edges, seeds, max_hops, derived=self.derived, **how)
+    def _typed(self, types, into: bool = False) -> DataFrame:
+        """The edges of some types; ``into``: those stored by their targets, if there are any."""
+        edges = self.into if into and self.into is not None else self.edges
+        return edges.filter(F.col("type").isin(*types))
 
-    def _typed(self, types) -> DataFrame:
-        return self.edges.filter(F.col("type").isin(*types))
+    def _low_name(self) -> Column:
+        """The lower-case name, which published nodes have as a column."""
+        return F.col("name_lower") if "name_lower" in self.nodes.columns else F.lower(blank(F.col("name")))
 
     def entities(self) -> DataFrame:
         return self.nodes.filter("type = 'Entity'")
@@ -51,6 +59,17 @@ class Graph:
         """(id, path) of the file nodes."""
         return self.nodes.filter("type = 'File'").select("id", "path")
 
+    def files_at(self, path: str) -> DataFrame:
+        """The file nodes of a path, the first one first."""
+        return self.nodes.filter((F.col("type") == "File") & (F.col("path") == path)).orderBy("node_seq")
+
+    def entity_time(self, name: str):
+        """When the file of the first entity of a name that has one was taken in; None without any."""
+        files = self.nodes.filter("type = 'File'").select(F.col("path").alias("file"), "updated_at")
+        own = self.entities().filter((F.col("name") == name) & (blank(F.col("file")) != "")).orderBy("node_seq").limit(1).select("file")
+        row = files.join(F.broadcast(own), "file").first()  # one row
+        return row["updated_at"] if row else None
+
     def covers(self, path: str) -> bool:
         """Whether a path is the root, an indexed file, or a folder with one; case doesn't count."""
         wanted = path.strip("/").lower()
@@ -64,9 +83,9 @@ class Graph:
         defines it, else all of the name.
         """
         qualifier, _, last = name.rpartition(".")
-        named = self.entities().filter(F.lower(blank(F.col("name"))) == last.lower()).select("id", "file", "owner", "node_seq")
+        named = self.entities().filter(self._low_name() == last.lower()).select("id", "file", "owner", "node_seq")
         if qualifier:
-            homes = self.entities().filter((F.col("entity_type") == "class") & (F.lower("name") == qualifier.lower()) & (blank(F.col("file")) != ""))
+            homes = self.entities().filter((F.col("entity_type") == "class") & (self._low_name() == qualifier.lower()) & (blank(F.col("file")) != ""))
             homes = homes.select("file").distinct().withColumn("at_home", F.lit(True))
             tier = F.when(F.lower("owner") == qualifier.lower(), 0).when(F.col("at_home"), 1).otherwise(2)
             tiered = named.join(homes, "file", "left").withColumn("tier", tier)
@@ -85,11 +104,11 @@ class Graph:
         leaves none, the calls into the bucket of the bare name come, as not resolved.
         """
         qualifier, _, last = name.rpartition(".")
-        edges = self._typed(CALLERS)
+        edges = self._typed(CALLERS, into=True)
         targets = written(self.resolve(name).select("id"), "targets")
         fits = F.coalesce(receiver_matches(qualifier, F.col("receiver"), F.col("receiver_type")), F.lit(False)) if qualifier else None
         of_entities = self.entities().select("id")
-        reached = self._bfs(edges, targets, max_hops, reverse=True, first_hop=fits, reach=lambda near: near.join(of_entities, "id", "left_semi"))
+        reached = bfs(edges, targets, max_hops, reverse=True, first_hop=fits, reach=within(of_entities))
         found = self._callers(reached.filter("depth > 0"), edges, F.lit(True))
         if qualifier:
             bucket = f"{self.project}:{last}"
@@ -127,10 +146,10 @@ class Graph:
     def grep(self, pattern: str, field: str = "all", ignore_case: bool = True, limit: int = 100) -> DataFrame:
         """Entities with a field that a regular expression finds; the first of name, file,
         kind and description counts. The first ``limit`` in node order, shown by file and name.
-        Raises ValueError on a bad pattern."""
+        Raises ValueError on a pattern that isn't one of the engine's (java.util.regex)."""
         try:
-            re.compile(pattern)
-        except re.error as e:
+            self.nodes.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+        except IllegalArgumentException as e:
             raise ValueError(f"invalid regex: {e}") from e
         fields = ["name", "file", "kind", "description"] if field == "all" else [field]
         p = F.lit(("(?i)" if ignore_case else "") + pattern)
@@ -149,7 +168,7 @@ class Graph:
         """What a file imports, directly or through what it contains and imports."""
         edges = self._typed(("CONTAINS", "IMPORTS"))
         start = self.nodes.filter((F.col("type") == "File") & (F.col("path") == file_path)).orderBy("node_seq").limit(1).select("id")
-        reached = self._bfs(edges, start, max_hops).filter("depth > 0")
+        reached = bfs(edges, start, max_hops).filter("depth > 0")
         imported = edges.filter("type = 'IMPORTS'").select(F.col("src").alias("via"), F.col("dst").alias("id")).distinct()
         facts = self.nodes.select("id", "type", "name", "path", "entity_type", "line", "description")
         return (
@@ -169,8 +188,7 @@ class Graph:
     def trace(self, start: str, max_hops: int = HOPS) -> DataFrame:
         """The calls that follow from the first entity of a name."""
         first = self.first(start)
-        of_entities = self.entities().select("id")
-        reached = self._bfs(self._typed(("CALLS",)), first, max_hops, reach=lambda near: near.join(of_entities, "id", "left_semi")).filter("depth > 0")
+        reached = bfs(self._typed(("CALLS",)), first, max_hops, reach=within(self.entities())).filter("depth > 0")
         facts = self.nodes.select("id", "name", "entity_type", "file", "line", "description")
         return (
             reached.join(facts, "id")
@@ -187,7 +205,7 @@ class Graph:
         first = self.first(start)
         inside = self.entities() if include_external else self.entities().filter(blank(F.col("file")) != "")
         edges = self._typed(edge_types)
-        reached = self._bfs(edges, first, max_hops, reach=lambda near: near.join(inside.select("id"), "id", "left_semi"))
+        reached = bfs(edges, first, max_hops, reach=within(inside))
         facts = self.nodes.select("id", "name", "kind", blank(F.col("description")).alias("description"), "file", "line")
         flow_nodes = reached.select("id", "depth").join(facts, "id").select("id", "name", "kind", "description", "file", "line", "depth")
         out = edges.join(reached.filter(F.col("depth") < max_hops).select(F.col("id").alias("src")), "src").join(inside.select(F.col("id").alias("dst")), "dst", "left_semi")
@@ -202,7 +220,7 @@ class Graph:
         roots = self.nodes.filter("type = 'Project'").select("id")
         if not roots.limit(1).count():
             roots = self.nodes.filter("type = 'Folder' and path not like '%/%'").select("id")
-        reached = self._bfs(edges, roots, max_depth)
+        reached = bfs(edges, roots, max_depth)
         facts = self.nodes.select("id", F.col("type").alias("node_type"), "name", "path")
         below = edges.join(reached.select(F.col("id").alias("src"), "depth"), "src").join(facts, F.col("dst") == facts.id)
         return below.select("node_type", "name", "path", (F.col("depth") + 1).alias("depth")).orderBy("depth", blank(F.col("path")), "name")
@@ -219,11 +237,13 @@ class Graph:
         )
 
     def importers(self, psr4: dict[str, str] | None = None) -> DataFrame:
-        """(importer, target): which file's import means which file.
+        """(importer, target): which file's import means which file; the published table, unless a map is given.
 
         An import means a file node that it names directly, or a file whose path without
         ending is one of the import's possible targets: an equi-join, computed once.
         """
+        if self.imports is not None and psr4 is None:
+            return self.imports
         imports = self._typed(("IMPORTS",)).filter(blank(F.col("source_file")) != "")
         names = self.nodes.select(F.col("id").alias("dst"), F.col("name").alias("spec"), F.col("type").alias("kind"), F.col("path").alias("direct"))
         known = imports.select("dst", F.col("source_file").alias("importer")).distinct().join(names, "dst")
@@ -231,39 +251,58 @@ class Graph:
         meant = known.withColumn("base", F.explode(import_targets(F.col("spec"), F.col("importer"), psr4))).join(files, "base").select("importer", "target")
         return meant.unionByName(known.filter("kind = 'File'").select("importer", F.col("direct").alias("target"))).distinct()
 
-    def blast_radius(self, target: str, max_hops: int = HOPS, psr4: dict[str, str] | None = None) -> DataFrame:
-        """(file, edge_type, hops): the files that a change of an entity or a file may affect.
+    def found(self, targets: list[str]) -> DataFrame:
+        """(target, id, file, by_path) of what each target means: entities by name, or else a file by its path."""
+        spark = self.nodes.sparkSession
+        entity = "target string, id string, file string, by_path boolean"
+        every = spark.createDataFrame([], entity)
+        for t in targets:  # the names that were asked for, not data
+            if "/" not in t:
+                every = every.unionByName(self.resolve(t).select(F.lit(t).alias("target"), "id", "file", F.lit(False).alias("by_path")))
+        named = written(every, "named")
+        met = {r["target"] for r in named.select("target").distinct().collect()}
+        rest = [t for t in targets if t not in met]
+        if not rest:
+            return named
+        files = self.nodes.filter((F.col("type") == "File") & F.col("path").isin(rest)).groupBy("path").agg(F.min_by("id", "node_seq").alias("id"))
+        return named.unionByName(files.select(F.col("path").alias("target"), "id", F.col("path").alias("file"), F.lit(True).alias("by_path")))
+
+    def blast_radii(self, targets: list[str], max_hops: int = HOPS, psr4: dict[str, str] | None = None) -> DataFrame:
+        """(target, file, edge_type, hops): for each target, the files that a change of it may affect.
 
         First the files of what calls, inherits or refers to it, then the files that
-        import its file, and their importers, which weren't found before.
+        import its file, and their importers, which weren't found before. All targets are
+        traversed at once; one that means nothing has no rows.
         """
-        by_path = "/" in target
-        entities = self.resolve(target) if not by_path else None
-        if entities is None or not entities.limit(1).count():
-            file = self.nodes.filter((F.col("type") == "File") & (F.col("path") == target)).orderBy("node_seq").limit(1)
-            starts = self._typed(("CONTAINS",)).join(file.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).join(self.entities().select("id"), "id", "left_semi").distinct()
-            own = file.select(F.col("path").alias("file"))
-        else:
-            starts, own = entities.select("id"), entities.filter(blank(F.col("file")) != "").select("file").distinct()
-        own = written(own, "own-files")
-        edges = self._typed(DEPENDENTS)
-        reached = self._bfs(edges, starts, max_hops, reverse=True).filter("depth > 0")
-        with_type = edges.join(reached, (edges.src == reached.id) & (edges.dst == reached.via)).groupBy("id", "depth").agg(F.min("type").alias("edge_type"))
-        files = with_type.join(self.entities().filter(blank(F.col("file")) != "").select("id", "file"), "id").join(own, "file", "left_anti")
-        first = files.groupBy("file").agg(F.min(F.struct("depth", "edge_type")).alias("s")).select("file", F.col("s.edge_type").alias("edge_type"), F.col("s.depth").alias("hops"))
+        meant = written(self.found(targets), "meant")
+        of_files = meant.filter("by_path").select("target", F.col("id").alias("src"))
+        contained = self._typed(("CONTAINS",)).select("src", "dst").join(F.broadcast(of_files), "src")  # a row for each target
+        contained = self.entities().select("id").join(contained.select("target", F.col("dst").alias("id")).distinct(), "id")
+        starts = meant.filter("not by_path").select("target", "id").unionByName(contained.select("target", "id"))
+        own = written(meant.filter(blank(F.col("file")) != "").select("target", "file").distinct(), "own-files")
+        reached = bfs(self._typed(DEPENDENTS, into=True), starts, max_hops, reverse=True, by=["target"], carry=["type"]).filter("depth > 0")
+        placed = self.entities().filter(blank(F.col("file")) != "").select("id", "file").join(reached, "id").join(own, ["target", "file"], "left_anti")
+        first = placed.groupBy("target", "file").agg(F.min(F.struct("depth", "type")).alias("s")).select("target", "file", F.col("s.type").alias("edge_type"), F.col("s.depth").alias("hops"))
         first = written(first, "blast")
-        links = written(self.importers(psr4).withColumnsRenamed({"importer": "src", "target": "dst"}), "importers")
-        seen = first.select(F.col("file").alias("id"))
-        by_import = bfs(links, own.select(F.col("file").alias("id")), max_hops, reverse=True, reach=lambda near: near.join(seen, "id", "left_anti"))
-        second = by_import.filter("depth > 0").select(F.col("id").alias("file"), F.lit("IMPORTS").alias("edge_type"), F.col("depth").alias("hops"))
-        itself = own.select("file", F.lit("self").alias("edge_type"), F.lit(0).alias("hops"))
-        return first.unionByName(second).unionByName(itself).orderBy("hops", "file")
-
-    def batch_impact(self, targets: str, max_hops: int = HOPS) -> DataFrame:
-        """(file, hops, via): the files affected by any of comma-separated targets, and by which."""
-        names = [t.strip() for t in targets.split(",") if t.strip()]
-        every = None
-        for t in names:
-            one = self.blast_radius(t, max_hops).select("file", "hops", F.lit(t).alias("target"))
-            every = one if every is None else every.unionByName(one)
-        return every.groupBy("file").agg(F.min("hops").alias("hops"), F.array_sort(F.collect_set("target")).alias("via")).orderBy("hops", "file")
+        links = self.importers(psr4).select(F.col("importer").alias("src"), F.col("target").alias("dst"))
+        seen = first.select("target", F.col("file").alias("id"))
+        fresh = lambda near, rows: near.join(seen, ["target", "id"], "left_anti")
+        by_import = bfs(links, own.select("target", F.col("file").alias("id")), max_hops, reverse=True, reach=fresh, by=["target"])
+        second = by_import.filter("depth > 0").select("target", F.col("id").alias("file"), F.lit("IMPORTS").alias("edge_type"), F.col("depth").alias("hops"))
+        itself = own.select("target", "file", F.lit("self").alias("edge_type"), F.lit(0).alias("hops"))
+        return first.unionByName(second).unionByName(itself)
+
+    def blast_radius(self, target: str, max_hops: int = HOPS, psr4: dict[str, str] | None = None) -> DataFrame:
+        """(file, edge_type, hops): the files that a change of an entity or a file may affect, itself included."""
+        return self.blast_radii([target], max_hops, psr4).drop("target").orderBy("hops", "file")
+
+    def batch_impact(self, targets: str | list[str], max_hops: int = HOPS, psr4: dict[str, str] | None = None) -> DataFrame:
+        """(file, hops, via): the files affected by any of several targets, comma-separated or a list, and by which."""
+        radii = self.blast_radii(asked_for(targets), max_hops, psr4)
+        return radii.groupBy("file").agg(F.min("hops").alias("hops"), F.array_sort(F.collect_set("target")).alias("via")).orderBy("hops", "file")
+
+
+def asked_for(targets: str | list[str]) -> list[str]:
+    """The names in comma-separated lists, each once."""
+    given = [targets] if isinstance(targets, str) else targets
+    return list(dict.fromkeys(t.strip() for x in given for t in x.split(",") if t.strip()))

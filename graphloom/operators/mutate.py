@@ -1,4 +1,4 @@
-"""Changes to a graph: writing triples, agents' corrections, and the rebuild join.
+"""Changes to a graph: writing triples, and the rebuild join that keeps what agents wrote.
 
 Tables are never changed in place; each function gives the rows that hold afterwards.
 """
@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from graphloom.functions.columns import blank, entity_id, language_of, relation_name
+from graphloom.functions.columns import blank, entity_id, language_of
 from graphloom.schemas import RELATIONS
 
+#: Copies of the candidate tables, among which the calls of a name are dealt.
+SALTS = 8
+
 
 def resolved_triples(triples: DataFrame, project: str) -> DataFrame:
     """Triples with ``from_id`` and ``to_id``.
@@ -31,13 +33,18 @@ def resolved_triples(triples: DataFrame, project: str) -> DataFrame:
     counted = defs.groupBy("def_name").agg(F.count("*").alias("n_defs"), F.min_by("def_id", "def_seq").alias("only_id"))
     by_owner = defs.filter("def_owner is not null").groupBy("def_name", F.col("def_owner").alias("call_receiver_type")).agg(F.min_by("def_id", "def_seq").alias("owner_id"))
     by_file = defs.groupBy("def_name", F.col("def_file").alias("home")).agg(F.min_by("def_id", "def_seq").alias("home_id"))
-    # each candidate table has one row for its key, so a common name never multiplies the calls to it
+    # each candidate table has one row for its key, so a common name never multiplies the calls to it; hot names and
+    # missing receivers, which most calls have, are spread: such rows get random keys that meet nothing, or copies of the table
+    calls = triples.withColumn("def_name", F.col("to_entity")).withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int"))
+    calls = calls.withColumn("receiver_key", F.coalesce("call_receiver_type", F.concat(F.lit("\0"), F.col("seq").cast("string"))))
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    by_owner, homes = by_owner.withColumnRenamed("call_receiver_type", "receiver_key"), homes.withColumnRenamed("call_receiver_type", "receiver_key")
     found = (
-        triples.withColumn("def_name", F.col("to_entity"))
-        .join(counted, "def_name", "left")
-        .join(by_owner, ["def_name", "call_receiver_type"], "left")
-        .join(homes, "call_receiver_type", "left")
-        .join(by_file, ["def_name", "home"], "left")
+        calls.join(salted(counted), ["def_name", "salt"], "left")
+        .join(salted(by_owner), ["def_name", "receiver_key", "salt"], "left")
+        .join(salted(homes), ["receiver_key", "salt"], "left")
+        .withColumn("home_key", F.coalesce("home", F.concat(F.lit("\0"), F.col("seq").cast("string"))))
+        .join(salted(by_file.withColumnRenamed("home", "home_key")), ["def_name", "home_key", "salt"], "left")
     )
     to_id = F.when(F.col("relation_type") == "DEFINED_IN", bucket).otherwise(F.coalesce("owner_id", "home_id", F.when(F.col("n_defs") == 1, F.col("only_id")), bucket))
     return found.withColumn("from_id", own_id).withColumn("to_id", to_id).select(*triples.columns, "from_id", "to_id")
@@ -130,101 +137,3 @@ def overridden(edges: DataFrame) -> DataFrame:
     wrong = edges.filter("not coalesce(agent_relation, false)").join(said, ["src", "dst"]).filter("type <> said").select("src", "dst", "type").distinct()
     plain = edges.filter("not coalesce(agent_relation, false)").join(wrong, ["src", "dst", "type"], "left_anti").select(*edges.columns)
     return plain.unionByName(edges.filter("agent_relation"))
-
-
-def _by_name(entities: DataFrame, end: str) -> DataFrame:
-    return entities.groupBy(F.col("name").alias(end)).agg(F.count("*").alias(f"n_{end}"), F.min("id").alias(f"{end}_id"))
-
-
-def added_calls(graph, asked: DataFrame) -> DataFrame:
-    """(caller, callee, relation, status, src, dst) for edges asked for by names.
-
-    An end that matches no entity skips the edge, several make it ambiguous, an equal edge
-    exists already; else it is added. An import of an unknown module makes a new node.
-    """
-    entities = graph.entities().select("id", "name")
-    rows = asked.withColumn("type", relation_name(F.col("relation")))
-    rows = rows.join(_by_name(entities, "caller"), "caller", "left").join(_by_name(entities, "callee"), "callee", "left")
-    present = graph.edges.select(F.col("src").alias("caller_id"), F.col("dst").alias("callee_id"), "type", F.lit(True).alias("there")).distinct()
-    rows = rows.join(present, ["caller_id", "callee_id", "type"], "left")
-    new_module = (F.col("type") == "IMPORTS") & F.col("n_callee").isNull()
-    first = F.row_number().over(Window.partitionBy("caller_id", "callee", "type").orderBy(F.monotonically_increasing_id()))
-    status = (
-        F.when(F.col("type").isNull() | F.col("n_caller").isNull() | (F.col("n_callee").isNull() & ~new_module), "skipped")
-        .when((F.col("n_caller") > 1) | (F.coalesce("n_callee", F.lit(1)) > 1), "ambiguous")
-        .when(F.col("there") | (F.col("_nth") > 1), "exists")
-        .otherwise("added")
-    )
-    callee = F.coalesce("callee_id", F.concat_ws(":", F.lit(graph.project), "callee"))
-    return rows.withColumn("_nth", first).select("caller", "callee", "relation", status.alias("status"), F.col("caller_id").alias("src"), callee.alias("dst"), "type")
-
-
-def added_entity(graph, name: str, kind: str, file: str | None = None, line: int | None = None, description: str = "") -> tuple[str, DataFrame]:
-    """(status, nodes): a new agent-made node if nothing matches, an update of the only match, else no change."""
-    match = graph.entities().filter((F.col("name") == name) & (F.lit(file).isNull() | (F.col("file") == file)))
-    ids = [r["id"] for r in match.select("id").limit(2).collect()]
-    if len(ids) > 1:
-        return "ambiguous", graph.nodes
-    if ids:
-        said = F.when(F.col("id") == ids[0], F.coalesce(F.nullif(F.lit(description), F.lit("")), "description")).otherwise(F.col("description"))
-        return "updated", graph.nodes.withColumn("description", said)
-    row = graph.nodes.sparkSession.range(1).select(
-        entity_id(F.lit(graph.project), F.lit(file), F.lit(name), F.lit(None)).alias("id"), F.lit("Entity").alias("type"), F.lit(name).alias("name"),
-        F.lit(graph.project).alias("project"), F.lit(kind.split(":")[0]).alias("entity_type"), F.lit(kind).alias("kind"), F.lit(file).alias("file"), F.lit(line).cast("int").alias("line"),
-        F.lit(description).alias("description"), F.lit(True).alias("agent_inferred"), F.lit(True).alias("agent_created"),
-    )
-    return "created", graph.nodes.unionByName(row, allowMissingColumns=True)
-
-
-def deleted_entity(graph, node_id: str) -> tuple[str, DataFrame, DataFrame]:
-    """(status, nodes, edges): an agent-made node goes with its edges; any other only loses what agents said."""
-    node = graph.nodes.filter(F.col("id") == node_id).limit(1).collect()
-    if not node:
-        return "not_found", graph.nodes, graph.edges
-    touches = (F.col("src") == node_id) | (F.col("dst") == node_id)
-    if node[0].asDict().get("agent_created"):
-        return "removed", graph.nodes.filter(F.col("id") != node_id), graph.edges.filter(~touches)
-    left = graph.edges.filter(~(touches & F.coalesce(F.col("agent_inferred"), F.lit(False)))) if "agent_inferred" in graph.edges.columns else graph.edges
-    return "stripped", graph.nodes.withColumn("description", F.when(F.col("id") != node_id, F.col("description"))), left
-
-
-def removed_calls(graph, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((caller, callee, relation, status), edges left) for edges to remove by names.
-
-    Only edges that agents made go: ``removed``, ``not_found`` if there is none, and
-    ``ambiguous`` or ``skipped`` for ends of several names or of none.
-    """
-    entities = graph.entities().select("id", "name")
-    made = graph.edges.filter("agent_inferred").select(F.col("src").alias("caller_id"), F.col("dst").alias("callee_id"), "type", F.lit(True).alias("there")).distinct()
-    rows = asked.withColumn("type", relation_name(F.col("relation"))).join(_by_name(entities, "caller"), "caller", "left").join(_by_name(entities, "callee"), "callee", "left")
-    rows = rows.join(made, ["caller_id", "callee_id", "type"], "left")
-    status = (
-        F.when(F.col("type").isNull() | F.col("n_caller").isNull() | F.col("n_callee").isNull(), "skipped")
-        .when((F.col("n_caller") > 1) | (F.col("n_callee") > 1), "ambiguous")
-        .when(F.col("there"), "removed")
-        .otherwise("not_found")
-    )
-    told = rows.select("caller", "callee", "relation", status.alias("status"), F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"), "type")
-    gone = told.filter("status = 'removed'").select("src", "dst", "type").distinct()
-    agents = graph.edges.filter("agent_inferred").join(gone, ["src", "dst", "type"], "left_anti").select(*graph.edges.columns)
-    return told, graph.edges.filter("not coalesce(agent_inferred, false)").unionByName(agents)
-
-
-def modified_relation(edges: DataFrame, src: str, dst: str, to: str, from_relation: str | None = None) -> tuple[str, DataFrame]:
-    """(status, edges): one relation of a pair gets another type, which then overrides the parser's.
-
-    Without ``from_relation`` the pair must have a single type, else it is ambiguous.
-    """
-    pair = (F.col("src") == src) & (F.col("dst") == dst)
-    types = sorted(r["type"] for r in edges.filter(pair).select("type").distinct().collect())
-    new = edges.sparkSession.range(1).select(relation_name(F.lit(to)).alias("t")).first()["t"]
-    old = from_relation or (types[0] if len(types) == 1 else None)
-    if new is None:
-        return "skipped", edges
-    if not types or (from_relation and from_relation not in types):
-        return "not_found", edges
-    if old is None:
-        return "ambiguous", edges
-    chosen = pair & (F.col("type") == old)
-    said = {c: F.when(chosen, True).otherwise(F.col(c)) for c in ("agent_relation", "agent_inferred")}
-    return "modified", edges.withColumns(said).withColumn("type", F.when(chosen, new).otherwise(F.col("type")))

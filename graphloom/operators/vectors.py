@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,28 @@ def hashed_words(text: Column, dimensions: int = DIMENSIONS) -> Column:
     return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float"))
 
 
-def indexed(nodes: DataFrame, embed=hashed_words) -> DataFrame:
+def model(embed_many: Callable[[list[str]], Sequence], batch: int = 32) -> Callable[[Column], Column]:
+    """An embedder of text columns by a function from texts to vectors, which runs in the executors.
+
+    Texts go to it by length, ``batch`` at a time, so that those of a batch need little
+    filling; vectors come back in the order of the rows.
+    """
+
+    @F.pandas_udf("array<float>")
+    def embedded(texts: pd.Series) -> pd.Series:
+        values = texts.fillna("").tolist()
+        order = sorted(range(len(values)), key=lambda i: len(values[i]))
+        out: list = [None] * len(values)
+        for at in range(0, len(order), batch):
+            some = order[at : at + batch]
+            for i, v in zip(some, embed_many([values[i] for i in some]), strict=True):
+                out[i] = [float(x) for x in v]
+        return pd.Series(out)
+
+    return embedded
+
+
+def indexed(nodes: DataFrame, embed: Callable[[Column], Column] = hashed_words) -> DataFrame:
     """One row for each entity: its payload and its vector."""
     text = entity_text()
     return nodes.filter("type = 'Entity'").select("id", "name", "kind", "file", "line", "description", embed(text).alias("embedding"))

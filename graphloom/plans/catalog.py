@@ -2,39 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from graphloom.functions.columns import (
-    import_targets, language_of, looks_like_entry, module_name, relation_name, stable_uuid, vector_id, without_code_ending,
-)
+from graphloom.functions.columns import language_of, module_name, relation_name, vector_id, without_code_ending
 from graphloom.operators import mutate, vectors
-from graphloom.operators.graph import HOPS
+from graphloom.operators.graph import CALLERS, HOPS
 from graphloom.operators.traverse import bfs
-from graphloom.plans import star
-from graphloom.sources import ignore
+from graphloom.plans import building, star
+from graphloom.plans.registered import ORACLE_SQL, QUERIES, query
 from graphloom.sources.hierarchy import hierarchy
-from graphloom.sources.markup import css_uses, html_triples
 from graphloom.streaming.watch import compacted
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-_PATHS = "regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1)"
-
-
-def query(sql: str | None = None):
-    """Registers a function as a query of its name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
+__all__ = ["ORACLE_SQL", "QUERIES", "building", "flagship"]
 
-    return register
+_PATHS = "regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1)"
 
 
 def _walk(seed: str, edges: str, hops: int, reverse: bool = False, cte: str = "r") -> str:
@@ -47,7 +29,6 @@ def _walk(seed: str, edges: str, hops: int, reverse: bool = False, cte: str = "r
 
 
 _CALLS = "select src, dst from edges where type in ('CALLS', 'USES_VAR', 'REFERENCES')"
-_ENT = "select id from nodes where type = 'Entity'"
 
 
 # --- traversal -------------------------------------------------------------
@@ -56,8 +37,8 @@ _ENT = "select id from nodes where type = 'Entity'"
 @query(f"with recursive {star.SQL}, {_walk("select 'p42' as id", _CALLS, 3, True)} select node, depth from r")
 def impact_part(spark, sf_dir):
     """What reaches a part by calls and references in three hops (flagship)."""
-    edges = star.edges(spark, sf_dir, ("CALLS", "REFERENCES"), receivers=False)
-    return bfs(edges, spark.createDataFrame([("p42",)], "id string"), 3, reverse=True, derived=True).select(F.col("id").alias("node"), "depth")
+    calls = star.graph(spark, sf_dir).into.filter(F.col("type").isin(*CALLERS))
+    return bfs(calls, spark.createDataFrame([("p42",)], "id string"), 3, reverse=True).select(F.col("id").alias("node"), "depth")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,23 +46,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PART_NAME = "(select p_name from part where p_partkey = 42)"
-_CALLER_COLUMNS = """select r.node as id, n.name as caller_name, n.entity_type as caller_type, coalesce(n.file, '') as caller_file, r.depth,
-  (select receiver from edges e join r v on v.node = e.dst and v.depth = r.depth - 1 where e.src = r.node and e.type in ('CALLS', 'USES_VAR', 'REFERENCES')
-   and receiver is not null order by e.dst, edge_seq limit 1) as receiver"""
 
 
-@query(f"""with recursive {star.SQL}, {_walk("select id from nodes where type = 'Entity' and lower(name) = 'supplier#000000001' or name = (select s_name from supplier where s_suppkey = 1)", _CALLS, 2, True)}
+@query(f"""with recursive {star.SQL}, {_walk("select id from nodes where type = 'Entity' and lower(name) = 'supplier#000000001' or name = (select s_name from supplier where s_suppkey = 1)", _CALLS, HOPS, True)}
 select n.name as caller_name, n.entity_type as caller_type, n.file as caller_file, r.depth from r join nodes n on n.id = r.node where r.depth > 0""")
 def impact_supplier(spark, sf_dir):
     """The callers of a supplier by its name."""
     name = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey = 1").first()["s_name"]
-    return star.graph(spark, sf_dir).impact(name, 2).select("caller_name", "caller_type", "caller_file", "depth")
-
-
-@query(ORACLE_SQL["impact_supplier"].replace("depth < 2", f"depth < {HOPS}"))
-def impact_supplier_whole(spark, sf_dir):
-    """``impact_supplier`` with the default hops."""
-    name = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey = 1").first()["s_name"]
     return star.graph(spark, sf_dir).impact(name).select("caller_name", "caller_type", "caller_file", "depth")
 
 
@@ -90,19 +61,16 @@ _QUAL = """select id from nodes where type = 'Entity' and lower(name) = lower((s
 
 @query(f"""with recursive {star.SQL}, s as ({_QUAL}),
 first as (select distinct src as id from edges where type in ('CALLS', 'USES_VAR', 'REFERENCES') and receiver_type = 'NATION_6' and dst in (select id from s) and src not in (select id from s)),
-{_walk("select id from first", _CALLS, 1, True)}
-select r.node as id, r.depth + 1 as depth from r where node not in (select id from s)""")
+{_walk("select id from first", _CALLS, HOPS - 1, True)}
+select r.node as id, r.depth + 1 as depth, arg_min(e.receiver, e.edge_seq) as receiver, arg_min(e.receiver_type, e.edge_seq) as receiver_type, arg_min(e.line, e.edge_seq) as line
+from r join edges e on e.src = r.node and e.type in ('CALLS', 'USES_VAR', 'REFERENCES')
+  and e.dst = (select min(x.dst) from edges x where x.src = r.node and x.type in ('CALLS', 'USES_VAR', 'REFERENCES')
+    and (r.depth = 0 and x.dst in (select id from s) and x.receiver_type = 'NATION_6' or r.depth > 0 and x.dst in (select node from r v where v.depth = r.depth - 1)))
+where r.node not in (select id from s) group by r.node, r.depth""")
 def impact_receiver_qualified(spark, sf_dir):
     """The callers of a part's name through suppliers of one nation."""
     name = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey = 7").first()["p_name"]
-    return star.graph(spark, sf_dir).impact(f"NATION_6.{name}", 2).select("id", "depth")
-
-
-@query(ORACLE_SQL["impact_receiver_qualified"].replace("r_all.depth < 1", f"r_all.depth < {HOPS - 1}"))
-def impact_receiver_qualified_whole(spark, sf_dir):
-    """``impact_receiver_qualified`` with the default hops."""
-    name = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey = 7").first()["p_name"]
-    return star.graph(spark, sf_dir).impact(f"NATION_6.{name}").select("id", "depth")
+    return star.graph(spark, sf_dir).impact(f"NATION_6.{name}").select("id", "depth", "receiver", "receiver_type", "line")
 
 
 @query(f"with {star.SQL} select id from nodes where type = 'Entity' and lower(name) = lower({_PART_NAME})")
@@ -139,30 +107,16 @@ def trace_customer(spark, sf_dir):
 _FLOW = "select src, dst, type, line, edge_seq from edges where type in ('CALLS', 'IMPORTS')"
 
 
-@query(f"with recursive {star.SQL}, {_walk(_C7, _FLOW, 2)} select r.node as id, n.name, n.kind, r.depth from r join nodes n on n.id = r.node")
+@query(f"with recursive {star.SQL}, {_walk(_C7, _FLOW, HOPS)} select r.node as id, n.name, n.kind, r.depth from r join nodes n on n.id = r.node")
 def flow_nodes(spark, sf_dir):
     name = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey = 7").first()["c_name"]
-    return star.graph(spark, sf_dir).flow(name, 2, include_external=True)[0].select("id", "name", "kind", "depth")
+    return star.graph(spark, sf_dir).flow(name, include_external=True)[0].select("id", "name", "kind", "depth")
 
 
-@query(f"""with recursive {star.SQL}, {_walk(_C7, _FLOW, 2)}
+@query(f"""with recursive {star.SQL}, {_walk(_C7, _FLOW, HOPS)}
 select e.src as "from", e.dst as "to", arg_min(e.type, e.edge_seq) as type, arg_min(coalesce(e.line, -1), e.edge_seq)::int as line
-from ({_FLOW}) e join r on r.node = e.src where r.depth < 2 group by e.src, e.dst""")
+from ({_FLOW}) e join r on r.node = e.src where r.depth < {HOPS} group by e.src, e.dst""")
 def flow_edges(spark, sf_dir):
-    name = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey = 7").first()["c_name"]
-    return star.graph(spark, sf_dir).flow(name, 2, include_external=True)[1].select("from", "to", "type", F.coalesce("line", F.lit(-1)).alias("line"))
-
-
-@query(ORACLE_SQL["flow_nodes"].replace("r_all.depth < 2", f"r_all.depth < {HOPS}"))
-def flow_nodes_whole(spark, sf_dir):
-    """``flow_nodes`` with the default hops."""
-    name = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey = 7").first()["c_name"]
-    return star.graph(spark, sf_dir).flow(name, include_external=True)[0].select("id", "name", "kind", "depth")
-
-
-@query(ORACLE_SQL["flow_edges"].replace("depth < 2", f"depth < {HOPS}"))
-def flow_edges_whole(spark, sf_dir):
-    """``flow_edges`` with the default hops."""
     name = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey = 7").first()["c_name"]
     return star.graph(spark, sf_dir).flow(name, include_external=True)[1].select("from", "to", "type", F.coalesce("line", F.lit(-1)).alias("line"))
 
@@ -173,14 +127,6 @@ def project_tree(spark, sf_dir):
     return star.graph(spark, sf_dir).tree()
 
 
-@query(f"""with {star.SQL} select n.name as caller, e.type, e.dst from edges e join nodes n on n.id = e.src where e.type = 'INHERITS' and e.dst like 't:ECONOMY%'""")
-def styles_like(spark, sf_dir):
-    """The single join of a styles query, over the edges into part types."""
-    g = star.graph(spark, sf_dir)
-    into = g.edges.filter("type = 'INHERITS' and dst like 't:ECONOMY%'")
-    return into.join(g.nodes.select(F.col("id").alias("src"), "name"), "src").select(F.col("name").alias("caller"), "type", "dst")
-
-
 _FILES_OF = "select e.src as src, e.dst as dst, e.type as type from edges e where e.type in ('CALLS', 'INHERITS', 'REFERENCES', 'USES_VAR')"
 _BLAST = f"""{_walk("select dst as id from edges where type = 'CONTAINS' and src = 'n6'", _FILES_OF, 3, True, "a")},
 p1 as (select n.file, min(a.depth) as hops from a join nodes n on n.id = a.node where a.depth > 0 and n.file is not null and n.file <> 'AMERICA/NATION_6' and n.type = 'Entity' group by n.file),
@@ -200,7 +146,7 @@ def importers_of_files(spark, sf_dir):
     return star.graph(spark, sf_dir).importers()
 
 
-def _several(*paths: str, hops: int = 1) -> str:
+def _several(*paths: str, hops: int) -> str:
     parts, picks = [], []
     for k, p in enumerate(paths):
         parts.append(
@@ -213,14 +159,8 @@ im{k} as (select distinct s.path as src, t.path as dst from edges e join nodes s
     return f"with recursive {star.SQL}, {', '.join(parts)} select file, min(hops)::int as hops, string_agg(distinct t, ',' order by t) as via from ({' union all '.join(picks)}) group by file"
 
 
-@query(_several("AMERICA/NATION_6", "ASIA/NATION_2"))
-def batch_impact(spark, sf_dir):
-    return star.graph(spark, sf_dir).batch_impact("AMERICA/NATION_6, ASIA/NATION_2", 1).withColumn("via", F.array_join("via", ","))
-
-
 @query(_several("AMERICA/NATION_6", "ASIA/NATION_2", hops=HOPS))
-def batch_impact_whole(spark, sf_dir):
-    """``batch_impact`` with the default hops."""
+def batch_impact(spark, sf_dir):
     return star.graph(spark, sf_dir).batch_impact("AMERICA/NATION_6, ASIA/NATION_2").withColumn("via", F.array_join("via", ","))
 
 
@@ -233,20 +173,6 @@ def dead_code_split(spark, sf_dir):
     return star.graph(spark, sf_dir).dead_code().select("name", "kind", "file", "verdict")
 
 
-@query("select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
-def dead_code_orders(spark, sf_dir):
-    """Orders that no line refers to."""
-    orders, lineitem = star.tables(spark, sf_dir, "orders", "lineitem")
-    return orders.join(lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
-
-
-@query("select p_partkey from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 45 and l_returnflag = 'R')")
-def dead_code_parts_filtered(spark, sf_dir):
-    part, lineitem = star.tables(spark, sf_dir, "part", "lineitem")
-    used = lineitem.filter("l_quantity > 45 and l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
-    return part.join(used, "p_partkey", "left_anti").select("p_partkey")
-
-
 @query(f"""with {star.SQL} select name, kind, file, 'name' as matched_field, regexp_extract(name, '(?i)#0+1[0-9]$') as match from nodes
 where type = 'Entity' and regexp_matches(name, '(?i)#0+1[0-9]$') order by node_seq limit 1000""")
 def grep_name(spark, sf_dir):
@@ -261,14 +187,6 @@ def grep_all_fields(spark, sf_dir):
     return star.graph(spark, sf_dir).grep("urgent|europe", limit=500).select("name", "kind", "file", "matched_field")
 
 
-@query("select 'doc_' || doc_id as name, regexp_extract(text, '(?i)(apache|mit) licen[cs]e') as match from documents where regexp_matches(text, '(?i)(apache|mit) licen[cs]e')")
-def grep_description(spark, sf_dir):
-    """A regular expression over every document's whole text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    p = F.lit("(?i)(apache|mit) licen[cs]e")
-    return docs.filter(F.rlike("text", p)).select(F.concat(F.lit("doc_"), "doc_id").alias("name"), F.regexp_substr("text", p).alias("match"))
-
-
 _SCORE = "list_inner_product(list_transform(e.embedding, lambda x: x::double), list_transform(q.embedding, lambda x: x::double))"
 
 
@@ -286,38 +204,6 @@ def entity_text(spark, sf_dir):
 
 # --- sources ---------------------------------------------------------------
 
-_CLASSES = """select page_id, unnest(regexp_extract_all(html, '\\sclass="([^"]*)"', 1)) as c from pages"""
-
-
-@query(f"select page_id, w as to_entity, count(*)::bigint as n from (select page_id, unnest(string_split_regex(trim(c), '\\s+')) as w from ({_CLASSES})) where w <> '' group by all")
-def html_has_class(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return html_triples(pages, "page_id", "html").filter("relation_type = 'HAS_CLASS'").groupBy("page_id", "to_entity").agg(F.count("*").alias("n"))
-
-
-@query("select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages")
-def html_links(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
-
-
-@query("select tag, count(*)::bigint as n from (select unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) as tag from pages) group by tag")
-def html_tags(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
-
-
-_SHEETS = "(values ('a', 'x { color: var(--fg); } y { color: var(--fg); --bg: red }'), ('b', ':root { --bg: blue; } z { background: var(--bg) }')) t(file, css)"
-
-
-@query(f"select file, name, 'USES_VAR' as relation_type from (select distinct file, unnest(regexp_extract_all(css, 'var\\(\\s*(--[A-Za-z0-9_-]+)', 1)) as name from {_SHEETS}) union all select file, name, 'DEFINED_IN' from (select distinct file, unnest(regexp_extract_all(css, '(--[A-Za-z0-9_-]+)\\s*:', 1)) as name from {_SHEETS})")
-def css_variables(spark, sf_dir):
-    sheets = spark.createDataFrame(
-        [("a", "x { color: var(--fg); } y { color: var(--fg); --bg: red }"), ("b", ":root { --bg: blue; } z { background: var(--bg) }")], "file string, css string"
-    )
-    return css_uses(sheets, "file", "css").select("file", "name", "relation_type")
-
-
 _SPLIT = f"select distinct string_split({_PATHS}, '/') as p from pages where {_PATHS} <> ''"
 
 
@@ -329,26 +215,9 @@ def hierarchy_paths(spark, sf_dir):
     return nodes.filter("type <> 'Project'").select("path", "depth").distinct()
 
 
-@query(f"select page_id from pages where not regexp_matches({_PATHS}, '(^|/)fr(/|$)') and not regexp_matches({_PATHS}, '\\.html$')")
-def ignore_filter(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.filter(~ignore.ignored(F.expr(_PATHS), ["fr", "*.html"], skip=())).select("page_id")
-
-
 # --- upserts, rebuild, overlay ---------------------------------------------
 
 
-@query("select l_partkey, arg_max(l_returnflag, l_orderkey * 16 + l_linenumber) as last_flag, arg_min(l_returnflag, l_orderkey * 16 + l_linenumber) as first_flag, bool_or(l_linestatus = 'O') as any_open, min(l_linenumber)::int as least_line from lineitem group by l_partkey")
-def upsert_writers(spark, sf_dir):
-    """Last writer, first writer and sticky flag of each part's lines."""
-    seq = F.expr("l_orderkey * 16 + l_linenumber")
-    return (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .groupBy("l_partkey")
-        .agg(F.max_by("l_returnflag", seq).alias("last_flag"), F.min_by("l_returnflag", seq).alias("first_flag"), F.bool_or(F.col("l_linestatus") == "O").alias("any_open"), F.min("l_linenumber").alias("least_line"))
-    )
-
-
 @query("""with n as (select 'd' || doc_id as id, lang as name from documents), o as (select 'd' || doc_id as id, 'q' || quality as description, toxic = 1 as agent_created from labels
 union all select 'd' || (1000000000 + doc_id), 'lost', toxic = 1 from labels)
 select coalesce(n.id, o.id) as id, n.name, o.description from n full join o using (id) where n.id is not null or o.agent_created""")
@@ -361,52 +230,6 @@ def rebuild_join(spark, sf_dir):
     return mutate.rebuilt_nodes(old.unionByName(gone), new).select("id", "name", "description")
 
 
-_PAIRS = "select distinct o_custkey as src, l_suppkey as dst from orders join lineitem on l_orderkey = o_orderkey where l_quantity > 48"
-
-
-@query(f"""with p as ({_PAIRS}), a as (select src, dst, 'CALLS' as type, false as agent_relation from p union all select src, dst, 'REGISTERS', true from p where dst % 10 = 0)
-select src, dst, type from a where agent_relation or not exists (select 1 from a b where b.src = a.src and b.dst = a.dst and b.agent_relation and b.type <> a.type)""")
-def relation_override(spark, sf_dir):
-    """A relation that an agent gave a pair of nodes drops the pair's other relations."""
-    return _overridden(spark, sf_dir, "l_quantity > 48")
-
-
-def _overridden(spark, sf_dir, lines: str):
-    orders, lineitem = star.tables(spark, sf_dir, "orders", "lineitem")
-    p = orders.join(lineitem.filter(lines), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
-    both = p.select("src", "dst", F.lit("CALLS").alias("type"), F.lit(False).alias("agent_relation")).unionByName(p.filter("dst % 10 = 0").select("src", "dst", F.lit("REGISTERS").alias("type"), F.lit(True).alias("agent_relation")))
-    return mutate.overridden(both).select("src", "dst", "type")
-
-
-@query(ORACLE_SQL["relation_override"].replace(" where l_quantity > 48", ""))
-def relation_override_whole(spark, sf_dir):
-    """``relation_override`` over all lines."""
-    return _overridden(spark, sf_dir, "true")
-
-
-@query(f"""with {star.SQL}, w as (select c_name as caller, 'order_' || o_orderkey as callee from orders join customer on c_custkey = o_custkey where o_orderkey % 5 = 0
-  union all select 'nobody', 'order_1' union all select (select p_name from part where p_partkey = 1), 'order_1'),
-m as (select w.*, (select count(*) from nodes n where n.type = 'Entity' and n.name = w.caller) as n1, (select count(*) from nodes n where n.type = 'Entity' and n.name = w.callee) as n2 from w)
-select caller, callee, case when n1 = 0 or n2 = 0 then 'skipped' when n1 > 1 or n2 > 1 then 'ambiguous' else 'exists' end as status from m""")
-def agent_edge_status(spark, sf_dir):
-    """What becomes of call edges that an agent writes by names."""
-    return _edge_status(spark, sf_dir, "o_orderkey % 5 = 0")
-
-
-def _edge_status(spark, sf_dir, wanted: str):
-    orders, customer, part = star.tables(spark, sf_dir, "orders", "customer", "part")
-    asked = orders.filter(wanted).join(customer, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_name").alias("caller"), F.concat(F.lit("order_"), "o_orderkey").alias("callee"))
-    more = spark.range(1).select(F.lit("nobody").alias("caller"), F.lit("order_1").alias("callee")).unionByName(part.filter("p_partkey = 1").select(F.col("p_name").alias("caller"), F.lit("order_1").alias("callee")))
-    asked = asked.unionByName(more).withColumn("relation", F.lit("CALLS"))
-    return mutate.added_calls(star.graph(spark, sf_dir), asked).select("caller", "callee", "status")
-
-
-@query(ORACLE_SQL["agent_edge_status"].replace(" where o_orderkey % 5 = 0", ""))
-def agent_edge_status_whole(spark, sf_dir):
-    """``agent_edge_status`` for all orders."""
-    return _edge_status(spark, sf_dir, "true")
-
-
 # --- streams ---------------------------------------------------------------
 
 _KIND = "case event_type when 'signup' then 'created' when 'error' then 'deleted' else 'modified' end"
@@ -432,19 +255,6 @@ def watch_moves(spark, sf_dir):
 # --- layout and scalars ----------------------------------------------------
 
 
-@query("select c_custkey, c_nationkey as depth, 40 + 260 * (row_number() over (partition by c_nationkey order by c_custkey) - 1) as x, 40 + 140 * c_nationkey as y from customer")
-def depth_layout(spark, sf_dir):
-    rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return c.select("c_custkey", F.col("c_nationkey").alias("depth"), (40 + 260 * rank).cast("bigint").alias("x"), (40 + 140 * F.col("c_nationkey")).alias("y"))
-
-
-@query("select conv_id, turn, row_number() over (partition by conv_id order by turn) as step from conversations")
-def flow_edge_order(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return c.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("bigint").alias("step"))
-
-
 @query(f"select page_id, replace(regexp_replace({_PATHS}, '\\.[^./]+$', ''), '/', '.') as module, case when {_PATHS} like '%.html' then 'html' else 'unknown' end as language, regexp_replace({_PATHS}, '\\.(js|jsx|ts|tsx|mjs|cjs|py|php)$', '') as base from pages")
 def module_names(spark, sf_dir):
     p = F.expr(_PATHS)
@@ -456,29 +266,9 @@ def normalize_relation(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", relation_name(F.col("p_type")).alias("relation"))
 
 
-@query("select event_type, event_type in ('main', 'app') or event_type like 'run\\_%' escape '\\' or event_type like 'main%' as entry, count(*)::bigint as n from events group by event_type")
-def entry_points(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
-    return e.select("event_type", looks_like_entry(F.col("event_type"), F.lit("function")).alias("entry"), "n")
-
-
-@query("""with s(spec, from_file) as (values ('./response', 'lib/express.js'), ('../util/a', 'lib/x/y.ts'), ('lib.response', 'main.py'), ('express', 'a.js'), ('Guzzle.Client', 'b.php'))
-select spec, from_file, case spec when './response' then 'lib/response,lib/response/index' when '../util/a' then 'lib/util/a,lib/util/a/index' when 'lib.response' then 'lib/response'
-  when 'Guzzle.Client' then 'Guzzle/Client,src/Client' else '' end as targets from s""")
-def importers_resolved(spark, sf_dir):
-    rows = [("./response", "lib/express.js"), ("../util/a", "lib/x/y.ts"), ("lib.response", "main.py"), ("express", "a.js"), ("Guzzle.Client", "b.php")]
-    df = spark.createDataFrame(rows, "spec string, from_file string")
-    return df.withColumn("targets", F.array_join(import_targets(F.col("spec"), F.col("from_file"), {"Guzzle": "src/"}), ","))
-
-
 @query("select n_nationkey, lower(substr(sha1(n_name), 1, 16)) as hex from nation")
 def vector_ids(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")
     return n.select("n_nationkey", F.lower(F.lpad(F.conv(vector_id(F.col("n_name")).cast("string"), 10, 16), 16, "0")).alias("hex"))
 
 
-@query()
-def stable_ids(spark, sf_dir):
-    """Version 5 UUIDs of the regions' keys (SQL has none; a test compares them with Python's)."""
-    r = spark.read.parquet(f"{sf_dir}/region.parquet")
-    return r.select("r_regionkey", stable_uuid(F.concat(F.lit("folder:star:"), "r_name")).alias("id"))

@@ -7,12 +7,15 @@ follow the keys; ``SQL`` holds the same encoding for DuckDB.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import Graph
+from graphloom.scratch import shared_dir
+from graphloom.sources.store import GraphStore
 
 _NODE = {
     "id": "string", "type": "string", "name": "string", "path": "string", "project": "string", "entity_type": "string", "kind": "string",
@@ -58,8 +61,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-def edges(spark: SparkSession, sf_dir: str, types=None, receivers: bool = True) -> DataFrame:
-    """All edges, or those of some types; without ``receivers``, calls don't tell theirs."""
+def edges(spark: SparkSession, sf_dir: str, types=None) -> DataFrame:
+    """All edges, or those of some types."""
     wanted = lambda t: types is None or t in types
     parts = []
     if wanted("CONTAINS"):
@@ -71,19 +74,15 @@ def edges(spark: SparkSession, sf_dir: str, types=None, receivers: bool = True)
         ]
     if wanted("CALLS"):
         orders, lineitem = tables(spark, sf_dir, "orders", "lineitem")
-        place = {"line": "l_linenumber", "edge_seq": "40000000000 + l_orderkey * 16 + l_linenumber"}
-        lines = lineitem
-        if receivers:
-            supply = tables(spark, sf_dir, "supplier")[0].join(files(spark, sf_dir).select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
-            lines = lineitem.join(supply, F.col("l_suppkey") == F.col("s_suppkey"))
-            place |= {"receiver": "concat('s', l_suppkey)", "receiver_type": "n_name"}
+        supply = tables(spark, sf_dir, "supplier")[0].join(files(spark, sf_dir).select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+        lines = lineitem.join(supply, F.col("l_suppkey") == F.col("s_suppkey"))
+        place = {"line": "l_linenumber", "edge_seq": "40000000000 + l_orderkey * 16 + l_linenumber", "receiver": "concat('s', l_suppkey)", "receiver_type": "n_name"}
         parts += [
             _rows(orders, _EDGE, src="concat('c', o_custkey)", dst="concat('o', o_orderkey)", type="'CALLS'", edge_seq="30000000000 + o_orderkey"),
             _rows(lines, _EDGE, src="concat('o', l_orderkey)", dst="concat('p', l_partkey)", type="'CALLS'", **place),
         ]
     if wanted("REFERENCES"):
-        pairs = tables(spark, sf_dir, "lineitem")[0].select("l_orderkey", "l_suppkey")
-        pairs = pairs.distinct() if receivers else pairs
+        pairs = tables(spark, sf_dir, "lineitem")[0].select("l_orderkey", "l_suppkey").distinct()
         parts.append(_rows(pairs, _EDGE, src="concat('o', l_orderkey)", dst="concat('s', l_suppkey)", type="'REFERENCES'", edge_seq="1000000000000000 + l_orderkey * 10000000 + l_suppkey"))
     if wanted("INHERITS"):
         part = tables(spark, sf_dir, "part")[0]
@@ -104,8 +103,17 @@ def edges(spark: SparkSession, sf_dir: str, types=None, receivers: bool = True)
     return reduce(DataFrame.union, parts)
 
 
+_published: dict[tuple[str, str], GraphStore] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(nodes(spark, sf_dir), edges(spark, sf_dir), "star", derived=True)
+    """The graph of the tables, published in the shared folder when a session first asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _published:
+        store = GraphStore(spark, f"{shared_dir(spark)}/star-{uuid.uuid4().hex}", "star")
+        store.publish(nodes(spark, sf_dir), edges(spark, sf_dir))
+        _published[key] = store
+    return _published[key].graph()
 
 
 #: The encoding as common table expressions for DuckDB: f (files), nodes and edges.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,15 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder where that is unset and all run on one machine.
+
+    Raises RuntimeError on a cluster without one, as no other folder is known to be shared.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="graphloom-"))
     return f"file://{_local[0]}"

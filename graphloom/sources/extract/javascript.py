@@ -77,8 +77,10 @@ class _Module:
                 if self.is_name(name_at):
                     self._add(name_at, self.at(name_at), self._body(self._after_params(name_at + 1)), False)
             elif word in ("const", "let", "var"):
-                eq = next((j for j in range(k + 2, min(k + 40, len(self.t))) if self.at(j) in ("=", ";", "in", "of")), None)
-                if self.is_name(k + 1) and eq and self.at(eq) == "=":
+                eq = k + 2  # past a type, however long it is
+                while eq < len(self.t) and self.at(eq) not in ("=", ";", "in", "of"):
+                    eq = (self.pair.get(eq, eq) if self.at(eq) in ("(", "[", "{") else eq) + 1
+                if self.is_name(k + 1) and self.at(eq) == "=":
                     end = self._function_value(eq + 1)
                     if end is not None:
                         self._add(k + 1, self.at(k + 1), end, False)

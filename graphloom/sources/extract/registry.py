@@ -1,7 +1,8 @@
 """Extraction over files: an extractor for each extension, run in the executors.
 
 A file that can't be read or parsed has no rows and never fails the run. Its rows keep
-their order by the file's rank and their place in it.
+their order by the file's rank and their place in it. Contents are read and parsed where
+they lie; only what was extracted is ranked and moved.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from graphloom.schemas import LANGUAGES, TRIPLES
@@ -23,8 +25,8 @@ EXTRACTORS = {
     "py": python.extract, "js": javascript.extract, "jsx": javascript.extract, "ts": javascript.extract, "tsx": javascript.extract, "php": php.extract,
     "html": style.extract_html, "css": style.extract_css, "scss": style.extract_css,
 }
-#: Places in the order that each file has for its rows.
-_PLACES = 1_000_000
+#: Changed files that are read by their paths; more are found by a scan.
+NAMED_FILES = 1000
 
 
 def parse(text: str, path: str) -> list[Relation]:
@@ -42,41 +44,69 @@ def parse(text: str, path: str) -> list[Relation]:
 
 
 def extract(files: DataFrame, parser=parse) -> DataFrame:
-    """Triples of files (path, content as bytes or text)."""
-    columns = TRIPLES.names
+    """Triples of files (path, content as bytes or text), in the order of paths and of places in a file."""
+    fields = [f for f in TRIPLES if f.name != "seq"]
+    schema = T.StructType([T.StructField("place", T.LongType()), *fields])
 
     def run(batches):
         for batch in batches:
             out = []
-            for rank, path, content in zip(batch["rank"], batch["path"], batch["content"], strict=True):
+            for path, content in zip(batch["path"], batch["content"], strict=True):
                 text = content.decode("utf-8", "replace") if isinstance(content, bytes | bytearray) else content or ""
                 for k, r in enumerate(parser(text, path)):
-                    out.append((rank * _PLACES + k, r.from_entity, r.from_type, r.relation_type, r.to_entity, r.to_type, path, r.line_number, r.call_receiver, r.call_receiver_type, r.is_exported, r.owner_class))
-            yield pd.DataFrame(out, columns=columns)
+                    out.append((k, r.from_entity, r.from_type, r.relation_type, r.to_entity, r.to_type, path, r.line_number, r.call_receiver, r.call_receiver_type, r.is_exported, r.owner_class))
+            yield pd.DataFrame(out, columns=schema.names)
 
-    return files.join(ranked(files.select("path").distinct()), "path").select("rank", "path", "content").mapInPandas(run, TRIPLES)
+    found = written(files.select("path", "content").mapInPandas(run, schema), "extracted")
+    begins = begun(found.groupBy(F.col("source_file").alias("path")).agg((F.max("place") + 1).alias("n")))
+    return found.join(begins.withColumnRenamed("path", "source_file"), "source_file").select((F.col("begin") + F.col("place")).alias("seq"), *[f.name for f in fields])
 
 
-def ranked(paths: DataFrame) -> DataFrame:
-    """(path, rank): the place of each path in their order.
+def begun(sizes: DataFrame) -> DataFrame:
+    """(path, begin): the sum of ``n`` over the paths before each one, for a table (path, n).
 
-    Paths are dealt out by range; each range is ranked alone, after the counted rows of
-    the ranges before it. Only that table, a row for each range, is ranked as one.
+    Paths are dealt out by range; each range is summed alone, after the sums of the
+    ranges before it. Only that table, a row for each range, is summed as one.
     """
-    dealt = written(paths.repartitionByRange("path").select("path", F.spark_partition_id().alias("part")), "paths")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("path"))
-    return dealt.join(sizes, "part").select("path", (F.col("before") + inside).cast("bigint").alias("rank"))
+    dealt = written(sizes.repartitionByRange("path").withColumn("part", F.spark_partition_id()), "paths")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("part").agg(F.sum("n").alias("all")).withColumn("before", F.coalesce(F.sum("all").over(earlier), F.lit(0)))
+    inside = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return dealt.join(F.broadcast(parts), "part").select("path", begin.cast("bigint").alias("begin"))  # a row for each range
 
 
-def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, skip=ignore.SKIPPED) -> DataFrame:
+def _relative(root: str):
+    base = root.rstrip("/")
+    return F.regexp_replace("path", "^" + re.escape(base if "://" in base else "file:" + base) + "/", "").alias("path")
+
+
+def _supported() -> str:
+    """A glob of the endings that have an extractor, in any case."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in LANGUAGES) + "}"
+
+
+def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of all files below a folder, whatever they are; none is read."""
+    return _files(spark, root).select(_relative(root))
+
+
+def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, skip=ignore.SKIPPED, only: list[str] | None = None) -> DataFrame:
     """(path, content) of the supported files below a folder of any store that Spark reads.
 
-    Paths are relative to the folder; ignored ones are left out before their contents are read.
+    Paths are relative to the folder. Without ``patterns``, those of the folder's ignore
+    list hold. ``only``: the paths to look at; those that aren't there are left out.
     """
-    base = root.rstrip("/")
-    path = F.regexp_replace("path", "^" + re.escape(base if "://" in base else "file:" + base) + "/", "")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(LANGUAGES) + "}").load(root)
-    short = found.select(path.alias("path"), "content")
-    return short.filter(~ignore.ignored(F.col("path"), patterns or [], skip))
+    patterns = ignore.load_patterns(spark, root) if patterns is None else patterns
+    if only is not None:
+        only = [p for p in only if p.rpartition(".")[2].lower() in LANGUAGES and ignore.is_file(spark, f"{root.rstrip('/')}/{p}")]
+        if not only:
+            return spark.createDataFrame([], "path string, content binary")
+    found = _files(spark, root if only is None else [f"{root.rstrip('/')}/{p}" for p in only])
+    if only is None:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _supported()).load(root)
+    return found.select(_relative(root), "content").filter(~ignore.ignored(F.col("path"), patterns, skip))

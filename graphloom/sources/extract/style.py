@@ -13,7 +13,6 @@ _PROPERTY = re.compile(r"(?<![\w-])(--[\w-]+|\$[\w-]+)\s*:")
 _VAR = re.compile(r"var\(\s*(--[\w-]+)")
 _IMPORT = re.compile(r"@(?:import|use|forward)\s+(?:url\()?\s*[\"']([^\"']+)[\"']")
 _TEMPLATE = re.compile(r"css`((?:\\.|[^`\\])*)`", re.DOTALL)
-_HOLE = re.compile(r"\$\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}")
 
 
 def _stem(path: str) -> str:
@@ -76,13 +75,29 @@ def extract_css(text: str, path: str) -> list[Relation]:
     return rows
 
 
+def _without_holes(body: str) -> str:
+    """The template with what stands in ``${...}`` blanked, however deep its braces go."""
+    out, depth = [], 0
+    for k, c in enumerate(body):
+        if not depth and c == "$" and body[k + 1 : k + 2] == "{":
+            depth = -1  # the brace that follows opens the hole
+        elif depth == -1:
+            depth = 1
+        elif depth:
+            depth += (c == "{") - (c == "}")
+        else:
+            out.append(c)
+            continue
+        out.append(" ")
+    return "".join(out)
+
+
 def extract_lit(text: str, path: str) -> list[Relation]:
     """Variables that css templates use and define, each once a file, without what is interpolated."""
     module, file = module_of(path), path.rsplit("/", 1)[-1]
     kept = [" "] * len(text)
     for m in _TEMPLATE.finditer(text):
-        body = _HOLE.sub(lambda h: " " * len(h[0]), m[1])
-        kept[m.start(1) : m.end(1)] = body
+        kept[m.start(1) : m.end(1)] = _without_holes(m[1])
     code = "".join("\n" if c == "\n" else k for c, k in zip(text, kept, strict=True))
     uses = _first(code, _VAR, lambda name, line: Relation(module, "module", "USES_VAR", name, "scss_variable", line))
     return uses + _first(code, re.compile(r"(--[\w-]+)\s*:"), lambda name, line: Relation(name, "scss_variable", "DEFINED_IN", file, "file", line))

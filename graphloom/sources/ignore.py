@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import fnmatch
-import os
-from collections.abc import Iterator
+import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Directories that are always left out, and the name of a tree's own list.
@@ -23,12 +22,28 @@ def patterns_of(text: str) -> list[str]:
     return [p for p in found if p]
 
 
-def load_patterns(root: str) -> list[str]:
-    try:
-        with open(os.path.join(root, IGNORE_FILE), encoding="utf-8") as f:
-            return patterns_of(f.read())
-    except OSError:
+def _at(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return bool(fs.exists(p) and fs.getFileStatus(p).isFile())
+
+
+def load_patterns(spark: SparkSession, root: str) -> list[str]:
+    """The patterns of a tree's own list, in any store; none if there is no list."""
+    path = f"{root.rstrip('/')}/{IGNORE_FILE}"
+    if not is_file(spark, path):
         return []
+    # a name that begins with a dot is hidden from Spark's readers
+    fs, p = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return patterns_of(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def regex_of(pattern: str) -> str:
@@ -52,14 +67,19 @@ def ignored(path: Column, patterns: list[str], skip=SKIPPED) -> Column:
     return out
 
 
-def walk(root: str, patterns: list[str] | None = None, skip=SKIPPED) -> Iterator[str]:
-    """Relative paths of the files that count, in order; directories left out aren't entered."""
-    import re
+def folders(spark: SparkSession, root: str, patterns: list[str] | None = None, skip=SKIPPED) -> list[str]:
+    """Relative paths of the folders that count, empty ones too; those left out aren't entered.
 
-    rules = [re.compile(regex_of(p)) for p in (load_patterns(root) if patterns is None else patterns)]
-    out = lambda path: any(r.match(path) for r in rules)
-    for folder, folders, names in os.walk(root):
-        at = os.path.relpath(folder, root).replace(os.sep, "/")
-        prefix = "" if at == "." else at + "/"
-        folders[:] = sorted(d for d in folders if d not in skip and not out(prefix + d))
-        yield from (prefix + n for n in sorted(names) if not out(prefix + n))
+    Listed in the driver, as no reader of tables shows folders: a name for each folder.
+    """
+    rules = [re.compile(regex_of(p)) for p in (load_patterns(spark, root) if patterns is None else patterns)]
+    fs, p = _at(spark, root)
+    found, waiting = [], [("", p)] if fs.exists(p) else []
+    while waiting:
+        prefix, at = waiting.pop()
+        for status in fs.listStatus(at):
+            name = status.getPath().getName()
+            if status.isDirectory() and name not in skip and not any(r.match(prefix + name) for r in rules):
+                found.append(prefix + name)
+                waiting.append((f"{prefix}{name}/", status.getPath()))
+    return sorted(found)

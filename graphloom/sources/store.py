@@ -1,20 +1,32 @@
-"""A graph's home: versioned Parquet tables, published by moving one pointer.
-
-A version is written whole beside the others, edges by type, so that a query reads only
-the relations it follows. The pointer moves last and is never half written, so readers
-see the old version or the new one; a failed build changes nothing.
+"""A graph's home: versioned Parquet tables, published by one marker file.
+
+A version is written whole beside the others, edges by type and in the order of their
+sources, and once more in that of their targets, so that a query reads only the relations
+it follows, and little of them. An empty file with the version's number and name in a
+folder of markers publishes it; the largest number counts. Nothing is moved or replaced,
+so at every moment readers see the old version or the new one, also in stores without a
+rename, and a failed build changes nothing. Some older versions stay, for readers at work.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from graphloom.functions.columns import blank
 from graphloom.operators.graph import Graph
 from graphloom.schemas import EDGES, NODES, TRIPLES
+from graphloom.scratch import dropped, written
+
+#: Versions that are kept.
+KEPT = 4
+#: The fields of triples in files that others read.
+DUMPED = ("from_entity", "from_type", "relation_type", "to_entity", "to_type", "source_file", "line_number")
 
 
 class GraphStore:
@@ -27,41 +39,80 @@ class GraphStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _markers(self) -> list[str]:
+        """The markers of all versions, the published one last."""
+        fs, p = self._fs(f"{self.root}/published")
+        found = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(m for m in found if m[:1].isdigit())
+
     def version(self) -> str | None:
         """The published version; None before the first."""
-        fs, p = self._fs(f"{self.root}/current")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.root}/current").first()[0]
+        markers = self._markers()
+        return markers[-1].partition("-")[2] if markers else None
 
-    def publish(self, nodes: DataFrame, edges: DataFrame, triples: DataFrame | None = None) -> str:
-        """Writes a new version and moves the pointer to it; a graph without nodes is not published.
+    def publish(self, nodes: DataFrame, edges: DataFrame, triples: DataFrame | None = None, psr4: dict[str, str] | None = None) -> str:
+        """Writes a new version and publishes it; a graph without nodes is not published.
 
-        The triples it was made of go along, so that a change of few files parses only those.
+        The triples it was made of go along, so that a change of few files parses only
+        those, and the files that each file's imports mean, so that no query resolves them.
         """
         name = uuid.uuid4().hex
         at = f"{self.root}/v-{name}"
-        nodes.write.parquet(f"{at}/nodes")
-        if not self.spark.read.parquet(f"{at}/nodes").limit(1).count():
-            fs, p = self._fs(at)
-            fs.delete(p, True)
+        nodes, edges = written(nodes, "publish-nodes"), written(edges, "publish-edges")
+        if not nodes.limit(1).count():
+            dropped(nodes, edges)
             raise ValueError("an empty graph is not published")
-        edges.write.partitionBy("type").parquet(f"{at}/edges")
+        named = nodes.withColumn("name_lower", F.lower(blank(F.col("name"))))
+        named.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{at}/nodes")
+        for end, folder in (("src", "edges"), ("dst", "into")):
+            edges.repartitionByRange("type", end).sortWithinPartitions("type", end).write.partitionBy("type").parquet(f"{at}/{folder}")
         (self.triples() if triples is None else triples).write.parquet(f"{at}/triples")
-        self.spark.range(1).select(F.lit(name)).coalesce(1).write.text(f"{self.root}/next-{name}")
-        fs, new = self._fs(f"{self.root}/next-{name}")
-        current = self._fs(f"{self.root}/current")[1]
-        fs.delete(current, True)
-        fs.rename(new, current)
+        if psr4 is None and self.version():
+            psr4 = self.psr4()
+        Graph(nodes, edges, self.project).importers(psr4 or {}).write.parquet(f"{at}/imports")
+        facts = {"psr4": psr4 or {}, "edges": edges.schema.jsonValue()}
+        fs, p = self._fs(f"{at}/facts")
+        out = fs.create(p, False)
+        out.write(bytearray(json.dumps(facts).encode()))
+        out.close()
+        dropped(nodes, edges)
+        self._mark(name)
         return name
 
+    def publish_table(self, df: DataFrame) -> int:
+        """Publishes one table in place of a graph; the number of its rows."""
+        name = uuid.uuid4().hex
+        df.write.parquet(f"{self.root}/v-{name}")
+        self._mark(name)
+        return self.spark.read.parquet(f"{self.root}/v-{name}").count()
+
+    def _mark(self, name: str) -> None:
+        """Publishes a version that is written, and deletes those that are too old."""
+        markers = self._markers()
+        number = int(markers[-1].partition("-")[0]) + 1 if markers else 1
+        fs, marker = self._fs(f"{self.root}/published/{number:012d}-{name}")
+        fs.create(marker, False).close()
+        for old in markers[: max(0, len(markers) + 1 - KEPT)]:
+            for path in (f"published/{old}", f"v-{old.partition('-')[2]}"):
+                fs.delete(self._fs(f"{self.root}/{path}")[1], True)
+
+    def _facts(self, name: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/v-{name}/facts").first()[0])
+
+    def psr4(self) -> dict[str, str]:
+        """The namespace map that the published graph's imports were resolved with."""
+        name = self.version()
+        return self._facts(name)["psr4"] if name else {}
+
     def graph(self) -> Graph:
-        """The published graph; an empty one if nothing can be read."""
+        """The published graph; an empty one before the first."""
         name = self.version()
         if name is None:
             return Graph(self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES), self.project)
-        at = f"{self.root}/v-{name}"
-        return Graph(self.spark.read.parquet(f"{at}/nodes"), self.spark.read.parquet(f"{at}/edges"), self.project)
+        schema = T.StructType.fromJson(self._facts(name)["edges"])  # edges may be none, and then tell no schema
+        edges, into = (self.spark.read.schema(schema).parquet(f"{self.root}/v-{name}/{x}").select(*schema.names) for x in ("edges", "into"))
+        nodes, imports = (self.spark.read.parquet(f"{self.root}/v-{name}/{x}") for x in ("nodes", "imports"))
+        return Graph(nodes, edges, self.project, into, imports)
 
     def triples(self) -> DataFrame:
         """The triples of the published graph."""
@@ -74,7 +125,13 @@ class GraphStore:
         files.repartitionByRange(1, "path").sortWithinPartitions("path").write.mode("overwrite").text(path)
 
     def last_ingested(self):
-        row = self.graph().nodes.filter("type = 'Project'").select("last_ingested").first()
+        nodes = self.graph().nodes
+        row = nodes.filter((F.col("type") == "Project") & (F.col("name") == self.project)).select("last_ingested").first()
+        return row[0] if row else None
+
+    def updated_at(self, file: str | None):
+        """When a file was last taken in; None if it isn't there."""
+        row = self.graph().files_at(file).select("updated_at").first() if file else None
         return row[0] if row else None
 
 
@@ -100,9 +157,9 @@ def load_triples(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("seq", F.coalesce("seq", F.monotonically_increasing_id())).withColumn("is_exported", F.coalesce("is_exported", F.lit(False)))
 
 
-def dump_triples(triples: DataFrame, path: str) -> None:
-    """All fields of the triples as JSON lines."""
-    triples.write.mode("overwrite").json(path)
+def dump_triples(triples: DataFrame, path: str, fields: Sequence[str] | None = None) -> None:
+    """The triples as JSON lines, in their order: all fields, or those of ``DUMPED`` for the exchange format."""
+    triples.orderBy("seq").select(*(fields or triples.columns)).write.mode("overwrite").json(path)
 
 
 def psr4(text: str | None) -> dict[str, str]:
@@ -121,6 +178,22 @@ def psr4(text: str | None) -> dict[str, str]:
 
 
 def with_sidecar(nodes: DataFrame, sidecar: DataFrame) -> DataFrame:
-    """Nodes with the descriptions of a side table (node, description) where they have none."""
-    said = sidecar.select(F.col("node").alias("id"), F.col("description").alias("_said")).dropDuplicates(["id"])
-    return nodes.join(said, "id", "left").withColumn("description", F.coalesce(F.nullif("description", F.lit("")), "_said")).drop("_said")
+    """Nodes with the descriptions of a side table (node, description) where they have none; the last of several counts."""
+    given = sidecar if "_order" in sidecar.columns else sidecar.withColumn("_order", F.monotonically_increasing_id())
+    last = given.filter(blank(F.trim("description")) != "").groupBy(F.col("node").alias("id")).agg(F.max_by(F.trim("description"), "_order").alias("_said"))
+    return nodes.join(last, "id", "left").withColumn("description", F.coalesce(F.nullif("description", F.lit("")), "_said")).drop("_said")
+
+
+def adopted_sidecar(store: GraphStore, path: str) -> int:
+    """Publishes the descriptions of a JSON lines file of (node, description), then deletes the file, so that
+    it is taken in once; lines that can't be read don't count. The number of nodes described now."""
+    fs, p = store._fs(path)
+    if not store.version() or not fs.exists(p):
+        return 0
+    graph, schema = store.graph(), "node string, description string"
+    given = written(store.spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).withColumn("_order", F.monotonically_increasing_id()), "sidecar")
+    nodes = graph.nodes.drop("name_lower")
+    before = nodes.filter(blank(F.col("description")) != "").count()
+    store.publish(with_sidecar(nodes, given), graph.edges)
+    fs.delete(p, True)
+    return store.graph().nodes.filter(blank(F.col("description")) != "").count() - before

@@ -25,8 +25,9 @@ def compacted(events: DataFrame) -> DataFrame:
     return expanded(events).groupBy("path").agg(F.max_by("kind", "ts").alias("kind"), F.count("*").alias("n_events"))
 
 
-def watch(events: DataFrame, apply: Callable[[DataFrame, DataFrame], None], checkpoint: str, patterns: list[str] | None = None, skip=SKIPPED) -> StreamingQuery:
-    """Runs ``apply(changed, deleted)`` for each batch of a stream of events.
+def watch(events: DataFrame, apply: Callable[[DataFrame, DataFrame], None], checkpoint: str, patterns: list[str] | None = None, skip=SKIPPED, every: str | None = None) -> StreamingQuery:
+    """Runs ``apply(changed, deleted)`` for each batch of a stream of events: for those that are there, or,
+    with a time between batches (``every``, such as "5 seconds"), until the query is stopped.
 
     Both have the paths that count, once each. State is the graph that ``apply`` publishes,
     and the checkpoint folder makes a restart go on where it stopped; an event that comes
@@ -35,7 +36,10 @@ def watch(events: DataFrame, apply: Callable[[DataFrame, DataFrame], None], chec
 
     def batch(df: DataFrame, _: int) -> None:
         last = compacted(df).filter(~ignored(F.col("path"), patterns or [], skip)).persist()
+        if last.isEmpty():
+            last.unpersist()
+            return
         apply(last.filter("kind <> 'deleted'").select("path"), last.filter("kind = 'deleted'").select("path"))
         last.unpersist()
 
-    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()

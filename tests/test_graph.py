@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import receiver_matches, stable_uuid
-from graphloom.operators import mutate, vectors
+from graphloom.operators import mutate, vectors, writeback
 from graphloom.operators.graph import Graph
+from graphloom.scratch import written
 from graphloom.schemas import NODES, TRIPLES
 from graphloom.sources import ignore
 
@@ -21,7 +22,7 @@ def graph(spark, *triples):
     files = t.select(F.col("source_file").alias("path")).distinct().withColumn("id", F.concat(F.lit("demo:file:"), "path"))
     nodes, edges = mutate.graph_of(t, "demo", files)
     file_nodes = files.select("id", F.lit("File").alias("type"), F.col("path").alias("name"), "path", F.lit("demo").alias("project"), F.lit(-1).cast("bigint").alias("node_seq"))
-    return Graph(nodes.unionByName(file_nodes, allowMissingColumns=True), edges, "demo")
+    return Graph(written(nodes.unionByName(file_nodes, allowMissingColumns=True).coalesce(1), "test-nodes"), written(edges.coalesce(1), "test-edges"), "demo")
 
 
 HANDLE = [
@@ -152,16 +153,70 @@ def test_agents_corrections(spark):
         [("caller", "callee", "CALLS"), ("caller", "shared", "CALLS"), ("ghost", "callee", "CALLS"), ("caller", "pathlib", "imports"), ("caller", "pathlib", "CALLS"), ("caller", "callee", "CONTAINS")],
         "caller string, callee string, relation string",
     )
-    got = {(r["caller"], r["callee"], r["relation"]): r["status"] for r in mutate.added_calls(g, asked).collect()}
+    told = writeback.added_calls(g, asked)
+    got = {(r["caller"], r["callee"], r["relation"]): r["status"] for r in told.collect()}
     assert got == {
         ("caller", "callee", "CALLS"): "added", ("caller", "shared", "CALLS"): "ambiguous", ("ghost", "callee", "CALLS"): "skipped",
         ("caller", "pathlib", "imports"): "added", ("caller", "pathlib", "CALLS"): "skipped", ("caller", "callee", "CONTAINS"): "skipped",
     }
-    status, nodes = mutate.added_entity(g, "helper", "function:python", "a.py", 3, "helps")
-    assert status == "created" and nodes.filter("name = 'helper' and agent_created").count() == 1
-    assert mutate.added_entity(g, "shared", "function")[0] == "ambiguous"
-    assert mutate.deleted_entity(Graph(nodes, g.edges, "demo"), "demo:a.py:helper")[0] == "removed"
-    assert mutate.deleted_entity(g, "demo:a.py:callee")[0] == "stripped"
+    nodes, edges = writeback.with_calls(g, told)
+    module = nodes.filter("name = 'pathlib'").first()
+    assert (module["id"], module["kind"], module["file"], module["agent_created"]) == ("demo:pathlib", "module:python", None, True)
+    assert {(r["dst"], r["type"], r["source_file"]) for r in edges.filter("agent_inferred").collect()} == {("demo:a.py:callee", "CALLS", "a.py"), ("demo:pathlib", "IMPORTS", "a.py")}
+
+
+def test_file_less_nodes_are_no_match_but_for_imports(spark):
+    """A call of something unknown leaves a bucket; no edge of another kind may end there, and no name gets ambiguous by it."""
+    g = graph(
+        spark,
+        ("caller", "function", "DEFINED_IN", "a", "module", "a.py", 1),
+        ("twice", "function", "DEFINED_IN", "a", "module", "a.py", 2),
+        ("caller", "function", "CALLS", "outside", "function", "a.py", 3),
+    )
+    bucket = spark.createDataFrame([("demo:twice", "Entity", "twice", "demo")], "id string, type string, name string, project string")
+    g = Graph(g.nodes.unionByName(bucket, allowMissingColumns=True), g.edges, "demo")
+    asked = spark.createDataFrame(
+        [("caller", "outside", "REGISTERS", None), ("caller", "twice", "REGISTERS", None), ("caller", "twice", "IMPORTS", None), ("caller", "twice", "CALLS", "b.py"), ("caller", "outside", "IMPORTS", None), ("caller", "outside", "IMPORTS", None)],
+        "caller string, callee string, relation string, callee_file string",
+    )
+    got = sorted((r["callee"], r["relation"], r["status"]) for r in writeback.added_calls(g, asked).collect())
+    assert got == [
+        ("outside", "IMPORTS", "added"), ("outside", "IMPORTS", "exists"), ("outside", "REGISTERS", "skipped"),
+        ("twice", "CALLS", "ambiguous"), ("twice", "IMPORTS", "ambiguous"), ("twice", "REGISTERS", "added"),
+    ]
+
+
+def test_hops_scan_nodes_past_the_frontier(spark):
+    """A hop joins the nodes with a broadcast frontier; the nodes are not moved."""
+    import io
+    from contextlib import redirect_stdout
+
+    from graphloom.operators.traverse import within
+
+    near = spark.createDataFrame([("a", 1, "b")], "id string, depth int, via string")
+    many = spark.range(1_000_000).select(F.col("id").cast("string").alias("id"))
+    for rows in (1, 1000):
+        with redirect_stdout(io.StringIO()) as out:
+            within(many)(near, rows).explain()
+        assert "BroadcastHashJoin" in out.getvalue() and "hashpartitioning" not in out.getvalue()
+
+
+def test_several_targets_are_traversed_at_once(spark):
+    g = graph(
+        spark,
+        ("a", "function", "DEFINED_IN", "a", "module", "a.py", 1), ("b", "function", "DEFINED_IN", "b", "module", "b.py", 1), ("c", "function", "DEFINED_IN", "c", "module", "c.py", 1),
+        ("b", "function", "CALLS", "a", "function", "b.py", 2), ("c", "function", "CALLS", "b", "function", "c.py", 2),
+    )
+    got = {(r["file"], r["hops"], tuple(r["via"])) for r in g.batch_impact("a, b,, nothing,a").collect()}
+    assert got == {("a.py", 0, ("a",)), ("b.py", 0, ("a", "b")), ("c.py", 1, ("a", "b"))}
+    assert g.batch_impact("").count() == 0 and g.batch_impact([]).columns == ["file", "hops", "via"]
+
+
+def test_patterns_are_the_engines(spark):
+    g = graph(spark, *HANDLE)
+    for bad in ("(", "(?P<n>fo)", "[z-a]"):
+        with pytest.raises(ValueError, match="invalid regex"):
+            g.grep(bad)
 
 
 def test_rebuild_keeps_what_agents_made_while_its_file_is_there(spark):

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import dropped, written
+from graphloom.llm.common import dropped, small_batches, written
 from graphloom.llm.shingles import mix, shingle_sets
 
 #: Signatures that are packed before they are dealt out, at least and at most, and for each bucket.
@@ -301,6 +301,14 @@ def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.select("text").mapInArrow(named, "set_id bigint, text string")
 
 
+def _gathered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table of few files, each of about ``FILE_ROWS`` rows, though many tasks make it."""
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    out = written(kept.coalesce(1 + kept.count() // FILE_ROWS), name)
+    kept.unpersist()
+    return out
+
+
 def _few(ids: DataFrame) -> DataFrame:
     """Ids with a broadcast hint if their counted rows are few."""
     return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
@@ -386,7 +394,7 @@ def _led_pairs(led: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
         .withColumn("component", F.coalesce("component", "member"))
     )
     groups = known.groupBy("leader").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
-    split = written(groups.select("leader", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks")), "groups")
+    split = _gathered(groups.select("leader", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks")), "groups")
     own = known.join(_few(split), "leader").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     own = own.select(
@@ -404,8 +412,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     documents if an executor is lost; what the result reads is written.
     """
     key = ["set_id", "set_check", "n_shingles"]
-    every, docs = docs, docs.filter("doc_id is not null")
-    classes = written(digests(docs).filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+    every = small_batches(docs)
+    docs = every.filter("doc_id is not null")
+    classes = _gathered(digests(docs).filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
     found = candidates(docs, bucket_count(classes)).persist(StorageLevel.DISK_ONLY)
     pairs = _bounded(found.select("a", "b").distinct(), classes).persist(StorageLevel.DISK_ONLY)
     led = found.filter("led").select("a", "b")
@@ -413,14 +422,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     texts = _texts(docs, classes, nodes).persist(StorageLevel.DISK_ONLY)
     # first one pair for each text, then only pairs that are still apart, then the other pairs with a common leader
     leaders = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(_linked(leaders, texts), "links")
+    links = _gathered(_linked(leaders, texts), "links")
     labels = components(links)
-    rest = written(_across(pairs, labels).join(leaders, ["a", "b"], "left_anti"), "rest")
+    rest = _gathered(_across(pairs, labels).join(leaders, ["a", "b"], "left_anti"), "rest")
     for more in (rest, None):
         if more is None:
-            more = written(_led_pairs(led, labels, classes).join(pairs, ["a", "b"], "left_anti"), "led")
+            more = _gathered(_led_pairs(led, labels, classes).join(pairs, ["a", "b"], "left_anti"), "led")
         if more.limit(1).count():
-            links = links.union(written(_linked(more, texts), "links"))
+            links = links.union(_gathered(_linked(more, texts), "links"))
             labels = components(links)
     for kept in (texts, pairs, found):
         kept.unpersist()

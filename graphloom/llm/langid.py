@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import held_out, sliced
+from graphloom.llm.common import held_out, sliced, small_batches
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -210,5 +210,5 @@ def identify(docs: DataFrame, network: Network) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"]
             )
 
-    rows = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
+    rows = small_batches(docs).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(found, "doc_id bigint, held_out boolean, lang_pred string, score double")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import sliced, written
+from graphloom.llm.common import sliced, small_batches, written
 from graphloom.llm.shingles import _BYTES, _power, mix
 
 WINDOW = 2048
@@ -408,7 +408,7 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, end: int = END, kin
             counts = pa.array([-2, -1, *at.tolist()], pa.int64()), pa.array([n, total, *df[at].tolist()], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.binary()), *counts], schema=_TOKENS)
 
-    return docs.select("doc_id", "text").mapInArrow(encoded, "doc_id bigint, ids binary, term bigint, n bigint")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(encoded, "doc_id bigint, ids binary, term bigint, n bigint")
 
 
 def corpus_statistics(tokens: DataFrame) -> Statistics:

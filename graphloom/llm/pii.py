@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import sliced
+from graphloom.llm.common import sliced, small_batches
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "tel", "id")
@@ -351,7 +351,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in base + more] for base, more in _spans_of(batch.column(1).to_pylist(), field)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(found, "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(found, "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -392,4 +392,4 @@ def masked_documents(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 arrays[size] = pa.array([None if t is None else len(t) for t in new], batch.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
-    return docs.mapInArrow(mask, docs.schema)
+    return small_batches(docs).mapInArrow(mask, docs.schema)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import held_out, sliced
+from graphloom.llm.common import held_out, sliced, small_batches
 
 
 @dataclass(frozen=True)
@@ -355,5 +355,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
-    rows = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
+    rows = small_batches(docs).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(scored, "doc_id bigint, held_out boolean, score double, predicted int")

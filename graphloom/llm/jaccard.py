@@ -436,7 +436,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     smallest = classes.join(labels, classes.set_id == labels.node).groupBy("component").agg(F.min("rep").alias("smallest"))
     of_class = (
         classes.join(labels, classes.set_id == labels.node, "left")
-        .join(smallest, "component", "left")
+        .join(_few(smallest), "component", "left")  # a large component's classes stay where they are
         .select(*key, F.coalesce("smallest", "rep").alias("component_id"))
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -20,15 +20,17 @@ def con():
     return c
 
 
-def rows(frame):
-    columns = sorted(frame.columns)
-    return columns, sorted(tuple(str(None if isinstance(v, float) and v != v else v) for v in r) for r in frame[columns].astype(object).values.tolist())
+def rows(columns, values):
+    """Columns and rows, both in order, nulls and numbers as text."""
+    order = sorted(range(len(columns)), key=lambda k: columns[k])
+    return [columns[k] for k in order], sorted(tuple(str(v[k]) for k in order) for v in values)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_agrees_with_sql(spark, con, name):
-    assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(con.sql(catalog.ORACLE_SQL[name]).df())
+    got, want = catalog.QUERIES[name](spark, SF), con.sql(catalog.ORACLE_SQL[name])
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")

@@ -21,8 +21,8 @@ only where they are not in one component yet, and in blocks of bounded size.
 Null texts and texts without words are alone in their component. Rows without a doc_id
 link with nothing and have no component; where one of each component stays, they stay. Rows repeated, or
 with equal texts, share a class; rows that repeat a doc_id with other texts are nodes
-of their own. Long texts are sets like others. An empty table gives an empty result.
-Other columns are ignored.
+of their own, of which each stays that is the first of its component. Long texts are sets
+like others. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import dropped, small_batches, written
+from graphloom.llm.common import SPACE, dropped, small_batches, written
 from graphloom.llm.shingles import mix, shingle_sets
 
 #: Signatures that are packed before they are dealt out, at least and at most, and for each bucket.
@@ -170,7 +170,7 @@ def _could_link(na, nb, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id, set_check, sketch) of every document."""
+    """(doc_id, n_shingles, set_id, set_check, sketch, text_id) of every document; the last is a hash of its text."""
 
     def digest(batches):
         for batch in batches:
@@ -178,11 +178,12 @@ def digests(docs: DataFrame) -> DataFrame:
                 n = len(lengths)
                 sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_SKETCH), n, [None, pa.py_buffer(_sketches(hashes, lengths))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), pa.array(lengths), pa.array(_fingerprints(hashes, lengths, 11)), pa.array(_fingerprints(hashes, lengths, 12)), sketches],
-                    names=["doc_id", "n_shingles", "set_id", "set_check", "sketch"],
+                    [batch.column(0).slice(at, n), pa.array(lengths), pa.array(_fingerprints(hashes, lengths, 11)), pa.array(_fingerprints(hashes, lengths, 12)), sketches, batch.column(2).slice(at, n)],
+                    names=["doc_id", "n_shingles", "set_id", "set_check", "sketch", "text_id"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(digest, "doc_id bigint, n_shingles bigint, set_id bigint, set_check bigint, sketch binary")
+    schema = "doc_id bigint, n_shingles bigint, set_id bigint, set_check bigint, sketch binary, text_id bigint"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_id")).mapInArrow(digest, schema)
 
 
 def bucket_count(classes: DataFrame) -> int:
@@ -405,16 +406,23 @@ def _led_pairs(led: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
     return own.groupBy("leader", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document.
+_KEY = ["set_id", "set_check", "n_shingles"]
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """The classes of ``docs``, by ``_KEY``: number of rows, doc_id and text's hash of the first, and sketch."""
+    of_class = digests(docs).filter("n_shingles > 0").groupBy(*_KEY)
+    found = of_class.agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "text_id")).alias("first"), F.first("sketch").alias("sketch"))
+    return _gathered(found.select(*_KEY, "rows", F.col("first.doc_id").alias("rep"), F.col("first.text_id").alias("rep_text"), "sketch"), "classes")
+
+
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, labels): the classes of ``docs``, and (node, component) of those with a link.
 
     What is read again within is kept on the executors' disks, and made again from the
-    documents if an executor is lost; what the result reads is written.
+    documents if an executor is lost; what is returned is written.
     """
-    key = ["set_id", "set_check", "n_shingles"]
-    every = small_batches(docs)
-    docs = every.filter("doc_id is not null")
-    classes = _gathered(digests(docs).filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+    classes = _classes(docs)
     found = candidates(docs, bucket_count(classes)).persist(StorageLevel.DISK_ONLY)
     pairs = _bounded(found.select("a", "b").distinct(), classes).persist(StorageLevel.DISK_ONLY)
     led = found.filter("led").select("a", "b")
@@ -433,21 +441,64 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             labels = components(links)
     for kept in (texts, pairs, found):
         kept.unpersist()
+    return classes, labels
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    every = small_batches(docs)
+    classes, labels = _labelled(every.filter("doc_id is not null"))
     smallest = classes.join(labels, classes.set_id == labels.node).groupBy("component").agg(F.min("rep").alias("smallest"))
     of_class = (
         classes.join(labels, classes.set_id == labels.node, "left")
         .join(_few(smallest), "component", "left")  # a large component's classes stay where they are
-        .select(*key, F.coalesce("smallest", "rep").alias("component_id"))
+        .select(*_KEY, F.coalesce("smallest", "rep").alias("component_id"))
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return digests(every).select("doc_id", *key).join(of_class, key, "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return digests(every).select("doc_id", *_KEY).join(of_class, _KEY, "left").select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, n_links of every document: the number of other rows that it links with.
+
+    Every pair of classes that its signatures and sketches allow is compared, those with a
+    common leader in blocks, whatever their components: work grows with the square of a
+    group of different near copies, and a pair's texts meet in one row. Equal texts are
+    counted, not paired. Null and wordless texts, and rows without a doc_id, have no links.
+    """
+    every = small_batches(docs)
+    named = every.filter("doc_id is not null")
+    classes = _classes(named)
+    found = candidates(named, bucket_count(classes)).persist(StorageLevel.DISK_ONLY)
+    apart = classes.select(F.col("set_id").alias("node"), F.col("set_id").alias("component"))
+    pairs = _bounded(found.select("a", "b").distinct(), classes).union(_led_pairs(found.filter("led").select("a", "b"), apart, classes))
+    pairs = _gathered(pairs.distinct(), "pairs")
+    texts = _texts(named, classes, pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()).persist(StorageLevel.DISK_ONLY)
+    links = _gathered(_linked(pairs, texts).distinct(), "links")
+    for kept in (texts, found):
+        kept.unpersist()
+    ends = links.select("a", "b").union(links.select("b", "a")).toDF("set_id", "other")
+    others = ends.join(classes.select(F.col("set_id").alias("other"), "rows"), "other").groupBy("set_id").agg(F.sum("rows").alias("others"))
+    of_class = classes.join(others, "set_id", "left").select(*_KEY, (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
+    n_links = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0)))
+    return digests(every).select("doc_id", *_KEY).join(of_class, _KEY, "left").select("doc_id", "n_shingles", n_links.cast("long").alias("n_links"))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest, each doc_id once; and those without doc_id."""
-    kept = jaccard_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).join(kept, "_id")
-    one = F.row_number().over(Window.partitionBy("_id").orderBy("_row"))
+    """The first row of each component of ``docs``, that with the smallest doc_id; and all rows without doc_id.
+
+    Rows without words are components of their own. Of rows with equal doc_id and text the smallest one stays.
+    """
+    classes, labels = _labelled(small_batches(docs).filter("doc_id is not null"))
+    own = classes.join(labels, classes.set_id == labels.node, "left")
+    alone = F.when(F.col("component").isNull(), F.col("set_check"))
+    firsts = own.groupBy(F.coalesce("component", "set_id").alias("node"), alone.alias("alone")).agg(F.min(F.struct("rep", "rep_text")).alias("first"))
+    kept = firsts.select(F.col("first.rep").alias("_id"), F.col("first.rep_text").alias("_text"), F.lit(True).alias("_kept"))
+    wordless = ~F.coalesce("text", F.lit("")).rlike(f"[^{SPACE}]")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), wordless.alias("_alone"), row.alias("_row"))
+    rows = rows.join(kept, ["_id", "_text"], "left").filter("_kept or _alone")
+    one = F.row_number().over(Window.partitionBy("_id", "_text").orderBy("_row"))
     return rows.withColumn("_nth", one).filter("_nth = 1").select("_row.*").unionByName(docs.filter("doc_id is null"))
 
 

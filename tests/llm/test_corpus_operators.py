@@ -123,6 +123,27 @@ def test_components_equal_brute_force(spark, seed, monkeypatch):
     assert got == brute_components(texts)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_link_counts_equal_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIR_BLOCK", 16)
+    texts = chained(random.Random(seed)) + EDGES
+    texts += texts[:50]
+    s = [sets(t) for t in texts]
+    want = {i: sum(bool(a) and i != j and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(s)) for i, a in enumerate(s)}
+    assert {r["doc_id"]: r["n_links"] for r in jaccard.link_counts(clashing(docs(spark, texts))).collect()} == want
+    assert jaccard.link_counts(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_repeated_ids_with_other_texts_are_documents_of_their_own(spark):
+    a, b = "a b c d e f", "q r s t u v"
+    rows = [(3, a), (5, a.upper()), (5, b), (5, b), (7, b), (8, None), (8, ""), (8, None), (8, a), (None, a), (None, a)]
+    given = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = sorted(((r[0] or 0, r[1] or "", r[1] is None) for r in jaccard.first_of_each(given).collect()))
+    assert kept == [(0, a, False)] * 2 + [(3, a, False), (5, b, False), (8, "", False), (8, "", True)]
+    counted = sorted((r[0] or 0, r[2]) for r in jaccard.link_counts(given).collect())
+    assert counted == [(0, 0), (0, 0), (3, 2), (5, 2), (5, 2), (5, 2), (7, 2), (8, 0), (8, 0), (8, 0), (8, 2)]
+
+
 def test_components_without_documents(spark):
     assert jaccard.jaccard_components(docs(spark, ["a"]).limit(0)).count() == 0
     kept = jaccard.first_of_each(clashing(docs(spark, ["a b", "c d", "A B", None, None])))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, jaccard, langid, mixing, packing, pii, quality, topk, toxicity, warc
+from graphloom.llm import chat, clusters, jaccard, langid, mixing, packing, pii, quality, topk, toxicity, warc
 from graphloom.llm.common import shared_dir, table
 
 
@@ -67,6 +67,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of all vectors after three rounds, with exact distances."""
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -78,6 +83,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_warc": op10_warc,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 
 ORACLE_SQL = {
@@ -87,4 +93,5 @@ ORACLE_SQL = {
     "op7_mixing": mixing.SQL,
     "op9_jaccard_join": jaccard.SQL,
     "op10_warc": warc.SQL,
+    "op11_centroid_clustering": clusters.SQL,
 }

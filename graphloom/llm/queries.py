@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, clusters, jaccard, langid, mixing, packing, pii, quality, repeats, topk, toxicity, warc
+from graphloom.llm import chat, clusters, jaccard, langid, lexical, mixing, packing, pii, quality, repeats, topk, toxicity, warc
 from graphloom.llm.common import shared_dir, table
 
 
@@ -72,6 +72,11 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for every benchmark item."""
+    return lexical.search(lexical.indexed(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of windows of 35 words that start anywhere else too."""
     return repeats.digests(repeats.deduplicated(table(spark, sf_dir, "documents")))
@@ -89,6 +94,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_warc": op10_warc,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_lexical_search": op12_lexical_search,
     "op13_substring_dedup": op13_substring_dedup,
 }
 
@@ -100,5 +106,6 @@ ORACLE_SQL = {
     "op9_jaccard_join": jaccard.SQL,
     "op10_warc": warc.SQL,
     "op11_centroid_clustering": clusters.SQL,
+    "op12_lexical_search": lexical.SQL,
     "op13_substring_dedup": repeats.SQL,
 }

@@ -319,8 +319,8 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["query", "doc_id", "score"])
 
 
-def _opened(row: dict, index_docs: int, index_terms: int) -> tuple:
-    m = norm(np.frombuffer(row["lengths"], "<i8"), index_docs, index_terms)
+def _opened(row: dict, n_docs: int, n_terms: int) -> tuple:
+    m = norm(np.frombuffer(row["lengths"], "<i8"), n_docs, n_terms)
     starts, docs = np.frombuffer(row["starts"], "<i4").astype(np.int64), np.frombuffer(row["docs"], "<u2")
     return m, docs, _counts(row["tfs"], len(docs)), starts
 
@@ -365,12 +365,13 @@ def _first_clusters(index: Index, queries: Queries, first: int) -> DataFrame:
 
 def _least(index: Index, queries: Queries, k: int, first: int) -> np.ndarray:
     """The score that each query's results must reach: its k-th best in its first clusters, or 1."""
+    n_docs, n_terms = index.n_docs, index.n_terms
 
     def score(batches):
         best = Best(queries.n, k, np.ones(queries.n, np.int64))
         for batch in sliced(batches, RUN):
             for row in batch.to_pylist():
-                at, opened = queries.places(np.frombuffer(row["terms"], np.uint64)), _opened(row, index.n_docs, index.n_terms)
+                at, opened = queries.places(np.frombuffer(row["terms"], np.uint64)), _opened(row, n_docs, n_terms)
                 for q in row["asking"]:
                     best.meet(q, queries.scores(q, at, row, *opened), row["ids"])
         yield best.rows()
@@ -385,6 +386,7 @@ def _least(index: Index, queries: Queries, k: int, first: int) -> np.ndarray:
 
 def _visited(index: Index, queries: Queries, least: np.ndarray, k: int) -> DataFrame:
     """(query, doc_id, score) of the best documents of every task."""
+    n_docs, n_terms = index.n_docs, index.n_terms
 
     def visit(batches):
         best = Best(queries.n, k, least)
@@ -398,7 +400,7 @@ def _visited(index: Index, queries: Queries, least: np.ndarray, k: int) -> DataF
                     if bounds[c, q] < best.least[q]:
                         break
                     if c not in opened:
-                        opened[c] = _opened(rows[c], index.n_docs, index.n_terms)
+                        opened[c] = _opened(rows[c], n_docs, n_terms)
                     best.meet(q, queries.scores(q, places[c], rows[c], *opened[c]), rows[c]["ids"])
         yield best.rows()
 
@@ -443,10 +445,10 @@ with t as (
   select row_number() over () as nr, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
   from documents where text is not null
 ), d as materialized (select nr, doc_id, terms, len(terms)::bigint as n from t where len(terms) > 0
-), s as (select count(*)::hugeint as docs, sum(n)::hugeint as terms from d
+), s as (select count(*)::hugeint as docs, sum(n)::hugeint as total from d
 ), p as materialized (select nr, term, count(*)::hugeint as tf from (select nr, unnest(terms) as term from d) group by nr, term
 ), w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::hugeint as weight from p, s group by term, docs
-), m as (select nr, doc_id, 10 + (90 * n * docs) // terms as m from d, s
+), m as (select nr, doc_id, 10 + (90 * n * docs) // total as m from d, s
 ), i as (
   select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
   from benchmark where text is not null

@@ -138,6 +138,8 @@ def sketches(made: DataFrame, bits: int, slice_bits: int, window: int) -> DataFr
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = [h for *_, h in Windows(_column(_thawed(data.as_py()), 1), window)]
                 hashes = np.concatenate([*found, np.empty(0, np.uint64)])
+                if not len(hashes):
+                    continue
                 slices, values = [], []
                 for row in range(ROWS):
                     cells, counts = np.unique(_cells(hashes, row, bits), return_counts=True)
@@ -146,8 +148,7 @@ def sketches(made: DataFrame, bits: int, slice_bits: int, window: int) -> DataFr
                     for s, own in zip(number.tolist(), np.split(said, cuts[1:]), strict=True):
                         slices.append(row << 48 | s)
                         values.append(coded(own))
-                if slices:
-                    yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array([part] * len(slices), pa.int64()), pa.array(values, pa.binary())], names=["slice", "part", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array([part] * len(slices), pa.int64()), pa.array(values, pa.binary())], names=["slice", "part", "cells"])
 
     return made.select("part", "docs").mapInArrow(sketch, "slice bigint, part bigint, cells binary")
 

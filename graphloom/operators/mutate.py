@@ -9,82 +9,128 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import blank, entity_id, language_of
+from graphloom.operators.traverse import BROADCAST_ROWS
 from graphloom.schemas import RELATIONS
+from graphloom.scratch import written
 
-#: Copies of the candidate tables, among which the calls of a name are dealt.
-SALTS = 8
+#: Calls of one (name, receiver type), as a share of all, beyond which they aren't dealt out by it.
+HOT = 1 / 64
+#: What no receiver type is, for calls without one.
+_NONE = "\0"
 
 
-def resolved_triples(triples: DataFrame, project: str) -> DataFrame:
+def definitions(triples: DataFrame, project: str) -> DataFrame:
+    """(name, id, file, owner, kind, seq) of the entities that DEFINED_IN triples define."""
+    own_id = entity_id(F.lit(project), F.col("source_file"), F.col("from_entity"), F.col("owner_class"))
+    return triples.filter("relation_type = 'DEFINED_IN'").select(
+        F.col("from_entity").alias("name"), own_id.alias("id"), F.col("source_file").alias("file"), F.col("owner_class").alias("owner"), F.col("from_type").alias("kind"), "seq"
+    )
+
+
+def targets(keys: DataFrame, defs: DataFrame) -> DataFrame:
+    """``keys`` (name, receiver) with ``target``: the definition that a call of a name means, null if none does.
+
+    First the one owned by the receiver's type, then the one in the file of that class, then
+    the only one of the name. Every table that is joined has one row for its key.
+    """
+    counted = defs.groupBy("name").agg(F.count("*").alias("n_defs"), F.min("id").alias("only_id"))
+    by_owner = defs.filter("owner is not null").groupBy("name", F.col("owner").alias("receiver")).agg(F.min_by("id", "seq").alias("owner_id"))
+    homes = defs.filter("kind = 'class'").groupBy(F.col("name").alias("receiver")).agg(F.min_by("file", "seq").alias("home"))
+    by_file = defs.groupBy("name", F.col("file").alias("home")).agg(F.min_by("id", "seq").alias("home_id"))
+    found = keys.join(counted, "name").join(by_owner, ["name", "receiver"], "left").join(homes, "receiver", "left").join(by_file, ["name", "home"], "left")
+    return found.select(*keys.columns, F.coalesce("owner_id", "home_id", F.when(F.col("n_defs") == 1, F.col("only_id"))).alias("target")).filter("target is not null")
+
+
+def call_keys(triples: DataFrame) -> DataFrame:
+    """(name, receiver, n): what calls ask for, and how many ask for it."""
+    calls = triples.filter("relation_type <> 'DEFINED_IN'")
+    return calls.groupBy(F.col("to_entity").alias("name"), F.coalesce("call_receiver_type", F.lit(_NONE)).alias("receiver")).agg(F.count("*").alias("n"))
+
+
+def resolved_triples(triples: DataFrame, project: str, defs: DataFrame | None = None) -> DataFrame:
     """Triples with ``from_id`` and ``to_id``.
 
-    A target that DEFINED_IN doesn't name is looked up among the definitions of its name:
-    first one owned by the receiver's type, then one in the file of that class, then the
-    only one; otherwise it goes to the bucket of the bare name.
+    A target that DEFINED_IN doesn't name is looked up among the definitions of its name
+    (``targets``), once for each name and receiver's type; otherwise it goes to the bucket
+    of the bare name. Triples meet the answers in one join: they stay where they are if the
+    answers are few; else they are dealt out by what they ask for, but for the few that a
+    large share of all asks for, which counting has shown, and which are broadcast.
     """
     p = F.lit(project)
+    defs = definitions(triples, project) if defs is None else defs
+    found = written(targets(call_keys(triples), defs), "targets")
+    rows, calls = found.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    asks = F.col("relation_type") != "DEFINED_IN"
+    t = triples.withColumns({"name": F.col("to_entity"), "receiver": F.coalesce("call_receiver_type", F.lit(_NONE))})
+    if rows <= BROADCAST_ROWS:
+        t = t.join(F.broadcast(found.drop("n")), ["name", "receiver"], "left")
+    else:
+        hot = found.filter(F.col("n") > HOT * calls).drop("n").withColumnRenamed("target", "hot")  # fewer than 1 / HOT rows
+        t = t.join(F.broadcast(hot), ["name", "receiver"], "left")
+        spread = F.when(F.col("hot").isNull() & asks, F.col("receiver")).otherwise(F.concat(F.lit(_NONE), F.col("seq").cast("string")))
+        t = t.withColumn("receiver", spread).join(found.drop("n"), ["name", "receiver"], "left").withColumn("target", F.coalesce("hot", "target"))
     own_id = entity_id(p, F.col("source_file"), F.col("from_entity"), F.col("owner_class"))
-    bucket = F.concat_ws(":", p, F.col("to_entity"))
-    defs = triples.filter("relation_type = 'DEFINED_IN'").select(
-        F.col("from_entity").alias("def_name"), own_id.alias("def_id"), F.col("source_file").alias("def_file"), F.col("owner_class").alias("def_owner"),
-        F.col("from_type").alias("def_type"), F.col("seq").alias("def_seq"),
-    )
-    homes = defs.filter("def_type = 'class'").groupBy("def_name").agg(F.min_by("def_file", "def_seq").alias("home")).withColumnRenamed("def_name", "call_receiver_type")
-    counted = defs.groupBy("def_name").agg(F.count("*").alias("n_defs"), F.min_by("def_id", "def_seq").alias("only_id"))
-    by_owner = defs.filter("def_owner is not null").groupBy("def_name", F.col("def_owner").alias("call_receiver_type")).agg(F.min_by("def_id", "def_seq").alias("owner_id"))
-    by_file = defs.groupBy("def_name", F.col("def_file").alias("home")).agg(F.min_by("def_id", "def_seq").alias("home_id"))
-    # each candidate table has one row for its key, so a common name never multiplies the calls to it; hot names and
-    # missing receivers, which most calls have, are spread: such rows get random keys that meet nothing, or copies of the table
-    calls = triples.withColumn("def_name", F.col("to_entity")).withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int"))
-    calls = calls.withColumn("receiver_key", F.coalesce("call_receiver_type", F.concat(F.lit("\0"), F.col("seq").cast("string"))))
-    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    by_owner, homes = by_owner.withColumnRenamed("call_receiver_type", "receiver_key"), homes.withColumnRenamed("call_receiver_type", "receiver_key")
-    found = (
-        calls.join(salted(counted), ["def_name", "salt"], "left")
-        .join(salted(by_owner), ["def_name", "receiver_key", "salt"], "left")
-        .join(salted(homes), ["receiver_key", "salt"], "left")
-        .withColumn("home_key", F.coalesce("home", F.concat(F.lit("\0"), F.col("seq").cast("string"))))
-        .join(salted(by_file.withColumnRenamed("home", "home_key")), ["def_name", "home_key", "salt"], "left")
-    )
-    to_id = F.when(F.col("relation_type") == "DEFINED_IN", bucket).otherwise(F.coalesce("owner_id", "home_id", F.when(F.col("n_defs") == 1, F.col("only_id")), bucket))
-    return found.withColumn("from_id", own_id).withColumn("to_id", to_id).select(*triples.columns, "from_id", "to_id")
+    to_id = F.coalesce(F.when(asks, F.col("target")), F.concat_ws(":", p, F.col("to_entity")))
+    return t.select(*triples.columns, own_id.alias("from_id"), to_id.alias("to_id"))
 
 
 def graph_of(triples: DataFrame, project: str, file_ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of triples.
+    """(nodes, edges) of triples, which are resolved once, into a table.
 
     From-sides write their attributes, the last one wins; to-sides only fill what is not
     there, the first one wins; exported stays true once said. Every triple is an edge.
     """
-    t = resolved_triples(triples, project)
-    from_side = t.select(
-        F.col("from_id").alias("id"), "seq", F.lit(0).alias("side"), F.col("from_entity").alias("name"), F.col("from_type").alias("entity_type"),
-        language_of(F.col("source_file")).alias("language"), F.col("source_file").alias("file"),
-        F.when((F.col("relation_type") == "DEFINED_IN") & (F.col("line_number") > 0), F.col("line_number")).alias("line"),
-        F.nullif(F.col("owner_class"), F.lit("")).alias("owner"), F.col("is_exported"),
-    )
-    into_module = (F.col("relation_type") == "DEFINED_IN") & (F.col("to_type") == "module")
-    to_side = t.select(
-        F.col("to_id").alias("id"), "seq", F.lit(1).alias("side"), F.col("to_entity").alias("name"), F.col("to_type").alias("entity_type"),
-        F.lit("").alias("language"), F.lit(None).cast("string").alias("file"), F.when(into_module, 1).alias("line"), F.lit(None).cast("string").alias("owner"), F.lit(None).cast("boolean").alias("is_exported"),
-    )
-    sides = from_side.unionByName(to_side)
+    t = written(resolved_triples(triples, project), "resolved")
+    return nodes_of(t, project), edges_of(t, file_ids)
+
 
-    def settled(column):
-        last = F.max_by(column, F.when((F.col("side") == 0) & F.col(column).isNotNull(), F.col("seq")))
-        return F.coalesce(last, F.min_by(column, F.when((F.col("side") == 1) & F.col(column).isNotNull(), F.col("seq"))))
+_SIDE = {"id": "string", "seq": "bigint", "side": "int", "name": "string", "entity_type": "string", "file": "string", "line": "int", "owner": "string", "is_exported": "boolean", "module": "boolean"}
 
+
+def from_sides(t: DataFrame) -> DataFrame:
+    """What resolved triples say of the nodes that they come from."""
+    given = {
+        "id": F.col("from_id"), "seq": F.col("seq"), "side": F.lit(0), "name": F.col("from_entity"), "entity_type": F.col("from_type"), "file": F.col("source_file"),
+        "line": F.when((F.col("relation_type") == "DEFINED_IN") & (F.col("line_number") > 0), F.col("line_number")), "owner": F.nullif(F.col("owner_class"), F.lit("")), "is_exported": F.col("is_exported"), "module": F.lit(False),
+    }
+    return t.select(*[given[c].cast(kind).alias(c) for c, kind in _SIDE.items()])
+
+
+def to_sides(into: DataFrame) -> DataFrame:
+    """What triples (to_id, seq, to_entity, to_type, module) say of the nodes that they lead to."""
+    given = {"id": F.col("to_id"), "seq": F.col("seq"), "side": F.lit(1), "name": F.col("to_entity"), "entity_type": F.col("to_type"), "module": F.col("module")}
+    return into.select(*[given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in _SIDE.items()])
+
+
+def nodes_of(t: DataFrame, project: str) -> DataFrame:
+    """The nodes of resolved triples."""
+    module = (F.col("relation_type") == "DEFINED_IN") & (F.col("to_type") == "module")
+    return nodes_of_sides(from_sides(t).unionByName(to_sides(t.withColumn("module", module))), project)
+
+
+def nodes_of_sides(sides: DataFrame, project: str) -> DataFrame:
+    """The nodes that sides of triples tell of: the last from-side, and the first to-side where that says nothing."""
+    of = lambda side, *columns: F.when(F.col("side") == side, F.struct("seq", *columns))
+    said = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("seq", c)))[c]
     nodes = sides.groupBy("id").agg(
-        *[settled(c).alias(c) for c in ("name", "entity_type", "language", "file", "line", "owner")],
-        F.coalesce(F.bool_or("is_exported"), F.lit(False)).alias("is_exported"),
-        F.min(F.col("seq") * 2 + F.col("side")).alias("node_seq"),
-    )
-    line = F.coalesce("line", F.when((F.col("entity_type") == "module") & F.col("file").isNotNull(), 1))
+        F.max(of(0, "name", "entity_type", "file")).alias("last"), F.min(of(1, "name", "entity_type")).alias("first"), said("line").alias("line"), said("owner").alias("owner"),
+        F.coalesce(F.bool_or("module"), F.lit(False)).alias("module"), F.coalesce(F.bool_or("is_exported"), F.lit(False)).alias("is_exported"), F.min(F.col("seq") * 2 + F.col("side")).alias("node_seq"),
+    )
     nodes = nodes.select(
+        "id", F.coalesce("last.name", "first.name").alias("name"), F.coalesce("last.entity_type", "first.entity_type").alias("entity_type"), F.col("last.file").alias("file"),
+        F.when(F.col("last").isNotNull(), language_of(F.col("last.file"))).otherwise("").alias("language"),
+        F.coalesce("line", F.when(F.col("module"), 1)).alias("line"), "owner", "is_exported", "node_seq",
+    )
+    line = F.coalesce("line", F.when((F.col("entity_type") == "module") & F.col("file").isNotNull(), 1))
+    return nodes.select(
         "id", F.lit("Entity").alias("type"), "name", F.lit(None).cast("string").alias("path"), F.lit(project).alias("project"), "entity_type", "language",
         F.concat_ws(":", "entity_type", F.nullif(F.col("language"), F.lit(""))).alias("kind"), "file", line.alias("line"), "owner", "is_exported",
         F.lit(None).cast("string").alias("description"), "node_seq",
     )
+
+
+def edges_of(t: DataFrame, file_ids: DataFrame | None = None) -> DataFrame:
+    """The edges of resolved triples, and those from their files, if ids (path, id) of these are given."""
     relation = F.when(F.col("relation_type").isin(*RELATIONS), F.col("relation_type")).otherwise("RELATION")
     edges = t.select(
         F.col("from_id").alias("src"), F.col("to_id").alias("dst"), relation.alias("type"), "source_file", F.col("line_number").alias("line"),
@@ -98,7 +144,7 @@ def graph_of(triples: DataFrame, project: str, file_ids: DataFrame | None = None
                 F.lit(None).cast("string").alias("receiver"), F.lit(None).cast("string").alias("receiver_type"), (F.col("seq") * 2 + 1).alias("edge_seq"),
             )
         )
-    return nodes, edges
+    return edges
 
 
 def without_file(nodes: DataFrame, edges: DataFrame, file: str, file_node: bool = False) -> tuple[DataFrame, DataFrame]:

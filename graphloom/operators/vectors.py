@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIMENSIONS = 384
@@ -25,15 +25,15 @@ def hashed_words(text: Column, dimensions: int = DIMENSIONS) -> Column:
     return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float"))
 
 
-def model(embed_many: Callable[[list[str]], Sequence], batch: int = 32) -> Callable[[Column], Column]:
-    """An embedder of text columns by a function from texts to vectors, which runs in the executors.
+def model(embed_many: Callable[[list[str]], Sequence], batch: int = 32, name: str = "") -> Callable[[Column], Column]:
+    """An embedder of text columns by a function from texts to vectors, which runs in the executors; ``name`` tells it from others.
 
     Texts go to it by length, ``batch`` at a time, so that those of a batch need little
     filling; vectors come back in the order of the rows.
     """
 
     @F.pandas_udf("array<float>")
-    def embedded(texts: pd.Series) -> pd.Series:
+    def of_column(texts: pd.Series) -> pd.Series:
         values = texts.fillna("").tolist()
         order = sorted(range(len(values)), key=lambda i: len(values[i]))
         out: list = [None] * len(values)
@@ -43,7 +43,8 @@ def model(embed_many: Callable[[list[str]], Sequence], batch: int = 32) -> Calla
                 out[i] = [float(x) for x in v]
         return pd.Series(out)
 
-    return embedded
+    of_column.embedder = name or getattr(embed_many, "__name__", "model")
+    return of_column
 
 
 def indexed(nodes: DataFrame, embed: Callable[[Column], Column] = hashed_words) -> DataFrame:
@@ -63,8 +64,11 @@ def nearest(index: DataFrame, query: list[float], k: int = 10, tie: str = "id")
     return best.withColumn("score", F.round("_score", 4)).drop("_score", "embedding")
 
 
+def embedded(spark: SparkSession, text: str, embed: Callable[[Column], Column] = hashed_words) -> list[float]:
+    """The vector of one text."""
+    return spark.range(1).select(embed(F.lit(text)).alias("v")).first()["v"]
+
+
 def search(index: DataFrame, text: str, k: int = 10, embed=hashed_words) -> DataFrame:
-    """The k entities closest to a text."""
-    spark = index.sparkSession
-    query = spark.range(1).select(embed(F.lit(text)).alias("v")).first()["v"]
-    return nearest(index, query, k)
+    """The k rows of a table of vectors closest to a text."""
+    return nearest(index, embedded(index.sparkSession, text, embed), k)

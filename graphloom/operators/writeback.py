@@ -1,9 +1,12 @@
 """What agents write into a graph: entities and edges that extraction can't see, and corrections.
 
-Requests are tables, so many are answered at once; each gets a status, and the functions
-give the rows that hold afterwards. An end of an edge means the entity of its name in the
-project, in the given file if there is one. Entities without a file (buckets and modules
-from outside) count only where ``IMPORTS`` may lead to them. Of several nothing is guessed.
+Requests are tables, so many are answered at once: each gets a status, and what is told
+becomes a ``Changes`` of the rows that differ, which a log can keep and a graph can be
+rebuilt with. Requests of one table are answered on the graph before it; of several that
+write the same, the last one counts, in the order of a column ``nth`` if there is one. An
+end of an edge means the entity of its name in the project, in the given file if there is
+one. Entities without a file (buckets and modules from outside) count only where
+``IMPORTS`` may lead to them. Of several nothing is guessed.
 """
 
 from __future__ import annotations
@@ -13,22 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions.columns import blank, entity_id, language_of, relation_name
-from graphloom.operators.traverse import BROADCAST_ROWS, small
+from graphloom.operators.changes import EDGE_FLAGS, KEY, NODE_FLAGS, Changes, flag, with_columns
+from graphloom.operators.lookup import among
+from graphloom.operators.traverse import BROADCAST_ROWS, LOOKUP_ROWS, small
+from graphloom.scratch import written
 
 _ASKED = {"caller": "string", "callee": "string", "relation": "string", "caller_file": "string", "callee_file": "string", "line": "int"}
+_ENTITY = {"name": "string", "file": "string", "id": "string", "kind": "string", "line": "int", "description": "string", "language": "string", "text": "string", "nth": "bigint"}
 #: Relations that only the parser writes.
 PARSER_OWNED = ("CONTAINS", "DEFINED_IN")
 
 
-def flag(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(False))
-
-
-def with_columns(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """``df`` with those of the columns that it lacks, null."""
-    return df.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in df.columns})
-
-
 def named(graph, name: str, file: str = "") -> DataFrame:
     """(id, file) of the project's entities of a name, in a file if one is given."""
     own = graph.entities().filter((F.col("project") == graph.project) & (F.col("name") == name))
@@ -45,9 +43,8 @@ def _ends(graph, rows: DataFrame, end: str, outside: Column) -> DataFrame:
 
     Each table that is joined has one row for its key, so that no name multiplies requests.
     """
-    wanted = rows.select(F.col(end).alias("name")).distinct()
     own = graph.entities().filter(F.col("project") == graph.project).select("id", "name", "file")
-    own = own.join(small(wanted, wanted.limit(BROADCAST_ROWS + 1).count()), "name", "left_semi").withColumn("inside", blank(F.col("file")) != "")
+    own = among(own, "name", rows.select(end)).withColumn("inside", blank(F.col("file")) != "")
     by_name = own.groupBy(F.col("name").alias(end)).agg(
         F.count_if("inside").alias("_in"), F.min(F.when(F.col("inside"), F.col("id"))).alias("_in_id"),
         F.count_if(~F.col("inside")).alias("_out"), F.min(F.when(~F.col("inside"), F.col("id"))).alias("_out_id"),
@@ -62,7 +59,7 @@ def _ends(graph, rows: DataFrame, end: str, outside: Column) -> DataFrame:
 
 def _answered(graph, asked: DataFrame, outside: Column) -> DataFrame:
     rows = with_columns(asked, _ASKED).withColumn("type", relation_name(F.col("relation")))
-    return _ends(graph, _ends(graph, rows, "caller", F.lit(False)), "callee", outside)
+    return written(_ends(graph, _ends(graph, rows, "caller", F.lit(False)), "callee", outside), "asked")
 
 
 def _unclear(callee_may_be_new: Column) -> Column:
@@ -74,12 +71,25 @@ def _unclear(callee_may_be_new: Column) -> Column:
     )
 
 
-def _present(graph, where: str | None = None) -> DataFrame:
-    edges = with_columns(graph.edges, {"agent_inferred": "boolean"})
-    edges = edges.filter(where) if where else edges
+def _touching(graph, pairs: DataFrame) -> DataFrame:
+    """The graph's edges between pairs of nodes (src, dst): what is stored is scanned past them while they are few."""
+    edges = with_columns(graph.edges, EDGE_FLAGS)
+    pairs = pairs.filter("src is not null and dst is not null").distinct()
+    rows = pairs.limit(BROADCAST_ROWS + 1).count()
+    if rows <= LOOKUP_ROWS:
+        edges = edges.filter(F.col("src").isin(sorted({r["src"] for r in pairs.select("src").collect()})))
+    return edges.join(small(pairs, rows), ["src", "dst"], "left_semi").select(*edges.columns)
+
+
+def _present(graph, rows: DataFrame) -> DataFrame:
+    """(caller_id, callee_id, type, there, own): the edges between the ends of requests, and whether agents made some."""
+    edges = _touching(graph, rows.select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")))
     return edges.groupBy(F.col("src").alias("caller_id"), F.col("dst").alias("callee_id"), "type").agg(F.lit(True).alias("there"), F.bool_or(flag("agent_inferred")).alias("own"))
 
 
+# --- edges -------------------------------------------------------------------
+
+
 def added_calls(graph, asked: DataFrame) -> DataFrame:
     """(caller, callee, relation, their files, status, side, src, dst, type, line) of edges asked for by names (caller, callee,
     relation, and perhaps caller_file, callee_file, line).
@@ -92,7 +102,7 @@ def added_calls(graph, asked: DataFrame) -> DataFrame:
     rows = _answered(graph, asked, imports)
     new_module = imports & F.col("callee_id").isNull() & (F.col("callee_n") == 0)
     rows = rows.withColumn("unclear", _unclear(new_module)).withColumn("callee_id", F.coalesce("callee_id", F.when(new_module, F.concat_ws(":", F.lit(graph.project), "callee"))))
-    rows = rows.join(_present(graph).select("caller_id", "callee_id", "type", "there"), ["caller_id", "callee_id", "type"], "left")
+    rows = rows.join(_present(graph, rows).select("caller_id", "callee_id", "type", "there"), ["caller_id", "callee_id", "type"], "left")
     same = Window.partitionBy("caller_id", "callee_id", "type", "unclear").orderBy(F.monotonically_increasing_id())
     status = F.coalesce("unclear", F.when(F.col("there") | (F.col("_nth") > 1), "exists").otherwise("added"))
     side = F.when(F.col("unclear") == "ambiguous", F.when(F.col("caller_id").isNull(), "caller").otherwise("callee"))
@@ -100,47 +110,59 @@ def added_calls(graph, asked: DataFrame) -> DataFrame:
     return rows.select("caller", "callee", "relation", "caller_file", "callee_file", status.alias("status"), side.alias("side"), F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"), "type", "line")
 
 
-def with_calls(graph, told: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) with the edges of ``added_calls`` whose status is ``added``, and the modules that they lead to."""
-    nodes = with_columns(graph.nodes, {"language": "string", "agent_inferred": "boolean", "agent_created": "boolean"})
-    new = told.filter("status = 'added'")
-    callers = nodes.select(F.col("id").alias("src"), F.col("file").alias("source_file"), "language")
-    edges = with_columns(graph.edges, {"agent_inferred": "boolean", "resolved": "boolean"})
-    new = new.join(callers, "src", "left")
-    own = new.select("src", "dst", "type", "source_file", "line", F.lit(False).alias("resolved"), F.lit(True).alias("agent_inferred"))
+def call_changes(graph, told: DataFrame) -> Changes:
+    """The edges of ``added_calls`` whose status is ``added``, and the modules that they lead to."""
+    nodes, new = with_columns(graph.nodes, NODE_FLAGS), told.filter("status = 'added'")
+    callers = among(nodes.select("id", "file", "language"), "id", new.select("src"))
+    new = new.join(callers.select(F.col("id").alias("src"), F.col("file").alias("source_file"), "language"), "src", "left")
+    own = new.select(*KEY, "source_file", "line", F.lit(False).alias("resolved"), F.lit(True).alias("agent_inferred"))
     modules = new.filter("type = 'IMPORTS'").groupBy(F.col("dst").alias("id")).agg(F.min("callee").alias("name"), F.min("language").alias("language"))
-    modules = modules.join(nodes.select("id"), "id", "left_anti").select(
+    modules = modules.join(among(nodes.select("id"), "id", modules.select("id")), "id", "left_anti").select(
         "id", "name", "language", F.lit("Entity").alias("type"), F.lit(graph.project).alias("project"), F.lit("module").alias("entity_type"),
         F.concat_ws(":", F.lit("module"), F.nullif(F.col("language"), F.lit(""))).alias("kind"), F.lit(True).alias("agent_inferred"), F.lit(True).alias("agent_created"),
     )
-    return nodes.unionByName(modules, allowMissingColumns=True), edges.unionByName(own, allowMissingColumns=True)
+    return Changes(nodes=modules, edges=own)
 
 
-def removed_calls(graph, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((caller, callee, relation, status, src, dst, type), edges left) for edges to remove by names.
+def with_calls(graph, told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with what ``call_changes`` adds."""
+    new = call_changes(graph, told)
+    return with_columns(graph.nodes, NODE_FLAGS).unionByName(new.nodes, allowMissingColumns=True), with_columns(graph.edges, EDGE_FLAGS).unionByName(new.edges, allowMissingColumns=True)
+
+
+def removed_calls(graph, asked: DataFrame) -> DataFrame:
+    """(caller, callee, relation, status, src, dst, type) of edges to remove by names.
 
     Only edges that agents made go: ``removed``; ``not_found`` if there is none of the type,
     ``skipped`` if it is the parser's, or an end isn't there, ``ambiguous`` if it is several.
     """
-    rows = _answered(graph, asked, F.lit(True)).join(_present(graph), ["caller_id", "callee_id", "type"], "left")
+    rows = _answered(graph, asked, F.lit(True))
+    rows = rows.join(_present(graph, rows), ["caller_id", "callee_id", "type"], "left")
     of_edge = F.when(F.col("there").isNull(), "not_found").when(F.col("own"), "removed").otherwise("skipped")
-    told = rows.select("caller", "callee", "relation", F.coalesce(_unclear(F.lit(False)), of_edge).alias("status"), F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"), "type")
-    gone = told.filter("status = 'removed'").select("src", "dst", "type").distinct()
-    edges = with_columns(graph.edges, {"agent_inferred": "boolean"})
-    left = edges.filter(flag("agent_inferred")).join(gone, ["src", "dst", "type"], "left_anti").select(*edges.columns)
-    return told, edges.filter(~flag("agent_inferred")).unionByName(left)
+    return rows.select("caller", "callee", "relation", F.coalesce(_unclear(F.lit(False)), of_edge).alias("status"), F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"), "type")
+
+
+def _replaced(edges: DataFrame, left: DataFrame) -> Changes:
+    """All edges of the keys of some go, and those that are left of them come again."""
+    return Changes(edges=edges.select(*KEY).distinct().withColumn("gone", F.lit(True)).unionByName(left.withColumn("gone", F.lit(False)), allowMissingColumns=True))
 
 
-def modified_relations(graph, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((caller, callee, relation, status, src, dst, old, type, n), edges) for pairs of names whose relation gets another type.
+def removal_changes(graph, told: DataFrame) -> Changes:
+    """The agents' edges of ``removed_calls`` that go; the parser's beside them stay."""
+    gone = told.filter("status = 'removed'").select(*KEY).distinct()
+    # written, as the type is what edges are stored by, and Spark would look up its values while it plans to sample
+    edges = written(_touching(graph, gone.select("src", "dst")), "touching").join(gone, list(KEY), "left_semi")
+    return _replaced(edges, edges.filter(~flag("agent_inferred")))
+
+
+def modified_relations(graph, asked: DataFrame) -> DataFrame:
+    """(caller, callee, relation, status, src, dst, old, type, n) for pairs of names whose relation gets another type.
 
     ``relation`` is the new type, ``from_relation`` the old one, if the pair has several;
     without it these are ``ambiguous``. The new type then overrides the parser's.
     """
     rows = _answered(graph, with_columns(asked, {"from_relation": "string"}), F.lit(True)).withColumn("wanted", relation_name(F.col("from_relation")))
-    edges = with_columns(graph.edges, {"agent_inferred": "boolean", "agent_relation": "boolean"})
-    pairs = rows.select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")).distinct()
-    types = edges.join(small(pairs, pairs.limit(BROADCAST_ROWS + 1).count()), ["src", "dst"], "left_semi").groupBy("src", "dst", "type").agg(F.count("*").alias("n"))
+    types = _touching(graph, rows.select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"))).groupBy(*KEY).agg(F.count("*").alias("n"))
     types = types.groupBy(F.col("src").alias("caller_id"), F.col("dst").alias("callee_id")).agg(F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("types"))
     rows = rows.join(types, ["caller_id", "callee_id"], "left")
     named_type = blank(F.col("from_relation")) != ""
@@ -148,81 +170,140 @@ def modified_relations(graph, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = F.try_element_at(F.coalesce("types", F.expr("cast(map() as map<string,bigint>)")), old)
     of_pair = F.when(F.col("types").isNull() | (named_type & n.isNull()), "not_found").when(old.isNull(), "ambiguous").otherwise("modified")
     status = F.coalesce(_unclear(F.lit(False)), of_pair)
-    told = rows.select("caller", "callee", "relation", status.alias("status"), F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"), old.alias("old"), "type", n.alias("n"))
+    return rows.select("caller", "callee", "relation", status.alias("status"), F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"), old.alias("old"), "type", n.alias("n"))
+
+
+def relation_changes(graph, told: DataFrame) -> Changes:
+    """The edges of ``modified_relations``, with their new type."""
     chosen = told.filter("status = 'modified'").groupBy("src", "dst", F.col("old").alias("type")).agg(F.min("type").alias("_new"))
-    both = edges.join(chosen, ["src", "dst", "type"], "left")
-    said = F.col("_new").isNotNull()
-    changed = {c: F.when(said, True).otherwise(F.col(c)) for c in ("agent_inferred", "agent_relation")} | {"type": F.coalesce("_new", "type")}
-    return told, both.withColumns(changed).select(*edges.columns)
+    edges = written(_touching(graph, chosen.select("src", "dst")), "touching").join(chosen, list(KEY))
+    return _replaced(edges.drop("_new"), edges.withColumns({"type": F.col("_new"), "agent_inferred": F.lit(True), "agent_relation": F.lit(True)}).drop("_new"))
 
 
-def added_entity(graph, name: str, kind: str = "function", file: str = "", line: int | None = None, description: str = "", language: str = "") -> tuple[dict, DataFrame]:
-    """(answer, nodes): a new agent-made node if nothing of the name matches, an update of the only match, else no change.
+# --- entities ----------------------------------------------------------------
 
-    An update sets what was given; an empty description leaves the one there.
+
+def _meant(graph, asked: DataFrame, of_id: bool = True) -> DataFrame:
+    """Requests (name, and perhaps file or id) with ``n``, the number of the nodes that they mean, and ``found``, the only one."""
+    rows = with_columns(asked, _ENTITY).withColumn("nth", F.coalesce("nth", F.monotonically_increasing_id()))
+    own = graph.entities().filter(F.col("project") == graph.project).select("id", "name", "file")
+    own = among(own, "name", rows.filter(blank(F.col("id")) == "").select("name"))
+    by_name = own.groupBy("name").agg(F.count("*").alias("_all"), F.min("id").alias("_all_id"))
+    by_file = own.filter(blank(F.col("file")) != "").groupBy("name", "file").agg(F.count("*").alias("_file"), F.min("id").alias("_file_id"))
+    rows = rows.join(by_name, "name", "left").join(by_file, ["name", "file"], "left")
+    by_id = among(graph.nodes.select("id"), "id", rows.filter(blank(F.col("id")) != "").select("id")).withColumn("_there", F.lit(1))
+    rows = rows.join(by_id, "id", "left")
+    given, anywhere = (blank(F.col("id")) != "") if of_id else F.lit(False), blank(F.col("file")) == ""
+    n = F.when(given, F.col("_there")).when(anywhere, F.col("_all")).otherwise(F.col("_file"))
+    found = F.when(given, F.col("id")).when(anywhere, F.col("_all_id")).otherwise(F.col("_file_id"))
+    rows = rows.withColumn("n", F.coalesce(n, F.lit(0)).cast("bigint"))
+    return rows.withColumn("found", F.when(F.col("n") == 1, found)).drop("_all", "_all_id", "_file", "_file_id", "_there")
+
+
+def added_entities(graph, asked: DataFrame) -> DataFrame:
+    """(name, file, status, found, ...) of entities to add (name, and perhaps kind, file, line, description, language).
+
+    ``created`` if nothing of the name (in the file) is there, ``updated`` if one is, or a
+    request before creates it, else ``ambiguous``. ``found`` is the node.
     """
-    spark, nodes = graph.nodes.sparkSession, with_columns(graph.nodes, {"language": "string", "agent_inferred": "boolean", "agent_created": "boolean"})
-    match = [r["id"] for r in named(graph, name, file).select("id").orderBy("id").limit(2).collect()]
-    if len(match) > 1:
-        return {"status": "ambiguous", "reason": f"several entities are named {name!r}: say the file", "candidates": candidates(graph, name)}, graph.nodes
-    if not language and file:
-        language = spark.range(1).select(F.nullif(language_of(F.lit(file)), F.lit("unknown"))).first()[0] or ""
-    given = {"entity_type": kind.split(":")[0], "kind": f"{kind}:{language}" if ":" not in kind and language else kind}
-    given |= {k: v for k, v in {"language": language, "file": file, "description": description.strip()}.items() if v}
-    if match:
-        own = F.col("id") == match[0]
-        values = {k: F.when(own, F.lit(v)).otherwise(F.col(k)) for k, v in given.items()}
-        if line:
-            values["line"] = F.when(own, F.lit(line).cast("int")).otherwise(F.col("line"))
-        return {"status": "updated", "id": match[0]}, nodes.withColumns(values)
-    row = spark.range(1).select(
-        entity_id(F.lit(graph.project), F.lit(file), F.lit(name), F.lit(None)).alias("id"), F.lit("Entity").alias("type"), F.lit(name).alias("name"), F.lit(graph.project).alias("project"),
-        *[F.lit(v).alias(k) for k, v in given.items()], F.lit(line or None).cast("int").alias("line"), F.lit(True).alias("agent_inferred"), F.lit(True).alias("agent_created"),
-    )
-    return {"status": "created", "id": row.first()["id"]}, nodes.unionByName(row, allowMissingColumns=True)
-
-
-def deleted_entity(graph, name: str = "", file: str = "", node_id: str = "") -> tuple[dict, DataFrame, DataFrame]:
-    """(answer, nodes, edges): an agent-made node goes with its edges (``deleted``); any other loses
-    its description, its flag and its edges that agents made (``stripped``)."""
-    nodes, edges = with_columns(graph.nodes, {"agent_created": "boolean", "agent_inferred": "boolean"}), with_columns(graph.edges, {"agent_inferred": "boolean"})
-    match = nodes.filter(F.col("id") == node_id) if node_id else nodes.join(named(graph, name, file).select("id"), "id", "left_semi")
-    found = match.select("id", "agent_created", "description", "agent_inferred").orderBy("id").limit(2).collect()
-    if not found:
-        return {"status": "not_found", "id" if node_id else "name": node_id or name}, graph.nodes, graph.edges
-    if len(found) > 1:
-        return {"status": "ambiguous", "reason": f"several entities are named {name!r}: say the file or the id", "candidates": candidates(graph, name)}, graph.nodes, graph.edges
-    own = found[0]
-    touches = (F.col("src") == own["id"]) | (F.col("dst") == own["id"])
-    if own["agent_created"]:
-        return {"status": "deleted", "id": own["id"]}, nodes.filter(F.col("id") != own["id"]), edges.filter(~touches)
-    agents = touches & flag("agent_inferred")
-    removed = [c for c in ("description", "agent_inferred") if own[c]] + [f"{edges.filter(agents).count()} agent edge(s)"]
-    blanked = {c: F.when(F.col("id") != own["id"], F.col(c)) for c in ("description", "agent_inferred")}
-    return {"status": "stripped", "id": own["id"], "removed": removed, "reason": "the parser makes this node again"}, nodes.withColumns(blanked), edges.filter(~agents)
-
-
-def described(graph, text: str, name: str = "", file: str = "", node_id: str = "") -> tuple[dict, DataFrame]:
-    """(answer, nodes): the only match gets a description, or loses it if the text is blank; no other field changes."""
-    match = graph.nodes.filter(F.col("id") == node_id).select("id") if node_id else named(graph, name, file).select("id")
-    found = [r["id"] for r in match.orderBy("id").limit(2).collect()]
-    if not found:
-        return {"status": "not_found", "name": name or node_id}, graph.nodes
-    if len(found) > 1:
-        return {"status": "ambiguous", "candidates": candidates(graph, name)}, graph.nodes
-    said = F.when(F.col("id") == found[0], F.lit(text.strip() or None).cast("string")).otherwise(F.col("description"))
-    return {"status": "updated" if text.strip() else "cleared", "id": found[0]}, graph.nodes.withColumn("description", said)
+    rows = _meant(graph, asked.drop("id"), of_id=False)
+    own = entity_id(F.lit(graph.project), F.col("file"), F.col("name"), F.lit(None).cast("string"))
+    rows = rows.withColumn("found", F.when(F.col("n") == 0, own).otherwise(F.col("found")))
+    first = F.row_number().over(Window.partitionBy("found").orderBy("nth"))
+    status = F.when(F.col("n") > 1, "ambiguous").when((F.col("n") == 0) & (F.col("_first") == 1), "created").otherwise("updated")
+    return rows.withColumn("_first", first).withColumn("status", status).drop("_first", "id", "text")
+
+
+def entity_changes(graph, told: DataFrame) -> Changes:
+    """The nodes of ``added_entities``: new ones, and old ones with what was given; an empty description leaves the one there."""
+    given = lambda c: F.when(blank(F.col(c)) != "", F.col(c))
+    language = F.coalesce(given("language"), F.when(blank(F.col("file")) != "", F.nullif(language_of(F.col("file")), F.lit("unknown"))))
+    kind = F.coalesce("kind", F.lit("function"))
+    whole = F.when(~kind.contains(":") & (blank(F.col("_language")) != ""), F.concat_ws(":", kind, "_language")).otherwise(kind)
+    rows = told.filter("status <> 'ambiguous'").withColumn("_language", language)
+    values = {"entity_type": F.substring_index(kind, ":", 1), "kind": whole, "language": F.col("_language"), "file": given("file"), "description": F.nullif(F.trim("description"), F.lit("")), "line": F.when(F.col("line") != 0, F.col("line"))}
+    said = rows.select(F.col("found").alias("id"), "name", "n", "nth", *[v.alias(f"_{c}") for c, v in values.items()])
+    last = [F.max_by(f"_{c}", F.when(F.col(f"_{c}").isNotNull(), F.col("nth"))).alias(f"_{c}") for c in values]
+    said = said.groupBy("id").agg(F.min("name").alias("_name"), F.max("n").alias("_n"), *last)
+    nodes = with_columns(graph.nodes, NODE_FLAGS)
+    old = among(nodes, "id", said.filter("_n = 1").select("id")).join(said, "id").withColumns({c: F.coalesce(f"_{c}", c) for c in values}).select(*nodes.columns)
+    new = said.filter("_n = 0").select(
+        "id", F.lit("Entity").alias("type"), F.col("_name").alias("name"), F.lit(graph.project).alias("project"), *[F.col(f"_{c}").alias(c) for c in values], F.lit(True).alias("agent_inferred"), F.lit(True).alias("agent_created")
+    )
+    return Changes(nodes=old.unionByName(new, allowMissingColumns=True))
+
+
+def deleted_entities(graph, asked: DataFrame) -> DataFrame:
+    """(name, file, status, found, removed) of entities to delete (name and perhaps file, or id).
+
+    A node that agents made is ``deleted`` with its edges; any other is ``stripped`` of its
+    description, its flag and its edges that agents made; ``removed`` tells of what.
+    """
+    rows = _meant(graph, asked)
+    nodes = with_columns(graph.nodes, NODE_FLAGS).select("id", "agent_created", "agent_inferred", "description")
+    own = among(nodes, "id", rows.select("found")).withColumnRenamed("id", "found").withColumnsRenamed({"description": "_said"})
+    touching = _edges_of(graph, rows.select("found")).filter(flag("agent_inferred"))
+    ends = touching.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("found")).groupBy("found").agg(F.count("*").alias("_edges"))
+    rows = rows.drop("description").join(own, "found", "left").join(ends, "found", "left")
+    status = F.when(F.col("n") == 0, "not_found").when(F.col("n") > 1, "ambiguous").when(flag("agent_created"), "deleted").otherwise("stripped")
+    parts = [F.when(blank(F.col("_said")) != "", "description"), F.when(flag("agent_inferred"), "agent_inferred"), F.concat(F.coalesce("_edges", F.lit(0)).cast("string"), F.lit(" agent edge(s)"))]
+    return rows.withColumn("status", status).withColumn("removed", F.when(F.col("status") == "stripped", F.array_compact(F.array(*parts)))).select("name", "file", "id", "nth", "n", "found", "status", "removed")
+
+
+def _edges_of(graph, ids: DataFrame) -> DataFrame:
+    """The edges that begin or end at some nodes, once each: two lookups, each in the order that suits it."""
+    edges = with_columns(graph.edges, EDGE_FLAGS)
+    into = edges if graph.into is None else with_columns(graph.into, EDGE_FLAGS).select(*edges.columns)
+    out = among(edges, "src", ids)
+    inside = among(into, "dst", ids)
+    return out.unionByName(inside.join(ids.toDF("src").distinct(), "src", "left_anti").select(*edges.columns))
+
+
+def deletion_changes(graph, told: DataFrame) -> Changes:
+    """What goes with the entities of ``deleted_entities``, and what is stripped."""
+    sure = told.filter("status in ('deleted', 'stripped')").select(F.col("found").alias("id"), (F.col("status") == "deleted").alias("own")).distinct()
+    nodes = with_columns(graph.nodes, NODE_FLAGS)
+    blanked = {c: F.lit(None).cast(nodes.schema[c].dataType) for c in ("description", "agent_inferred")}
+    kept = among(nodes, "id", sure.filter("not own").select("id")).withColumns(blanked).withColumn("gone", F.lit(False))
+    gone = sure.filter("own").select("id", F.lit(True).alias("gone"))
+    edges = written(_edges_of(graph, sure.select("id")), "touching")
+    ends = sure.select("id", "own")
+    for end in ("src", "dst"):
+        edges = edges.join(ends.toDF(end, f"_{end}"), end, "left")
+    away = F.coalesce("_src", F.lit(False)) | F.coalesce("_dst", F.lit(False)) | flag("agent_inferred")
+    keys = edges.filter(away).select(*KEY).distinct()
+    left = edges.join(keys, list(KEY), "left_semi").filter(~away).drop("_src", "_dst")
+    drop = keys.withColumn("gone", F.lit(True)).unionByName(left.withColumn("gone", F.lit(False)), allowMissingColumns=True)
+    return Changes(nodes=kept.unionByName(gone, allowMissingColumns=True), edges=drop)
+
+
+def described(graph, asked: DataFrame) -> DataFrame:
+    """(name, file, status, found, text) of descriptions to set (text, and name, perhaps file, or id): ``updated``, ``cleared`` if the
+    text is blank, ``not_found`` or ``ambiguous``; no other field changes."""
+    rows = _meant(graph, asked)
+    status = F.when(F.col("n") == 0, "not_found").when(F.col("n") > 1, "ambiguous").when(blank(F.trim("text")) == "", "cleared").otherwise("updated")
+    return rows.withColumn("status", status).select("name", "file", "id", "nth", "n", "found", "text", "status")
+
+
+def description_changes(graph, told: DataFrame) -> Changes:
+    """The nodes of ``described``, the last text of each."""
+    said = told.filter("status in ('updated', 'cleared')").groupBy(F.col("found").alias("id")).agg(F.max_by(F.struct(F.nullif(F.trim("text"), F.lit("")).alias("text")), "nth").alias("_said"))
+    nodes = with_columns(graph.nodes, NODE_FLAGS)
+    return Changes(nodes=among(nodes, "id", said.select("id")).join(said, "id").withColumn("description", F.col("_said.text")).select(*nodes.columns))
+
+
+# --- requests of one row -----------------------------------------------------
 
 
 def one(graph, **fields) -> DataFrame:
     """A table of one request."""
-    kinds = _ASKED | {"from_relation": "string"}
+    kinds = _ASKED | {"from_relation": "string"} | _ENTITY
     schema = ", ".join(f"{k} {kinds[k]}" for k in fields)
     return graph.nodes.sparkSession.createDataFrame([tuple(fields.values())], schema)
 
 
 def answer(graph, told: DataFrame) -> dict:
-    """The answer to a table of one request, with candidates if it is ambiguous."""
+    """The answer to a table of one request for an edge, with candidates if it is ambiguous."""
     row = told.first().asDict()
     out = {k: row[k] for k in ("status", "side", "relation", "old", "type", "n") if row.get(k) is not None}
     if row["status"] == "ambiguous" and row.get("src") is None:
@@ -241,3 +322,13 @@ def answer(graph, told: DataFrame) -> dict:
     return out
 
 
+def entity_answer(graph, told: DataFrame) -> dict:
+    """The answer to a table of one request for an entity."""
+    row = told.first().asDict()
+    status, name = row["status"], row["name"]
+    if status == "not_found":
+        return {"status": status, "id" if row.get("id") else "name": row.get("id") or name}
+    if status == "ambiguous":
+        return {"status": status, "reason": f"several entities are named {name!r}: say the file or the id", "candidates": candidates(graph, name)}
+    out = {"status": status, "id": row["found"]}
+    return out | ({"removed": row["removed"], "reason": "the parser makes this node again"} if status == "stripped" else {})

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.columns import looks_like_entry, stable_uuid
 from graphloom.operators import mutate, render, writeback
+from graphloom.operators.changes import EDGE_FLAGS, applied, with_columns
 from graphloom.operators.graph import Graph
 from graphloom.plans import star
 from graphloom.plans.registered import query
@@ -349,8 +350,8 @@ def relations_modified_and_rebuilt(spark, sf_dir):
     g = star.graph(spark, sf_dir)
     asked = star.tables(spark, sf_dir, "orders")[0].join(star.tables(spark, sf_dir, "customer")[0], F.col("o_custkey") == F.col("c_custkey"))
     asked = asked.select(F.col("c_name").alias("caller"), F.concat(F.lit("order_"), "o_orderkey").alias("callee"), F.lit("handles").alias("relation"), F.lit("calls").alias("from_relation"))
-    old = writeback.modified_relations(g, asked)[1]
-    new = writeback.with_columns(g.edges, {"agent_inferred": "boolean", "agent_relation": "boolean"}).select(*old.columns)
+    old = applied(g.nodes, g.edges, writeback.relation_changes(g, written(writeback.modified_relations(g, asked), "told")))[1]
+    new = with_columns(g.edges, EDGE_FLAGS).select(*old.columns)
     found = mutate.rebuilt_edges(old, new, g.nodes).filter("type in ('CALLS', 'HANDLES')")
     return found.select("src", "dst", "type", F.coalesce("agent_relation", F.lit(False)).alias("agents"))
 

@@ -27,6 +27,9 @@ EDGES = _struct(
     src=_S, dst=_S, type=_S, source_file=_S, line=_I, receiver=_S, receiver_type=_S, resolved=_B, agent_inferred=_B, agent_relation=_B,
     created_at=_T, edge_seq=_L,
 )
+RESOLVED = T.StructType([*TRIPLES, T.StructField("from_id", _S), T.StructField("to_id", _S)])
+#: Where the rows of each file begin in the order of all, and how many they are.
+PLACES = _struct(path=_S, begin=_L, n=_L)
 EVENTS = _struct(event_id=_L, ts=_T, kind=_S, path=_S, dest_path=_S)
 
 #: The relations that extraction may write; any other becomes RELATION.

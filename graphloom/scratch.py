@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Jobs that run at once.
+SIDE_BY_SIDE = 4
 _local: list[str] = []
 
 
@@ -35,6 +39,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def together(*writes: Callable[[], object]) -> None:
+    """Runs jobs that don't depend on each other side by side; raises what the first that failed raised."""
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        for done in [pool.submit(w) for w in writes]:
+            done.result()
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by ``written`` that nothing reads any more."""
     for df in tables:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 
 from pyspark.sql import Column, SparkSession
@@ -46,16 +45,55 @@ def load_patterns(spark: SparkSession, root: str) -> list[str]:
         stream.close()
 
 
+def _class(inside: str, char: str) -> str:
+    """What stands between brackets as a regular expression of one character; descending ranges are empty."""
+    negative, inside = inside.startswith("!"), inside.removeprefix("!")
+    parts, i = "", 0
+    while i < len(inside):
+        if inside[i + 1 : i + 2] == "-" and i + 2 < len(inside):
+            low, high = inside[i], inside[i + 2]
+            parts += f"{_plain(low)}-{_plain(high)}" if low <= high else ""
+            i += 3
+        else:
+            parts += _plain(inside[i])
+            i += 1
+    if not parts:
+        return char if negative else "(?!)"
+    return ("" if char == "." else "(?!/)") + f"[{'^' if negative else ''}{parts}]"
+
+
+def _plain(c: str) -> str:
+    return c if c.isalnum() else f"\\x{{{ord(c):x}}}" if ord(c) > 255 else f"\\x{ord(c):02x}"
+
+
+def _glob(pattern: str, char: str) -> str:
+    """A shell pattern as a regular expression whose wildcards match what ``char`` does: ``.``, or ``[^/]``."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        i += 1
+        first = i + pattern[i : i + 1].count("!")
+        end = pattern.find("]", first + 1) if c == "[" else -1
+        if c == "*":
+            out += char + "*"
+        elif c == "?":
+            out += char
+        elif c == "[" and end > 0:
+            out += _class(pattern[i:end], char)
+            i = end + 1
+        else:
+            out += re.escape(c)
+    return out
+
+
 def regex_of(pattern: str) -> str:
     """A pattern as one regular expression over a whole path, for Python and for Java alike.
 
-    One without a slash also matches any part of the path; what matches a directory also
-    matches all below it.
+    One without a slash also matches any part of the path, and then nothing in it matches a
+    slash; what matches a directory also matches all below it.
     """
-    glob = fnmatch.translate(pattern)
-    body = glob.removeprefix("(?s:").removesuffix(")\\Z").removesuffix(")\\z")
-    anywhere = "" if "/" in pattern else f"|(?:.*/)?{body.replace('.*', '[^/]*')}(?:/.*)?"
-    return f"(?s)^(?:{body}(?:/.*)?{anywhere})$"
+    anywhere = "" if "/" in pattern else f"|(?:.*/)?{_glob(pattern, '[^/]')}(?:/.*)?"
+    return f"(?s)^(?:{_glob(pattern, '.')}(?:/.*)?{anywhere})$"
 
 
 def ignored(path: Column, patterns: list[str], skip=SKIPPED) -> Column:

@@ -1,128 +1,234 @@
-"""A graph's home: versioned Parquet tables, published by one marker file.
+"""A graph's home: versioned Parquet tables, and a log of small changes beside them.
 
-A version is written whole beside the others, edges by type and in the order of their
+A full version is written whole beside the others, edges by type and in the order of their
 sources, and once more in that of their targets, so that a query reads only the relations
-it follows, and little of them. An empty file with the version's number and name in a
-folder of markers publishes it; the largest number counts. Nothing is moved or replaced,
-so at every moment readers see the old version or the new one, also in stores without a
-rename, and a failed build changes nothing. Some older versions stay, for readers at work.
+it follows, and little of them. What is published is a name of such a base and the names of
+the changes since (``sources/versions.py``), so at every moment readers see the old
+version or the new one, also in stores without a rename, and a failed build changes nothing.
+
+A correction writes the rows that it changes, and publishes the base with one change more;
+readers merge them (``operators/changes.py``). After ``COMPACT`` changes a new base is
+written. Whoever loses a race works on the winner's graph again. Readers hold a lease on
+the base that they read, so that what they read stays.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions.columns import blank
+from graphloom.operators import incremental, mutate
+from graphloom.operators.changes import NODE_FLAGS, Changes, Log, merged_edges, merged_imports, merged_nodes, merged_rows, with_columns
 from graphloom.operators.graph import Graph
-from graphloom.schemas import EDGES, NODES, TRIPLES
-from graphloom.scratch import dropped, written
-
-#: Versions that are kept.
-KEPT = 4
+from graphloom.schemas import EDGES, NODES, PLACES, RESOLVED, TRIPLES
+from graphloom.scratch import dropped, together, written
+from graphloom.sources.versions import Versions
+
+#: Changes after which a new base is written.
+COMPACT = 32
+#: The tables that tell where to look in the triples, and what each is stored in the order of.
+ORDERS = {"triples": "source_file", "definitions": "name", "asked": "key", "into": "to_id", "wanted": "base"}
+_KINDS = {
+    "triples": RESOLVED, "asked": "key bigint, source_file string", "definitions": "name string, id string, file string, owner string, kind string, seq bigint",
+    "into": "to_id string, seq bigint, to_entity string, to_type string, module boolean, source_file string", "wanted": "importer string, base string",
+}
 #: The fields of triples in files that others read.
 DUMPED = ("from_entity", "from_type", "relation_type", "to_entity", "to_type", "source_file", "line_number")
 
 
+def _folders(content: dict) -> set[str]:
+    return {f"v-{content['base']}", *(f"d-{c['name']}" for c in content["log"])}
+
+
 class GraphStore:
     """The graphs of one project below a folder of any store that Spark writes to."""
 
     def __init__(self, spark: SparkSession, root: str, project: str):
         self.spark, self.root, self.project = spark, root.rstrip("/"), project
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _markers(self) -> list[str]:
-        """The markers of all versions, the published one last."""
-        fs, p = self._fs(f"{self.root}/published")
-        found = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
-        return sorted(m for m in found if m[:1].isdigit())
+        self.versions = Versions(spark, root, _folders)
 
     def version(self) -> str | None:
         """The published version; None before the first."""
-        markers = self._markers()
-        return markers[-1].partition("-")[2] if markers else None
+        numbers = self.versions.numbers()
+        return str(numbers[-1]) if numbers else None
+
+    # --- writing -----------------------------------------------------------
 
-    def publish(self, nodes: DataFrame, edges: DataFrame, triples: DataFrame | None = None, psr4: dict[str, str] | None = None) -> str:
-        """Writes a new version and publishes it; a graph without nodes is not published.
+    def publish(self, nodes: DataFrame, edges: DataFrame, triples: DataFrame | None = None, psr4: dict[str, str] | None = None, places: DataFrame | None = None) -> str:
+        """Writes a new base and publishes it, whatever is there; a graph without nodes is not published.
 
-        The triples it was made of go along, so that a change of few files parses only
-        those, and the files that each file's imports mean, so that no query resolves them.
+        The resolved triples it was made of go along, so that a change of few files looks only
+        at what that concerns, and the files that each file's imports mean, so that no query
+        resolves them. ``places``: where each file's triples begin.
         """
+        content = {"base": self._base(nodes, edges, triples, self.psr4() if psr4 is None else psr4, places), "log": []}
+        return self._done(self.versions.commit(lambda _: content))
+
+    def rebuild(self, make: Callable[[Graph | None], tuple[DataFrame, DataFrame]], rows: Callable[[], tuple[DataFrame | None, DataFrame | None]], psr4: dict[str, str] | None = None) -> str:
+        """Publishes what ``make`` says of the published graph (None before the first), with the triples and places
+        that ``rows`` says; says it again if another came first."""
+
+        def content(before: dict | None) -> dict:
+            graph = None if before is None else self._graph(before)
+            nodes, edges = make(graph)
+            triples, places = rows()
+            return {"base": self._base(nodes, edges, triples, self.psr4() if psr4 is None else psr4, places), "log": []}
+
+        return self._done(self.versions.commit(content, lambda lost: self.versions.delete(f"{self.root}/v-{lost['base']}")))
+
+    def correct(self, make: Callable[[Graph], tuple[dict, Changes | None]]) -> dict:
+        """Publishes the changes that ``make`` says of the published graph, if any, and gives its answer with the version.
+
+        Only the rows that change are written; of a graph that another has changed
+        meanwhile ``make`` is asked again.
+        """
+        told: dict = {}
+
+        def content(before: dict | None) -> dict | None:
+            told.clear()
+            answer, changes = make(self._graph(before))
+            told.update(answer)
+            entry = None if changes is None else self._change(changes)
+            return entry and before | {"log": [*before["log"], entry]}
+
+        found = self.versions.commit(content, lambda lost: self.versions.delete(f"{self.root}/d-{lost['log'][-1]['name']}"))
+        if found:
+            told["version"] = str(found[0])
+            if len(found[1]["log"]) >= COMPACT:
+                self.compact()
+        return told
+
+    def compact(self) -> str:
+        """Writes the graph as it is as a new base, so that readers merge nothing."""
+        return self.rebuild(lambda g: (g.nodes.drop("name_lower"), g.edges), lambda: (self.resolved().triples, self.places()))
+
+    def _done(self, found: tuple[int, dict]) -> str:
+        self.versions.clean()
+        return str(found[0])
+
+    def _base(self, nodes: DataFrame, edges: DataFrame, triples: DataFrame | None, psr4: dict[str, str], places: DataFrame | None) -> str:
         name = uuid.uuid4().hex
         at = f"{self.root}/v-{name}"
-        nodes, edges = written(nodes, "publish-nodes"), written(edges, "publish-edges")
+        named = nodes.withColumn("name_lower", F.lower(blank(F.col("name"))))
+        kinds, columns = edges.schema, nodes.columns
+        by_end = lambda df, end, folder: df.repartitionByRange("type", end).sortWithinPartitions("type", end).write.partitionBy("type").parquet(f"{at}/{folder}")
+        together(lambda: named.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{at}/nodes"), lambda: by_end(edges, "src", "edges"))
+        nodes = self.spark.read.parquet(f"{at}/nodes").select(*columns)
+        edges = self.spark.read.schema(kinds).parquet(f"{at}/edges").select(*kinds.names)
         if not nodes.limit(1).count():
-            dropped(nodes, edges)
+            self.versions.delete(at)
             raise ValueError("an empty graph is not published")
-        named = nodes.withColumn("name_lower", F.lower(blank(F.col("name"))))
-        named.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{at}/nodes")
-        for end, folder in (("src", "edges"), ("dst", "into")):
-            edges.repartitionByRange("type", end).sortWithinPartitions("type", end).write.partitionBy("type").parquet(f"{at}/{folder}")
-        (self.triples() if triples is None else triples).write.parquet(f"{at}/triples")
-        if psr4 is None and self.version():
-            psr4 = self.psr4()
-        Graph(nodes, edges, self.project).importers(psr4 or {}).write.parquet(f"{at}/imports")
-        facts = {"psr4": psr4 or {}, "edges": edges.schema.jsonValue()}
-        fs, p = self._fs(f"{at}/facts")
-        out = fs.create(p, False)
-        out.write(bytearray(json.dumps(facts).encode()))
-        out.close()
-        dropped(nodes, edges)
-        self._mark(name)
+        writes = [lambda: by_end(edges, "dst", "into"), lambda: Graph(nodes, edges, self.project).importers(psr4).write.parquet(f"{at}/imports")]
+        if triples is not None:
+            known = incremental.tables(triples, nodes, edges, self.project, psr4)
+            put = lambda table, order: lambda: getattr(known, table).repartitionByRange(order).sortWithinPartitions(order).write.parquet(f"{at}/known-{table}")
+            writes += [put(table, order) for table, order in ORDERS.items()]
+        if places is not None:
+            writes.append(lambda: places.select(*PLACES.names).write.parquet(f"{at}/places"))
+        together(*writes)
+        self.versions.write(f"{at}/facts", json.dumps({"psr4": psr4, "edges": kinds.jsonValue(), "triples": triples is not None, "places": places is not None}))
         return name
 
-    def publish_table(self, df: DataFrame) -> int:
-        """Publishes one table in place of a graph; the number of its rows."""
-        name = uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/v-{name}")
-        self._mark(name)
-        return self.spark.read.parquet(f"{self.root}/v-{name}").count()
-
-    def _mark(self, name: str) -> None:
-        """Publishes a version that is written, and deletes those that are too old."""
-        markers = self._markers()
-        number = int(markers[-1].partition("-")[0]) + 1 if markers else 1
-        fs, marker = self._fs(f"{self.root}/published/{number:012d}-{name}")
-        fs.create(marker, False).close()
-        for old in markers[: max(0, len(markers) + 1 - KEPT)]:
-            for path in (f"published/{old}", f"v-{old.partition('-')[2]}"):
-                fs.delete(self._fs(f"{self.root}/{path}")[1], True)
-
-    def _facts(self, name: str) -> dict:
-        return json.loads(self.spark.read.text(f"{self.root}/v-{name}/facts").first()[0])
+    def _change(self, changes: Changes) -> dict | None:
+        """Writes the tables of a change that have rows; their names and numbers of rows, None without any."""
+        name, rows = uuid.uuid4().hex, {}
+
+        def put(table: str, df: DataFrame) -> None:
+            seen = Observation()
+            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.root}/d-{name}/{table}")
+            if n := seen.get.get("rows"):
+                rows[table] = {"rows": n, "schema": df.schema.jsonValue()}
+
+        together(*[functools.partial(put, table, df) for table, df in changes.tables().items()])
+        if rows:
+            return {"name": name, "tables": rows}
+        self.versions.delete(f"{self.root}/d-{name}")
+        return None
+
+    # --- reading -----------------------------------------------------------
+
+    def _facts(self, base: str) -> dict:
+        return json.loads(self.versions.read(f"{self.root}/v-{base}/facts"))
+
+    def _log(self, content: dict) -> Log:
+        tables: dict[str, list] = {}
+        for place, change in enumerate(content["log"]):
+            for table, said in change["tables"].items():
+                df = self.spark.read.schema(T.StructType.fromJson(said["schema"])).parquet(f"{self.root}/d-{change['name']}/{table}")
+                tables.setdefault(table, []).append((place, df, said["rows"]))
+        return Log(**tables)
 
     def psr4(self) -> dict[str, str]:
         """The namespace map that the published graph's imports were resolved with."""
-        name = self.version()
-        return self._facts(name)["psr4"] if name else {}
+        found = self.versions.newest()
+        return self._facts(found[1]["base"])["psr4"] if found else {}
 
     def graph(self) -> Graph:
         """The published graph; an empty one before the first."""
-        name = self.version()
-        if name is None:
+        found = self.versions.newest()
+        if found is None:
             return Graph(self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES), self.project)
-        schema = T.StructType.fromJson(self._facts(name)["edges"])  # edges may be none, and then tell no schema
-        edges, into = (self.spark.read.schema(schema).parquet(f"{self.root}/v-{name}/{x}").select(*schema.names) for x in ("edges", "into"))
-        nodes, imports = (self.spark.read.parquet(f"{self.root}/v-{name}/{x}") for x in ("nodes", "imports"))
-        return Graph(nodes, edges, self.project, into, imports)
+        return self._graph(found[1])
+
+    def _graph(self, content: dict) -> Graph:
+        for folder in _folders(content):
+            self.versions.hold(folder)
+        at, log = f"{self.root}/v-{content['base']}", self._log(content)
+        schema = T.StructType.fromJson(self._facts(content["base"])["edges"])  # edges may be none, and then tell no schema
+        edges, into = (self.spark.read.schema(schema).parquet(f"{at}/{x}").select(*schema.names) for x in ("edges", "into"))
+        nodes, imports = (self.spark.read.parquet(f"{at}/{x}") for x in ("nodes", "imports"))
+        if log.nodes:
+            nodes = merged_nodes(nodes.drop("name_lower"), log).withColumn("name_lower", F.lower(blank(F.col("name"))))
+        return Graph(nodes, merged_edges(edges, log), self.project, merged_edges(into, log), merged_imports(imports, log))
+
+    def resolved(self) -> incremental.Resolved:
+        """The resolved triples of the published graph, and the tables that tell where to look; empty ones if it was made of none."""
+        found = self.versions.newest()
+        if found is None or not self._facts(found[1]["base"])["triples"]:
+            return incremental.Resolved(**{t: self.spark.createDataFrame([], k) for t, k in _KINDS.items()})
+        at, log = f"{self.root}/v-{found[1]['base']}", self._log(found[1])
+        base = {t: self.spark.read.schema(k).parquet(f"{at}/known-{t}") for t, k in _KINDS.items()}
+        return incremental.Resolved(
+            triples=merged_rows(base["triples"], log, "triples", "source_file"),
+            definitions=merged_rows(base["definitions"], log, "triples", "file", lambda t: mutate.definitions(t, self.project)),
+            asked=merged_rows(base["asked"], log, "triples", "source_file", incremental.asked_names),
+            into=merged_rows(base["into"], log, "triples", "source_file", incremental.into_nodes),
+            wanted=merged_rows(base["wanted"], log, "wanted", "importer"),
+        )
 
     def triples(self) -> DataFrame:
         """The triples of the published graph."""
-        name = self.version()
-        return self.spark.createDataFrame([], TRIPLES) if name is None else self.spark.read.schema(TRIPLES).parquet(f"{self.root}/v-{name}/triples")
+        return self.resolved().triples.select(*TRIPLES.names)
+
+    def places(self) -> DataFrame | None:
+        """Where each file's triples begin; None if that isn't known."""
+        found = self.versions.newest()
+        if found is None or not self._facts(found[1]["base"])["places"]:
+            return None
+        base = self.spark.read.schema(PLACES).parquet(f"{self.root}/v-{found[1]['base']}/places")
+        return merged_rows(base, self._log(found[1]), "places", "path")
 
     def write_files(self, path: str) -> None:
-        """The sorted paths of the files, one a line."""
+        """The sorted paths of the files, one a line, as one text file, which is replaced in one step."""
         files = self.graph().nodes.filter("type = 'File'").select("path").distinct()
-        files.repartitionByRange(1, "path").sortWithinPartitions("path").write.mode("overwrite").text(path)
+        made = f"{self.root}/waiting/{uuid.uuid4().hex}"
+        files.repartitionByRange(1, "path").sortWithinPartitions("path").write.text(made)
+        fs, p = self.versions.fs(made)
+        parts = [f.getPath().toString() for f in fs.listStatus(p) if f.getPath().getName().startswith("part-")]
+        if not parts:
+            self.versions.write(f"{made}/part-0", "")
+            parts = [f"{made}/part-0"]
+        if self.versions.exists(path) and self.versions.fs(path)[0].getFileStatus(self.versions.fs(path)[1]).isDirectory():
+            self.versions.delete(path)  # a list of an older kind
+        self.versions.moved(parts[0], path, replace=True)
+        self.versions.delete(made)
 
     def last_ingested(self):
         nodes = self.graph().nodes
@@ -187,13 +293,19 @@ def with_sidecar(nodes: DataFrame, sidecar: DataFrame) -> DataFrame:
 def adopted_sidecar(store: GraphStore, path: str) -> int:
     """Publishes the descriptions of a JSON lines file of (node, description), then deletes the file, so that
     it is taken in once; lines that can't be read don't count. The number of nodes described now."""
-    fs, p = store._fs(path)
-    if not store.version() or not fs.exists(p):
+    if not store.version() or not store.versions.exists(path):
         return 0
-    graph, schema = store.graph(), "node string, description string"
+    schema = "node string, description string"
     given = written(store.spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).withColumn("_order", F.monotonically_increasing_id()), "sidecar")
-    nodes = graph.nodes.drop("name_lower")
-    before = nodes.filter(blank(F.col("description")) != "").count()
-    store.publish(with_sidecar(nodes, given), graph.edges)
-    fs.delete(p, True)
-    return store.graph().nodes.filter(blank(F.col("description")) != "").count() - before
+    count = [0]
+
+    def said(graph: Graph) -> tuple[dict, Changes]:
+        plain = with_columns(graph.nodes, NODE_FLAGS).filter(blank(F.col("description")) == "").join(given.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+        new = written(with_sidecar(plain, given).filter(blank(F.col("description")) != ""), "sidecar")
+        count[0] = new.count()
+        return {}, Changes(nodes=new)
+
+    store.correct(said)
+    store.versions.delete(path)
+    dropped(given)
+    return count[0]

@@ -12,17 +12,18 @@ from graphloom.sources.ignore import SKIPPED, ignored
 
 
 def expanded(events: DataFrame) -> DataFrame:
-    """(ts, path, kind): a move is a deletion of its source and a change of its destination."""
+    """(ts, event_id, path, kind): a move is a deletion of its source and a change of its destination."""
+    events = events if "event_id" in events.columns else events.withColumn("event_id", F.lit(0))
     moved = F.array(
         F.struct(F.col("path").alias("path"), F.lit("deleted").alias("kind")), F.struct(F.col("dest_path").alias("path"), F.lit("modified").alias("kind"))
     )
     plain = F.array(F.struct(F.col("path").alias("path"), F.col("kind").alias("kind")))
-    return events.select("ts", F.inline(F.when(F.col("kind") == "moved", moved).otherwise(plain)))
+    return events.select("ts", "event_id", F.inline(F.when(F.col("kind") == "moved", moved).otherwise(plain)))
 
 
 def compacted(events: DataFrame) -> DataFrame:
-    """(path, kind, n_events): the last event of each path."""
-    return expanded(events).groupBy("path").agg(F.max_by("kind", "ts").alias("kind"), F.count("*").alias("n_events"))
+    """(path, kind, n_events): the last event of each path, of equal times the one with the largest event_id, by which they arrived."""
+    return expanded(events).groupBy("path").agg(F.max_by("kind", F.struct("ts", "event_id")).alias("kind"), F.count("*").alias("n_events"))
 
 
 def watch(events: DataFrame, apply: Callable[[DataFrame, DataFrame], None], checkpoint: str, patterns: list[str] | None = None, skip=SKIPPED, every: str | None = None) -> StreamingQuery:

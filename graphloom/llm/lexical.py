@@ -41,7 +41,7 @@ from graphloom.llm.shingles import mix, runs, text_bytes, word_bounds, word_hash
 #: Documents and terms of each that the upper levels are fitted on, their levels, and terms that they know.
 SAMPLE, SAMPLE_TERMS, LEVELS, KNOWN_TERMS = 4096, 512, 6, 1 << 15
 #: Documents of a cluster, postings of a group, rounds of swaps at a level.
-CLUSTER, GROUP_POSTINGS, SWAPS = 256, 1 << 20, 6
+CLUSTER, GROUP_POSTINGS, SWAPS = 512, 1 << 19, 6
 #: Clusters that are scored first for each query, clusters that are ordered together, terms of a block of queries.
 FIRST, RUN, BLOCK_TERMS = 2, 64, 1 << 18
 TOP = 10

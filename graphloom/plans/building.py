@@ -41,7 +41,11 @@ _TRIPLES = {
 _F = "f as (select n_nationkey, n_name, r_name || '/' || n_name as path from nation join region on n_regionkey = r_regionkey)"
 _T = "t as (" + " union all ".join(f"select {what} from {where}" for where, what in _TRIPLES.items()) + ")"
 _OWN = "concat('p:', source_file, ':', case when owner_class is null then '' else concat(owner_class, '.') end, from_entity)"
-_RESOLVED = f"""{_F}, {_T}, d as (select *, {_OWN} as id from t where relation_type = 'DEFINED_IN'),
+
+
+def _resolved(t: str) -> str:
+    """SQL of the triples' ends, of triples that ``t`` tells."""
+    return f"""{_F}, {t}, d as (select *, {_OWN} as id from t where relation_type = 'DEFINED_IN'),
 o as (select from_entity as n, owner_class as c, arg_min(id, seq) as owner_id from d where owner_class is not null group by all),
 h as (select from_entity as c, arg_min(source_file, seq) as home from d where from_type = 'class' group by all),
 b as (select from_entity as n, source_file as home, arg_min(id, seq) as home_id from d group by all),
@@ -50,6 +54,9 @@ r as (select t.*, {_OWN} as from_id, case when relation_type = 'DEFINED_IN' then
   from t left join o on o.n = to_entity and o.c = call_receiver_type left join h on h.c = call_receiver_type left join b on b.n = to_entity and b.home = h.home left join u on u.n = to_entity)"""
 
 
+_RESOLVED = _resolved(_T)
+
+
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples of the tables; the same text is their SQL."""
     names = "customer", "orders", "lineitem"
@@ -71,10 +78,11 @@ def _built(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(*mutate.graph_of(triples(spark, sf_dir), "p"), "p")
 
 
-_SIDES = f"""{_RESOLVED}, s as (
+_SIDES_OF = """s as (
   select from_id as id, seq, 0 as side, from_entity as name, from_type as entity_type, 'python' as language, source_file as file,
          case when relation_type = 'DEFINED_IN' and line_number > 0 then line_number end as line, owner_class as owner, is_exported from r
   union all select to_id, seq, 1, to_entity, to_type, '', null, case when relation_type = 'DEFINED_IN' and to_type = 'module' then 1 end, null, null from r)"""
+_SIDES = f"{_RESOLVED}, {_SIDES_OF}"
 
 
 def _settled(c: str) -> str:

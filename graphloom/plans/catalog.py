@@ -9,12 +9,12 @@ from graphloom.functions.columns import language_of, module_name, relation_name,
 from graphloom.operators import mutate, vectors
 from graphloom.operators.graph import CALLERS, HOPS
 from graphloom.operators.traverse import bfs
-from graphloom.plans import building, star
+from graphloom.plans import building, keeping, star
 from graphloom.plans.registered import ORACLE_SQL, QUERIES, query
 from graphloom.sources.hierarchy import hierarchy
 from graphloom.streaming.watch import compacted
 
-__all__ = ["ORACLE_SQL", "QUERIES", "building", "flagship"]
+__all__ = ["ORACLE_SQL", "QUERIES", "building", "flagship", "keeping"]
 
 _PATHS = "regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1)"
 
@@ -242,14 +242,15 @@ def watch_compact(spark, sf_dir):
     return compacted(events.select(F.col("user_id").cast("string").alias("path"), F.expr(_KIND).alias("kind"), "ts", F.lit(None).cast("string").alias("dest_path")))
 
 
-@query("""with e as (select ts, user_id, event_type from events), x as (select ts, 'a' || user_id as path, 'deleted' as kind from e where event_type = 'click'
-  union all select ts, 'b' || user_id, 'modified' from e where event_type = 'click')
-select path, arg_max(kind, ts) as kind, count(*)::bigint as n_events from x group by path""")
+@query("""with x as (select ts, event_id, 'a' || user_id as path, case when event_type = 'click' then 'deleted' else 'modified' end as kind from events
+  union all select ts, event_id, 'b' || user_id, 'modified' from events where event_type = 'click')
+select path, arg_max(kind, row(ts, event_id)) as kind, count(*)::bigint as n_events from x group by path""")
 def watch_moves(spark, sf_dir):
-    """A move deletes its source path and changes its destination."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type = 'click'")
-    moved = events.select(F.concat(F.lit("a"), "user_id").alias("path"), F.lit("moved").alias("kind"), "ts", F.concat(F.lit("b"), "user_id").alias("dest_path"))
-    return compacted(moved)
+    """A move deletes its source path and changes its destination; of equal times the event that arrived last counts."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.when(F.col("event_type") == "click", "moved").otherwise("modified")
+    target = F.when(F.col("event_type") == "click", F.concat(F.lit("b"), "user_id"))
+    return compacted(events.select("event_id", F.concat(F.lit("a"), "user_id").alias("path"), kind.alias("kind"), "ts", target.alias("dest_path")))
 
 
 # --- layout and scalars ----------------------------------------------------

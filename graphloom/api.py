@@ -13,13 +13,13 @@ from graphloom.operators import incremental, mutate, render, vectors, writeback
 from graphloom.operators.changes import EDGE_FLAGS, NODE_FLAGS, Changes, applied, with_columns
 from graphloom.operators.graph import HOPS, Graph, asked_for
 from graphloom.schemas import PLACES, TRIPLES
-from graphloom.scratch import dropped, written
+from graphloom.scratch import cleared, keep, written
 from graphloom.sources import ignore, tree
 from graphloom.sources.context import with_context
 from graphloom.sources.extract import registry
 from graphloom.sources.hierarchy import hierarchy
 from graphloom.sources.index import IndexStore, name_of
-from graphloom.sources.store import GraphStore, load_triples, psr4
+from graphloom.sources.store import DUMPED, GraphStore, adopted_sidecar, dump_triples, load_triples, node_link, psr4
 from graphloom.streaming import listings
 from graphloom.streaming.watch import watch
 
@@ -27,8 +27,10 @@ from graphloom.streaming.watch import watch
 NO_GRAPH = "nothing is published yet: ingest first"
 NO_INDEX = "there is no index yet: call index, or ingest with index=True"
 COMPOSER = "composer.json"
-#: Fixed value: the list of files beside the graph.
-FILES = "files.txt"
+#: The list of files beside the graph, and the side table of descriptions.
+FILES, SIDECAR = "files.txt", "descriptions.jsonl"
+#: Rows of an answer; the tables that the questions give have all.
+ANSWER = 1000
 
 
 class Repository:
@@ -48,11 +50,46 @@ class Repository:
         self._refused: DataFrame | None = None
 
     def init(self) -> dict:
-        """Ingests if nothing is published yet."""
-        return {"status": "ready", "version": self.store.version()} if self.store.version() else self.ingest()
+        """Ingests if nothing is published yet; else takes in what an older graph left: its side table of descriptions,
+        and the list of files, if that isn't there."""
+        if not self.store.version():
+            return self.ingest()
+        adopted = self.adopt(f"{self.home}/{SIDECAR}")
+        if not self.store.versions.exists(f"{self.home}/{FILES}"):
+            self.store.write_files(f"{self.home}/{FILES}")
+        return {"status": "ready", "version": self.store.version()} | ({"adopted": adopted} if adopted else {})
+
+    # --- exchange ----------------------------------------------------------
+
+    def adopt(self, path: str) -> int:
+        """Takes in a side table of descriptions, once; the number of nodes described now."""
+        return adopted_sidecar(self.store, path)
+
+    @cleared
+    def load_graph(self, path: str) -> dict:
+        """Publishes a graph in node-link JSON in place of the one there; one that can't be read changes nothing."""
+        nodes, edges = node_link(self.spark, path)
+        if not nodes.limit(1).count():
+            return {"status": "abandoned", "nodes": 0}
+        version = self.store.publish(nodes, edges, psr4=self._psr4())
+        self.store.write_files(f"{self.home}/{FILES}")
+        return {"status": "published", "nodes": self.node_count(), "version": version} | self._indexed(False)
+
+    @cleared
+    def dump(self, path: str, fields=DUMPED) -> dict:
+        """Writes the tree's triples as JSON lines, and leaves the graph as it is."""
+        seen = registry.scanned(self.spark, self.root, self.patterns, self.skip)
+        found, _ = registry.relations(seen.files)
+        triples = registry.placed(found, registry.begun(registry.sizes(found)))
+        count = found.count()
+        if not count:
+            return {"status": "abandoned", "triples": 0}
+        dump_triples(triples, path, fields)
+        return {"status": "dumped", "triples": count}
 
     # --- building ----------------------------------------------------------
 
+    @cleared
     def ingest(self, patterns: list[str] | None = None, normalize: Callable[[DataFrame], DataFrame] | None = None, skip=ignore.SKIPPED, index: bool = False) -> dict:
         """Scans, extracts, resolves, joins with the published graph, and publishes.
 
@@ -63,8 +100,9 @@ class Repository:
         self._progress = registry.Progress(self.spark)
         listings.start(self._watched(), self.root, patterns, skip) if tree.can_open(self.root) else None  # what changes from now on is watched
         seen = registry.scanned(self.spark, self.root, patterns, skip)
-        found, self._refused = registry.relations(seen.files, progress=self._progress)
-        places = written(registry.begun(registry.sizes(found)), "places")
+        found, refused = registry.relations(seen.files, progress=self._progress)
+        self._refused = keep(written(refused, "refused"))
+        places = written(registry.begun(registry.sizes(found), lead=registry.LEAD), "places")
         triples = registry.placed(found, places)
         told = self._publish(normalize(triples) if normalize else triples, seen.paths, index, None if normalize else places, folders=seen.folders)
         return told | {c: n for c, n in self.progress().items() if c != "relations"}
@@ -80,6 +118,7 @@ class Repository:
     def _watched(self) -> str:
         return f"{self.home}/listings"
 
+    @cleared
     def ingest_triples(self, triples: DataFrame | str) -> dict:
         """Publishes the graph of given triples, or of a JSON file of them; their files are those of the tree."""
         given = load_triples(self.spark, triples) if isinstance(triples, str) else triples
@@ -113,7 +152,6 @@ class Repository:
             return kept, mutate.rebuilt_edges(_like(old.edges, all_edges), all_edges, kept)
 
         version = self.store.rebuild(make, lambda: (t, places), self._psr4())
-        dropped(t)
         self.store.write_files(f"{self.home}/{FILES}")
         return {"status": "published", "triples": count, "version": version} | self._indexed(index)
 
@@ -136,6 +174,7 @@ class Repository:
         path = f"{self.root}/{COMPOSER}"
         return psr4(self.spark.read.text(path, wholetext=True).first()[0]) if ignore.is_file(self.spark, path) else {}
 
+    @cleared
     def apply(self, changed: DataFrame, deleted: DataFrame) -> dict:
         """Publishes the graph after changes of files (path).
 
@@ -150,7 +189,8 @@ class Repository:
         if places is None or len(names) > registry.NAMED_FILES or COMPOSER in names:
             return self._apply_whole(touched, names if len(names) <= registry.NAMED_FILES else None)
         files = registry.scan(self.spark, self.root, self.patterns, self.skip, only=names)
-        found, self._refused = registry.relations(files)
+        found, refused = registry.relations(files)
+        self._refused = keep(written(refused, "refused"))
         present = [r["path"] for r in files.select("path").collect()]
         size = {r["path"]: r["n"] for r in registry.sizes(found).collect()}
         begins = registry.inserted(places, {p: size.get(p, 0) for p in present})
@@ -188,7 +228,8 @@ class Repository:
         """Reads the changed files only, but resolves and publishes all."""
         files = registry.scan(self.spark, self.root, self.patterns, self.skip, only=names)
         files = files if names is not None else files.join(touched, "path", "left_semi")
-        found, self._refused = registry.relations(files)
+        found, refused = registry.relations(files)
+        self._refused = keep(written(refused, "refused"))
         old, places = self.store.triples(), self.store.places() if self.store.version() else None
         kept = old.join(touched.withColumnRenamed("path", "source_file"), "source_file", "left_anti").select(*old.columns)
         if places is None:
@@ -200,7 +241,7 @@ class Repository:
             begin = places.select(F.col("path").alias("source_file"), "begin")
             both = kept.join(begin, "source_file").withColumn("place", F.col("seq") - F.col("begin")).drop("seq", "begin").unionByName(found)
             both = written(both, "relations")
-            begins = written(registry.begun(registry.sizes(both)), "places")
+            begins = written(registry.begun(registry.sizes(both), lead=registry.LEAD), "places")
             triples = registry.placed(both, begins)
         before = self.store.graph().files().select("path").join(touched, "path", "left_anti")
         return self._publish(triples, before.unionByName(files.select("path")).distinct(), False, begins, emptied=True)
@@ -220,6 +261,7 @@ class Repository:
 
     # --- what agents write -------------------------------------------------
 
+    @cleared
     def _corrected(self, ask, changes, done: tuple[str, ...], answer=writeback.answer) -> dict:
         """Answers a request of one row, and publishes what it changes, if its status is one of ``done``."""
         if not self.store.version():
@@ -262,6 +304,7 @@ class Repository:
         asked = {"name": name, "file": file, "id": id, "text": text}
         return self._corrected(lambda g: writeback.described(g, writeback.one(g, **asked)), writeback.description_changes, ("updated", "cleared"), writeback.entity_answer)
 
+    @cleared
     def correct(self, requests: DataFrame, kind: str) -> DataFrame:
         """Answers a table of requests of one kind (a name of ``BULK``), and publishes what they change as one version;
         the requests with their statuses."""
@@ -274,7 +317,7 @@ class Repository:
             return _with_imports(graph, self.store.psr4(), {}, changes(graph, out[0]) if some else None)
 
         self.store.correct(make)
-        return out[0]
+        return keep(out[0])
 
     def description(self, id: str) -> str:
         """What was said of a node; an empty text if nothing was."""
@@ -287,6 +330,7 @@ class Repository:
         """The newest index, if there is one."""
         return self.indexes.index()
 
+    @cleared
     def index(self, embed=None) -> int:
         """Embeds all entities anew, with a given embedder from now on; the number of them."""
         self.embed = embed or self.embed
@@ -349,17 +393,17 @@ class Repository:
     def _entity_time(self, name: str):
         return self.store.graph().entity_time(name)
 
-    def fetch_impact(self, name: str, hops: int = HOPS) -> dict:
-        return {"entity": name, "callers": _rows(self.impact(name, hops)), "updated_at": self._entity_time(name)}
+    def fetch_impact(self, name: str, hops: int = HOPS, limit: int = ANSWER) -> dict:
+        return {"entity": name} | _answer("callers", self.impact(name, hops), limit) | {"updated_at": self._entity_time(name)}
 
-    def fetch_deps(self, file: str, hops: int = HOPS) -> dict:
-        return {"file": file, "dependencies": _rows(self.deps(file, hops)), "updated_at": self.store.updated_at(file)}
+    def fetch_deps(self, file: str, hops: int = HOPS, limit: int = ANSWER) -> dict:
+        return {"file": file} | _answer("dependencies", self.deps(file, hops), limit) | {"updated_at": self.store.updated_at(file)}
 
-    def fetch_styles(self, element: str) -> dict:
-        return {"element": element, "selectors": _rows(self.styles(element)), "updated_at": self._entity_time(element)}
+    def fetch_styles(self, element: str, limit: int = ANSWER) -> dict:
+        return {"element": element} | _answer("selectors", self.styles(element), limit) | {"updated_at": self._entity_time(element)}
 
-    def fetch_trace(self, start: str, hops: int = HOPS) -> dict:
-        return {"entity": start, "calls": _rows(self.trace(start, hops)), "updated_at": self._entity_time(start)}
+    def fetch_trace(self, start: str, hops: int = HOPS, limit: int = ANSWER) -> dict:
+        return {"entity": start} | _answer("calls", self.trace(start, hops), limit) | {"updated_at": self._entity_time(start)}
 
     def fetch_grep(self, pattern: str, field: str = "all", ignore_case: bool = True, limit: int = 100) -> dict:
         """Matches, and whether the limit cut them; a pattern that is none gives an ``error``."""
@@ -369,29 +413,30 @@ class Repository:
             return {"pattern": pattern, "matches": [], "error": str(e)}
         return {"pattern": pattern, "matches": found[:limit], "truncated": len(found) > limit}
 
-    def fetch_blast_radius(self, target: str, hops: int = HOPS) -> dict:
+    def fetch_blast_radius(self, target: str, hops: int = HOPS, limit: int = ANSWER) -> dict:
         """The files with ``found``; what a target means first tells its own file."""
         own = self.store.graph().found([target]).orderBy("by_path", blank(F.col("file")) == "", "id").first()
         if own is None or not own["file"]:
             return {"target": target, "found": False, "files": [], "updated_at": None}
-        return {"target": target, "target_file": own["file"], "found": True, "files": _rows(self.blast_radius(target, hops)), "updated_at": self.store.updated_at(own["file"])}
+        return {"target": target, "target_file": own["file"], "found": True} | _answer("files", self.blast_radius(target, hops), limit) | {"updated_at": self.store.updated_at(own["file"])}
 
-    def fetch_batch_impact(self, targets: str | list[str], hops: int = HOPS) -> dict:
+    def fetch_batch_impact(self, targets: str | list[str], hops: int = HOPS, limit: int = ANSWER) -> dict:
         """The files with the targets that were ``resolved`` and those ``not_found``."""
         asked = asked_for(targets)
         meant = {r["target"]: r["file"] for r in self.store.graph().found(asked).filter(blank(F.col("file")) != "").groupBy("target").agg(F.min("file").alias("file")).collect()}
         resolved = [t for t in asked if t in meant]
-        files = _rows(self.batch_impact(resolved, hops)) if resolved else []
+        files = _answer("files", self.batch_impact(resolved, hops), limit) if resolved else {"files": []}
         updated = self.store.updated_at(meant[resolved[0]]) if resolved else None
-        return {"targets": asked, "resolved": resolved, "not_found": [t for t in asked if t not in meant], "files": files, "updated_at": updated}
+        return {"targets": asked, "resolved": resolved, "not_found": [t for t in asked if t not in meant]} | files | {"updated_at": updated}
 
-    def fetch_dead_code(self, entry_points: bool = False) -> dict:
-        rows = _rows(self.dead_code(True))
-        out = {"dead": [r for r in rows if r["verdict"] == "dead"], "maybe_entrypoint_count": sum(r["verdict"] != "dead" for r in rows)}
-        return out | ({"maybe_entrypoints": [r for r in rows if r["verdict"] != "dead"]} if entry_points else {})
+    def fetch_dead_code(self, entry_points: bool = False, limit: int = ANSWER) -> dict:
+        found = self.dead_code(True)
+        maybe = found.filter("verdict <> 'dead'")
+        out = _answer("dead", found.filter("verdict = 'dead'"), limit) | {"maybe_entrypoint_count": maybe.count()}
+        return out | ({"maybe_entrypoints": _rows(maybe.limit(limit))} if entry_points else {})
 
-    def fetch_tree(self) -> dict:
-        return {"project": self.project, "tree": _rows(self.tree()), "last_ingested": self.store.last_ingested()}
+    def fetch_tree(self, limit: int = ANSWER) -> dict:
+        return {"project": self.project} | _answer("tree", self.tree(), limit) | {"last_ingested": self.store.last_ingested()}
 
     def node_count(self) -> int:
         return self.store.graph().nodes.count()
@@ -462,6 +507,12 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+def _answer(name: str, df: DataFrame, limit: int) -> dict:
+    """The first rows of an answer, with ``truncated`` if there are more."""
+    found = _rows(df.limit(limit + 1))
+    return {name: found[:limit]} | ({"truncated": True} if len(found) > limit else {})
+
+
 def _like(old: DataFrame, new: DataFrame) -> DataFrame:
     """The old rows with the columns of the new ones."""
     return old.select(*[(F.col(f.name) if f.name in old.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in new.schema])

@@ -117,9 +117,11 @@ def changes(graph: Graph, known: Resolved, touched: DataFrame, fresh: DataFrame,
     # nodes that these files touched or touch, from all that supports them
     ids = before.unionByName(again).select(F.explode(F.array("from_id", "to_id")).alias("id")).unionByName(t.select(F.explode(F.array("from_id", "to_id")).alias("id")))
     ids = written(ids.distinct(), "touched-nodes")
-    support = among(known.into, "to_id", ids).join(files.withColumnRenamed("path", "source_file"), "source_file", "left_anti")
-    unplaced = among(known.triples, "from_id", ids).filter(blank(F.col("source_file")) == "") if files.filter("path = ''").count() == 0 else t.limit(0)
-    sides = mutate.from_sides(t).unionByName(mutate.to_sides(into_nodes(t))).unionByName(mutate.to_sides(support)).unionByName(mutate.from_sides(unplaced.select(*t.columns)))
+    others = files.withColumnRenamed("path", "source_file")
+    support = among(known.into, "to_id", ids).join(others, "source_file", "left_anti")
+    # ids begin with their file, in the order of which triples are stored
+    written_by = among(known.triples, "from_id", ids).join(others, "source_file", "left_anti").select(*t.columns)
+    sides = mutate.from_sides(t).unionByName(mutate.to_sides(into_nodes(t))).unionByName(mutate.to_sides(support)).unionByName(mutate.from_sides(written_by))
     new = mutate.nodes_of_sides(sides, project).unionByName(tree_nodes, allowMissingColumns=True)
     new = written(with_columns(new, NODE_FLAGS), "new-nodes")
     all_ids = ids.unionByName(tree_nodes.select("id")).unionByName(gone_tree.select("id")).distinct()
@@ -130,7 +132,7 @@ def changes(graph: Graph, known: Resolved, touched: DataFrame, fresh: DataFrame,
 
     # what goes: the files' edges, agents' edges of nodes that go, and containment of what goes
     loose = _edges_at(graph, gone)
-    keys = loose.filter(flag("agent_inferred") | (F.col("type") == "CONTAINS")).select(*KEY).distinct()
+    keys = loose.filter(flag("agent_inferred") | (F.col("type") == "CONTAINS")).select(*KEY).unionByName(tree_edges.select(*KEY)).distinct()
     edges = edges.withColumn("gone", F.lit(False)).unionByName(keys.withColumn("gone", F.lit(True)), allowMissingColumns=True)
     said = nodes.withColumn("gone", F.lit(False)).unionByName(gone.withColumn("gone", F.lit(True)), allowMissingColumns=True)
     wanted, imports = _imports(graph, kept, files, nodes, edges, file_ids, psr4)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import functools
 import re
+import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -13,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Jobs that run at once.
 SIDE_BY_SIDE = 4
 _local: list[str] = []
+_made: dict[str, SparkSession] = {}
+#: The tables of this thread that ``cleared`` deletes.
+_here = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made[path] = df.sparkSession
+    if getattr(_here, "depth", 0):
+        _here.paths.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
@@ -46,9 +57,51 @@ def together(*writes: Callable[[], object]) -> None:
             done.result()
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made.pop(name, None)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by ``written`` that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._graphloom_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._graphloom_path)
+
+
+def cleared(work):
+    """Decorates a method whose result is elsewhere: the tables that its thread writes meanwhile are deleted, but for those
+    that ``keep`` spares."""
+
+    @functools.wraps(work)
+    def run(*args, **kwargs):
+        _here.depth = getattr(_here, "depth", 0) + 1
+        before, _here.paths = getattr(_here, "paths", []), []
+        try:
+            return work(*args, **kwargs)
+        finally:
+            for path in _here.paths:
+                if path in _made:
+                    _delete(_made[path], path)
+            _here.paths, _here.depth = before, _here.depth - 1
+
+    return run
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df``, a table made by ``written``, which stays when the method that is ``cleared`` ends."""
+    if getattr(_here, "depth", 0):
+        _here.paths.remove(df._graphloom_path)
+    return df
+
+
+@atexit.register
+def _clear() -> None:
+    """Deletes what is left of a driver that ends, as far as its session still runs."""
+    for path, spark in list(_made.items()):
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc is None:
+                break
+            _delete(spark, path)
+    for folder in _local:
+        shutil.rmtree(folder, ignore_errors=True)

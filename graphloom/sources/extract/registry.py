@@ -27,8 +27,8 @@ EXTRACTORS = {
     "py": python.extract, "js": javascript.extract, "jsx": javascript.extract, "ts": javascript.extract, "tsx": javascript.extract, "php": php.extract,
     "html": style.extract_html, "css": style.extract_css, "scss": style.extract_css,
 }
-#: Numbers that are left free after a file's triples, for changes.
-ROOM = 1 << 16
+#: Numbers that are left free after a file's triples, and before those of the first file, for changes.
+ROOM, LEAD = 1 << 16, 1 << 40
 #: Tasks that read contents at most.
 READERS = 10_000
 #: Changed files that are read by their paths; more are found by a scan.
@@ -115,8 +115,8 @@ def extract(files: DataFrame, parser=parsed) -> DataFrame:
     return placed(found, begun(sizes(found)))
 
 
-def begun(sizes: DataFrame, room: int = ROOM) -> DataFrame:
-    """(path, begin, n): the sum of ``n`` and ``room`` over the paths before each one, for a table (path, n).
+def begun(sizes: DataFrame, room: int = ROOM, lead: int = 0) -> DataFrame:
+    """(path, begin, n): ``lead`` and the sum of ``n`` and ``room`` over the paths before each one, for a table (path, n).
 
     Paths are dealt out by range; each range is summed alone, after the sums of the
     ranges before it. Only that table, a row for each range, is summed as one.
@@ -125,7 +125,7 @@ def begun(sizes: DataFrame, room: int = ROOM) -> DataFrame:
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = dealt.groupBy("part").agg(F.sum("all").alias("sum")).withColumn("before", F.coalesce(F.sum("sum").over(earlier), F.lit(0)))
     inside = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.col("before") + F.coalesce(F.sum("all").over(inside), F.lit(0))
+    begin = F.lit(lead) + F.col("before") + F.coalesce(F.sum("all").over(inside), F.lit(0))
     return dealt.join(F.broadcast(parts), "part").select("path", begin.cast("bigint").alias("begin"), F.col("n").cast("bigint").alias("n"))  # a row for each range
 
 

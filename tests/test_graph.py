@@ -127,6 +127,25 @@ def test_resolution_priorities(spark):
     assert got == {0: "p:m", 1: "p:m", 2: "p:m", 3: "p:m", 4: "p:dog.py:Dog.bark", 5: "p:bark", 6: "p:o.py:only", 7: "p:print"}
 
 
+def test_triples_move_once_at_most(spark, monkeypatch):
+    """Few answers are broadcast; beyond that triples are dealt out once, but for those that ask for what very many ask for."""
+    rows = [triple(k, f"f{k}", "function", "DEFINED_IN", "m", "module", f"{k % 3}.py", 1, owner=["A", "B", None][k % 3]) for k in range(30)]
+    rows += [triple(30 + k, "x", "function", "CALLS", "f1" if k % 2 else f"f{k % 40}", "function", "x.py", k, "r", [None, "A", "B"][k % 3]) for k in range(200)]
+    t = written(spark.createDataFrame(rows, TRIPLES), "test-triples")
+    moved = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    near = mutate.resolved_triples(t, "p")
+    assert moved(near) == 0
+    want = sorted(map(str, near.collect()))
+    monkeypatch.setattr(mutate, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        far = mutate.resolved_triples(t, "p")
+        assert moved(far) == 2  # the triples, and the answers
+        assert sorted(map(str, far.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_last_writer_first_writer_and_sticky_export(spark):
     t = spark.createDataFrame(
         [

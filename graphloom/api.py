@@ -14,7 +14,7 @@ from graphloom.operators.changes import EDGE_FLAGS, NODE_FLAGS, Changes, applied
 from graphloom.operators.graph import HOPS, Graph, asked_for
 from graphloom.schemas import PLACES, TRIPLES
 from graphloom.scratch import cleared, keep, written
-from graphloom.sources import ignore, tree
+from graphloom.sources import ignore
 from graphloom.sources.context import with_context
 from graphloom.sources.extract import registry
 from graphloom.sources.hierarchy import hierarchy
@@ -98,8 +98,9 @@ class Repository:
         """
         self.patterns, self.skip = patterns, skip
         self._progress = registry.Progress(self.spark)
-        listings.start(self._watched(), self.root, patterns, skip) if tree.can_open(self.root) else None  # what changes from now on is watched
         seen = registry.scanned(self.spark, self.root, patterns, skip)
+        if seen.listed is not None:  # what changes from now on is found by a watch
+            listings.start(seen.listed, self._watched())
         found, refused = registry.relations(seen.files, progress=self._progress)
         self._refused = keep(written(refused, "refused"))
         places = written(registry.begun(registry.sizes(found), lead=registry.LEAD), "places")

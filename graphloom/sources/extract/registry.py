@@ -185,11 +185,13 @@ def _read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Scanned:
-    """A tree: ``files`` (path, content, error) that have an extractor, their ``paths``, and ``folders`` (path)."""
+    """A tree: ``files`` (path, content, error) that have an extractor, their ``paths``, ``folders`` (path), and
+    ``listed`` (path, size, time), what a watch compares with, if the store tells."""
 
     files: DataFrame
     paths: DataFrame
     folders: DataFrame
+    listed: DataFrame | None = None
 
 
 def scanned(spark: SparkSession, root: str, patterns: list[str] | None = None, skip=ignore.SKIPPED) -> Scanned:
@@ -202,7 +204,7 @@ def scanned(spark: SparkSession, root: str, patterns: list[str] | None = None, s
         found = tree.walk(spark, root, patterns, skip)
         files = found.filter((F.col("kind") == "file") & tree.supported(F.col("path")))
         spread = files.repartition(max(1, min(READERS, -(-files.count() // 100))))
-        return Scanned(tree.contents(spread, root), files.select("path"), found.filter("kind = 'folder'").select("path"))
+        return Scanned(tree.contents(spread, root), files.select("path"), found.filter("kind = 'folder'").select("path"), files.select("path", "size", "time"))
     patterns = ignore.load_patterns(spark, root) if patterns is None else patterns
     endings = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in LANGUAGES) + "}"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", endings).load(root)

@@ -22,6 +22,7 @@ import json
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as stores
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from graphloom.schemas import EVENTS, LANGUAGES
@@ -69,8 +70,8 @@ class Listings:
         self.store.move(f"{self.base}/.{name}", f"{self.base}/{name}")
 
     def _get(self, name: str) -> pa.Table:
-        with self.store.open_input_file(f"{self.base}/{name}") as f:
-            return pq.read_table(f)
+        """A file, or the folder of a table that Spark wrote."""
+        return pq.read_table(f"{self.base}/{name}", filesystem=self.store)
 
     def put(self, number: int, files: Listing, events: list[tuple[str, str, str | None]]) -> None:
         now = dt.datetime.now(dt.timezone.utc)
@@ -91,8 +92,11 @@ class Listings:
         for n in self.numbers():
             if n < before:
                 for name in (f"listing-{n}.parquet", f"events-{n}.parquet"):
-                    if self.store.get_file_info(f"{self.base}/{name}").type == stores.FileType.File:
+                    kind = self.store.get_file_info(f"{self.base}/{name}").type
+                    if kind == stores.FileType.File:
                         self.store.delete_file(f"{self.base}/{name}")
+                    elif kind == stores.FileType.Directory:
+                        self.store.delete_dir(f"{self.base}/{name}")
 
 
 def listed_now(root: str, patterns: list[str] | None, skip) -> Listing:
@@ -101,11 +105,10 @@ def listed_now(root: str, patterns: list[str] | None, skip) -> Listing:
     return {p: (size, time) for p, kind, size, time in listing(root, rules) if kind == "file" and p.rpartition(".")[2].lower() in LANGUAGES}
 
 
-def start(state: str, root: str, patterns: list[str] | None, skip) -> None:
-    """Makes what a tree is now the listing that a watch compares with first, unless there is one."""
-    kept = Listings(state)
-    if not kept.numbers():
-        kept.put(1, listed_now(root, patterns, skip), [])
+def start(listed: DataFrame, state: str) -> None:
+    """Makes a listed tree (path, size, time) the first that a watch compares with, unless there is one; Spark writes it."""
+    if not Listings(state).numbers():
+        listed.write.mode("ignore").parquet(f"{state if '://' in state else 'file://' + state}/listing-1.parquet")
 
 
 class _Reader(DataSourceStreamReader):

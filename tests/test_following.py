@@ -113,11 +113,11 @@ def test_listings_are_compared():
     assert listings.compared(now, now) == []
 
 
-def test_an_offset_has_the_same_events_again(tmp_path):
+def test_an_offset_has_the_same_events_again(spark, tmp_path):
     """A batch that was told but not done is told again as it was; what is done is forgotten."""
     root, options = tmp_path / "t", {"root": f"{tmp_path}/t", "state": f"{tmp_path}/s", "patterns": "[]", "skip": "[]"}
     put(root, "a.py", "x")
-    listings.start(options["state"], options["root"], [], ())
+    listings.start(registry.scanned(spark, options["root"], [], ()).listed, options["state"])
     reader = listings._Reader(options)
     start = reader.initialOffset()
     put(root, "b.py", "y")

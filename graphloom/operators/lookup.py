@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.traverse import BROADCAST_ROWS, LOOKUP_ROWS, small
+from graphloom.operators.traverse import LOOKUP_ROWS, small
+from graphloom.scratch import written
 
 
 def among(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -18,5 +19,5 @@ def among(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     few = values.limit(LOOKUP_ROWS + 1).collect()
     if len(few) <= LOOKUP_ROWS:
         return df.filter(F.col(column).isin([r[0] for r in few if r[0] is not None]))
-    values = values.toDF(column)
-    return df.join(small(values, values.limit(BROADCAST_ROWS + 1).count()), column, "left_semi").select(*df.columns)
+    values = written(values.toDF(column), "wanted")
+    return df.join(small(values, values.count()), column, "left_semi").select(*df.columns)

@@ -57,7 +57,7 @@ def resolved_triples(triples: DataFrame, project: str, defs: DataFrame | None =
     large share of all asks for, which counting has shown, and which are broadcast.
     """
     p = F.lit(project)
-    defs = definitions(triples, project) if defs is None else defs
+    defs = written(definitions(triples, project), "definitions") if defs is None else defs
     found = written(targets(call_keys(triples), defs), "targets")
     rows, calls = found.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     asks = F.col("relation_type") != "DEFINED_IN"
@@ -80,7 +80,7 @@ def graph_of(triples: DataFrame, project: str, file_ids: DataFrame | None = None
     From-sides write their attributes, the last one wins; to-sides only fill what is not
     there, the first one wins; exported stays true once said. Every triple is an edge.
     """
-    t = written(resolved_triples(triples, project), "resolved")
+    t = written(resolved_triples(written(triples, "triples"), project), "resolved")
     return nodes_of(t, project), edges_of(t, file_ids)
 
 

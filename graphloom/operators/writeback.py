@@ -38,13 +38,11 @@ def candidates(graph, name: str) -> list[dict]:
     return [{"id": r["id"], "file": r["file"]} for r in named(graph, name).filter(blank(F.col("file")) != "").orderBy("file", "id").collect()]
 
 
-def _ends(graph, rows: DataFrame, end: str, outside: Column) -> DataFrame:
-    """``rows`` with ``{end}_id``, if the end means one entity, and ``{end}_n``, how many of its name have a file.
+def _ends(own: DataFrame, rows: DataFrame, end: str, outside: Column) -> DataFrame:
+    """``rows`` with ``{end}_id``, if the end means one of the entities ``own``, and ``{end}_n``, how many of its name have a file.
 
     Each table that is joined has one row for its key, so that no name multiplies requests.
     """
-    own = graph.entities().filter(F.col("project") == graph.project).select("id", "name", "file")
-    own = among(own, "name", rows.select(end)).withColumn("inside", blank(F.col("file")) != "")
     by_name = own.groupBy(F.col("name").alias(end)).agg(
         F.count_if("inside").alias("_in"), F.min(F.when(F.col("inside"), F.col("id"))).alias("_in_id"),
         F.count_if(~F.col("inside")).alias("_out"), F.min(F.when(~F.col("inside"), F.col("id"))).alias("_out_id"),
@@ -58,8 +56,12 @@ def _ends(graph, rows: DataFrame, end: str, outside: Column) -> DataFrame:
 
 
 def _answered(graph, asked: DataFrame, outside: Column) -> DataFrame:
-    rows = with_columns(asked, _ASKED).withColumn("type", relation_name(F.col("relation")))
-    return written(_ends(graph, _ends(graph, rows, "caller", F.lit(False)), "callee", outside), "asked")
+    """Requests with their relation's type and their ends; the entities of all their names are looked up once."""
+    rows = written(with_columns(asked, _ASKED).withColumn("type", relation_name(F.col("relation"))), "requests")
+    own = graph.entities().filter(F.col("project") == graph.project).select("id", "name", "file")
+    own = among(own, "name", rows.select("caller").union(rows.select("callee"))).withColumn("inside", blank(F.col("file")) != "")
+    own = written(own, "named")
+    return written(_ends(own, _ends(own, rows, "caller", F.lit(False)), "callee", outside), "asked")
 
 
 def _unclear(callee_may_be_new: Column) -> Column:

@@ -83,12 +83,13 @@ def _changed_names(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.filter("sum <> 0").select("name").distinct()
 
 
-def changes(graph: Graph, known: Resolved, touched: DataFrame, fresh: DataFrame, tree_nodes: DataFrame, tree_edges: DataFrame, gone_tree: DataFrame, file_ids: DataFrame, there: DataFrame | None, psr4: dict[str, str]) -> Changes:
+def changes(graph: Graph, known: Resolved, touched: DataFrame, fresh: DataFrame, tree_nodes: DataFrame, tree_edges: DataFrame, gone_tree: DataFrame, file_ids: DataFrame, there: DataFrame | None, psr4: dict[str, str], anew: bool = False) -> Changes:
     """The changes of a graph when the files ``touched`` (path) have the triples ``fresh`` from now on.
 
     ``tree_nodes`` and ``tree_edges``: nodes and edges of containment that come; ``gone_tree``
     (id): nodes that go, unless agents made them and their file is ``there`` (path).
-    ``file_ids`` (path, id): the files that are indexed afterwards.
+    ``file_ids`` (path, id): the files that are indexed afterwards. ``anew``: nodes are what
+    the triples say, and keep nothing (such as a line) that only the graph before knew.
     """
     project = graph.project
     touched = written(touched.select("path").distinct(), "touched")
@@ -127,7 +128,7 @@ def changes(graph: Graph, known: Resolved, touched: DataFrame, fresh: DataFrame,
     all_ids = ids.unionByName(tree_nodes.select("id")).unionByName(gone_tree.select("id")).distinct()
     old = with_columns(among(graph.nodes, "id", all_ids), NODE_FLAGS)
     old = written(old.select(*[(F.col(f.name) if f.name in old.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in new.schema]), "old-nodes")
-    nodes = written(mutate.rebuilt_nodes(old, new, there), "nodes")
+    nodes = new if anew else written(mutate.rebuilt_nodes(old, new, there), "nodes")
     gone = written(old.select("id").join(nodes.select("id"), "id", "left_anti"), "gone-nodes")
 
     # what goes: the files' edges, agents' edges of nodes that go, and containment of what goes

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import receiver_matches, stable_uuid
-from graphloom.operators import mutate, vectors, writeback
+from graphloom.operators import incremental, mutate, vectors, writeback
+from graphloom.operators.changes import applied
 from graphloom.operators.graph import Graph
 from graphloom.scratch import written
 from graphloom.schemas import NODES, TRIPLES
@@ -246,6 +247,21 @@ def test_rebuild_keeps_what_agents_made_while_its_file_is_there(spark):
     assert got == {"a": "said", "b": "mine", "e": None}
 
 
+def test_changed_files_leave_no_line_of_a_graph_before_if_made_anew(spark):
+    """A definition whose new line isn't known: a rebuild keeps the old one, a graph made anew has none."""
+    row = lambda seq, name, line: (seq, name, "function", "DEFINED_IN", "a", "module", "a.py", line, None, None, False, None)
+    schema = "seq bigint, from_entity string, from_type string, relation_type string, to_entity string, to_type string, source_file string, line_number int, call_receiver string, call_receiver_type string, is_exported boolean, owner_class string"
+    t = mutate.resolved_triples(spark.createDataFrame([row(1, "f", 7), row(2, "g", 8)], schema), "p")
+    nodes, edges = mutate.nodes_of(t, "p"), mutate.edges_of(t)
+    given = spark.createDataFrame([row(3, "f", 0)], schema)
+    none, files = spark.createDataFrame([], "id string"), spark.createDataFrame([("a.py", "file:a.py")], "path string, id string")
+    for anew, line in ((False, 7), (True, None)):
+        known = incremental.tables(t, nodes, edges, "p", {})
+        told = incremental.changes(Graph(nodes, edges, "p"), known, files.select("path"), given, nodes.limit(0), edges.limit(0), none, files, None, {}, anew=anew)
+        got = {r["name"]: (r["line"], r["node_seq"]) for r in applied(nodes, edges, told)[0].filter("entity_type = 'function'").collect()}
+        assert got == {"f": (line, 6)}
+
+
 def test_search_finds_the_described_entity(spark):
     rows = [("1", "Entity", "session_handler", "function:python", "a.py", "handles session timeout"), ("2", "Entity", "render_button", "function:python", "b.py", None), ("3", "File", "f.py", None, None, None)]
     nodes = spark.createDataFrame(rows, "id string, type string, name string, kind string, file string, description string").withColumn("line", F.lit(1))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.columns import blank, entity_id, language_of
 from graphloom.operators.traverse import BROADCAST_ROWS
 from graphloom.schemas import RELATIONS
-from graphloom.scratch import written
+from graphloom.scratch import dropped, written
 
 #: Calls of one (name, receiver type), as a share of all, beyond which they aren't dealt out by it.
 HOT = 1 / 64
@@ -56,9 +56,24 @@ def resolved_triples(triples: DataFrame, project: str, defs: DataFrame | None =
     answers are few; else they are dealt out by what they ask for, but for the few that a
     large share of all asks for, which counting has shown, and which are broadcast.
     """
-    p = F.lit(project)
     defs = written(definitions(triples, project), "definitions") if defs is None else defs
-    found = written(targets(call_keys(triples), defs), "targets")
+    return _answered(triples, written(targets(call_keys(triples), defs), "targets"), project)
+
+
+def resolved_table(triples: DataFrame, project: str) -> DataFrame:
+    """``resolved_triples`` of lazy triples as a table; what it was made of is deleted."""
+    given = written(triples, "triples")
+    defs = written(definitions(given, project), "definitions")
+    found = written(targets(call_keys(given), defs), "targets")
+    dropped(defs)
+    out = written(_answered(given, found, project), "resolved")
+    dropped(given, found)
+    return out
+
+
+def _answered(triples: DataFrame, found: DataFrame, project: str) -> DataFrame:
+    """Triples with their ends, by the answers ``found`` to what they ask for."""
+    p = F.lit(project)
     rows, calls = found.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     asks = F.col("relation_type") != "DEFINED_IN"
     t = triples.withColumns({"name": F.col("to_entity"), "receiver": F.coalesce("call_receiver_type", F.lit(_NONE))})
@@ -80,7 +95,7 @@ def graph_of(triples: DataFrame, project: str, file_ids: DataFrame | None = None
     From-sides write their attributes, the last one wins; to-sides only fill what is not
     there, the first one wins; exported stays true once said. Every triple is an edge.
     """
-    t = written(resolved_triples(written(triples, "triples"), project), "resolved")
+    t = resolved_table(triples, project)
     return nodes_of(t, project), edges_of(t, file_ids)
 
 

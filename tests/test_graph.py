@@ -1,11 +1,13 @@
 """Graph operators on small graphs made of triples."""
 
+import time
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import receiver_matches, stable_uuid
+from graphloom import scratch
 from graphloom.operators import incremental, mutate, vectors, writeback
 from graphloom.operators.changes import applied
 from graphloom.operators.graph import Graph
@@ -262,6 +264,33 @@ def test_changed_files_leave_no_line_of_a_graph_before_if_made_anew(spark):
         assert got == {"f": (line, 6)}
 
 
+def _shuffles(spark, least=0):
+    """The number of shuffle files there are, after a while to delete them."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    for _ in range(50):
+        files = disk.getAllFiles()
+        n = sum(files.apply(k).getName().startswith("shuffle_") for k in range(files.size()))
+        if n <= least:
+            break
+        time.sleep(0.1)
+    return n
+
+
+def test_tables_leave_no_shuffle_files_and_building_leaves_one_table(spark):
+    setting, there, made = spark.conf.get(scratch._RELEASE), _shuffles(spark), set(scratch._made)
+    rows = spark.range(1000).withColumn("x", F.rand()).repartition(4, "x")
+    assert scratch.written(rows, "left").count() == 1000
+    t = spark.createDataFrame([triple(k, *x) for k, x in enumerate(HANDLE)], TRIPLES)
+    assert mutate.graph_of(t, "p")[0].count() > 0 and spark.conf.get(scratch._RELEASE) == setting
+    assert sorted(p.rsplit("/", 1)[-1].split("-")[0] for p in set(scratch._made) - made) == ["left", "resolved"]
+    done = rows.groupBy("x").count()
+    with scratch.released(spark):
+        before = _shuffles(spark, there)
+        assert done.filter("x > 0").collect()
+    assert _shuffles(spark, before) <= before
+    assert spark.conf.get(scratch._RELEASE) == setting
+
+
 def test_search_finds_the_described_entity(spark):
     rows = [("1", "Entity", "session_handler", "function:python", "a.py", "handles session timeout"), ("2", "Entity", "render_button", "function:python", "b.py", None), ("3", "File", "f.py", None, None, None)]
     nodes = spark.createDataFrame(rows, "id string, type string, name string, kind string, file string, description string").withColumn("line", F.lit(1))

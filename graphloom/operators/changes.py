@@ -9,6 +9,7 @@ while they are few, so that the base isn't moved for them.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.operators.traverse import small
+from graphloom.scratch import released
 
 KEY = ("src", "dst", "type")
 #: Columns that what agents write has.
@@ -80,7 +82,9 @@ class Log:
 
 def one_change(changes: Changes) -> Log:
     """A log of one change, counted now."""
-    return Log(**{name: [(0, df, df.count())] for name, df in changes.tables().items()})
+    found = changes.tables()
+    with released(next(iter(found.values())).sparkSession) if found else contextlib.nullcontext():
+        return Log(**{name: [(0, df, df.count())] for name, df in found.items()})
 
 
 def _without(df: DataFrame, gone: DataFrame, rows: int, on: list[str]) -> DataFrame:

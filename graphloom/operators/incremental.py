@@ -31,7 +31,7 @@ from graphloom.operators import mutate
 from graphloom.operators.changes import EDGE_FLAGS, KEY, NODE_FLAGS, Changes, flag, with_columns
 from graphloom.operators.graph import Graph
 from graphloom.operators.lookup import among
-from graphloom.scratch import written
+from graphloom.scratch import dropped, written
 
 
 @dataclass(frozen=True)
@@ -93,7 +93,7 @@ def changes(graph: Graph, known: Resolved, touched: DataFrame, fresh: DataFrame,
     """
     project = graph.project
     touched = written(touched.select("path").distinct(), "touched")
-    before = written(among(known.triples, "source_file", touched), "before")
+    before = written(among(known.triples, "source_file", touched).select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct(), "before")
     old_defs, new_defs = among(known.definitions, "file", touched), mutate.definitions(fresh, project)
     names = written(_changed_names(old_defs, new_defs), "changed-names")
     others = among(known.asked, "key", names.select(F.xxhash64("name"))).select(F.col("source_file").alias("path")).distinct()
@@ -109,6 +109,7 @@ def changes(graph: Graph, known: Resolved, touched: DataFrame, fresh: DataFrame,
     kept = known.without(touched)
     defs = written(among(kept.definitions, "name", asked).unionByName(new_defs.select(*kept.definitions.columns)), "definitions")
     t = written(mutate.resolved_triples(asking, project, defs), "resolved")
+    dropped(asking, defs)
 
     # edges of all these files
     edges = with_columns(mutate.edges_of(t, file_ids).unionByName(tree_edges, allowMissingColumns=True), EDGE_FLAGS)
@@ -116,8 +117,9 @@ def changes(graph: Graph, known: Resolved, touched: DataFrame, fresh: DataFrame,
     edges = mutate.overridden(edges.unionByName(overrides, allowMissingColumns=True)).filter(~flag("agent_relation"))
 
     # nodes that these files touched or touch, from all that supports them
-    ids = before.unionByName(again).select(F.explode(F.array("from_id", "to_id")).alias("id")).unionByName(t.select(F.explode(F.array("from_id", "to_id")).alias("id")))
-    ids = written(ids.distinct(), "touched-nodes")
+    ends = lambda df: df.select(F.explode(F.array("from_id", "to_id")).alias("id"))
+    ids = written(before.unionByName(ends(again)).unionByName(ends(t)).distinct(), "touched-nodes")
+    dropped(before, again)
     others = files.withColumnRenamed("path", "source_file")
     support = among(known.into, "to_id", ids).join(others, "source_file", "left_anti")
     # ids begin with their file, in the order of which triples are stored

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.traverse import LOOKUP_ROWS, small
-from graphloom.scratch import written
+from graphloom.scratch import released, written
 
 
 def among(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -16,7 +16,8 @@ def among(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     place; more of them move past the table in a semi-join, while they are counted as few.
     """
     values = wanted.distinct()
-    few = values.limit(LOOKUP_ROWS + 1).collect()
+    with released(df.sparkSession):
+        few = values.limit(LOOKUP_ROWS + 1).collect()
     if len(few) <= LOOKUP_ROWS:
         return df.filter(F.col(column).isin([r[0] for r in few if r[0] is not None]))
     values = written(values.toDF(column), "wanted")

@@ -315,7 +315,8 @@ union all select 's' || s_suppkey, 'star:pandas', 'IMPORTS', r_name || '/' || n_
 def agent_edges_written(spark, sf_dir):
     """The edges that come of it."""
     g = star.graph(spark, sf_dir)
-    return writeback.with_calls(g, writeback.added_calls(g, _requests(spark, sf_dir)))[1].filter("agent_inferred").select("src", "dst", "type", "source_file")
+    told = written(writeback.added_calls(g, _requests(spark, sf_dir)).filter("status = 'added'"), "told")
+    return writeback.with_calls(g, told)[1].filter("agent_inferred").select("src", "dst", "type", "source_file")
 
 
 _METHODS = "select c_name as caller, concat('op_', o_orderkey % 900) as callee, case when o_orderkey % 2 = 0 then {file} end as callee_file from orders join customer on o_custkey = c_custkey join f on c_nationkey = n_nationkey"

@@ -103,3 +103,22 @@ def test_packing_stage(steps):
 
 def test_run_gives_the_last_stage(spark, steps):
     assert Counter(r[0] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()) == Counter(r[0] for r in steps[5])
+
+
+def test_near_copies_hold_no_cache_whose_shuffles_would_stay(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from graphloom import scratch
+    from graphloom.llm import jaccard
+
+    def refused(self, *args):
+        raise AssertionError("a cache keeps the shuffles that made it on disk")
+
+    for kind in (DataFrame, Classic):
+        monkeypatch.setattr(kind, "persist", refused)
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, "else")], "doc_id bigint, text string")
+    there = set(scratch._made)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert not {p.rsplit("/", 1)[-1].split("-")[0] for p in set(scratch._made) - there} & {"texts", "candidates", "bounded"}

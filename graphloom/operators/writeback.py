@@ -17,9 +17,9 @@ from pyspark.sql.window import Window
 
 from graphloom.functions.columns import blank, entity_id, language_of, relation_name
 from graphloom.operators.changes import EDGE_FLAGS, KEY, NODE_FLAGS, Changes, flag, with_columns
-from graphloom.operators.lookup import among
-from graphloom.operators.traverse import BROADCAST_ROWS, LOOKUP_ROWS, small
-from graphloom.scratch import written
+from graphloom.operators.lookup import Values, having, sought
+from graphloom.operators.traverse import LOOKUP_ROWS, small
+from graphloom.scratch import counted, written
 
 _ASKED = {"caller": "string", "callee": "string", "relation": "string", "caller_file": "string", "callee_file": "string", "line": "int"}
 _ENTITY = {"name": "string", "file": "string", "id": "string", "kind": "string", "line": "int", "description": "string", "language": "string", "text": "string", "nth": "bigint"}
@@ -59,7 +59,7 @@ def _answered(graph, asked: DataFrame, outside: Column) -> DataFrame:
     """Requests with their relation's type and their ends; the entities of all their names are looked up once."""
     rows = written(with_columns(asked, _ASKED).withColumn("type", relation_name(F.col("relation"))), "requests")
     own = graph.entities().filter(F.col("project") == graph.project).select("id", "name", "file")
-    own = among(own, "name", rows.select("caller").union(rows.select("callee"))).withColumn("inside", blank(F.col("file")) != "")
+    own = having(own, "name", sought(rows.select("caller").union(rows.select("callee")))).withColumn("inside", blank(F.col("file")) != "")
     own = written(own, "named")
     return written(_ends(own, _ends(own, rows, "caller", F.lit(False)), "callee", outside), "asked")
 
@@ -76,8 +76,7 @@ def _unclear(callee_may_be_new: Column) -> Column:
 def _touching(graph, pairs: DataFrame) -> DataFrame:
     """The graph's edges between pairs of nodes (src, dst): what is stored is scanned past them while they are few."""
     edges = with_columns(graph.edges, EDGE_FLAGS)
-    pairs = pairs.filter("src is not null and dst is not null").distinct()
-    rows = pairs.limit(BROADCAST_ROWS + 1).count()
+    pairs, rows = counted(pairs.filter("src is not null and dst is not null").distinct(), "pairs")
     if rows <= LOOKUP_ROWS:
         edges = edges.filter(F.col("src").isin(sorted({r["src"] for r in pairs.select("src").collect()})))
     return edges.join(small(pairs, rows), ["src", "dst"], "left_semi").select(*edges.columns)
@@ -115,11 +114,11 @@ def added_calls(graph, asked: DataFrame) -> DataFrame:
 def call_changes(graph, told: DataFrame) -> Changes:
     """The edges of ``added_calls`` whose status is ``added``, and the modules that they lead to."""
     nodes, new = with_columns(graph.nodes, NODE_FLAGS), told.filter("status = 'added'")
-    callers = among(nodes.select("id", "file", "language"), "id", new.select("src"))
+    callers = having(nodes.select("id", "file", "language"), "id", sought(new.select("src")))
     new = new.join(callers.select(F.col("id").alias("src"), F.col("file").alias("source_file"), "language"), "src", "left")
     own = new.select(*KEY, "source_file", "line", F.lit(False).alias("resolved"), F.lit(True).alias("agent_inferred"))
     modules = new.filter("type = 'IMPORTS'").groupBy(F.col("dst").alias("id")).agg(F.min("callee").alias("name"), F.min("language").alias("language"))
-    modules = modules.join(among(nodes.select("id"), "id", modules.select("id")), "id", "left_anti").select(
+    modules = modules.join(having(nodes.select("id"), "id", sought(modules.select("id"))), "id", "left_anti").select(
         "id", "name", "language", F.lit("Entity").alias("type"), F.lit(graph.project).alias("project"), F.lit("module").alias("entity_type"),
         F.concat_ws(":", F.lit("module"), F.nullif(F.col("language"), F.lit(""))).alias("kind"), F.lit(True).alias("agent_inferred"), F.lit(True).alias("agent_created"),
     )
@@ -189,12 +188,15 @@ def _meant(graph, asked: DataFrame, of_id: bool = True) -> DataFrame:
     """Requests (name, and perhaps file or id) with ``n``, the number of the nodes that they mean, and ``found``, the only one."""
     rows = with_columns(asked, _ENTITY).withColumn("nth", F.coalesce("nth", F.monotonically_increasing_id()))
     own = graph.entities().filter(F.col("project") == graph.project).select("id", "name", "file")
-    own = among(own, "name", rows.filter(blank(F.col("id")) == "").select("name"))
+    own = having(own, "name", sought(rows.filter(blank(F.col("id")) == "").select("name")))
     by_name = own.groupBy("name").agg(F.count("*").alias("_all"), F.min("id").alias("_all_id"))
     by_file = own.filter(blank(F.col("file")) != "").groupBy("name", "file").agg(F.count("*").alias("_file"), F.min("id").alias("_file_id"))
     rows = rows.join(by_name, "name", "left").join(by_file, ["name", "file"], "left")
-    by_id = among(graph.nodes.select("id"), "id", rows.filter(blank(F.col("id")) != "").select("id")).withColumn("_there", F.lit(1))
-    rows = rows.join(by_id, "id", "left")
+    if "id" in asked.columns:
+        by_id = having(graph.nodes.select("id"), "id", sought(rows.filter(blank(F.col("id")) != "").select("id"))).withColumn("_there", F.lit(1))
+        rows = rows.join(by_id, "id", "left")
+    else:
+        rows = rows.withColumn("_there", F.lit(None).cast("int"))
     given, anywhere = (blank(F.col("id")) != "") if of_id else F.lit(False), blank(F.col("file")) == ""
     n = F.when(given, F.col("_there")).when(anywhere, F.col("_all")).otherwise(F.col("_file"))
     found = F.when(given, F.col("id")).when(anywhere, F.col("_all_id")).otherwise(F.col("_file_id"))
@@ -228,7 +230,7 @@ def entity_changes(graph, told: DataFrame) -> Changes:
     last = [F.max_by(f"_{c}", F.when(F.col(f"_{c}").isNotNull(), F.col("nth"))).alias(f"_{c}") for c in values]
     said = said.groupBy("id").agg(F.min("name").alias("_name"), F.max("n").alias("_n"), *last)
     nodes = with_columns(graph.nodes, NODE_FLAGS)
-    old = among(nodes, "id", said.filter("_n = 1").select("id")).join(said, "id").withColumns({c: F.coalesce(f"_{c}", c) for c in values}).select(*nodes.columns)
+    old = having(nodes, "id", sought(said.filter("_n = 1").select("id"))).join(said, "id").withColumns({c: F.coalesce(f"_{c}", c) for c in values}).select(*nodes.columns)
     new = said.filter("_n = 0").select(
         "id", F.lit("Entity").alias("type"), F.col("_name").alias("name"), F.lit(graph.project).alias("project"), *[F.col(f"_{c}").alias(c) for c in values], F.lit(True).alias("agent_inferred"), F.lit(True).alias("agent_created")
     )
@@ -241,10 +243,10 @@ def deleted_entities(graph, asked: DataFrame) -> DataFrame:
     A node that agents made is ``deleted`` with its edges; any other is ``stripped`` of its
     description, its flag and its edges that agents made; ``removed`` tells of what.
     """
-    rows = _meant(graph, asked)
-    nodes = with_columns(graph.nodes, NODE_FLAGS).select("id", "agent_created", "agent_inferred", "description")
-    own = among(nodes, "id", rows.select("found")).withColumnRenamed("id", "found").withColumnsRenamed({"description": "_said"})
-    touching = _edges_of(graph, rows.select("found")).filter(flag("agent_inferred"))
+    rows = written(_meant(graph, asked), "meant")
+    nodes, meant = with_columns(graph.nodes, NODE_FLAGS).select("id", "agent_created", "agent_inferred", "description"), sought(rows.select("found").dropna())
+    own = written(having(nodes, "id", meant), "own").withColumnRenamed("id", "found").withColumnsRenamed({"description": "_said"})
+    touching = written(_edges_of(graph, meant).filter(flag("agent_inferred")).select("src", "dst"), "touching")
     ends = touching.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("found")).groupBy("found").agg(F.count("*").alias("_edges"))
     rows = rows.drop("description").join(own, "found", "left").join(ends, "found", "left")
     status = F.when(F.col("n") == 0, "not_found").when(F.col("n") > 1, "ambiguous").when(flag("agent_created"), "deleted").otherwise("stripped")
@@ -252,23 +254,24 @@ def deleted_entities(graph, asked: DataFrame) -> DataFrame:
     return rows.withColumn("status", status).withColumn("removed", F.when(F.col("status") == "stripped", F.array_compact(F.array(*parts)))).select("name", "file", "id", "nth", "n", "found", "status", "removed")
 
 
-def _edges_of(graph, ids: DataFrame) -> DataFrame:
+def _edges_of(graph, ids: Values) -> DataFrame:
     """The edges that begin or end at some nodes, once each: two lookups, each in the order that suits it."""
     edges = with_columns(graph.edges, EDGE_FLAGS)
     into = edges if graph.into is None else with_columns(graph.into, EDGE_FLAGS).select(*edges.columns)
-    out = among(edges, "src", ids)
-    inside = among(into, "dst", ids)
-    return out.unionByName(inside.join(ids.toDF("src").distinct(), "src", "left_anti").select(*edges.columns))
+    out, inside = having(edges, "src", ids), having(into, "dst", ids)
+    if ids.few is not None:
+        return out.unionByName(inside.filter(~F.coalesce(F.col("src").isin(ids.few), F.lit(False))))
+    return out.unionByName(inside.join(small(ids.table.toDF("src"), ids.rows), "src", "left_anti").select(*edges.columns))
 
 
 def deletion_changes(graph, told: DataFrame) -> Changes:
     """What goes with the entities of ``deleted_entities``, and what is stripped."""
-    sure = told.filter("status in ('deleted', 'stripped')").select(F.col("found").alias("id"), (F.col("status") == "deleted").alias("own")).distinct()
+    sure = written(told.filter("status in ('deleted', 'stripped')").select(F.col("found").alias("id"), (F.col("status") == "deleted").alias("own")).distinct(), "sure")
     nodes = with_columns(graph.nodes, NODE_FLAGS)
     blanked = {c: F.lit(None).cast(nodes.schema[c].dataType) for c in ("description", "agent_inferred")}
-    kept = among(nodes, "id", sure.filter("not own").select("id")).withColumns(blanked).withColumn("gone", F.lit(False))
+    kept = having(nodes, "id", sought(sure.filter("not own").select("id"))).withColumns(blanked).withColumn("gone", F.lit(False))
     gone = sure.filter("own").select("id", F.lit(True).alias("gone"))
-    edges = written(_edges_of(graph, sure.select("id")), "touching")
+    edges = written(_edges_of(graph, sought(sure.select("id"))), "touching")
     ends = sure.select("id", "own")
     for end in ("src", "dst"):
         edges = edges.join(ends.toDF(end, f"_{end}"), end, "left")
@@ -291,7 +294,7 @@ def description_changes(graph, told: DataFrame) -> Changes:
     """The nodes of ``described``, the last text of each."""
     said = told.filter("status in ('updated', 'cleared')").groupBy(F.col("found").alias("id")).agg(F.max_by(F.struct(F.nullif(F.trim("text"), F.lit("")).alias("text")), "nth").alias("_said"))
     nodes = with_columns(graph.nodes, NODE_FLAGS)
-    return Changes(nodes=among(nodes, "id", said.select("id")).join(said, "id").withColumn("description", F.col("_said.text")).select(*nodes.columns))
+    return Changes(nodes=having(nodes, "id", sought(said.select("id"))).join(said, "id").withColumn("description", F.col("_said.text")).select(*nodes.columns))
 
 
 # --- requests of one row -----------------------------------------------------

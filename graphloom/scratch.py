@@ -13,7 +13,8 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Jobs that run at once.
 SIDE_BY_SIDE = 4
@@ -76,6 +77,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` as ``written`` makes it, and its number of rows, counted while they are written."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return out, seen.get.get("rows") or 0
+
+
 def together(*writes: Callable[[], object]) -> None:
     """Runs jobs that don't depend on each other side by side; raises what the first that failed raised."""
     with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:

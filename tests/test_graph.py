@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.columns import receiver_matches, stable_uuid
 from graphloom import scratch
-from graphloom.operators import incremental, mutate, vectors, writeback
+from graphloom.operators import incremental, lookup, mutate, vectors, writeback
 from graphloom.operators.changes import applied
 from graphloom.operators.graph import Graph
 from graphloom.scratch import written
@@ -187,6 +187,29 @@ def test_agents_corrections(spark):
     assert {(r["dst"], r["type"], r["source_file"]) for r in edges.filter("agent_inferred").collect()} == {("demo:a.py:callee", "CALLS", "a.py"), ("demo:pathlib", "IMPORTS", "a.py")}
 
 
+def test_a_deletion_looks_up_what_is_meant_once(spark, monkeypatch):
+    """The answers read three tables, what is meant, its nodes and its edges, however many lookups there are; few or many values give the same."""
+    g = graph(
+        spark,
+        ("caller", "function", "DEFINED_IN", "a", "module", "a.py", 1),
+        ("callee", "function", "DEFINED_IN", "a", "module", "a.py", 2),
+        ("shared", "function", "DEFINED_IN", "b", "module", "b.py", 1),
+        ("shared", "function", "DEFINED_IN", "c", "module", "c.py", 1),
+    )
+    pairs = spark.createDataFrame([("caller", "callee", "registers"), ("callee", "caller", "registers"), ("caller", "caller", "handles")], "caller string, callee string, relation string")
+    g = Graph(*(written(df, "test-graph") for df in writeback.with_calls(g, writeback.added_calls(g, pairs))), "demo")
+    asked, got = spark.createDataFrame([("caller",), ("shared",), ("ghost",)], "name string"), {}
+    for most in (lookup.LOOKUP_ROWS, 0):
+        monkeypatch.setattr(lookup, "LOOKUP_ROWS", most)
+        told = writeback.deleted_entities(g, asked)
+        assert told._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 3
+        assert {r["name"]: (r["status"], r["removed"]) for r in told.collect()} == {"caller": ("stripped", ["3 agent edge(s)"]), "shared": ("ambiguous", None), "ghost": ("not_found", None)}
+        changes = writeback.deletion_changes(g, told)
+        got[most] = [sorted(map(str, df.collect())) for df in (changes.nodes, changes.edges.select("src", "dst", "type", "gone"))]
+        assert changes.edges.filter("gone").count() == 3
+    assert got[0] == got[max(got)]
+
+
 def test_file_less_nodes_are_no_match_but_for_imports(spark):
     """A call of something unknown leaves a bucket; no edge of another kind may end there, and no name gets ambiguous by it."""
     g = graph(

@@ -9,8 +9,7 @@ while they are few, so that the base isn't moved for them.
 
 from __future__ import annotations
 
-import contextlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
@@ -80,13 +79,6 @@ class Log:
         return out, rows
 
 
-def one_change(changes: Changes) -> Log:
-    """A log of one change, counted now."""
-    found = changes.tables()
-    with released(next(iter(found.values())).sparkSession) if found else contextlib.nullcontext():
-        return Log(**{name: [(0, df, df.count())] for name, df in found.items()})
-
-
 def _without(df: DataFrame, gone: DataFrame, rows: int, on: list[str]) -> DataFrame:
     return df.join(small(gone, rows), on, "left_anti").select(*df.columns)
 
@@ -109,17 +101,17 @@ def merged_edges(base: DataFrame, log: Log) -> DataFrame:
         return base
     base = with_columns(base, EDGE_FLAGS)
     out, puts = base, None
-    if said is not None:
-        said = said.withColumn("gone", flag("gone"))
-        gone = said.filter("gone").groupBy(*KEY).agg(F.max("_at").alias("_gone_at"))
-        out = _without(out, gone.select(*KEY), rows, list(KEY))
-        puts = said.filter("not gone").join(small(gone, rows), list(KEY), "left").filter("_gone_at is null or _at >= _gone_at").drop("_gone_at", "gone")
     if paths is not None:
         last = paths.groupBy(F.col("path").alias("source_file")).agg(F.max("_at").alias("_gone_at"))
         # an anti join on a key that agents' edges don't have
         keyed = out.withColumn("_own", F.when(~flag("agent_inferred"), F.col("source_file")))
         out = keyed.join(small(last.select(F.col("source_file").alias("_own")), n_paths), "_own", "left_anti").select(*out.columns)
-        if puts is not None:
+    if said is not None:
+        said = said.withColumn("gone", flag("gone"))
+        gone = said.filter("gone").groupBy(*KEY).agg(F.max("_at").alias("_gone_at"))
+        out = _without(out, gone.select(*KEY), rows, list(KEY))
+        puts = said.filter("not gone").join(small(gone, rows), list(KEY), "left").filter("_gone_at is null or _at >= _gone_at").drop("_gone_at", "gone")
+        if paths is not None:
             puts = puts.join(small(last, n_paths), "source_file", "left")
             puts = with_columns(puts, EDGE_FLAGS).filter(flag("agent_inferred") | F.col("_gone_at").isNull() | (F.col("_at") >= F.col("_gone_at"))).drop("_gone_at")
     return out if puts is None else out.unionByName(puts.drop("_at"), allowMissingColumns=True).select(*base.columns)
@@ -156,6 +148,14 @@ def merged_rows(base: DataFrame, log: Log, table: str, file: str, of=lambda said
 
 
 def applied(nodes: DataFrame, edges: DataFrame, changes: Changes) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) after one change."""
-    log = one_change(changes)
-    return merged_nodes(nodes, log), merged_edges(edges, log)
+    """(nodes, edges) after one change. What a merge looks for is counted now: files, the edges that go, and nodes, if any were there before."""
+    found = changes.tables()
+
+    def log(**rows: Callable[[DataFrame], int]) -> Log:
+        return Log(**{name: [(0, found[name], count(found[name]))] for name, count in rows.items() if name in found})
+
+    with released(nodes.sparkSession):
+        nodes, edges = (df.limit(0) if df.isEmpty() else df for df in (nodes, edges))
+        of_nodes = log(nodes=lambda df: 0 if nodes.isEmpty() else df.count())
+        of_edges = log(edges=lambda df: df.filter("gone").count() if "gone" in df.columns else 0, files=DataFrame.count)
+    return merged_nodes(nodes, of_nodes), merged_edges(edges, of_edges)

@@ -15,7 +15,8 @@ paths that an import may mean. When files change,
 
 The result is a ``Changes`` of the rows that differ in the end. Lookups are filters of the
 scan while there are few names or ids, and joins past a broadcast while they are counted
-as small, so that the tables of the other files stay where they are.
+as small, so that the tables of the other files stay where they are. They look in the rows
+of the other files only; where every file changed there are none, and nothing is looked up.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from graphloom.functions.columns import blank, import_targets, without_code_endi
 from graphloom.operators import mutate
 from graphloom.operators.changes import EDGE_FLAGS, KEY, NODE_FLAGS, Changes, flag, with_columns
 from graphloom.operators.graph import Graph
-from graphloom.operators.lookup import among
-from graphloom.scratch import dropped, written
+from graphloom.operators.lookup import among, having, sought
+from graphloom.scratch import dropped, released, written
 
 
 @dataclass(frozen=True)
@@ -91,25 +92,30 @@ def changes(graph: Graph, known: Resolved, touched: DataFrame, fresh: DataFrame,
     ``file_ids`` (path, id): the files that are indexed afterwards. ``anew``: nodes are what
     the triples say, and keep nothing (such as a line) that only the graph before knew.
     """
-    project = graph.project
+    project, columns = graph.project, fresh.columns
     touched = written(touched.select("path").distinct(), "touched")
-    before = written(among(known.triples, "source_file", touched).select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct(), "before")
-    old_defs, new_defs = among(known.definitions, "file", touched), mutate.definitions(fresh, project)
-    names = written(_changed_names(old_defs, new_defs), "changed-names")
-    others = among(known.asked, "key", names.select(F.xxhash64("name"))).select(F.col("source_file").alias("path")).distinct()
-    others = written(others.join(touched, "path", "left_anti"), "asking")
-    files = written(touched.unionByName(others), "files")
-    again = written(among(known.triples, "source_file", others), "again")
+    kept = known.without(touched)
+    with released(touched.sparkSession):
+        alone = kept.triples.isEmpty()
+    if alone:
+        others, files, again = touched.limit(0), touched, known.triples.limit(0)
+    else:
+        names = _changed_names(among(known.definitions, "file", touched), mutate.definitions(fresh, project))
+        names = written(names, "changed-names")
+        others = written(among(kept.asked, "key", names.select(F.xxhash64("name"))).select(F.col("source_file").alias("path")).distinct(), "asking")
+        files = written(touched.unionByName(others), "files")
+        again = written(among(kept.triples, "source_file", others), "again")
 
     # resolution, with the definitions of the names that are asked for
-    columns = fresh.columns
-    asking = written(again.select(*columns).unionByName(fresh), "to-resolve")
-    keys = mutate.call_keys(asking)
-    asked = keys.select("name").unionByName(keys.select(F.col("receiver").alias("name"))).distinct()
-    kept = known.without(touched)
-    defs = written(among(kept.definitions, "name", asked).unionByName(new_defs.select(*kept.definitions.columns)), "definitions")
+    asking = fresh if alone else written(again.select(*columns).unionByName(fresh), "to-resolve")
+    defs = mutate.definitions(fresh, project)
+    if not alone:
+        keys = mutate.call_keys(asking)
+        asked = keys.select("name").unionByName(keys.select(F.col("receiver").alias("name"))).distinct()
+        defs = among(kept.definitions, "name", asked).unionByName(defs.select(*kept.definitions.columns))
+    defs = written(defs, "definitions")
     t = written(mutate.resolved_triples(asking, project, defs), "resolved")
-    dropped(asking, defs)
+    dropped(defs, *[asking][alone:])
 
     # edges of all these files
     edges = with_columns(mutate.edges_of(t, file_ids).unionByName(tree_edges, allowMissingColumns=True), EDGE_FLAGS)
@@ -118,52 +124,66 @@ def changes(graph: Graph, known: Resolved, touched: DataFrame, fresh: DataFrame,
 
     # nodes that these files touched or touch, from all that supports them
     ends = lambda df: df.select(F.explode(F.array("from_id", "to_id")).alias("id"))
-    ids = written(before.unionByName(ends(again)).unionByName(ends(t)).distinct(), "touched-nodes")
-    dropped(before, again)
-    others = files.withColumnRenamed("path", "source_file")
-    support = among(known.into, "to_id", ids).join(others, "source_file", "left_anti")
-    # ids begin with their file, in the order of which triples are stored
-    written_by = among(known.triples, "from_id", ids).join(others, "source_file", "left_anti").select(*t.columns)
-    sides = mutate.from_sides(t).unionByName(mutate.to_sides(into_nodes(t))).unionByName(mutate.to_sides(support)).unionByName(mutate.from_sides(written_by))
-    new = mutate.nodes_of_sides(sides, project).unionByName(tree_nodes, allowMissingColumns=True)
-    new = written(with_columns(new, NODE_FLAGS), "new-nodes")
+    ids = ends(among(known.triples, "source_file", touched)).unionByName(ends(again)).unionByName(ends(t)).distinct()
+    sides = mutate.from_sides(t).unionByName(mutate.to_sides(into_nodes(t)))
+    if not alone:
+        ids, rest = written(ids, "touched-nodes"), known.without(files)
+        dropped(again)
+        # ids begin with their file, in the order of which triples are stored
+        written_by = among(rest.triples, "from_id", ids).select(*t.columns)
+        sides = sides.unionByName(mutate.to_sides(among(rest.into, "to_id", ids))).unionByName(mutate.from_sides(written_by))
+    new = with_columns(mutate.nodes_of_sides(sides, project).unionByName(tree_nodes, allowMissingColumns=True), NODE_FLAGS)
+    new = new if alone and anew else written(new, "new-nodes")  # else read again and again
     all_ids = ids.unionByName(tree_nodes.select("id")).unionByName(gone_tree.select("id")).distinct()
-    old = with_columns(among(graph.nodes, "id", all_ids), NODE_FLAGS)
-    old = written(old.select(*[(F.col(f.name) if f.name in old.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in new.schema]), "old-nodes")
-    nodes = new if anew else written(mutate.rebuilt_nodes(old, new, there), "nodes")
-    gone = written(old.select("id").join(nodes.select("id"), "id", "left_anti"), "gone-nodes")
+    if anew:
+        nodes, old = new, all_ids
+    else:
+        old = with_columns(among(graph.nodes, "id", all_ids), NODE_FLAGS)
+        old = written(old.select(*[(F.col(f.name) if f.name in old.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in new.schema]), "old-nodes")
+        nodes = written(mutate.rebuilt_nodes(old, new, there), "nodes")
+    gone = old.select("id").join(nodes.select("id"), "id", "left_anti")
+    gone = gone if alone and anew else written(gone, "gone-nodes")
 
     # what goes: the files' edges, agents' edges of nodes that go, and containment of what goes
-    loose = _edges_at(graph, gone)
-    keys = loose.filter(flag("agent_inferred") | (F.col("type") == "CONTAINS")).select(*KEY).unionByName(tree_edges.select(*KEY)).distinct()
+    keys = tree_edges.select(*KEY).unionByName(_loose_keys(graph, gone, files)).distinct()
     edges = edges.withColumn("gone", F.lit(False)).unionByName(keys.withColumn("gone", F.lit(True)), allowMissingColumns=True)
     said = nodes.withColumn("gone", F.lit(False)).unionByName(gone.withColumn("gone", F.lit(True)), allowMissingColumns=True)
-    wanted, imports = _imports(graph, kept, files, nodes, edges, file_ids, psr4)
+    wanted, imports = _imports(graph, kept, files, nodes, edges, file_ids, psr4, alone)
     return Changes(nodes=said, edges=edges, files=files, imports=imports, triples=t, wanted=wanted)
 
 
-def _edges_at(graph: Graph, ids: DataFrame) -> DataFrame:
-    """The edges that begin or end at some nodes."""
-    edges = with_columns(graph.edges, EDGE_FLAGS)
-    into = edges if graph.into is None else with_columns(graph.into, EDGE_FLAGS).select(*edges.columns)
-    return among(edges, "src", ids).unionByName(among(into, "dst", ids)).distinct()
+def _loose_keys(graph: Graph, gone: DataFrame, files: DataFrame) -> DataFrame:
+    """(src, dst, type) of agents' edges and of containment at nodes that go, without the parser's edges of ``files``, which go anyway."""
+
+    def loose(edges: DataFrame) -> DataFrame:
+        found = with_columns(edges, EDGE_FLAGS).filter(flag("agent_inferred") | (F.col("type") == "CONTAINS"))
+        found = found.withColumn("_own", F.when(~flag("agent_inferred"), F.col("source_file")))
+        return found.join(files.withColumnRenamed("path", "_own"), "_own", "left_anti").select(*KEY)
+
+    edges = loose(graph.edges)
+    with released(files.sparkSession):
+        if edges.isEmpty():
+            return edges.limit(0)
+    ids = sought(gone)
+    return written(having(edges, "src", ids).unionByName(having(edges if graph.into is None else loose(graph.into), "dst", ids)).distinct(), "loose-edges")
 
 
-def _imports(graph: Graph, kept: Resolved, files: DataFrame, nodes: DataFrame, edges: DataFrame, file_ids: DataFrame, psr4: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+def _imports(graph: Graph, kept: Resolved, files: DataFrame, nodes: DataFrame, edges: DataFrame, file_ids: DataFrame, psr4: dict[str, str], alone: bool) -> tuple[DataFrame, DataFrame]:
     """((importer, base) of the files, (importer, target, gone)): the imports of the files, those into files that are new, and
-    those that lose their target."""
+    those that lose their target. ``alone``: there are no other files."""
     agents = with_columns(graph.edges, EDGE_FLAGS).filter("agent_inferred and type = 'IMPORTS'")
     agents = agents.join(files.withColumnRenamed("path", "source_file"), "source_file", "left_semi")
     own = edges.filter("not gone and type = 'IMPORTS'").unionByName(agents, allowMissingColumns=True)
-    named = nodes.select("id", "name").unionByName(among(graph.nodes.select("id", "name"), "id", agents.select("dst")).join(nodes.select("id"), "id", "left_anti"))
+    named = among(nodes.select("id", "name"), "id", own.select("dst")).unionByName(among(graph.nodes.select("id", "name"), "id", agents.select("dst")).join(nodes.select("id"), "id", "left_anti"))
     wanted = written(wanted_paths(named, own, psr4), "wanted")
     targets = file_ids.select(F.col("path").alias("target")).withColumn("base", without_code_ending(F.col("target")))
     bases = among(targets, "base", wanted.select("base"))
     mine = wanted.join(bases, "base").select("importer", "target")
-    new = files.join(file_ids.select("path"), "path", "left_semi").select(F.col("path").alias("target")).withColumn("base", without_code_ending(F.col("target")))
-    may = among(kept.wanted, "base", new.select("base")).join(files.withColumnRenamed("path", "importer"), "importer", "left_anti").select("importer").distinct()
-    theirs = among(graph.edges.filter("type = 'IMPORTS'"), "source_file", may)  # what they want now
-    others = wanted_paths(among(graph.nodes.select("id", "name"), "id", theirs.select("dst")), theirs, psr4).join(new, "base").select("importer", "target")
+    if not alone:
+        new = files.join(file_ids.select("path"), "path", "left_semi").select(F.col("path").alias("target")).withColumn("base", without_code_ending(F.col("target")))
+        may = among(kept.wanted, "base", new.select("base")).join(files.withColumnRenamed("path", "importer"), "importer", "left_anti").select("importer").distinct()
+        theirs = among(graph.edges.filter("type = 'IMPORTS'"), "source_file", may)  # what they want now
+        mine = mine.unionByName(wanted_paths(among(graph.nodes.select("id", "name"), "id", theirs.select("dst")), theirs, psr4).join(new, "base").select("importer", "target"))
     lost = files.join(file_ids.select("path"), "path", "left_anti")
     drop = lambda df, end: df.select(*[(F.col("path") if c == end else F.lit(None).cast("string")).alias(c) for c in ("importer", "target")], F.lit(True).alias("gone"))
-    return wanted, mine.unionByName(others).distinct().withColumn("gone", F.lit(False)).unionByName(drop(files, "importer")).unionByName(drop(lost, "target"))
+    return wanted, mine.distinct().withColumn("gone", F.lit(False)).unionByName(drop(files, "importer")).unionByName(drop(lost, "target"))

@@ -295,6 +295,41 @@ def test_changed_files_leave_no_line_of_a_graph_before_if_made_anew(spark):
         assert got == {"f": (line, 6)}
 
 
+def _calls(spark):
+    """A function that makes triples of (seq, file, name, called): of definitions, or of calls if ``called`` is given."""
+    schema = "seq bigint, from_entity string, from_type string, relation_type string, to_entity string, to_type string, source_file string, line_number int, call_receiver string, call_receiver_type string, is_exported boolean, owner_class string"
+    row = lambda seq, file, name, called=None: (seq, name, "function", "CALLS" if called else "DEFINED_IN", called or "m", "function" if called else "module", file, seq, None, None, False, None)
+    return lambda *given: spark.createDataFrame([row(*g) for g in given], schema)
+
+
+def _all_of(nodes, edges):
+    nodes = nodes.select("id", "name", "entity_type", "file", "line", "node_seq").collect()
+    return sorted(map(str, nodes)), sorted(map(str, edges.select("src", "dst", "type", "source_file", "line", "edge_seq").collect()))
+
+
+@pytest.mark.parametrize("changed", [("a.py", "b.py", "c.py"), ("a.py",), ("a.py", "c.py")])
+def test_changed_files_are_told_from_what_they_touch(spark, monkeypatch, changed):
+    """All files, or some: the graph is the one made anew, and where all changed nothing is looked up in what was there before."""
+    call = _calls(spark)
+    old = {"a.py": [(1, "a.py", "f"), (2, "a.py", "g")], "b.py": [(3, "b.py", "h"), (4, "b.py", "h", "f"), (5, "b.py", "h", "k")], "c.py": [(6, "c.py", "k"), (7, "c.py", "k", "g")]}
+    new = {"a.py": [(1, "a.py", "f2"), (2, "a.py", "g")], "b.py": [(3, "b.py", "h"), (4, "b.py", "h", "f2")], "c.py": []}
+    t = mutate.resolved_triples(call(*sum(old.values(), [])), "p")
+    ids = spark.createDataFrame([(f, "file:" + f) for f in old], "path string, id string")
+    left = ids.filter("path <> 'c.py'") if "c.py" in changed else ids
+    nodes, edges = mutate.nodes_of(t, "p"), mutate.edges_of(t, ids)
+    fresh = call(*sum((new[f] for f in changed), []))
+    names, write = [], incremental.written
+    monkeypatch.setattr(incremental, "written", lambda df, name: names.append(name) or write(df, name))
+    none, paths = spark.createDataFrame([], "id string"), spark.createDataFrame([(f,) for f in changed], "path string")
+    told = incremental.changes(Graph(nodes, edges, "p"), incremental.tables(t, nodes, edges, "p", {}), paths, fresh, nodes.limit(0), edges.limit(0), none, left, None, {}, anew=True)
+    want = mutate.resolved_triples(call(*sum((new[f] if f in changed else old[f] for f in old), [])), "p")
+    want = _all_of(mutate.nodes_of(want, "p"), mutate.edges_of(want, left))
+    assert _all_of(*applied(nodes, edges, told)) == want
+    rest = t.filter(~t.source_file.isin(*changed))
+    assert _all_of(*applied(mutate.nodes_of(rest, "p"), mutate.edges_of(rest, ids), told)) == want
+    assert names == ["touched", "definitions", "resolved", "wanted"] if len(changed) == 3 else "touched-nodes" in names
+
+
 def _shuffles(spark, least=0):
     """The number of shuffle files there are, after a while to delete them."""
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()

@@ -88,10 +88,12 @@ def merged_nodes(base: DataFrame, log: Log) -> DataFrame:
     if said is None:
         return base
     base = with_columns(base, NODE_FLAGS)
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_at"), "gone"))  # a put comes after a drop
-    last = said.withColumn("gone", flag("gone")).withColumn("_nth", nth).filter("_nth = 1")
+    last = said.withColumn("gone", flag("gone"))
+    if len(log.nodes) > 1:  # one change puts a node once
+        nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_at"), "gone"))  # a put comes after a drop
+        last = last.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
     kept = _without(base, last.select("id"), rows, ["id"])
-    return kept.unionByName(last.filter("not gone").drop("gone", "_nth", "_at"), allowMissingColumns=True).select(*base.columns)
+    return kept.unionByName(last.filter("not gone").drop("gone", "_at"), allowMissingColumns=True).select(*base.columns)
 
 
 def merged_edges(base: DataFrame, log: Log) -> DataFrame:
